@@ -44,7 +44,8 @@ FROM listens WHERE event_type = 'purchase'"""
 ADAPTERS["releases"] = f"""
 SELECT DISTINCT {mbid('l', 'p_partkey % 25')} AS release_mbid,
        {mbid('g', 'p_partkey % 25 % 8')} AS release_group_mbid,
-       'Release ' || CAST(p_partkey % 25 AS VARCHAR) AS release_title
+       'Release ' || CAST(p_partkey % 25 AS VARCHAR) AS release_title,
+       'Artist ' || CAST(p_partkey % 25 % 12 AS VARCHAR) AS artist_credit_phrase
 FROM part"""
 
 ADAPTERS["release_groups"] = f"""
@@ -180,3 +181,73 @@ NO_CW = "(SELECT CAST(NULL AS VARCHAR) AS playlist_id, CAST(NULL AS VARCHAR) AS
 
 QUERIES["knn_weighted"] = q(["files", "cf_sym", "playlist_seeds"],
                             KNN_BODY.format(min_distance=0.5, cw_table=NO_CW, limit=2000))
+
+
+# --- listen aggregates ---------------------------------------------------------
+
+def recency_base(as_of: str) -> str:
+    days = f"CAST(trunc((epoch_us({as_of}) - epoch_us(l.listen_at_ts_utc)) / 86400000000.0) AS BIGINT)"
+    return f"""
+, base AS (
+  SELECT l.username, l.recording_mbid, l.release_mbid, r.release_group_mbid, l.artist_mbids,
+         l.listen_at_ts_utc, {days} AS listen_recency_days,
+         exp(-0.1 * {days}) AS recency_pct,
+         1 - least(exp(-0.1 * {days}), exp(-0.1)) AS inv_recency_pct
+  FROM listens l JOIN releases r USING (release_mbid)
+  WHERE l.recording_mbid IS NOT NULL AND l.release_mbid IS NOT NULL AND l.artist_mbids IS NOT NULL)"""
+
+
+def skey(*cols: str) -> str:
+    parts = " || '-' || ".join(f"coalesce(CAST({c} AS VARCHAR), '_dbt_utils_surrogate_key_null_')" for c in cols)
+    return f"md5({parts})"
+
+
+def entity_counts_sql(entity, dim, dim_cols, windows, distinct_of, key, as_of, source="base") -> str:
+    sel = [f"max(d.{c}) AS {c}" for c in dim_cols]
+    sel += [
+        "min(b.listen_recency_days) AS listen_recency_days",
+        "round(avg(b.listen_recency_days)) AS avg_listen_recency_days",
+        "round(sum(b.recency_pct), 5) AS recency_score",
+        "round(exp(sum(ln(b.inv_recency_pct))) * ln(count(*) + 1), 6) AS revisit_score",
+        "count(*) AS lifetime_listen_count",
+    ]
+    sel += [f"count(DISTINCT b.{c}) AS lifetime_{lab}_count" for c, lab in distinct_of]
+    for n in windows:
+        cond = f"b.listen_at_ts_utc >= {as_of} - INTERVAL {n} DAY"
+        sel.append(f"count(CASE WHEN {cond} THEN 1 END) AS last{n}_listen_count")
+        sel += [f"count(DISTINCT CASE WHEN {cond} THEN b.{c} END) AS last{n}_{lab}_count" for c, lab in distinct_of]
+    return f"""
+, t AS (
+  SELECT b.username, b.{entity}, {', '.join(sel)}
+  FROM {source} b JOIN {dim} d ON b.{entity} = d.{entity}
+  GROUP BY b.username, b.{entity})
+SELECT {skey('username', entity)} AS {key}, * FROM t"""
+
+
+_ART_SRC = ", base_a AS (SELECT b.*, UNNEST(b.artist_mbids) AS artist_mbid FROM base b)"
+
+QUERIES["artist_listen_counts"] = q(
+    ["listens", "releases", "artists"],
+    recency_base(LISTEN_AS_OF) + _ART_SRC + entity_counts_sql(
+        "artist_mbid", "artists", ["artist_name"], [14, 30, 60, 90],
+        [("recording_mbid", "recording"), ("release_group_mbid", "release_group")],
+        "user_artist_key", LISTEN_AS_OF, source="base_a"),
+)
+QUERIES["recording_listen_counts"] = q(
+    ["listens", "releases", "recordings"],
+    recency_base(LISTEN_AS_OF) + entity_counts_sql(
+        "recording_mbid", "recordings", ["recording_title", "artist_credit_phrase"],
+        [14, 30, 60, 90, 120, 150], [], "user_recording_key", LISTEN_AS_OF),
+)
+QUERIES["release_listen_counts"] = q(
+    ["listens", "releases"],
+    recency_base(LISTEN_AS_OF) + entity_counts_sql(
+        "release_mbid", "releases", ["release_title", "artist_credit_phrase"],
+        [14, 30, 60, 90], [("recording_mbid", "recording")], "user_release_key", LISTEN_AS_OF),
+)
+QUERIES["release_group_listen_counts"] = q(
+    ["listens", "releases", "release_groups"],
+    recency_base(LISTEN_AS_OF) + entity_counts_sql(
+        "release_group_mbid", "release_groups", ["release_group_title", "artist_credit_phrase"],
+        [14, 30, 60, 90, 120, 150], [("recording_mbid", "recording")], "user_release_group_key", LISTEN_AS_OF),
+)

@@ -1,3 +1,4 @@
 """Import every plan module so its queries register."""
 
 from cadence.plans import playlists  # noqa: F401
+from cadence.plans import models  # noqa: F401
