@@ -26,12 +26,12 @@ ADAPTERS: dict[str, str] = {}
 ADAPTERS["listens"] = f"""
 SELECT md5(CAST(event_id AS VARCHAR)) AS listen_md5,
        'u' || CAST(user_id % 10 AS VARCHAR) AS username,
-       {mbid('r', K + ' % 10')} AS recording_mbid,
+       {mbid('r', K + ' % 12')} AS recording_mbid,
        {mbid('l', K + ' % 25')} AS release_mbid,
        [{mbid('a', K + ' % 12')}, {mbid('a', K + ' % 7')}] AS artist_mbids,
        ts AS listen_at_ts_utc,
        CAST(round(value * 1000) AS BIGINT) AS duration_ms,
-       'Track ' || CAST({K} % 10 AS VARCHAR) AS track_name,
+       'Track ' || CAST({K} % 12 AS VARCHAR) AS track_name,
        'Release ' || CAST({K} % 25 AS VARCHAR) AS release_name,
        'Artist ' || CAST({K} % 12 AS VARCHAR) AS artist_name,
        event_type
@@ -80,6 +80,8 @@ SELECT 'lib/' || CAST(label AS VARCHAR) || '/' || lpad(CAST(vec_id AS VARCHAR),
        'Album ' || CAST(vec_id % 25 % 8 AS VARCHAR) AS album_name,
        'Artist ' || CAST(label AS VARCHAR) AS artist_name,
        CASE WHEN vec_id % 4 <> 0 THEN 'Artist ' || CAST(vec_id % 13 AS VARCHAR) END AS album_artist_name,
+       md5('Track ' || CAST(vec_id % 10 AS VARCHAR) || '-Album ' || CAST(vec_id % 25 % 8 AS VARCHAR)
+           || '-Artist ' || CAST(label AS VARCHAR)) AS recording_md5,
        label, vec_id
 FROM embeddings"""
 
@@ -112,7 +114,28 @@ SELECT strftime(o_orderdate, '%Y%m%d') AS slug,
        CAST(l_quantity AS BIGINT) AS listen_count
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey"""
 
+ADAPTERS["name_map"] = f"""
+SELECT md5('Track ' || CAST(n % 10 AS VARCHAR) || '-Album ' || CAST(n % 8 AS VARCHAR) || '-Artist ' || CAST(n % 10 AS VARCHAR)) AS recording_md5,
+       'Track ' || CAST(n % 10 AS VARCHAR) AS recording_name,
+       'Album ' || CAST(n % 8 AS VARCHAR) AS release_name,
+       'Artist ' || CAST(n % 10 AS VARCHAR) AS artist_name,
+       [{mbid('a', 'n % 10')}, {mbid('a', '(n + 1) % 10')}] AS artist_mbids,
+       CASE WHEN n % 11 = 0 THEN NULL ELSE {mbid('r', '(n + 3) % 10')} END AS recording_mbid,
+       {mbid('l', 'n % 25')} AS release_mbid,
+       {mbid('g', 'n % 8')} AS release_group_mbid,
+       'Album ' || CAST(n % 8 AS VARCHAR) AS mapped_release_name,
+       'Track ' || CAST(n % 10 AS VARCHAR) AS mapped_recording_name,
+       'Artist ' || CAST(n % 10 AS VARCHAR) AS mapped_artist_name
+FROM (SELECT DISTINCT p_partkey % 40 AS n FROM part)
+WHERE n % 7 <> 0"""
+
+ADAPTERS["map_file_recording"] = """
+SELECT f.filepath, m.recording_mbid FROM files f JOIN name_map m USING (recording_md5) WHERE m.recording_mbid IS NOT NULL
+UNION
+SELECT filepath, recording_mbid FROM files WHERE recording_mbid IS NOT NULL"""
+
 DEPS = {
+    "map_file_recording": ["files", "name_map"],
     "feedback": ["listens"],
     "cf_sym": ["cf_scores"],
     "playlist_seeds": ["files"],
@@ -251,3 +274,170 @@ QUERIES["release_group_listen_counts"] = q(
         "release_group_mbid", "release_groups", ["release_group_title", "artist_credit_phrase"],
         [14, 30, 60, 90, 120, 150], [("recording_mbid", "recording")], "user_release_group_key", LISTEN_AS_OF),
 )
+
+
+# --- library / activity --------------------------------------------------------
+
+DEPS["name_map"] = []
+QUERIES["name_map_flatten"] = q(["name_map"], "SELECT * FROM name_map")
+
+QUERIES["file_maps"] = q(["files", "name_map"], """
+SELECT 'recording' AS entity, filepath, recording_mbid AS mbid FROM (
+  SELECT f.filepath, m.recording_mbid FROM files f JOIN name_map m USING (recording_md5) WHERE m.recording_mbid IS NOT NULL
+  UNION SELECT filepath, recording_mbid FROM files WHERE recording_mbid IS NOT NULL)
+UNION ALL
+SELECT 'release', filepath, release_mbid FROM (
+  SELECT f.filepath, m.release_mbid FROM files f JOIN name_map m USING (recording_md5) WHERE m.release_mbid IS NOT NULL
+  UNION SELECT filepath, release_mbid FROM files WHERE release_mbid IS NOT NULL)
+UNION ALL
+SELECT 'release-group', filepath, release_group_mbid FROM (
+  SELECT f.filepath, m.release_group_mbid FROM files f JOIN name_map m USING (recording_md5) WHERE m.release_group_mbid IS NOT NULL
+  UNION SELECT filepath, release_group_mbid FROM files WHERE release_group_mbid IS NOT NULL)
+UNION ALL
+SELECT 'artist', filepath, artist_mbid FROM (
+  SELECT f.filepath, UNNEST(m.artist_mbids) AS artist_mbid FROM files f JOIN name_map m USING (recording_md5)
+  WHERE len(m.artist_mbids) > 0
+  UNION SELECT filepath, artist_mbid FROM files WHERE artist_mbid IS NOT NULL
+  UNION SELECT filepath, album_artist_mbid FROM files WHERE album_artist_mbid IS NOT NULL)
+""")
+
+_DAYS = "CAST(trunc((epoch_us(" + LISTEN_AS_OF + ") - epoch_us(l.listen_at_ts_utc)) / 86400000000.0) AS BIGINT)"
+
+QUERIES["file_listen_counts"] = q(["listens", "files", "map_file_recording"], f"""
+, lfm AS (
+  SELECT l.listen_md5, m.filepath, count(*) OVER (PARTITION BY l.listen_md5) AS k
+  FROM listens l JOIN map_file_recording m USING (recording_mbid)
+  WHERE l.recording_mbid IS NOT NULL)
+, c AS (
+  SELECT m.filepath, l.username,
+         max(f.track_name) AS track_name, max(f.album_name) AS album_name,
+         max(f.artist_name) AS artist_name, max(f.album_artist_name) AS album_artist_name,
+         round(sum(1.0 / m.k), 6) AS lifetime_listen_count,
+         round(sum(CASE WHEN l.listen_at_ts_utc >= {LISTEN_AS_OF} - INTERVAL 7 DAY THEN 1.0 / m.k ELSE 0 END), 6) AS last07_listen_count,
+         round(sum(CASE WHEN l.listen_at_ts_utc >= {LISTEN_AS_OF} - INTERVAL 30 DAY THEN 1.0 / m.k ELSE 0 END), 6) AS last30_listen_count,
+         round(sum(CASE WHEN l.listen_at_ts_utc >= {LISTEN_AS_OF} - INTERVAL 90 DAY THEN 1.0 / m.k ELSE 0 END), 6) AS last90_listen_count,
+         round(sum(exp(-0.1 * {_DAYS})), 5) AS recency_score,
+         round(exp(sum(ln(1 - least(exp(-0.1 * {_DAYS}), exp(-0.1))))) * ln(count(*) + 1), 6) AS revisit_score
+  FROM lfm m JOIN listens l USING (listen_md5) JOIN files f USING (filepath)
+  GROUP BY m.filepath, l.username)
+SELECT {skey('filepath', 'username')} AS filepath_username_id, * FROM c
+""")
+
+QUERIES["file_play_rollup"] = q(["listens", "files", "map_file_recording"], """
+, lfm AS (
+  SELECT l.listen_md5, m.filepath, count(*) OVER (PARTITION BY l.listen_md5) AS k
+  FROM listens l JOIN map_file_recording m USING (recording_mbid)
+  WHERE l.recording_mbid IS NOT NULL)
+SELECT m.filepath, CAST(round(sum(1.0 / m.k)) AS INTEGER) AS listen_count, max(l.listen_at_ts_utc) AS last_listen
+FROM lfm m JOIN listens l USING (listen_md5)
+GROUP BY m.filepath
+HAVING CAST(round(sum(1.0 / m.k)) AS INTEGER) > 0
+""")
+
+QUERIES["daily_stats"] = q(["listens", "files", "map_file_recording"], f"""
+, prop AS (
+  SELECT l.username, CAST(l.listen_at_ts_utc AS DATE) AS listen_date,
+         CAST(count(DISTINCT CASE WHEN m.filepath IS NOT NULL THEN l.listen_md5 END) AS DOUBLE)
+           / count(DISTINCT l.listen_md5) AS pct
+  FROM listens l LEFT JOIN map_file_recording m USING (recording_mbid)
+  WHERE l.recording_mbid IS NOT NULL
+  GROUP BY 1, 2)
+, counts AS (
+  SELECT username, CAST(listen_at_ts_utc AS DATE) AS listen_date,
+         count(DISTINCT listen_md5) AS count_listens,
+         count(DISTINCT recording_mbid) AS count_recordings,
+         count(DISTINCT release_mbid) AS count_releases,
+         round(sum(duration_ms) / 3600000.0, 6) AS sum_listen_hours
+  FROM listens
+  WHERE CAST(listen_at_ts_utc AS DATE) >= CAST({LISTEN_AS_OF} AS DATE) - INTERVAL 90 DAY
+  GROUP BY 1, 2)
+SELECT {skey('c.username', 'c.listen_date')} AS user_date_key, c.*,
+       round(coalesce(p.pct, 0), 6) AS pct_listens_mapped_to_file
+FROM counts c LEFT JOIN prop p USING (username, listen_date)
+""")
+
+SPIKES_CTE = """
+, su AS (
+  SELECT t0.listen_md5, min(t0.username) AS username, min(t0.recording_mbid) AS recording_mbid,
+         min(t0.listen_at_ts_utc) AS period_start_at_utc, count(*) AS next_24h_listen_count
+  FROM listens t0 JOIN listens tn
+    ON t0.recording_mbid = tn.recording_mbid AND t0.recording_mbid IS NOT NULL
+   AND t0.username = tn.username
+   AND t0.listen_at_ts_utc + INTERVAL 1 DAY > tn.listen_at_ts_utc
+   AND t0.listen_at_ts_utc < tn.listen_at_ts_utc
+  GROUP BY t0.listen_md5
+  HAVING count(*) >= 5)
+, excl AS (
+  SELECT tx.listen_md5
+  FROM su t0 JOIN su tx ON t0.username = tx.username AND t0.recording_mbid = tx.recording_mbid
+   AND {window}
+  WHERE CASE WHEN tx.next_24h_listen_count < t0.next_24h_listen_count THEN true
+             WHEN tx.next_24h_listen_count > t0.next_24h_listen_count THEN false
+             ELSE tx.period_start_at_utc > t0.period_start_at_utc END)
+, spikes AS (
+  SELECT su.listen_md5 AS start_listen_md5, l.recording_mbid, su.username, su.period_start_at_utc,
+         su.next_24h_listen_count, l.track_name, l.release_name, l.artist_name
+  FROM su JOIN listens l ON su.listen_md5 = l.listen_md5
+  WHERE su.listen_md5 NOT IN (SELECT listen_md5 FROM excl))"""
+
+SPIKES_GLOBAL = SPIKES_CTE.format(window="true")
+SPIKES_24H = SPIKES_CTE.format(
+    window="abs(epoch_us(tx.period_start_at_utc) - epoch_us(t0.period_start_at_utc)) < 86400000000")
+
+QUERIES["play_spikes"] = q(["listens"], SPIKES_GLOBAL + "\nSELECT * FROM spikes")
+QUERIES["play_spikes_24h"] = q(["listens"], SPIKES_24H + "\nSELECT * FROM spikes")
+
+QUERIES["loved_tracks"] = q(["listens", "feedback", "files", "map_file_recording"], SPIKES_GLOBAL + """
+, loves AS (
+  SELECT username, recording_mbid, feedback_at AS love_at FROM feedback
+  UNION ALL
+  SELECT username, recording_mbid, period_start_at_utc FROM spikes)
+SELECT l.username, m.filepath,
+       array_to_string(list_sort(list_distinct(list(l.recording_mbid))), ',') AS recording_mbids,
+       min(l.love_at) AS love_at
+FROM loves l JOIN map_file_recording m USING (recording_mbid)
+GROUP BY l.username, m.filepath
+""")
+
+QUERIES["unmapped_listens"] = q(["listens", "files", "map_file_recording"], f"""
+SELECT l.* EXCLUDE (artist_mbids)
+FROM listens l
+WHERE l.recording_mbid IS NOT NULL
+  AND l.listen_at_ts_utc > {LISTEN_AS_OF} - INTERVAL 14 DAY
+  AND NOT EXISTS (SELECT 1 FROM map_file_recording m WHERE m.recording_mbid = l.recording_mbid)
+""")
+
+REVISIT_AS_OF = "TIMESTAMP '2024-05-15 00:00:00'"
+
+QUERIES["revisit_releases"] = q(["listens", "releases", "release_groups"],
+    recency_base(REVISIT_AS_OF) + entity_counts_sql(
+        "release_group_mbid", "release_groups", ["release_group_title", "artist_credit_phrase"],
+        [14, 30, 60, 90, 120, 150], [("recording_mbid", "recording")], "user_release_group_key", REVISIT_AS_OF)
+    .replace("SELECT " + skey('username', 'release_group_mbid') + " AS user_release_group_key, * FROM t", """
+SELECT release_group_mbid, release_group_title, artist_credit_phrase AS artist_name, username, revisit_score,
+       lifetime_recording_count AS num_recordings, last150_listen_count - last90_listen_count AS listens_old,
+       last90_listen_count AS listens_recent
+FROM t
+WHERE lifetime_recording_count BETWEEN 4 AND 20 AND last30_listen_count < 5
+  AND (last150_listen_count - last90_listen_count) >= 5
+  AND (last150_listen_count - last90_listen_count) >= lifetime_recording_count * 1.5
+  AND revisit_score > 1.05"""))
+
+QUERIES["revisit_tracks"] = q(["listens", "releases", "recordings", "files", "map_file_recording"],
+    recency_base(REVISIT_AS_OF) + entity_counts_sql(
+        "recording_mbid", "recordings", ["recording_title", "artist_credit_phrase"],
+        [14, 30, 60, 90, 120, 150], [], "user_recording_key", REVISIT_AS_OF)
+    .replace("SELECT " + skey('username', 'recording_mbid') + " AS user_recording_key, * FROM t", """
+, recs AS (
+  SELECT recording_mbid, recording_title, artist_credit_phrase AS artist_name, username, revisit_score,
+         last150_listen_count - last90_listen_count AS listens_old, last90_listen_count AS listens_recent
+  FROM t
+  WHERE last90_listen_count <= 2 AND last14_listen_count = 0
+    AND (last150_listen_count - last90_listen_count) >= 2 AND revisit_score > 1.05)
+SELECT recording_mbid, username, filepath, recording_title, artist_name, artist_mbid, album_artist_mbid,
+       revisit_score, listens_old, listens_recent
+FROM (SELECT r.*, f.filepath, f.artist_mbid, f.album_artist_mbid,
+             row_number() OVER (PARTITION BY r.recording_mbid, r.username ORDER BY md5(f.filepath), f.filepath) AS rn
+      FROM recs r JOIN map_file_recording m USING (recording_mbid) JOIN files f USING (filepath)
+      WHERE f.artist_mbid IS NOT NULL)
+WHERE rn = 1"""))

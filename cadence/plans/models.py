@@ -41,3 +41,84 @@ def q_release_group_listen_counts(spark, sf_dir):
     return round_doubles(
         lc.release_group_listen_counts(grain(spark, sf_dir), td.release_groups(spark, sf_dir), AS_OF)
     )
+
+
+# --- library maps and activity models ----------------------------------------
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from cadence.operators import spikes as sp  # noqa: E402
+from cadence.plans import activity as act  # noqa: E402
+from cadence.plans import library as lib  # noqa: E402
+
+
+def name_map(spark, sf_dir):
+    return lib.name_map(td.raw_name_map(spark, sf_dir))
+
+
+def file_map(spark, sf_dir):
+    return lib.map_file_recording(td.files(spark, sf_dir), name_map(spark, sf_dir))
+
+
+@register("name_map_flatten")
+def q_name_map_flatten(spark, sf_dir):
+    return name_map(spark, sf_dir)
+
+
+@register("file_maps")
+def q_file_maps(spark, sf_dir):
+    return lib.file_maps_long(td.files(spark, sf_dir), name_map(spark, sf_dir))
+
+
+@register("file_listen_counts")
+def q_file_listen_counts(spark, sf_dir):
+    return round_doubles(
+        act.file_listen_counts(td.listens(spark, sf_dir), file_map(spark, sf_dir), td.files(spark, sf_dir), AS_OF)
+    )
+
+
+@register("file_play_rollup")
+def q_file_play_rollup(spark, sf_dir):
+    return act.file_play_rollup(td.listens(spark, sf_dir), file_map(spark, sf_dir))
+
+
+@register("daily_stats")
+def q_daily_stats(spark, sf_dir):
+    return round_doubles(act.daily_user_listen_stats(td.listens(spark, sf_dir), file_map(spark, sf_dir), AS_OF))
+
+
+@register("play_spikes")
+def q_play_spikes(spark, sf_dir):
+    return sp.track_play_spikes(td.listens(spark, sf_dir))
+
+
+@register("play_spikes_24h")
+def q_play_spikes_24h(spark, sf_dir):
+    return sp.track_play_spikes(td.listens(spark, sf_dir), suppression="24h")
+
+
+@register("loved_tracks")
+def q_loved_tracks(spark, sf_dir):
+    lt = act.loved_tracks(
+        td.feedback(spark, sf_dir), sp.track_play_spikes(td.listens(spark, sf_dir)), file_map(spark, sf_dir)
+    )
+    return lt.withColumn("recording_mbids", F.array_join("recording_mbids", ","))
+
+
+@register("unmapped_listens")
+def q_unmapped_listens(spark, sf_dir):
+    return act.unmapped_listens(td.listens(spark, sf_dir), file_map(spark, sf_dir), AS_OF).drop("artist_mbids")
+
+
+@register("revisit_releases")
+def q_revisit_releases(spark, sf_dir):
+    g = grain(spark, sf_dir, REVISIT_AS_OF)
+    rg = lc.release_group_listen_counts(g, td.release_groups(spark, sf_dir), REVISIT_AS_OF)
+    return round_doubles(act.revisit_releases(rg))
+
+
+@register("revisit_tracks")
+def q_revisit_tracks(spark, sf_dir):
+    g = grain(spark, sf_dir, REVISIT_AS_OF)
+    rc = lc.recording_listen_counts(g, td.recordings(spark, sf_dir), REVISIT_AS_OF)
+    return round_doubles(act.revisit_tracks(rc, file_map(spark, sf_dir), td.files(spark, sf_dir)))

@@ -52,12 +52,12 @@ def listens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.md5(F.col("event_id").cast("string")).alias("listen_md5"),
         F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string")).alias("username"),
-        mbid("r", k % 10).alias("recording_mbid"),
+        mbid("r", k % 12).alias("recording_mbid"),
         mbid("l", k % 25).alias("release_mbid"),
         F.array(mbid("a", k % 12), mbid("a", k % 7)).alias("artist_mbids"),
         F.col("ts").alias("listen_at_ts_utc"),
         F.round(F.col("value") * 1000).cast("long").alias("duration_ms"),
-        F.concat(F.lit("Track "), (k % 10).cast("string")).alias("track_name"),
+        F.concat(F.lit("Track "), (k % 12).cast("string")).alias("track_name"),
         F.concat(F.lit("Release "), (k % 25).cast("string")).alias("release_name"),
         F.concat(F.lit("Artist "), (k % 12).cast("string")).alias("artist_name"),
         F.col("event_type"),
@@ -71,9 +71,9 @@ def raw_listens(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = _k()
     doc = F.struct(
         F.unix_seconds(F.col("ts").cast("timestamp")).alias("listened_at"),
-        F.md5(F.concat(F.lit("msid"), (k % 10).cast("string"))).alias("recording_msid"),
+        F.md5(F.concat(F.lit("msid"), (k % 12).cast("string"))).alias("recording_msid"),
         F.struct(
-            F.concat(F.lit("Track "), (k % 10).cast("string")).alias("track_name"),
+            F.concat(F.lit("Track "), (k % 12).cast("string")).alias("track_name"),
             F.concat(F.lit("Artist "), (k % 12).cast("string")).alias("artist_name"),
             F.concat(F.lit("Release "), (k % 25).cast("string")).alias("release_name"),
             F.struct(
@@ -81,7 +81,7 @@ def raw_listens(spark: SparkSession, sf_dir: str) -> DataFrame:
                 ((k % 12) + 1).cast("string").alias("tracknumber"),
             ).alias("additional_info"),
             F.struct(
-                mbid("r", k % 10).alias("recording_mbid"),
+                mbid("r", k % 12).alias("recording_mbid"),
                 mbid("l", k % 25).alias("release_mbid"),
                 F.array(mbid("a", k % 12), mbid("a", k % 7)).alias("artist_mbids"),
             ).alias("mbid_mapping"),
@@ -170,6 +170,9 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Album "), (v % 25 % 8).cast("string")).alias("album_name"),
         F.concat(F.lit("Artist "), F.col("label").cast("string")).alias("artist_name"),
         F.when(v % 4 != 0, F.concat(F.lit("Artist "), (v % 13).cast("string"))).alias("album_artist_name"),
+        F.md5(F.concat_ws("-", F.concat(F.lit("Track "), (v % 10).cast("string")),
+                          F.concat(F.lit("Album "), (v % 25 % 8).cast("string")),
+                          F.concat(F.lit("Artist "), F.col("label").cast("string")))).alias("recording_md5"),
         F.col("label"),
         v.alias("vec_id"),
     )
@@ -225,3 +228,35 @@ def dump_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         mbid("s", F.col("l_suppkey")).alias("artist_mbid"),
         F.col("l_quantity").cast("long").alias("listen_count"),
     )
+
+
+def raw_name_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed name-lookup results keyed by recording_md5 (one per
+    p_partkey % 40: title 'Track n%10', album 'Album n%8', artist 'Artist n%10').
+    Every 7th lookup failed; every 11th returned a malformed recording id."""
+    n = F.col("n")
+    title = F.concat(F.lit("Track "), (n % 10).cast("string"))
+    album = F.concat(F.lit("Album "), (n % 8).cast("string"))
+    artist = F.concat(F.lit("Artist "), (n % 10).cast("string"))
+    payload = F.struct(
+        F.when(n % 11 == 0, F.lit("NOT-A-UUID")).otherwise(mbid("r", (n + 3) % 10)).alias("recording_mbid"),
+        mbid("l", n % 25).alias("release_mbid"),
+        F.array(mbid("a", n % 10), mbid("a", (n + 1) % 10)).alias("artist_mbids"),
+        F.struct(F.struct(mbid("g", n % 8).alias("release_group_mbid")).alias("release")).alias("metadata"),
+        title.alias("recording_name"),
+        album.alias("release_name"),
+        artist.alias("artist_credit_name"),
+    )
+    return (
+        table(spark, sf_dir, "part")
+        .select((F.col("p_partkey") % 40).alias("n"))
+        .distinct()
+        .select(
+            F.md5(F.concat_ws("-", title, album, artist)).alias("recording_md5"),
+            title.alias("recording_name"),
+            album.alias("release_name"),
+            artist.alias("artist_name"),
+            (n % 7 != 0).alias("success"),
+            F.when(n % 7 != 0, F.to_json(payload)).otherwise(F.lit('{"error": "not found"}')).alias("payload_json"),
+        )
+    )
