@@ -441,3 +441,36 @@ FROM (SELECT r.*, f.filepath, f.artist_mbid, f.album_artist_mbid,
       FROM recs r JOIN map_file_recording m USING (recording_mbid) JOIN files f USING (filepath)
       WHERE f.artist_mbid IS NOT NULL)
 WHERE rn = 1"""))
+
+
+# --- playlists with listen weights and recency penalties -----------------------
+
+FILE_COUNTS_CTE = f"""
+, lfm AS (
+  SELECT l.listen_md5, m.filepath, count(*) OVER (PARTITION BY l.listen_md5) AS k
+  FROM listens l JOIN map_file_recording m USING (recording_mbid)
+  WHERE l.recording_mbid IS NOT NULL)
+, fc AS (
+  SELECT m.filepath, l.username,
+         sum(1.0 / m.k) AS lifetime_listen_count,
+         sum(CASE WHEN l.listen_at_ts_utc >= {LISTEN_AS_OF} - INTERVAL 30 DAY THEN 1.0 / m.k ELSE 0 END) AS last30_listen_count,
+         round(sum(exp(-0.1 * {_DAYS})), 5) AS recency_score
+  FROM lfm m JOIN listens l USING (listen_md5)
+  GROUP BY m.filepath, l.username)"""
+
+QUERIES["knn_predicate_weights"] = q(
+    ["listens", "files", "map_file_recording", "cf_sym"],
+    FILE_COUNTS_CTE + """
+, seeds_raw AS (""" + ADAPTERS["playlist_seeds"] + """)
+, playlist_seeds AS (
+  SELECT s.playlist_id, s.username, s.filepath, ln(2 + greatest(coalesce(fc.lifetime_listen_count, 0), 0)) AS weight
+  FROM seeds_raw s LEFT JOIN fc ON fc.username = s.username AND fc.filepath = s.filepath)
+, recent AS (
+  SELECT username, filepath, recency_score FROM (
+    SELECT username, filepath, recency_score,
+           row_number() OVER (PARTITION BY username ORDER BY recency_score DESC, filepath) AS rn
+    FROM fc WHERE last30_listen_count > 0 AND recency_score IS NOT NULL) WHERE rn <= 1000)
+, cw AS (
+  SELECT o.playlist_id, r.filepath, 1.0 / (1.0 + r.recency_score * 0.5) AS weight
+  FROM (SELECT DISTINCT playlist_id, username FROM playlist_seeds) o JOIN recent r USING (username))"""
+    + KNN_BODY.format(min_distance=0.5, cw_table="cw", limit=2000))

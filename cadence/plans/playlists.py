@@ -35,3 +35,97 @@ def knn_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = td.playlist_seeds(spark, sf_dir)
     cf = symmetrise(td.cf_scores(spark, sf_dir))
     return _knn_output(weighted_knn(lib, seeds, cf))
+
+
+# --- playlist composition ------------------------------------------------------
+
+from cadence.functions.scalars import listen_weight, recency_weight  # noqa: E402
+from cadence.operators.quota import greedy_quota  # noqa: E402
+
+RECENT_LIMIT = 1000
+RECENCY_FAC = 0.5
+
+
+def seed_weights_from_listens(seeds: DataFrame, file_counts: DataFrame) -> DataFrame:
+    """Seed weight ln(2 + lifetime listens of the playlist owner); missing -> 0 listens."""
+    fc = file_counts.select("username", "filepath", "lifetime_listen_count")
+    return seeds.join(fc, ["username", "filepath"], "left").select(
+        "playlist_id", "username", "filepath", listen_weight("lifetime_listen_count").alias("weight")
+    )
+
+
+def recently_played(file_counts: DataFrame, limit: int = RECENT_LIMIT) -> DataFrame:
+    """Per user: files played in the last 30 days, most recent first, top ``limit``."""
+    w = Window.partitionBy("username").orderBy(F.desc("recency_score"), "filepath")
+    return (
+        file_counts.where((F.col("last30_listen_count") > 0) & F.col("recency_score").isNotNull())
+        .withColumn("_rn", F.row_number().over(w))
+        .where(F.col("_rn") <= limit)
+        .select("username", "filepath", "recency_score")
+    )
+
+
+def recency_candidate_weights(playlists: DataFrame, file_counts: DataFrame, fac: float = RECENCY_FAC,
+                              limit: int = RECENT_LIMIT) -> DataFrame:
+    """(playlist_id, filepath, weight = 1 / (1 + recency * fac)) for the owner's recent files."""
+    owners = playlists.select("playlist_id", "username").distinct()
+    return owners.join(recently_played(file_counts, limit), "username").select(
+        "playlist_id", "filepath", recency_weight("recency_score", fac).alias("weight")
+    )
+
+
+def _file_counts(spark, sf_dir):
+    from cadence.plans import activity as act
+    from cadence.plans.models import AS_OF, file_map
+
+    return act.file_listen_counts(td.listens(spark, sf_dir), file_map(spark, sf_dir), td.files(spark, sf_dir), AS_OF)
+
+
+@register("knn_predicate_weights")
+def knn_predicate_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listen-weighted seeds, candidates penalised by the owner's recent plays."""
+    lib = td.files(spark, sf_dir)
+    fc = _file_counts(spark, sf_dir).cache()
+    seeds = seed_weights_from_listens(td.playlist_seeds(spark, sf_dir), fc)
+    cw = recency_candidate_weights(seeds, fc)
+    cf = symmetrise(td.cf_scores(spark, sf_dir))
+    return _knn_output(weighted_knn(lib, seeds, cf, cw))
+
+
+def playlist_from_files(lib: DataFrame, seeds: DataFrame, cf: DataFrame, file_counts: DataFrame, *,
+                        limit: int = 20, limit_per_artist: int = 2, seed_count: int = 1,
+                        recency_fac: float = RECENCY_FAC) -> DataFrame:
+    """Seeds (``seed_count`` sampled by hash) first, then the greedy
+    quota-limited nearest tracks; 0-based order_index per playlist."""
+    sw = seed_weights_from_listens(seeds, file_counts)
+    cw = recency_candidate_weights(sw, file_counts, recency_fac) if recency_fac > 0 else None
+    near = weighted_knn(lib, sw, cf, cw)
+    picked = greedy_quota(near, limit=limit - seed_count, quota=limit_per_artist,
+                          seed_paths=seeds.select("playlist_id", "filepath"), out_col="_rank")
+    ws = Window.partitionBy("playlist_id").orderBy(F.md5(F.concat("playlist_id", "filepath")), "filepath")
+    chosen = (
+        seeds.withColumn("_rn", F.row_number().over(ws))
+        .where(F.col("_rn") <= seed_count)
+        .join(lib.select("filepath", "recording_mbid", "release_mbid", "release_group_mbid", "artist_mbid",
+                         F.coalesce("album_artist_mbid", "artist_mbid").alias("album_artist_mbid"),
+                         F.floor("track_length_seconds").cast("int").alias("track_length_seconds")),
+              "filepath")
+        .select("playlist_id", "filepath", "recording_mbid", "release_mbid", "release_group_mbid",
+                "artist_mbid", "album_artist_mbid", "track_length_seconds",
+                F.lit(0.0).alias("match_distance"), F.lit(True).alias("is_seed"),
+                (F.col("_rn") - 1).alias("_rank"))
+    )
+    rest = picked.select("playlist_id", "filepath", "recording_mbid", "release_mbid", "release_group_mbid",
+                         "artist_mbid", "album_artist_mbid", "track_length_seconds",
+                         F.col("distance").alias("match_distance"), F.lit(False).alias("is_seed"),
+                         (F.col("_rank") + seed_count).alias("_rank"))
+    w = Window.partitionBy("playlist_id").orderBy("_rank")
+    return chosen.unionByName(rest).withColumn("order_index", F.row_number().over(w) - 1).drop("_rank")
+
+
+@register("playlist_greedy")
+def playlist_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lib = td.files(spark, sf_dir)
+    fc = _file_counts(spark, sf_dir).cache()
+    out = playlist_from_files(lib, td.playlist_seeds(spark, sf_dir), symmetrise(td.cf_scores(spark, sf_dir)), fc)
+    return out.withColumn("match_distance", F.round("match_distance", 6))
