@@ -43,15 +43,16 @@ FROM listens WHERE event_type = 'purchase'"""
 
 ADAPTERS["releases"] = f"""
 SELECT DISTINCT {mbid('l', 'p_partkey % 25')} AS release_mbid,
-       {mbid('g', 'p_partkey % 25 % 8')} AS release_group_mbid,
+       {mbid('g', 'p_partkey % 25 % 12')} AS release_group_mbid,
        'Release ' || CAST(p_partkey % 25 AS VARCHAR) AS release_title,
        'Artist ' || CAST(p_partkey % 25 % 12 AS VARCHAR) AS artist_credit_phrase
 FROM part"""
 
 ADAPTERS["release_groups"] = f"""
-SELECT DISTINCT {mbid('g', 'p_partkey % 8')} AS release_group_mbid,
-       'Album ' || CAST(p_partkey % 8 AS VARCHAR) AS release_group_title,
-       'Artist ' || CAST(p_partkey % 8 % 12 AS VARCHAR) AS artist_credit_phrase
+SELECT DISTINCT {mbid('g', 'p_partkey % 12')} AS release_group_mbid,
+       'Album ' || CAST(p_partkey % 12 AS VARCHAR) AS release_group_title,
+       'Artist ' || CAST(p_partkey % 12 % 12 AS VARCHAR) AS artist_credit_phrase,
+       CAST(1990 + p_partkey % 12 AS INTEGER) AS release_group_year
 FROM part"""
 
 ADAPTERS["recordings"] = f"""
@@ -60,11 +61,23 @@ SELECT DISTINCT {mbid('r', 'p_partkey % 10')} AS recording_mbid,
        'Artist ' || CAST(p_partkey % 10 % 12 AS VARCHAR) AS artist_credit_phrase
 FROM part"""
 
-ADAPTERS["artists"] = f"""
-SELECT DISTINCT {mbid('a', 'p_partkey % 11')} AS artist_mbid,
-       'Artist ' || CAST(p_partkey % 11 AS VARCHAR) AS artist_name
+ADAPTERS["artist_ann"] = f"""
+SELECT {mbid('a', 'p_partkey % 11')} AS artist_mbid,
+       'Artist ' || CAST(p_partkey % 11 AS VARCHAR) AS artist_name,
+       lower(p_type) AS tag,
+       CASE WHEN p_size > 45 THEN NULL ELSE 1990 + p_size % 25 END AS year
 FROM part"""
 
+ADAPTERS["artists"] = """
+SELECT b.artist_mbid, b.artist_name, t.tags_string,
+       CASE WHEN b.y0 IS NULL THEN NULL WHEN b.y0 = b.y1 THEN CAST(b.y0 AS VARCHAR)
+            ELSE CAST(b.y0 AS VARCHAR) || '-' || CAST(b.y1 AS VARCHAR) END AS active_years
+FROM (SELECT artist_mbid, max(artist_name) AS artist_name, min(year) AS y0, max(year) AS y1
+      FROM artist_ann GROUP BY 1) b
+LEFT JOIN (SELECT artist_mbid, string_agg(tag, ', ' ORDER BY c DESC, tag) AS tags_string
+           FROM (SELECT artist_mbid, tag, count(*) AS c FROM artist_ann GROUP BY 1, 2) GROUP BY 1) t
+USING (artist_mbid)"""
+
 ADAPTERS["files"] = f"""
 SELECT 'lib/' || CAST(label AS VARCHAR) || '/' || lpad(CAST(vec_id AS VARCHAR), 6, '0') || '.flac' AS filepath,
        CAST(embedding AS DOUBLE[]) AS embedding,
@@ -135,6 +148,7 @@ UNION
 SELECT filepath, recording_mbid FROM files WHERE recording_mbid IS NOT NULL"""
 
 DEPS = {
+    "artists": ["artist_ann"],
     "map_file_recording": ["files", "name_map"],
     "feedback": ["listens"],
     "cf_sym": ["cf_scores"],
@@ -153,6 +167,11 @@ def with_views(names: list[str], body: str) -> str:
 
     for n in names:
         add(n)
+    if not order:
+        b = body.lstrip()
+        if b.startswith(","):
+            return "WITH " + b[1:].lstrip()
+        return body
     ctes = ",\n".join(f"{n} AS ({ADAPTERS[n]})" for n in order)
     if body.lstrip().startswith(","):
         return f"WITH {ctes}\n{body}"
@@ -474,3 +493,138 @@ QUERIES["knn_predicate_weights"] = q(
   SELECT o.playlist_id, r.filepath, 1.0 / (1.0 + r.recency_score * 0.5) AS weight
   FROM (SELECT DISTINCT playlist_id, username FROM playlist_seeds) o JOIN recent r USING (username))"""
     + KNN_BODY.format(min_distance=0.5, cw_table="cw", limit=2000))
+
+
+# --- flatten / scalar functions / recommendations --------------------------------
+
+QUERIES["listen_flatten"] = q([], f"""
+SELECT md5(CAST(event_id AS VARCHAR)) AS listen_md5,
+       'u' || CAST(user_id % 10 AS VARCHAR) AS username,
+       make_timestamp(CAST(floor(epoch(ts)) AS BIGINT) * 1000000) AS listen_at_ts_utc,
+       NULL::VARCHAR AS recording_msid,
+       'Track ' || CAST({K} % 12 AS VARCHAR) AS track_name,
+       'Artist ' || CAST({K} % 12 AS VARCHAR) AS artist_name,
+       'Release ' || CAST({K} % 25 AS VARCHAR) AS release_name,
+       {mbid('l', K + ' % 25')} AS release_mbid,
+       {mbid('r', K + ' % 12')} AS recording_mbid,
+       {mbid('a', K + ' % 12')} || ',' || {mbid('a', K + ' % 7')} AS artist_mbids,
+       NULL::VARCHAR AS caa_release_mbid,
+       CAST(round(value * 1000) AS INTEGER) AS duration_ms,
+       CAST({K} % 12 + 1 AS INTEGER) AS tracknumber,
+       NULL::TIMESTAMP AS _lb_insert_ts_utc
+FROM events""")
+
+_CANON = mbid('o', 'o_orderkey')
+_RAW = f"""CASE WHEN o_orderkey % 5 = 0 THEN {_CANON}
+            WHEN o_orderkey % 5 = 1 THEN upper({_CANON})
+            WHEN o_orderkey % 5 = 2 THEN replace({_CANON}, '-', '')
+            WHEN o_orderkey % 5 = 3 THEN 'urn:uuid:' || {_CANON}
+            ELSE '{{' || substr({_CANON}, 1, 30) || '}}' END"""
+
+QUERIES["uuid_year_casts"] = q([], f"""
+, t AS (
+  SELECT o_orderkey, {_RAW} AS raw_id,
+         CASE WHEN o_orderkey % 7 = 0 THEN '19.5-01-01' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date_text
+  FROM orders)
+, n AS (
+  SELECT *, regexp_replace(regexp_replace(lower(trim(raw_id)), '^urn:uuid:', ''), '^\\{{(.*)\\}}$', '\\1') AS s
+  FROM t)
+SELECT o_orderkey, raw_id,
+       CASE WHEN regexp_full_match(raw_id, '[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}') THEN raw_id END AS strict_uuid,
+       CASE WHEN regexp_full_match(s, '[0-9a-f]{{32}}|[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}')
+            THEN regexp_replace(replace(s, '-', ''), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') END AS lenient_uuid,
+       date_text,
+       CASE WHEN regexp_full_match(substr(date_text, 1, 4), '[0-9]{{4}}') THEN CAST(substr(date_text, 1, 4) AS INTEGER) END AS year
+FROM n""")
+
+QUERIES["surrogate_keys"] = q([], f"""
+SELECT l_orderkey, l_linenumber,
+       md5(CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' ||
+           coalesce(CASE WHEN l_linenumber % 3 <> 0 THEN l_returnflag END, '_dbt_utils_surrogate_key_null_')) AS surrogate_key,
+       md5(CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR)) AS pair_md5,
+       md5(lower(trim(' Track ' || CAST(l_partkey AS VARCHAR))) || '-' || lower(trim(l_returnflag)) || '-' || lower(trim(l_linestatus))) AS recording_md5,
+       md5('["' || l_returnflag || '", ' || CAST(l_orderkey AS VARCHAR) || ']') AS list_hash
+FROM lineitem""")
+
+QUERIES["cf_symmetrise"] = q(["cf_sym"], "SELECT * FROM cf_sym")
+QUERIES["dim_flatten"] = q(["artists"], "SELECT * FROM artists")
+
+SIMILAR_CTE = f"""
+, rows_ AS (
+  SELECT md5(CAST(o_orderkey AS VARCHAR)) AS payload_id,
+         CASE o_orderkey % 3 WHEN 0 THEN {mbid('a', 'l_suppkey % 25')}
+                             WHEN 1 THEN {mbid('l', 'l_partkey % 25')}
+                             ELSE {mbid('r', 'l_partkey % 12')} END AS mbid,
+         CAST(l_quantity AS BIGINT) AS lc
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
+, sua AS (
+  SELECT {skey('payload_id', 'mbid')} AS similar_user_activity_id, mbid, listen_count,
+         'u' || CAST(o_custkey % 10 AS VARCHAR) AS from_username, 'c' || CAST(o_custkey AS VARCHAR) AS to_username,
+         (o_totalprice % 100) / 100.0 AS user_similarity,
+         CASE WHEN o_orderkey % 2 = 0 THEN 'month' ELSE 'year' END AS time_range,
+         make_timestamp(epoch_us(o_orderdate)) AS activity_from_ts,
+         make_timestamp(epoch_us(o_orderdate) + 2592000000000) AS activity_to_ts,
+         CASE o_orderkey % 3 WHEN 0 THEN 'artist' WHEN 1 THEN 'release' ELSE 'recording' END AS entity,
+         payload_id AS ingest_payload_id
+  FROM (SELECT payload_id, mbid, sum(lc) AS listen_count FROM rows_ GROUP BY 1, 2) x
+  JOIN orders o ON md5(CAST(o.o_orderkey AS VARCHAR)) = x.payload_id
+  WHERE mbid IS NOT NULL)"""
+
+QUERIES["similar_activity"] = q([], (SIMILAR_CTE + """
+SELECT similar_user_activity_id, mbid, listen_count, from_username, to_username,
+       round(user_similarity, 6) AS user_similarity, time_range, activity_from_ts, activity_to_ts, entity, ingest_payload_id
+FROM sua"""))
+
+QUERIES["release_additions"] = q(["files", "name_map", "releases", "release_groups"], SIMILAR_CTE + """
+, su AS (
+  SELECT sua.from_username AS username, sua.time_range, r.release_group_mbid,
+         sum(sua.user_similarity * log10(sua.listen_count)) AS score
+  FROM sua JOIN releases r ON sua.mbid = r.release_mbid
+  WHERE sua.entity = 'release'
+  GROUP BY 1, 2, 3)
+, known AS (
+  SELECT DISTINCT release_group_mbid FROM (
+    SELECT m.release_group_mbid FROM files f JOIN name_map m USING (recording_md5) WHERE m.release_group_mbid IS NOT NULL
+    UNION SELECT release_group_mbid FROM files WHERE release_group_mbid IS NOT NULL))
+, scores AS (
+  SELECT su.*, row_number() OVER (PARTITION BY username, time_range ORDER BY score DESC, release_group_mbid) AS rank
+  FROM su WHERE release_group_mbid NOT IN (SELECT release_group_mbid FROM known))
+SELECT s.username, s.time_range, CAST(s.rank AS INTEGER) AS rank, s.release_group_mbid, g.artist_credit_phrase,
+       g.release_group_title, g.release_group_year, round(s.score, 6) AS score
+FROM scores s JOIN release_groups g USING (release_group_mbid)
+WHERE s.rank <= 200""")
+
+QUERIES["artist_recommends"] = q(["listens", "releases", "artists", "files", "name_map", "cf_sym"],
+    recency_base(LISTEN_AS_OF) + _ART_SRC + """
+, ac AS (
+  SELECT b.username, b.artist_mbid, count(*) AS lifetime_listen_count
+  FROM base_a b JOIN artists d ON b.artist_mbid = d.artist_mbid
+  GROUP BY 1, 2)
+, top_n AS (
+  SELECT artist_mbid, ln(lifetime_listen_count) AS log_listens FROM ac
+  WHERE lifetime_listen_count > 50
+  ORDER BY lifetime_listen_count DESC, username, artist_mbid LIMIT 500)
+, fa AS (
+  SELECT f.filepath, UNNEST(m.artist_mbids) AS artist_mbid FROM files f JOIN name_map m USING (recording_md5)
+  WHERE len(m.artist_mbids) > 0
+  UNION SELECT filepath, artist_mbid FROM files WHERE artist_mbid IS NOT NULL
+  UNION SELECT filepath, album_artist_mbid FROM files WHERE album_artist_mbid IS NOT NULL)
+, in_library AS (SELECT artist_mbid FROM fa GROUP BY 1 HAVING count(*) > 6)
+, scores AS (
+  SELECT c.artist_mbid_a, c.artist_mbid_b, exp(c.score_value - 0.35) AS score_value, t.log_listens
+  FROM cf_sym c JOIN top_n t ON c.artist_mbid_a = t.artist_mbid
+  LEFT JOIN in_library l ON c.artist_mbid_b = l.artist_mbid
+  WHERE l.artist_mbid IS NULL)
+, best AS (
+  SELECT artist_mbid_b, artist_mbid_a, score_value FROM (
+    SELECT s.*, row_number() OVER (PARTITION BY s.artist_mbid_b ORDER BY s.score_value DESC, s.artist_mbid_a DESC) AS rn
+    FROM scores s JOIN in_library l ON s.artist_mbid_a = l.artist_mbid) WHERE rn = 1)
+, agg AS (
+  SELECT artist_mbid_b, sum(score_value * log_listens) AS total_score, max(score_value) AS max_score
+  FROM scores GROUP BY 1)
+SELECT agg.artist_mbid_b AS artist_mbid, b.artist_name, a.artist_name AS most_similar_artist_name,
+       b.tags_string, b.active_years, round(agg.total_score, 6) AS total_score, round(agg.max_score, 6) AS max_score,
+       round(best.score_value, 6) AS max_similar_artist_score
+FROM agg JOIN best USING (artist_mbid_b)
+LEFT JOIN artists b ON agg.artist_mbid_b = b.artist_mbid
+LEFT JOIN artists a ON best.artist_mbid_a = a.artist_mbid""")

@@ -2,3 +2,4 @@
 
 from cadence.plans import playlists  # noqa: F401
 from cadence.plans import models  # noqa: F401
+from cadence.plans import playlists as _p2  # noqa: F401

@@ -122,3 +122,93 @@ def q_revisit_tracks(spark, sf_dir):
     g = grain(spark, sf_dir, REVISIT_AS_OF)
     rc = lc.recording_listen_counts(g, td.recordings(spark, sf_dir), REVISIT_AS_OF)
     return round_doubles(act.revisit_tracks(rc, file_map(spark, sf_dir), td.files(spark, sf_dir)))
+
+
+# --- ingest flatten, scalar functions, recommendations -------------------------
+
+from cadence.functions import scalars as S  # noqa: E402
+from cadence.operators.sets import symmetrise  # noqa: E402
+from cadence.plans import ingest  # noqa: E402
+from cadence.plans import recommend as rec  # noqa: E402
+
+
+@register("listen_flatten")
+def q_listen_flatten(spark, sf_dir):
+    df = ingest.flatten_listens(td.raw_listens(spark, sf_dir))
+    return df.withColumn("artist_mbids", F.array_join("artist_mbids", ","))
+
+
+@register("uuid_year_casts")
+def q_uuid_year_casts(spark, sf_dir):
+    o = td.table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    canon = td.mbid("o", k)
+    raw = (
+        F.when(k % 5 == 0, canon)
+        .when(k % 5 == 1, F.upper(canon))
+        .when(k % 5 == 2, F.regexp_replace(canon, "-", ""))
+        .when(k % 5 == 3, F.concat(F.lit("urn:uuid:"), canon))
+        .otherwise(F.concat(F.lit("{"), F.substring(canon, 1, 30), F.lit("}")))
+    )
+    date_txt = F.when(k % 7 == 0, F.lit("19.5-01-01")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return o.select(
+        k.alias("o_orderkey"),
+        raw.alias("raw_id"),
+        S.try_cast_uuid(raw).alias("strict_uuid"),
+        S.try_uuid(raw).alias("lenient_uuid"),
+        date_txt.alias("date_text"),
+        S.extract_year(date_txt).alias("year"),
+    )
+
+
+@register("surrogate_keys")
+def q_surrogate_keys(spark, sf_dir):
+    li = td.table(spark, sf_dir, "lineitem")
+    maybe_null = F.when(F.col("l_linenumber") % 3 != 0, F.col("l_returnflag"))
+    return li.select(
+        "l_orderkey",
+        "l_linenumber",
+        S.surrogate_key("l_orderkey", "l_linenumber", maybe_null).alias("surrogate_key"),
+        S.md5_join("l_orderkey", "l_suppkey").alias("pair_md5"),
+        S.recording_md5(F.concat(F.lit(" Track "), F.col("l_partkey").cast("string")), F.col("l_returnflag"),
+                        F.col("l_linestatus")).alias("recording_md5"),
+        S.json_list_hash(F.col("l_returnflag"), (F.col("l_orderkey"), "num")).alias("list_hash"),
+    )
+
+
+@register("cf_symmetrise")
+def q_cf_symmetrise(spark, sf_dir):
+    return symmetrise(td.cf_scores(spark, sf_dir))
+
+
+@register("dim_flatten")
+def q_dim_flatten(spark, sf_dir):
+    return td.artists(spark, sf_dir)
+
+
+def similar_activity(spark, sf_dir):
+    return rec.similar_user_activity(td.raw_similar_activity(spark, sf_dir))
+
+
+@register("similar_activity")
+def q_similar_activity(spark, sf_dir):
+    return round_doubles(similar_activity(spark, sf_dir))
+
+
+@register("release_additions")
+def q_release_additions(spark, sf_dir):
+    files, nm = td.files(spark, sf_dir), name_map(spark, sf_dir)
+    out = rec.library_release_additions(
+        similar_activity(spark, sf_dir), td.releases(spark, sf_dir),
+        lib.map_file_release_group(files, nm), td.release_groups(spark, sf_dir),
+    )
+    return round_doubles(out)
+
+
+@register("artist_recommends")
+def q_artist_recommends(spark, sf_dir):
+    files, nm = td.files(spark, sf_dir), name_map(spark, sf_dir)
+    ac = lc.artist_listen_counts(grain(spark, sf_dir), td.artists(spark, sf_dir), AS_OF)
+    out = rec.artist_recommends(ac, lib.map_file_artist(files, nm), symmetrise(td.cf_scores(spark, sf_dir)),
+                                td.artists(spark, sf_dir))
+    return round_doubles(out)

@@ -115,18 +115,19 @@ def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_partkey") % 25
     return table(spark, sf_dir, "part").select(
         mbid("l", n).alias("release_mbid"),
-        mbid("g", n % 8).alias("release_group_mbid"),
+        mbid("g", n % 12).alias("release_group_mbid"),
         F.concat(F.lit("Release "), n.cast("string")).alias("release_title"),
         F.concat(F.lit("Artist "), (n % 12).cast("string")).alias("artist_credit_phrase"),
     ).distinct()
 
 
 def release_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("p_partkey") % 8
+    n = F.col("p_partkey") % 12
     return table(spark, sf_dir, "part").select(
         mbid("g", n).alias("release_group_mbid"),
         F.concat(F.lit("Album "), n.cast("string")).alias("release_group_title"),
         F.concat(F.lit("Artist "), (n % 12).cast("string")).alias("artist_credit_phrase"),
+        (F.lit(1990) + n).cast("int").alias("release_group_year"),
     ).distinct()
 
 
@@ -139,13 +140,42 @@ def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
-def artists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Annotated artists: ids 0..10 (artist 11 is never annotated)."""
+def artist_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat artist annotation facts: one row per part: artist n = p_partkey % 11,
+    a tag (p_type) and a release date text ('<1990 + p_size % 25>-01-01';
+    sizes over 45 give a malformed date)."""
+    p = table(spark, sf_dir, "part")
     n = F.col("p_partkey") % 11
-    return table(spark, sf_dir, "part").select(
+    date_txt = F.when(F.col("p_size") > 45, F.lit("19.5-xx")).otherwise(
+        F.concat((F.lit(1990) + F.col("p_size") % 25).cast("string"), F.lit("-01-01")))
+    return p.select(
         mbid("a", n).alias("artist_mbid"),
         F.concat(F.lit("Artist "), n.cast("string")).alias("artist_name"),
-    ).distinct()
+        F.lower(F.col("p_type")).alias("tag"),
+        date_txt.alias("release_date"),
+    )
+
+
+def artists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotated artists (ids 0..10; artist 11 is never annotated) with tags
+    ordered by count desc then name, and the active-years timeline."""
+    from cadence.functions.scalars import extract_year, timeline
+
+    ann = artist_annotations(spark, sf_dir)
+    tags = (
+        ann.groupBy("artist_mbid", "tag").agg(F.count(F.lit(1)).alias("c"))
+        .groupBy("artist_mbid")
+        .agg(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("o"), F.col("tag")))).alias("t"))
+        .select("artist_mbid", F.array_join(F.transform("t", lambda x: x["tag"]), ", ").alias("tags_string"))
+    )
+    base = ann.groupBy("artist_mbid").agg(
+        F.max("artist_name").alias("artist_name"),
+        F.min(extract_year("release_date")).alias("_y0"),
+        F.max(extract_year("release_date")).alias("_y1"),
+    )
+    return base.join(tags, "artist_mbid", "left").select(
+        "artist_mbid", "artist_name", "tags_string", timeline("_y0", "_y1").alias("active_years")
+    )
 
 
 # --- media library (from embeddings) ----------------------------------------
@@ -260,3 +290,38 @@ def raw_name_map(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(n % 7 != 0, F.to_json(payload)).otherwise(F.lit('{"error": "not found"}')).alias("payload_json"),
         )
     )
+
+
+def raw_similar_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed similar-user activity payloads: one per order. The order's
+    customer is the similar user; entity and range come from the order key;
+    the payload lists one row per order line (duplicates possible)."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
+    ent = F.element_at(F.array(F.lit("artists"), F.lit("releases"), F.lit("recordings")),
+                       (F.col("o_orderkey") % 3 + 1).cast("int"))
+    row = F.struct(
+        mbid("a", F.col("l_suppkey") % 25).alias("artist_mbid"),
+        mbid("l", F.col("l_partkey") % 25).alias("release_mbid"),
+        mbid("r", F.col("l_partkey") % 12).alias("recording_mbid"),
+        F.col("l_quantity").cast("long").alias("listen_count"),
+    )
+    lines = li.groupBy("l_orderkey").agg(F.collect_list(row).alias("rows"))
+    j = o.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    from_ts = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
+    doc = F.struct(
+        from_ts.alias("from_ts"),
+        (from_ts + F.lit(30 * 86400)).alias("to_ts"),
+        F.when(ent == "artists", F.transform("rows", lambda r: F.struct(r["artist_mbid"], r["listen_count"]))).alias("artists"),
+        F.when(ent == "releases", F.transform("rows", lambda r: F.struct(r["release_mbid"], r["listen_count"]))).alias("releases"),
+        F.when(ent == "recordings", F.transform("rows", lambda r: F.struct(r["recording_mbid"], r["listen_count"]))).alias("recordings"),
+    )
+    return j.select(
+        F.md5(F.col("o_orderkey").cast("string")).alias("payload_id"),
+        F.concat(F.lit("u"), (F.col("o_custkey") % 10).cast("string")).alias("from_username"),
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("to_username"),
+        ent.alias("entity"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.lit("month")).otherwise(F.lit("year")).alias("time_range"),
+        ((F.col("o_totalprice") % 100) / 100.0).alias("user_similarity"),
+        F.to_json(doc).alias("json_data"),
+    )
