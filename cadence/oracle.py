@@ -628,3 +628,41 @@ SELECT agg.artist_mbid_b AS artist_mbid, b.artist_name, a.artist_name AS most_si
 FROM agg JOIN best USING (artist_mbid_b)
 LEFT JOIN artists b ON agg.artist_mbid_b = b.artist_mbid
 LEFT JOIN artists a ON best.artist_mbid_a = a.artist_mbid""")
+
+
+# --- similarity ---------------------------------------------------------------------
+
+DUMP_AGG_CTE = f"""
+, agg0 AS (
+  SELECT user_id, artist_mbid, CAST(sum(listen_count) AS BIGINT) AS listen_count
+  FROM dump_records
+  WHERE dump_date >= CAST({DUMP_AS_OF} AS DATE) - INTERVAL 365 DAY AND user_id <> 1
+  GROUP BY 1, 2)
+, agg AS (
+  SELECT * FROM agg0 WHERE artist_mbid IN (
+    SELECT artist_mbid FROM agg0 GROUP BY 1 HAVING count(DISTINCT user_id) >= 4))"""
+
+QUERIES["dump_aggregate"] = q(["dump_records"], DUMP_AGG_CTE + "\nSELECT user_id, artist_mbid, listen_count FROM agg")
+
+QUERIES["bm25"] = q(["dump_records"], DUMP_AGG_CTE + """
+, s AS (SELECT CAST(max(user_id) + 1 AS DOUBLE) AS n, CAST(sum(listen_count) AS DOUBLE) AS tot FROM agg)
+, df AS (SELECT artist_mbid, count(*) AS df FROM agg GROUP BY 1)
+, rs AS (SELECT user_id, sum(listen_count) AS row_sum FROM agg GROUP BY 1)
+SELECT a.user_id, a.artist_mbid,
+       round(a.listen_count * 101.0 / (100.0 * (0.2 + 0.8 * rs.row_sum / (s.tot / s.n)) + a.listen_count)
+             * (ln(s.n) - ln(1 + df.df)), 6) AS weight
+FROM agg a JOIN df USING (artist_mbid) JOIN rs USING (user_id) CROSS JOIN s""")
+
+QUERIES["cf_baseline"] = q(["cf_sym"], """
+, per AS (
+  SELECT artist_mbid_a, min(exp(score_value)) AS min_score, quantile_cont(exp(score_value), 0.5) AS median_score,
+         avg(exp(score_value)) AS avg_score, max(exp(score_value)) AS max_score, count(*) AS n
+  FROM cf_sym GROUP BY 1)
+, g AS (
+  SELECT quantile_cont(median_score, 0.25) AS q1, quantile_cont(median_score, 0.5) AS q2,
+         quantile_cont(median_score, 0.75) AS q3 FROM per)
+SELECT artist_mbid_a, round(min_score, 6) AS min_score, round(median_score, 6) AS median_score,
+       round(avg_score, 6) AS avg_score, round(max_score, 6) AS max_score, n,
+       round(q1, 6) AS median_q1, round(q2, 6) AS median_q2, round(q3, 6) AS median_q3,
+       round(ln(q2), 6) AS baseline
+FROM per CROSS JOIN g""")

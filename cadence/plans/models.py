@@ -212,3 +212,38 @@ def q_artist_recommends(spark, sf_dir):
     out = rec.artist_recommends(ac, lib.map_file_artist(files, nm), symmetrise(td.cf_scores(spark, sf_dir)),
                                 td.artists(spark, sf_dir))
     return round_doubles(out)
+
+
+# --- similarity model ------------------------------------------------------------
+
+from cadence.operators import similarity as sim  # noqa: E402
+
+EXCLUDED_DUMP_USER = 1
+
+
+def _dump_agg(spark, sf_dir):
+    return sim.dump_aggregate(td.dump_records(spark, sf_dir), td.DUMP_AS_OF, EXCLUDED_DUMP_USER)
+
+
+@register("dump_aggregate")
+def q_dump_aggregate(spark, sf_dir):
+    return _dump_agg(spark, sf_dir)
+
+
+@register("bm25")
+def q_bm25(spark, sf_dir):
+    return round_doubles(sim.bm25(_dump_agg(spark, sf_dir)))
+
+
+@register("item_similarity")
+def q_item_similarity(spark, sf_dir):
+    recs = td.dump_records(spark, sf_dir)
+    known = recs.select("artist_mbid").distinct()
+    return round_doubles(sim.artist_similarity(recs, known, td.DUMP_AS_OF, EXCLUDED_DUMP_USER, max_iter=10))
+
+
+@register("cf_baseline")
+def q_cf_baseline(spark, sf_dir):
+    from cadence.operators.stats import cf_baseline
+
+    return round_doubles(cf_baseline(symmetrise(td.cf_scores(spark, sf_dir))))
