@@ -666,3 +666,66 @@ SELECT artist_mbid_a, round(min_score, 6) AS min_score, round(median_score, 6) A
        round(q1, 6) AS median_q1, round(q2, 6) AS median_q2, round(q3, 6) AS median_q3,
        round(ln(q2), 6) AS baseline
 FROM per CROSS JOIN g""")
+
+
+# --- sampling / universe ---------------------------------------------------------------
+
+def uniform_sql(key: str) -> str:
+    return f"((CAST(('0x' || substr(md5({key}), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0)"
+
+
+_RR = recency_base(REVISIT_AS_OF) + entity_counts_sql(
+    "release_group_mbid", "release_groups", ["release_group_title", "artist_credit_phrase"],
+    [14, 30, 60, 90, 120, 150], [("recording_mbid", "recording")], "user_release_group_key", REVISIT_AS_OF
+).replace("SELECT " + skey('username', 'release_group_mbid') + " AS user_release_group_key, * FROM t", """
+, rr AS (
+SELECT release_group_mbid, release_group_title, artist_credit_phrase AS artist_name, username, revisit_score,
+       lifetime_recording_count AS num_recordings, last150_listen_count - last90_listen_count AS listens_old,
+       last90_listen_count AS listens_recent
+FROM t
+WHERE lifetime_recording_count BETWEEN 4 AND 20 AND last30_listen_count < 5
+  AND (last150_listen_count - last90_listen_count) >= 5
+  AND (last150_listen_count - last90_listen_count) >= lifetime_recording_count * 1.5
+  AND revisit_score > 1.05)""")
+
+QUERIES["weighted_sample"] = q(["listens", "releases", "release_groups"], _RR + f"""
+, k AS (
+  SELECT rr.*, -(revisit_score - max(revisit_score) OVER (PARTITION BY username))
+           - ln(-ln({uniform_sql("'0|' || username || '|' || release_group_mbid")})) AS g
+  FROM rr)
+SELECT release_group_mbid, release_group_title, artist_name, username, round(revisit_score, 6) AS revisit_score,
+       num_recordings, listens_old, listens_recent
+FROM (SELECT k.*, row_number() OVER (PARTITION BY username ORDER BY g DESC, username, release_group_mbid) AS rn FROM k)
+WHERE rn <= 5""")
+
+QUERIES["top_artists_sample"] = q(["listens", "releases", "artists"], recency_base(LISTEN_AS_OF) + _ART_SRC + f"""
+, ac AS (
+  SELECT b.username, b.artist_mbid, max(d.artist_name) AS artist_name,
+         count(CASE WHEN b.listen_at_ts_utc >= {LISTEN_AS_OF} - INTERVAL 30 DAY THEN 1 END) AS listen_count
+  FROM base_a b JOIN artists d ON b.artist_mbid = d.artist_mbid
+  GROUP BY 1, 2)
+SELECT username, artist_mbid, artist_name, listen_count FROM (
+  SELECT ac.*, row_number() OVER (PARTITION BY username
+           ORDER BY md5('0|' || username || '|' || artist_mbid), username, artist_mbid) AS rn
+  FROM ac WHERE listen_count >= 15) WHERE rn <= 3""")
+
+QUERIES["mbid_universe"] = q(["listens", "files", "name_map", "releases", "feedback"], SIMILAR_CTE + """
+SELECT DISTINCT mbid, entity FROM (
+  SELECT release_mbid AS mbid, 'release' AS entity FROM listens
+  UNION ALL SELECT release_mbid, 'release' FROM files
+  UNION ALL SELECT release_mbid, 'release' FROM name_map
+  UNION ALL SELECT mbid, 'release' FROM sua WHERE entity = 'release'
+  UNION ALL SELECT release_group_mbid, 'release-group' FROM files
+  UNION ALL SELECT release_group_mbid, 'release-group' FROM name_map
+  UNION ALL SELECT release_group_mbid, 'release-group' FROM releases
+  UNION ALL SELECT recording_mbid, 'recording' FROM listens
+  UNION ALL SELECT recording_mbid, 'recording' FROM name_map
+  UNION ALL SELECT recording_mbid, 'recording' FROM files
+  UNION ALL SELECT mbid, 'recording' FROM sua WHERE entity = 'recording'
+  UNION ALL SELECT recording_mbid, 'recording' FROM feedback
+  UNION ALL SELECT UNNEST(artist_mbids), 'artist' FROM listens
+  UNION ALL SELECT artist_mbid, 'artist' FROM files
+  UNION ALL SELECT album_artist_mbid, 'artist' FROM files
+  UNION ALL SELECT UNNEST(artist_mbids), 'artist' FROM name_map
+  UNION ALL SELECT mbid, 'artist' FROM sua WHERE entity = 'artist')
+WHERE mbid IS NOT NULL""")

@@ -247,3 +247,27 @@ def q_cf_baseline(spark, sf_dir):
     from cadence.operators.stats import cf_baseline
 
     return round_doubles(cf_baseline(symmetrise(td.cf_scores(spark, sf_dir))))
+
+
+# --- collections: sampling and the entity universe ---------------------------------
+
+from cadence.plans import collections as col  # noqa: E402
+
+
+@register("weighted_sample")
+def q_weighted_sample(spark, sf_dir):
+    g = grain(spark, sf_dir, REVISIT_AS_OF)
+    rr = act.revisit_releases(lc.release_group_listen_counts(g, td.release_groups(spark, sf_dir), REVISIT_AS_OF))
+    return round_doubles(col.sample_revisit_releases(rr, count=5))
+
+
+@register("top_artists_sample")
+def q_top_artists_sample(spark, sf_dir):
+    ac = lc.artist_listen_counts(grain(spark, sf_dir), td.artists(spark, sf_dir), AS_OF)
+    return col.sample_top_artists(ac, "30", count=3)
+
+
+@register("mbid_universe")
+def q_mbid_universe(spark, sf_dir):
+    return col.mbid_universe(td.listens(spark, sf_dir), td.files(spark, sf_dir), name_map(spark, sf_dir),
+                             similar_activity(spark, sf_dir), td.releases(spark, sf_dir), td.feedback(spark, sf_dir))
