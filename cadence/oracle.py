@@ -729,3 +729,58 @@ SELECT DISTINCT mbid, entity FROM (
   UNION ALL SELECT UNNEST(artist_mbids), 'artist' FROM name_map
   UNION ALL SELECT mbid, 'artist' FROM sua WHERE entity = 'artist')
 WHERE mbid IS NOT NULL""")
+
+
+# --- merges / quality ---------------------------------------------------------------------
+
+DUMP_TABLE_CTE = """
+, t AS (
+  SELECT slug, user_id, artist_mbid, max(dump_date) AS dump_date, CAST(sum(listen_count) AS BIGINT) AS listen_count
+  FROM dump_records GROUP BY 1, 2, 3)
+, target AS (SELECT * FROM t WHERE dump_date < DATE '1999-01-01')
+, source AS (SELECT slug, user_id, artist_mbid, dump_date, listen_count * 10 AS listen_count
+             FROM t WHERE dump_date >= DATE '1998-01-01')"""
+
+QUERIES["upsert_merge"] = q(["dump_records"], DUMP_TABLE_CTE + """
+SELECT coalesce(s.slug, t.slug) AS slug, coalesce(s.user_id, t.user_id) AS user_id,
+       coalesce(s.artist_mbid, t.artist_mbid) AS artist_mbid,
+       CASE WHEN t.slug IS NOT NULL THEN t.dump_date ELSE s.dump_date END AS dump_date,
+       CASE WHEN s.slug IS NOT NULL THEN s.listen_count ELSE t.listen_count END AS listen_count
+FROM target t FULL OUTER JOIN source s USING (slug, user_id, artist_mbid)""")
+
+QUERIES["insert_absent"] = q(["dump_records"], DUMP_TABLE_CTE + """
+SELECT * FROM target
+UNION ALL
+SELECT * FROM source s WHERE NOT EXISTS (
+  SELECT 1 FROM target t WHERE t.slug = s.slug AND t.user_id = s.user_id AND t.artist_mbid = s.artist_mbid)""")
+
+QUERIES["replace_group"] = q(["dump_records"], DUMP_TABLE_CTE + """
+SELECT * FROM target WHERE slug NOT IN (SELECT DISTINCT slug FROM source)
+UNION ALL SELECT * FROM source""")
+
+QUERIES["incremental_merge"] = q([], f"""
+, o AS (SELECT {mbid('o', 'o_orderkey % 5000')} AS mbid, o_orderdate AS ts_utc, o_totalprice AS value FROM orders)
+, t0 AS (
+  SELECT mbid, ts_utc, value FROM (
+    SELECT o.*, row_number() OVER (PARTITION BY mbid ORDER BY ts_utc DESC) AS rn
+    FROM o WHERE ts_utc < TIMESTAMP '1999-01-01') WHERE rn = 1)
+, fresh AS (
+  SELECT mbid, ts_utc, value FROM (
+    SELECT o.*, row_number() OVER (PARTITION BY mbid ORDER BY ts_utc DESC) AS rn
+    FROM o WHERE ts_utc > (SELECT max(ts_utc) FROM t0) - INTERVAL 5 MINUTE) WHERE rn = 1)
+SELECT mbid, ts_utc, round(value, 6) AS value FROM t0 WHERE mbid NOT IN (SELECT mbid FROM fresh)
+UNION ALL SELECT mbid, ts_utc, round(value, 6) FROM fresh""")
+
+QUERIES["dq_unique"] = q(["dump_records"], """
+SELECT slug, user_id, artist_mbid, count(*) AS n_records FROM dump_records
+GROUP BY 1, 2, 3 HAVING count(*) > 1""")
+
+QUERIES["dq_not_null_proportion"] = q(["files"], """
+SELECT * FROM (
+  SELECT 'album_artist_mbid' AS column_name, round(avg(CASE WHEN album_artist_mbid IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS proportion FROM files
+  UNION ALL
+  SELECT 'artist_mbid', round(avg(CASE WHEN artist_mbid IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) FROM files)
+WHERE proportion < 0.9""")
+
+QUERIES["dq_groupby_having"] = q(["files", "name_map", "map_file_recording"], """
+SELECT filepath FROM map_file_recording GROUP BY filepath HAVING NOT (count(*) = 1)""")

@@ -271,3 +271,76 @@ def q_top_artists_sample(spark, sf_dir):
 def q_mbid_universe(spark, sf_dir):
     return col.mbid_universe(td.listens(spark, sf_dir), td.files(spark, sf_dir), name_map(spark, sf_dir),
                              similar_activity(spark, sf_dir), td.releases(spark, sf_dir), td.feedback(spark, sf_dir))
+
+
+# --- merges and data quality -------------------------------------------------------
+
+import datetime as _dt  # noqa: E402
+
+from cadence.operators import merge as mg  # noqa: E402
+from cadence.operators import quality as dq  # noqa: E402
+
+MERGE_SPLIT = _dt.date(1999, 1, 1)
+MERGE_OVERLAP = _dt.date(1998, 1, 1)
+
+
+def _dump_table(spark, sf_dir):
+    """Dump table keyed by (slug, user_id, artist_mbid)."""
+    return td.dump_records(spark, sf_dir).groupBy("slug", "user_id", "artist_mbid").agg(
+        F.max("dump_date").alias("dump_date"), F.sum("listen_count").alias("listen_count"))
+
+
+def _target_source(spark, sf_dir):
+    t = _dump_table(spark, sf_dir)
+    target = t.where(F.col("dump_date") < F.lit(MERGE_SPLIT))
+    source = t.where(F.col("dump_date") >= F.lit(MERGE_OVERLAP)).withColumn(
+        "listen_count", F.col("listen_count") * 10)
+    return target, source
+
+
+KEY = ["slug", "user_id", "artist_mbid"]
+
+
+@register("upsert_merge")
+def q_upsert_merge(spark, sf_dir):
+    target, source = _target_source(spark, sf_dir)
+    return mg.upsert(target, source, KEY, update_cols=["listen_count"])
+
+
+@register("insert_absent")
+def q_insert_absent(spark, sf_dir):
+    target, source = _target_source(spark, sf_dir)
+    return mg.insert_absent(target, source, KEY)
+
+
+@register("replace_group")
+def q_replace_group(spark, sf_dir):
+    target, source = _target_source(spark, sf_dir)
+    return mg.replace_groups(target, source, ["slug"])
+
+
+@register("incremental_merge")
+def q_incremental_merge(spark, sf_dir):
+    """Annotations-style incremental load: orders as (key, ts) rows."""
+    o = td.table(spark, sf_dir, "orders").select(
+        td.mbid("o", F.col("o_orderkey") % 5000).alias("mbid"), F.col("o_orderdate").alias("ts_utc"),
+        F.col("o_totalprice").alias("value"))
+    target = mg.incremental_merge(None, o.where(F.col("ts_utc") < F.lit(_dt.datetime(1999, 1, 1))), ["mbid"], "ts_utc")
+    return round_doubles(mg.incremental_merge(target, o, ["mbid"], "ts_utc"))
+
+
+@register("dq_unique")
+def q_dq_unique(spark, sf_dir):
+    return dq.unique(td.dump_records(spark, sf_dir), KEY)
+
+
+@register("dq_not_null_proportion")
+def q_dq_not_null_proportion(spark, sf_dir):
+    f = td.files(spark, sf_dir)
+    return round_doubles(dq.not_null_proportion(f, "album_artist_mbid", 0.9).unionByName(
+        dq.not_null_proportion(f, "artist_mbid", 0.9)))
+
+
+@register("dq_groupby_having")
+def q_dq_groupby_having(spark, sf_dir):
+    return dq.groupby_having(file_map(spark, sf_dir), ["filepath"], F.count(F.lit(1)) == 1)
