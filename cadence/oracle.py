@@ -784,3 +784,25 @@ WHERE proportion < 0.9""")
 
 QUERIES["dq_groupby_having"] = q(["files", "name_map", "map_file_recording"], """
 SELECT filepath FROM map_file_recording GROUP BY filepath HAVING NOT (count(*) = 1)""")
+
+
+# --- exports / streaming ---------------------------------------------------------------------
+
+QUERIES["playlist_m3u8"] = q(["files", "cf_sym", "playlist_seeds"],
+    KNN_BODY.format(min_distance=0.5, cw_table=NO_CW, limit=2000).replace(
+        "SELECT k.playlist_id, CAST(k.position AS INTEGER) AS position", ", top AS (SELECT k.playlist_id, CAST(k.position AS INTEGER) AS position", 1)
+    + """)
+SELECT playlist_id,
+       '#EXTM3U' || chr(10) || '#PLAYLIST:Songs like ' || playlist_id || chr(10) ||
+       string_agg('#EXTINF:' || CAST(track_length_seconds AS VARCHAR) || ',' || chr(10) || filepath, chr(10) ORDER BY position) AS m3u8
+FROM top WHERE position <= 20 GROUP BY playlist_id""")
+
+QUERIES["stream_daily_stats"] = q(["listens"], """
+SELECT username, CAST(listen_at_ts_utc AS DATE) AS listen_date, count(*) AS count_listens,
+       count(DISTINCT recording_mbid) AS count_recordings, count(DISTINCT release_mbid) AS count_releases,
+       round(sum(duration_ms) / 3600000.0, 6) AS sum_listen_hours
+FROM listens
+WHERE CAST(listen_at_ts_utc AS DATE) + INTERVAL 1 DAY <= (SELECT max(listen_at_ts_utc) - INTERVAL 1 HOUR FROM listens)
+GROUP BY 1, 2""")
+
+QUERIES["stream_dedupe"] = q(["listens"], "SELECT DISTINCT * EXCLUDE (artist_mbids) FROM listens")

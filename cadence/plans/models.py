@@ -344,3 +344,49 @@ def q_dq_not_null_proportion(spark, sf_dir):
 @register("dq_groupby_having")
 def q_dq_groupby_having(spark, sf_dir):
     return dq.groupby_having(file_map(spark, sf_dir), ["filepath"], F.count(F.lit(1)) == 1)
+
+
+# --- exports and streaming ------------------------------------------------------------
+
+from cadence.operators import export as ex  # noqa: E402
+from cadence.streaming import listens as stl  # noqa: E402
+
+
+def _short_playlists(spark, sf_dir, n=20):
+    from cadence.plans.playlists import knn_weighted
+
+    k = knn_weighted(spark, sf_dir)
+    return k.where(F.col("position") <= n).withColumnRenamed("position", "order_index").withColumnRenamed(
+        "distance", "match_distance")
+
+
+@register("playlist_m3u8")
+def q_playlist_m3u8(spark, sf_dir):
+    t = _short_playlists(spark, sf_dir)
+    desc = t.select("playlist_id").distinct().withColumn("description", F.concat(F.lit("Songs like "), "playlist_id"))
+    return ex.playlist_m3u8(t, description=desc)
+
+
+@register("playlist_json")
+def q_playlist_json(spark, sf_dir):
+    return ex.playlist_json(_short_playlists(spark, sf_dir), description="Songs like ")
+
+
+@register("playlist_xspf")
+def q_playlist_xspf(spark, sf_dir):
+    return ex.playlist_xspf(_short_playlists(spark, sf_dir))
+
+
+@register("stream_daily_stats")
+def q_stream_daily_stats(spark, sf_dir):
+    s = td.listens_from_events(td.events_stream(spark, sf_dir))
+    path = stl.run_to_parquet(stl.daily_listen_stats_stream(s), "stream-daily-stats")
+    return round_doubles(stl.read_sink(spark, path))
+
+
+@register("stream_dedupe")
+def q_stream_dedupe(spark, sf_dir):
+    a = td.listens_from_events(td.events_stream(spark, sf_dir))
+    b = td.listens_from_events(td.events_stream(spark, sf_dir))
+    path = stl.run_to_parquet(stl.dedupe_listens_stream(a.unionByName(b)), "stream-dedupe")
+    return stl.read_sink(spark, path).drop("artist_mbids")

@@ -47,7 +47,22 @@ def _k() -> Column:
 
 def listens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed listens: one row per event."""
-    e = table(spark, sf_dir, "events")
+    return listens_from_events(table(spark, sf_dir, "events"))
+
+
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a file stream (new parquet files = new events)."""
+    schema = table(spark, sf_dir, "events").schema
+    return (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", "events*.parquet")
+        .option("maxFilesPerTrigger", 1)
+        .parquet(sf_dir)
+    )
+
+
+def listens_from_events(e: DataFrame) -> DataFrame:
+    """Event rows -> listens (works on batch and streaming frames)."""
     k = _k()
     return e.select(
         F.md5(F.col("event_id").cast("string")).alias("listen_md5"),
