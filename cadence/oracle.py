@@ -806,3 +806,185 @@ WHERE CAST(listen_at_ts_utc AS DATE) + INTERVAL 1 DAY <= (SELECT max(listen_at_t
 GROUP BY 1, 2""")
 
 QUERIES["stream_dedupe"] = q(["listens"], "SELECT DISTINCT * EXCLUDE (artist_mbids) FROM listens")
+
+
+# --- annotation queue ----------------------------------------------------------------------------
+
+ENT_SQL = "['artist', 'release', 'release-group', 'recording'][(({x}) % 4) + 1]"
+
+
+def ent(x: str) -> str:
+    return ENT_SQL.replace("{x}", x)
+
+
+ADAPTERS["qm"] = f"""SELECT {mbid('o', 'o_orderkey')} AS mbid, {ent('o_orderkey')} AS entity FROM orders"""
+
+ADAPTERS["ann"] = f"""
+SELECT {mbid('o', 'o_orderkey')} AS mbid,
+       CASE WHEN o_orderkey % 9 = 0 THEN 'label' ELSE {ent('o_orderkey')} END AS entity,
+       o_orderpriority <> '5-LOW' AS success,
+       CASE WHEN o_orderpriority = '5-LOW'
+            THEN ['HTTPSConnectionPool: status=None', 'HTTPError status=500', 'connection reset by peer'][o_orderkey % 3 + 1]
+       END AS error,
+       o_orderdate AS ts_utc
+FROM orders WHERE o_orderstatus <> 'P'
+UNION ALL
+SELECT {mbid('c', 'c_custkey')}, 'artist', false, 'status=404 not found', TIMESTAMP '1995-01-01' + to_hours(c_custkey)
+FROM customer"""
+
+ADAPTERS["mbr"] = f"""
+SELECT {ent('l_orderkey')} AS dump_entity, l_shipdate AS dump_timestamp, {mbid('o', 'l_orderkey')} AS mbid,
+       {mbid('o', 'l_partkey')} AS c_mbid, {ent('l_partkey')} AS c_entity
+FROM lineitem"""
+
+_E = "('artist', 'release', 'release-group', 'recording')"
+
+ADAPTERS["http_fail"] = f"""
+SELECT mbid, entity FROM ann
+WHERE NOT coalesce(success, true) AND entity IN {_E}
+  AND (coalesce(error, '') NOT LIKE '%status=%' OR coalesce(error, '') LIKE '%status=None%')"""
+
+ADAPTERS["lu"] = f"""
+SELECT entity, mbid, max(ts) AS ts FROM (
+  SELECT dump_entity AS entity, mbid, dump_timestamp AS ts FROM mbr WHERE dump_entity IN {_E}
+  UNION ALL
+  SELECT c_entity, c_mbid, dump_timestamp FROM mbr WHERE dump_entity IN {_E} AND c_entity IN {_E}
+    AND c_mbid IS NOT NULL)
+GROUP BY 1, 2"""
+
+ADAPTERS["updated"] = """
+SELECT a.mbid, a.entity FROM ann a JOIN lu USING (entity, mbid) WHERE a.ts_utc < lu.ts + INTERVAL 20 MINUTE"""
+
+ADAPTERS["unannotated"] = f"""
+SELECT m.mbid, m.entity FROM qm m WHERE m.entity IN {_E} AND m.mbid NOT IN (SELECT mbid FROM ann)"""
+
+ADAPTERS["old"] = f"""
+SELECT m.mbid, m.entity, a.ts_utc FROM qm m JOIN ann a USING (mbid)
+WHERE a.ts_utc < TIMESTAMP '1996-01-01' AND m.entity IN {_E}"""
+
+DEPS.update({
+    "http_fail": ["ann"], "lu": ["mbr"], "updated": ["ann", "lu"], "unannotated": ["qm", "ann"],
+    "old": ["qm", "ann"],
+})
+
+QUERIES["http_failures"] = q(["http_fail"], "SELECT * FROM http_fail")
+QUERIES["updated_entities"] = q(["updated"], "SELECT * FROM updated")
+
+QUERIES["refresh_queue"] = q(["unannotated", "http_fail", "updated", "old"], """
+, u AS (
+  SELECT mbid, entity, 0 AS prio, md5(mbid) AS ord, 'new' AS source FROM unannotated
+  UNION ALL SELECT mbid, entity, 1, md5(mbid), 'http_fail' FROM http_fail
+  UNION ALL SELECT mbid, entity, 2, md5(mbid), 'updated' FROM updated
+  UNION ALL SELECT mbid, entity, 3, lpad(CAST(epoch_us(ts_utc) AS VARCHAR), 20, '0'), 'old' FROM old)
+, b AS (
+  SELECT * FROM (SELECT u.*, row_number() OVER (PARTITION BY mbid ORDER BY prio, ord, entity) AS rn FROM u) WHERE rn = 1)
+SELECT mbid, entity, source, CAST(prio AS INTEGER) AS priority FROM b ORDER BY prio, ord, mbid LIMIT 200""")
+
+QUERIES["queue_log"] = q(["unannotated", "http_fail", "updated", "old"], f"""
+, c AS (
+  SELECT 'new' AS source, entity, count(*) AS n FROM unannotated GROUP BY 2
+  UNION ALL SELECT 'http_fail', entity, count(*) FROM http_fail GROUP BY 2
+  UNION ALL SELECT 'updated', entity, count(*) FROM updated GROUP BY 2
+  UNION ALL SELECT 'old', entity, count(*) FROM old GROUP BY 2)
+, grid AS (
+  SELECT s.source, e.entity FROM (VALUES ('new'), ('http_fail'), ('updated'), ('old')) s(source)
+  CROSS JOIN (VALUES ('artist'), ('release'), ('release-group'), ('recording')) e(entity))
+SELECT g.source, g.entity, CAST(coalesce(c.n, 0) AS BIGINT) AS queue_size
+FROM grid g LEFT JOIN c USING (source, entity)""")
+
+QUERIES["dangling_delete"] = q(["qm", "ann"], """
+SELECT mbid, entity, ts_utc FROM ann
+WHERE mbid NOT IN (
+  SELECT mbid FROM ann WHERE mbid NOT IN (SELECT mbid FROM qm)
+    AND NOT coalesce(success, true) AND ts_utc < TIMESTAMP '2001-08-01' - INTERVAL 1 MONTH)""")
+
+ADAPTERS["edges"] = f"""
+SELECT DISTINCT * FROM (
+  SELECT {mbid('o', 'o_orderkey')} AS src, {mbid('p', 'l_partkey')} AS dst, 'release' AS dst_entity
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 4 = 0
+  UNION ALL
+  SELECT {mbid('p', 'p_partkey')}, {mbid('g', 'p_partkey % 50')}, 'release-group' FROM part)"""
+
+QUERIES["dependents_closure"] = (
+    "WITH RECURSIVE ann AS (" + ADAPTERS["ann"] + "),\n"
+    "edges AS (" + ADAPTERS["edges"] + "),\n"
+    "seeds AS (SELECT mbid FROM ann WHERE entity = 'artist' AND coalesce(success, true)),\n"
+    "r(mbid, entity, depth) AS (\n"
+    "  SELECT e.dst, e.dst_entity, 1 FROM seeds s JOIN edges e ON e.src = s.mbid\n"
+    "  WHERE e.dst NOT IN (SELECT mbid FROM ann)\n"
+    "  UNION ALL\n"
+    "  SELECT e.dst, e.dst_entity, r.depth + 1 FROM r JOIN edges e ON e.src = r.mbid\n"
+    "  WHERE e.dst NOT IN (SELECT mbid FROM ann) AND r.depth < 50)\n"
+    "SELECT mbid, entity, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY mbid, entity")
+
+QUERIES["gap_packets"] = q([], f"""
+, d AS (SELECT {ent('l_orderkey')} AS entity, epoch_us(l_shipdate) // 3600000000 AS packet_number FROM lineitem)
+, last AS (SELECT entity, max(packet_number) AS last FROM d GROUP BY 1)
+, e AS (SELECT * FROM (VALUES ('artist'), ('release'), ('release-group'), ('recording'), ('label')) t(entity))
+, s AS (SELECT e.entity, coalesce(l.last, 280512 - 169) + 1 AS start FROM e LEFT JOIN last l USING (entity))
+SELECT entity, CAST(UNNEST(generate_series(start, 280512)) AS BIGINT) AS packet_number FROM s WHERE start <= 280512""")
+
+QUERIES["inbox"] = q([], """
+SELECT filepath, birth_at FROM (
+  SELECT 'lib/' || CAST(label AS VARCHAR) || '/' || lpad(CAST(vec_id AS VARCHAR), 6, '0') || '.flac' AS filepath,
+         TIMESTAMP '2024-01-01' + to_minutes(vec_id) AS birth_at FROM embeddings)
+WHERE birth_at > TIMESTAMP '2024-01-01 04:00:00'""")
+
+QUERIES["stale_collections"] = q([], """
+, c AS (
+  SELECT 'coll-' || CAST(c_custkey AS VARCHAR) AS collection_name, 'u' || CAST(c_custkey % 10 AS VARCHAR) AS username,
+         CASE WHEN c_custkey % 5 = 0 THEN []::INTEGER[] ELSE [c_nationkey % 24, (c_nationkey + 12) % 24] END AS hours,
+         CASE WHEN c_custkey % 7 = 0 THEN NULL
+              ELSE TIMESTAMP '2024-05-18 12:00:00' - to_hours(c_custkey % 48) END AS refreshed_at_utc
+  FROM customer)
+, t AS (
+  SELECT collection_name, max(cand) AS refresh_target FROM (
+    SELECT collection_name, TIMESTAMP '2024-05-18 00:00:00' + to_hours(UNNEST(hours)) AS cand FROM c
+    UNION ALL
+    SELECT collection_name, TIMESTAMP '2024-05-17 00:00:00' + to_hours(UNNEST(hours)) FROM c)
+  WHERE cand <= TIMESTAMP '2024-05-18 12:00:00' GROUP BY 1)
+SELECT c.collection_name, c.username, t.refresh_target,
+       (c.refreshed_at_utc IS NULL OR len(c.hours) = 0 OR c.refreshed_at_utc < t.refresh_target) AS is_stale
+FROM c LEFT JOIN t USING (collection_name)""")
+
+QUERIES["regex_exclude"] = q(["files"], """
+SELECT f.filepath FROM files f WHERE NOT EXISTS (
+  SELECT 1 FROM (SELECT 'lib/' || CAST(r_regionkey * 2 AS VARCHAR) || '/00' || CAST(r_regionkey AS VARCHAR) AS pattern FROM region) p
+  WHERE regexp_matches(f.filepath, '^(?:' || p.pattern || ')'))""")
+
+QUERIES["anti_new_recordings"] = q(["files"], """
+SELECT DISTINCT recording_md5, track_name AS recording_name, album_name AS release_name, artist_name
+FROM files
+WHERE recording_md5 IS NOT NULL AND length(concat(artist_name, track_name, album_name)) < 245
+  AND recording_md5 NOT IN (
+    SELECT md5('Track ' || CAST(n % 10 AS VARCHAR) || '-Album ' || CAST(n % 8 AS VARCHAR) || '-Artist ' || CAST(n % 10 AS VARCHAR))
+    FROM (SELECT DISTINCT p_partkey % 40 AS n FROM part))""")
+
+QUERIES["loves_diff"] = q(["listens", "feedback", "files", "map_file_recording"], SPIKES_GLOBAL + FILE_COUNTS_CTE + """
+, loved AS (
+  SELECT DISTINCT l.username, m.filepath FROM (
+    SELECT username, recording_mbid FROM feedback UNION ALL SELECT username, recording_mbid FROM spikes) l
+  JOIN map_file_recording m USING (recording_mbid))
+, starred AS (
+  SELECT username, filepath FROM (
+    SELECT username, filepath, row_number() OVER (PARTITION BY username ORDER BY recency_score DESC, filepath) AS rn
+    FROM fc WHERE last30_listen_count > 0 AND recency_score IS NOT NULL) WHERE rn <= 20)
+SELECT username, filepath, 'to_star' AS direction FROM (SELECT * FROM loved EXCEPT SELECT * FROM starred)
+UNION ALL
+SELECT username, filepath, 'to_submit' FROM (SELECT * FROM starred EXCEPT SELECT * FROM loved)""")
+
+QUERIES["playlist_file_counts"] = q(["files"], """
+, t AS (
+  SELECT filepath, 'pl' || CAST(pn AS VARCHAR) AS playlist_id, pn % 4 AS cid,
+         ['top-artists', 'smart-mix', 'loved-tracks', 'revisit-tracks'][pn % 4 + 1] AS collection_name,
+         'u' || CAST(pn % 4 % 2 AS VARCHAR) AS username
+  FROM (SELECT 'lib/' || CAST(label AS VARCHAR) || '/' || lpad(CAST(vec_id AS VARCHAR), 6, '0') || '.flac' AS filepath,
+               UNNEST([vec_id % 7, (vec_id + 4) % 7 + 7]) AS pn FROM embeddings))
+, agg AS (
+  SELECT username, filepath, count(DISTINCT playlist_id) AS playlist_count,
+         array_to_string(list_sort(list_distinct(list(collection_name))), ',') AS collection_names
+  FROM t WHERE collection_name NOT IN ('loved-tracks', 'revisit-tracks', 'revisit-releases')
+  GROUP BY 1, 2 HAVING count(DISTINCT playlist_id) > 1)
+SELECT a.username, a.filepath, f.track_name, f.album_name, f.artist_name, f.album_artist_name,
+       a.playlist_count, a.collection_names
+FROM agg a JOIN files f USING (filepath)""")

@@ -390,3 +390,97 @@ def q_stream_dedupe(spark, sf_dir):
     b = td.listens_from_events(td.events_stream(spark, sf_dir))
     path = stl.run_to_parquet(stl.dedupe_listens_stream(a.unionByName(b)), "stream-dedupe")
     return stl.read_sink(spark, path).drop("artist_mbids")
+
+
+# --- annotation queue and maintenance ------------------------------------------------
+
+from cadence.plans import queue as qu  # noqa: E402
+
+QUEUE_AS_OF = td.DUMP_AS_OF
+OLD_BEFORE = _dt.datetime(1996, 1, 1)
+COLLECTION_NOW = _dt.datetime(2024, 5, 18, 12, 0, 0)
+LATEST_PACKET = int(_dt.datetime(2002, 1, 1).replace(tzinfo=_dt.timezone.utc).timestamp() // 3600)
+INBOX_MARK = _dt.datetime(2024, 1, 1, 4, 0, 0)
+
+
+def _queue_inputs(spark, sf_dir):
+    return td.queue_mbids(spark, sf_dir), td.annotations(spark, sf_dir), td.mb_dump_records(spark, sf_dir)
+
+
+@register("http_failures")
+def q_http_failures(spark, sf_dir):
+    return qu.http_failures(td.annotations(spark, sf_dir))
+
+
+@register("updated_entities")
+def q_updated_entities(spark, sf_dir):
+    return qu.updated_entities(td.annotations(spark, sf_dir), td.mb_dump_records(spark, sf_dir))
+
+
+@register("refresh_queue")
+def q_refresh_queue(spark, sf_dir):
+    m, a, r = _queue_inputs(spark, sf_dir)
+    return qu.refresh_queue(m, a, r, OLD_BEFORE, limit=200)
+
+
+@register("queue_log")
+def q_queue_log(spark, sf_dir):
+    m, a, r = _queue_inputs(spark, sf_dir)
+    return qu.queue_log(m, a, r, OLD_BEFORE)
+
+
+@register("dangling_delete")
+def q_dangling_delete(spark, sf_dir):
+    kept = qu.drop_dangling(td.annotations(spark, sf_dir), td.queue_mbids(spark, sf_dir), QUEUE_AS_OF)
+    return kept.select("mbid", "entity", "ts_utc")
+
+
+@register("dependents_closure")
+def q_dependents_closure(spark, sf_dir):
+    a = td.annotations(spark, sf_dir)
+    seeds = a.where((F.col("entity") == "artist") & F.expr(qu._SUCCESS)).select("mbid")
+    return qu.dependents_closure(seeds, td.dependency_edges(spark, sf_dir), a)
+
+
+@register("gap_packets")
+def q_gap_packets(spark, sf_dir):
+    li = td.table(spark, sf_dir, "lineitem")
+    dumps = li.select(td._entity(F.col("l_orderkey")).alias("entity"),
+                      (F.unix_seconds(F.col("l_shipdate").cast("timestamp")) / 3600).cast("long").alias("packet_number"))
+    return qu.gap_packets(dumps, LATEST_PACKET, td.ENTITIES + ["label"])
+
+
+@register("inbox")
+def q_inbox(spark, sf_dir):
+    new, _mark = qu.inbox(td.file_birth(spark, sf_dir), INBOX_MARK)
+    return new
+
+
+@register("stale_collections")
+def q_stale_collections(spark, sf_dir):
+    return qu.stale_collections(td.collections(spark, sf_dir), COLLECTION_NOW)
+
+
+@register("regex_exclude")
+def q_regex_exclude(spark, sf_dir):
+    return qu.exclude_by_patterns(td.files(spark, sf_dir).select("filepath"), td.exclude_patterns(spark, sf_dir))
+
+
+@register("anti_new_recordings")
+def q_anti_new_recordings(spark, sf_dir):
+    return qu.new_recordings(td.files(spark, sf_dir), td.raw_name_map(spark, sf_dir))
+
+
+@register("loves_diff")
+def q_loves_diff(spark, sf_dir):
+    from cadence.plans.playlists import _file_counts, recently_played
+
+    loved = act.loved_tracks(td.feedback(spark, sf_dir), sp.track_play_spikes(td.listens(spark, sf_dir)),
+                             file_map(spark, sf_dir))
+    starred = recently_played(_file_counts(spark, sf_dir), 20)
+    return qu.loves_diff(loved, starred)
+
+
+@register("playlist_file_counts")
+def q_playlist_file_counts(spark, sf_dir):
+    return qu.playlist_file_counts(td.playlist_tracks(spark, sf_dir), td.files(spark, sf_dir))

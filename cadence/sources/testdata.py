@@ -340,3 +340,126 @@ def raw_similar_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("o_totalprice") % 100) / 100.0).alias("user_similarity"),
         F.to_json(doc).alias("json_data"),
     )
+
+
+# --- annotation queue domain (orders, lineitem, customer) --------------------------
+
+ENTITIES = ["artist", "release", "release-group", "recording"]
+ERRORS = ["HTTPSConnectionPool: status=None", "HTTPError status=500", "connection reset by peer"]
+
+
+def _entity(n) -> Column:
+    return F.element_at(F.array(*[F.lit(e) for e in ENTITIES]), (n % 4 + 1).cast("int"))
+
+
+def queue_mbids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity universe of the queue: one id per order."""
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(mbid("o", k).alias("mbid"), _entity(k).alias("entity"))
+
+
+def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored annotations: every non-pending order (entity 'label' for every
+    9th key: an entity the queue never handles; low-priority orders failed),
+    plus failed annotations of customer ids that no longer exist."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    ok = F.col("o_orderpriority") != "5-LOW"
+    err = F.element_at(F.array(*[F.lit(e) for e in ERRORS]), (k % 3 + 1).cast("int"))
+    from_orders = o.where(F.col("o_orderstatus") != "P").select(
+        mbid("o", k).alias("mbid"),
+        F.when(k % 9 == 0, F.lit("label")).otherwise(_entity(k)).alias("entity"),
+        F.to_json(F.struct(ok.alias("_success"), F.when(~ok, err).alias("error"))).alias("payload_json"),
+        F.col("o_orderdate").alias("ts_utc"),
+    )
+    c = table(spark, sf_dir, "customer")
+    orphans = c.select(
+        mbid("c", F.col("c_custkey")).alias("mbid"),
+        F.lit("artist").alias("entity"),
+        F.lit('{"_success":false,"error":"status=404 not found"}').alias("payload_json"),
+        (F.lit(dt.datetime(1995, 1, 1)) + F.make_dt_interval(hours=F.col("c_custkey").cast("int")))
+        .cast("timestamp_ntz").alias("ts_utc"),
+    )
+    return from_orders.unionByName(orphans)
+
+
+def mb_dump_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entity dump records: one per order line, dumped at its ship date, with
+    one container (the part's order id)."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.concat(F.lit("mb-"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("slug"),
+        _entity(F.col("l_orderkey")).alias("dump_entity"),
+        F.col("l_shipdate").alias("dump_timestamp"),
+        mbid("o", F.col("l_orderkey")).alias("mbid"),
+        F.to_json(F.struct(F.array(F.struct(mbid("o", F.col("l_partkey")).alias("mbid"),
+                                            _entity(F.col("l_partkey")).alias("entity"))).alias("containers"))
+                  ).alias("json_data"),
+    )
+
+
+def dependency_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dependents listed by annotation payloads: artist orders -> the parts
+    they contain (releases); parts -> their release group (p_partkey % 50)."""
+    o = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 4 == 0).select("o_orderkey")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    a = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(
+        mbid("o", F.col("o_orderkey")).alias("src"), mbid("p", F.col("l_partkey")).alias("dst"),
+        F.lit("release").alias("dst_entity"))
+    p = table(spark, sf_dir, "part").select(
+        mbid("p", F.col("p_partkey")).alias("src"), mbid("g", F.col("p_partkey") % 50).alias("dst"),
+        F.lit("release-group").alias("dst_entity"))
+    return a.unionByName(p).distinct()
+
+
+def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Playlist collections with refresh hours (one per customer)."""
+    c = table(spark, sf_dir, "customer")
+    n = F.col("c_nationkey")
+    hours = F.when(F.col("c_custkey") % 5 == 0, F.array().cast("array<int>")).otherwise(
+        F.array((n % 24).cast("int"), ((n + 12) % 24).cast("int")))
+    now = dt.datetime(2024, 5, 18, 12, 0, 0)
+    refreshed = F.when(F.col("c_custkey") % 7 == 0, F.lit(None).cast("timestamp_ntz")).otherwise(
+        (F.lit(now) - F.make_dt_interval(hours=(F.col("c_custkey") % 48).cast("int"))).cast("timestamp_ntz"))
+    return c.select(
+        F.concat(F.lit("coll-"), F.col("c_custkey").cast("string")).alias("collection_name"),
+        F.concat(F.lit("u"), (F.col("c_custkey") % 10).cast("string")).alias("username"),
+        hours.alias("refresh_at_hours_utc"),
+        refreshed.alias("refreshed_at_utc"),
+    )
+
+
+def playlist_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored playlists: every file sits in two of 14 playlists; playlist n
+    belongs to collection n % 4 (owner u<collection % 2>)."""
+    e = table(spark, sf_dir, "embeddings")
+    v = F.col("vec_id")
+    fp = F.concat(F.lit("lib/"), F.col("label").cast("string"), F.lit("/"), F.lpad(v.cast("string"), 6, "0"), F.lit(".flac"))
+    pl = F.explode(F.array((v % 7).cast("int"), ((v + 4) % 7 + 7).cast("int")))
+    t = e.select(fp.alias("filepath"), pl.alias("pn"))
+    names = F.array(*[F.lit(x) for x in ["top-artists", "smart-mix", "loved-tracks", "revisit-tracks"]])
+    cid = F.col("pn") % 4
+    return t.select(
+        "filepath",
+        F.concat(F.lit("pl"), F.col("pn").cast("string")).alias("playlist_id"),
+        cid.alias("collection_id"),
+        F.element_at(names, (cid + 1).cast("int")).alias("collection_name"),
+        F.concat(F.lit("u"), (cid % 2).cast("string")).alias("username"),
+    )
+
+
+def file_birth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File birth timestamps (one minute apart by vec_id)."""
+    e = table(spark, sf_dir, "embeddings")
+    v = F.col("vec_id")
+    fp = F.concat(F.lit("lib/"), F.col("label").cast("string"), F.lit("/"), F.lpad(v.cast("string"), 6, "0"), F.lit(".flac"))
+    return e.select(fp.alias("filepath"),
+                    (F.lit(dt.datetime(2024, 1, 1)) + F.make_dt_interval(mins=v.cast("int")))
+                    .cast("timestamp_ntz").alias("birth_at"))
+
+
+def exclude_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path exclusion rules (regexes anchored at the path start)."""
+    r = table(spark, sf_dir, "region")
+    return r.select(F.concat(F.lit("lib/"), (F.col("r_regionkey") * 2).cast("string"), F.lit("/00"),
+                             F.col("r_regionkey").cast("string")).alias("pattern"))
