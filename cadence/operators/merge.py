@@ -57,14 +57,16 @@ def replace_groups(target: DataFrame, source: DataFrame, group_cols: list[str],
 
 
 def incremental_merge(target: DataFrame | None, source: DataFrame, key: list[str], ts: str,
-                      lookback_minutes: int = 5) -> DataFrame:
+                      lookback_minutes: int = 5, tiebreak: list[str] = ()) -> DataFrame:
     """Take source rows newer than max(target ts) - lookback and replace
-    them by key; an empty or absent target loads everything."""
+    them by key (latest ts per key wins, then ``tiebreak`` descending); an
+    empty or absent target loads everything."""
+    order = [ts, *tiebreak]
     if target is None:
-        return _dedupe(source, key, [ts])
+        return _dedupe(source, key, order)
     mx = target.agg(F.max(ts).alias("m")).first()["m"]
     fresh = source if mx is None else source.where(F.col(ts) > F.lit(mx) - F.expr(f"INTERVAL {int(lookback_minutes)} MINUTES"))
-    fresh = _dedupe(fresh, key, [ts])
+    fresh = _dedupe(fresh, key, order)
     return target.join(fresh.select(*key), key, "left_anti").unionByName(fresh.select(*target.columns))
 
 

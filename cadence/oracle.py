@@ -762,11 +762,11 @@ QUERIES["incremental_merge"] = q([], f"""
 , o AS (SELECT {mbid('o', 'o_orderkey % 5000')} AS mbid, o_orderdate AS ts_utc, o_totalprice AS value FROM orders)
 , t0 AS (
   SELECT mbid, ts_utc, value FROM (
-    SELECT o.*, row_number() OVER (PARTITION BY mbid ORDER BY ts_utc DESC) AS rn
+    SELECT o.*, row_number() OVER (PARTITION BY mbid ORDER BY ts_utc DESC, value DESC) AS rn
     FROM o WHERE ts_utc < TIMESTAMP '1999-01-01') WHERE rn = 1)
 , fresh AS (
   SELECT mbid, ts_utc, value FROM (
-    SELECT o.*, row_number() OVER (PARTITION BY mbid ORDER BY ts_utc DESC) AS rn
+    SELECT o.*, row_number() OVER (PARTITION BY mbid ORDER BY ts_utc DESC, value DESC) AS rn
     FROM o WHERE ts_utc > (SELECT max(ts_utc) FROM t0) - INTERVAL 5 MINUTE) WHERE rn = 1)
 SELECT mbid, ts_utc, round(value, 6) AS value FROM t0 WHERE mbid NOT IN (SELECT mbid FROM fresh)
 UNION ALL SELECT mbid, ts_utc, round(value, 6) FROM fresh""")

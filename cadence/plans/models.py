@@ -325,8 +325,9 @@ def q_incremental_merge(spark, sf_dir):
     o = td.table(spark, sf_dir, "orders").select(
         td.mbid("o", F.col("o_orderkey") % 5000).alias("mbid"), F.col("o_orderdate").alias("ts_utc"),
         F.col("o_totalprice").alias("value"))
-    target = mg.incremental_merge(None, o.where(F.col("ts_utc") < F.lit(_dt.datetime(1999, 1, 1))), ["mbid"], "ts_utc")
-    return round_doubles(mg.incremental_merge(target, o, ["mbid"], "ts_utc"))
+    target = mg.incremental_merge(None, o.where(F.col("ts_utc") < F.lit(_dt.datetime(1999, 1, 1))), ["mbid"],
+                                  "ts_utc", tiebreak=["value"])
+    return round_doubles(mg.incremental_merge(target, o, ["mbid"], "ts_utc", tiebreak=["value"]))
 
 
 @register("dq_unique")
