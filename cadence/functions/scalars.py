@@ -62,16 +62,9 @@ def try_uuid(col) -> Column:
 
 
 def uuid_from_hex(hex32) -> Column:
-    """Hyphenate 32 hex chars as 8-4-4-4-12."""
-    h = _c(hex32)
-    return F.concat_ws(
-        "-",
-        F.substring(h, 1, 8),
-        F.substring(h, 9, 4),
-        F.substring(h, 13, 4),
-        F.substring(h, 17, 4),
-        F.substring(h, 21, 12),
-    )
+    """Hyphenate 32 hex chars as 8-4-4-4-12 (one expression over one input,
+    so an md5 argument is evaluated once and generated code stays small)."""
+    return F.regexp_replace(_c(hex32), r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
 
 
 def extract_year(col) -> Column:

@@ -193,16 +193,14 @@ def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def artist_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat artist annotation facts: one row per part: artist n = p_partkey % 11,
-    a tag (p_type) and a release date text ('<1990 + p_size % 25>-01-01';
-    sizes over 45 give a malformed date)."""
+    """Flat artist annotation facts: one row per part: artist number
+    n = p_partkey % 11, a tag (p_type) and a release date text
+    ('<1990 + p_size % 25>-01-01'; sizes over 45 give a malformed date)."""
     p = table(spark, sf_dir, "part")
-    n = F.col("p_partkey") % 11
     date_txt = F.when(F.col("p_size") > 45, F.lit("19.5-xx")).otherwise(
         F.concat((F.lit(1990) + F.col("p_size") % 25).cast("string"), F.lit("-01-01")))
     return p.select(
-        mbid("a", n).alias("artist_mbid"),
-        F.concat(F.lit("Artist "), n.cast("string")).alias("artist_name"),
+        (F.col("p_partkey") % 11).alias("n"),
         F.lower(F.col("p_type")).alias("tag"),
         date_txt.alias("release_date"),
     )
@@ -210,23 +208,26 @@ def artist_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def artists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotated artists (ids 0..10; artist 11 is never annotated) with tags
-    ordered by count desc then name, and the active-years timeline."""
+    ordered by count desc then name, and the active-years timeline.
+    Aggregates on the artist number; ids are derived on the result."""
     from cadence.functions.scalars import extract_year, timeline
 
     ann = artist_annotations(spark, sf_dir)
     tags = (
-        ann.groupBy("artist_mbid", "tag").agg(F.count(F.lit(1)).alias("c"))
-        .groupBy("artist_mbid")
+        ann.groupBy("n", "tag").agg(F.count(F.lit(1)).alias("c"))
+        .groupBy("n")
         .agg(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("o"), F.col("tag")))).alias("t"))
-        .select("artist_mbid", F.array_join(F.transform("t", lambda x: x["tag"]), ", ").alias("tags_string"))
+        .select("n", F.array_join(F.transform("t", lambda x: x["tag"]), ", ").alias("tags_string"))
     )
-    base = ann.groupBy("artist_mbid").agg(
-        F.max("artist_name").alias("artist_name"),
+    base = ann.groupBy("n").agg(
         F.min(extract_year("release_date")).alias("_y0"),
         F.max(extract_year("release_date")).alias("_y1"),
     )
-    return base.join(tags, "artist_mbid", "left").select(
-        "artist_mbid", "artist_name", "tags_string", timeline("_y0", "_y1").alias("active_years")
+    return base.join(tags, "n", "left").select(
+        mbid("a", F.col("n")).alias("artist_mbid"),
+        F.concat(F.lit("Artist "), F.col("n").cast("string")).alias("artist_name"),
+        "tags_string",
+        timeline("_y0", "_y1").alias("active_years"),
     )
 
 
