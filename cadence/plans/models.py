@@ -485,3 +485,24 @@ def q_loves_diff(spark, sf_dir):
 @register("playlist_file_counts")
 def q_playlist_file_counts(spark, sf_dir):
     return qu.playlist_file_counts(td.playlist_tracks(spark, sf_dir), td.files(spark, sf_dir))
+
+
+# --- ML: embedding conditioning ----------------------------------------------------------
+
+from cadence.operators import conditioner as cond  # noqa: E402
+
+CONDITIONED_DIMS = 16
+
+
+@register("pca_condition")
+def q_pca_condition(spark, sf_dir):
+    """Fit on successful embeddings, score them; failed files keep NULL."""
+    f = td.files(spark, sf_dir).select("filepath", "embedding_success", "embedding")
+    ok = f.where(F.col("embedding_success"))
+    model = cond.fit(ok, "embedding", CONDITIONED_DIMS)
+    scored = cond.transform(f.withColumn("embedding", F.when(F.col("embedding_success"), F.col("embedding"))), model)
+    return scored.select(
+        "filepath", "embedding_success",
+        F.transform("conditioned_embedding", lambda x: F.round(x, 6)).alias("conditioned_embedding"),
+        F.lit(model.model_id).alias("model_id"),
+    )
