@@ -49,16 +49,14 @@ def try_cast_uuid(col) -> Column:
 
 
 def try_uuid(col) -> Column:
-    """Lenient UUID parse: upper case, braces, urn prefix and missing hyphens
-    are accepted and normalised to canonical lower-case text; else NULL."""
-    s = F.lower(F.trim(_c(col)))
-    s = F.regexp_replace(s, r"^urn:uuid:", "")
-    s = F.regexp_replace(s, r"^\{(.*)\}$", "$1")
-    hexes = F.regexp_replace(s, "-", "")
-    ok = hexes.rlike(r"^[0-9a-f]{32}$") & s.rlike(
-        r"^([0-9a-f]{32}|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$"
-    )
-    return F.when(ok, uuid_from_hex(hexes))
+    """Lenient UUID parse (the rules of Python's ``uuid.UUID(text)``):
+    'urn:' and 'uuid:' removed, surrounding braces stripped, hyphens
+    anywhere ignored, any hex case; 32 hex digits -> canonical lower-case
+    text, else NULL."""
+    s = F.replace(F.replace(_c(col), F.lit("urn:"), F.lit("")), F.lit("uuid:"), F.lit(""))
+    s = F.regexp_replace(s, r"^[{}]+|[{}]+$", "")
+    hexes = F.lower(F.regexp_replace(s, "-", ""))
+    return F.when(hexes.rlike(r"^[0-9a-f]{32}$"), uuid_from_hex(hexes))
 
 
 def uuid_from_hex(hex32) -> Column:

@@ -527,12 +527,12 @@ QUERIES["uuid_year_casts"] = q([], f"""
          CASE WHEN o_orderkey % 7 = 0 THEN '19.5-01-01' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date_text
   FROM orders)
 , n AS (
-  SELECT *, regexp_replace(regexp_replace(lower(trim(raw_id)), '^urn:uuid:', ''), '^\\{{(.*)\\}}$', '\\1') AS s
+  SELECT *, lower(replace(regexp_replace(replace(replace(raw_id, 'urn:', ''), 'uuid:', ''), '^[{{}}]+|[{{}}]+$', '', 'g'), '-', '')) AS s
   FROM t)
 SELECT o_orderkey, raw_id,
        CASE WHEN regexp_full_match(raw_id, '[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}') THEN raw_id END AS strict_uuid,
-       CASE WHEN regexp_full_match(s, '[0-9a-f]{{32}}|[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}')
-            THEN regexp_replace(replace(s, '-', ''), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') END AS lenient_uuid,
+       CASE WHEN regexp_full_match(s, '[0-9a-f]{{32}}')
+            THEN regexp_replace(s, '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') END AS lenient_uuid,
        date_text,
        CASE WHEN regexp_full_match(substr(date_text, 1, 4), '[0-9]{{4}}') THEN CAST(substr(date_text, 1, 4) AS INTEGER) END AS year
 FROM n""")
@@ -988,3 +988,26 @@ QUERIES["playlist_file_counts"] = q(["files"], """
 SELECT a.username, a.filepath, f.track_name, f.album_name, f.artist_name, f.album_artist_name,
        a.playlist_count, a.collection_names
 FROM agg a JOIN files f USING (filepath)""")
+
+
+# --- dump scan / collections ---------------------------------------------------------------
+
+QUERIES["listen_dump_scan"] = q([], f"""
+, j AS (
+  SELECT o_custkey AS user_id, l_linenumber AS n, {mbid('s', 'l_suppkey')} AS a, {mbid('s', 'l_suppkey + 1')} AS b
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
+, ids AS (
+  SELECT user_id, a AS artist_mbid FROM j WHERE n IN (1, 2, 3, 6, 7)
+  UNION ALL SELECT user_id, b FROM j WHERE n = 7)
+SELECT user_id, artist_mbid, count(*) AS listen_count FROM ids GROUP BY 1, 2""")
+
+QUERIES["loved_collection"] = q(["listens", "feedback", "files", "map_file_recording"], SPIKES_GLOBAL + """
+, loves AS (
+  SELECT username, recording_mbid, feedback_at AS love_at FROM feedback
+  UNION ALL SELECT username, recording_mbid, period_start_at_utc FROM spikes)
+, lt AS (
+  SELECT l.username, m.filepath, min(l.love_at) AS love_at
+  FROM loves l JOIN map_file_recording m USING (recording_mbid) GROUP BY 1, 2)
+SELECT lt.username, CAST(row_number() OVER (PARTITION BY lt.username ORDER BY lt.love_at DESC, lt.filepath) - 1 AS INTEGER) AS order_index,
+       lt.filepath, CAST(floor(f.track_length_seconds) AS INTEGER) AS track_length_seconds
+FROM lt JOIN files f USING (filepath)""")

@@ -43,3 +43,32 @@ def flatten_listens(raw: DataFrame) -> DataFrame:
         F.expr("try_cast(trim(d.track_metadata.additional_info.tracknumber) as int)").alias("tracknumber"),
         F.timestamp_seconds(F.col("d.inserted_at")).cast("timestamp_ntz").alias("_lb_insert_ts_utc"),
     )
+
+
+DUMP_LINE_SCHEMA = (
+    "user_id long, track_metadata struct<additional_info:struct<"
+    "artist_mbids:array<string>, artist_mbid:string, lastfm_artist_mbid:string>>"
+)
+
+
+def scan_listen_dump(spark, path: str) -> DataFrame:
+    """JSON-lines listen dump -> one (user_id, artist_mbid) per valid id.
+    A non-empty id list wins (even when none of its ids parse); otherwise a
+    non-empty scalar id; ids parse leniently to canonical text."""
+    from cadence.functions.scalars import try_uuid
+
+    d = spark.read.schema(DUMP_LINE_SCHEMA).json(path)
+    info = F.col("track_metadata.additional_info")
+    lst, one = info["artist_mbids"], info["artist_mbid"]
+    ids = (
+        F.when(F.size(lst) > 0, lst)
+        .when(F.coalesce(one, F.lit("")) != "", F.array(one))
+        .otherwise(F.array().cast("array<string>"))
+    )
+    parsed = F.filter(F.transform(ids, lambda x: try_uuid(x)), lambda x: x.isNotNull())
+    return d.select("user_id", F.explode(parsed).alias("artist_mbid"))
+
+
+def count_pairs(listens: DataFrame) -> DataFrame:
+    """Multiplicity of (user, artist) rows -> listen_count."""
+    return listens.groupBy("user_id", "artist_mbid").agg(F.count(F.lit(1)).alias("listen_count"))

@@ -506,3 +506,29 @@ def q_pca_condition(spark, sf_dir):
         F.transform("conditioned_embedding", lambda x: F.round(x, 6)).alias("conditioned_embedding"),
         F.lit(model.model_id).alias("model_id"),
     )
+
+
+# --- dump scan, collections ------------------------------------------------------------
+
+
+@register("listen_dump_scan")
+def q_listen_dump_scan(spark, sf_dir):
+    return ingest.count_pairs(ingest.scan_listen_dump(spark, td.listen_dump_lines(spark, sf_dir)))
+
+
+def _loved(spark, sf_dir):
+    return act.loved_tracks(td.feedback(spark, sf_dir), sp.track_play_spikes(td.listens(spark, sf_dir)),
+                            file_map(spark, sf_dir))
+
+
+@register("loved_collection")
+def q_loved_collection(spark, sf_dir):
+    return col.loved_collection(_loved(spark, sf_dir), td.files(spark, sf_dir))
+
+
+@register("cull_tracks")
+def q_cull_tracks(spark, sf_dir):
+    g = grain(spark, sf_dir, REVISIT_AS_OF)
+    rc = lc.recording_listen_counts(g, td.recordings(spark, sf_dir), REVISIT_AS_OF)
+    rt = act.revisit_tracks(rc, file_map(spark, sf_dir), td.files(spark, sf_dir))
+    return col.revisit_tracks_collection(rt, td.files(spark, sf_dir))

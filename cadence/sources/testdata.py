@@ -524,3 +524,54 @@ def exclude_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "region")
     return r.select(F.concat(F.lit("lib/"), (F.col("r_regionkey") * 2).cast("string"), F.lit("/00"),
                              F.col("r_regionkey").cast("string")).alias("pattern"))
+
+
+def landed_text(spark: SparkSession, sf_dir: str, name: str, build) -> str:
+    """Like ``landed`` for line-oriented text inputs (JSONL dumps); returns
+    the folder holding the text files."""
+    import hashlib
+    import os
+
+    from cadence.session import checkpoint_dir
+
+    base = checkpoint_dir(spark)
+    key = hashlib.md5(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
+    path = os.path.join(base, "landed", f"{key}-v{LANDED_VERSION}", name)
+    if not os.path.exists(os.path.join(path, "_SUCCESS")):
+        build(spark, sf_dir).write.mode("overwrite").text(path)
+    return path
+
+
+def listen_dump_lines(spark: SparkSession, sf_dir: str) -> str:
+    """A listen dump as JSON lines (one per order line) with every id shape
+    the dump parser meets: id lists, scalar ids, upper case / bare hex /
+    urn-prefixed ids, malformed ids, empty lists and missing ids."""
+    return landed_text(spark, sf_dir, "listen_dump_jsonl", _build_listen_dump_lines)
+
+
+def _build_listen_dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    j = o.join(li, F.col("o_orderkey") == F.col("l_orderkey"))
+    a = mbid("s", F.col("l_suppkey"))
+    b = mbid("s", F.col("l_suppkey") + 1)
+    n = F.col("l_linenumber")
+    arr_t = "array<string>"
+    ids = (
+        F.when(n == 1, F.array(a, F.lit("NOT-A-UUID")))
+        .when(n == 2, F.array(F.upper(F.regexp_replace(a, "-", ""))))
+        .when(n == 3, F.array().cast(arr_t))
+        .when(n == 4, F.array(F.lit("bad")))
+        .when(n == 7, F.array(a, b))
+        .otherwise(F.lit(None).cast(arr_t))
+    )
+    one = (
+        F.when(n.isin(3, 4), a)
+        .when(n == 6, F.concat(F.lit("urn:uuid:"), a))
+        .otherwise(F.lit(None).cast("string"))
+    )
+    doc = F.struct(
+        F.col("o_custkey").alias("user_id"),
+        F.struct(F.struct(ids.alias("artist_mbids"), one.alias("artist_mbid")).alias("additional_info")).alias("track_metadata"),
+    )
+    return j.select(F.to_json(doc).alias("value"))
