@@ -1011,3 +1011,33 @@ QUERIES["loved_collection"] = q(["listens", "feedback", "files", "map_file_recor
 SELECT lt.username, CAST(row_number() OVER (PARTITION BY lt.username ORDER BY lt.love_at DESC, lt.filepath) - 1 AS INTEGER) AS order_index,
        lt.filepath, CAST(floor(f.track_length_seconds) AS INTEGER) AS track_length_seconds
 FROM lt JOIN files f USING (filepath)""")
+
+
+QUERIES["local_files_view"] = q([], f"""
+, m AS (
+  SELECT 'lib/' || CAST(label AS VARCHAR) || '/' || lpad(CAST(vec_id AS VARCHAR), 6, '0') || '.flac' AS filepath,
+         md5('Track ' || CAST(vec_id % 10 AS VARCHAR) || '-Album ' || CAST(vec_id % 25 % 8 AS VARCHAR)
+             || '-Artist ' || CAST(label AS VARCHAR)) AS recording_md5,
+         least(TIMESTAMP '2023-01-01' + to_hours(vec_id), TIMESTAMP '2023-01-01' + to_hours(vec_id * 7 % 1000)) AS created,
+         'Track ' || CAST(vec_id % 10 AS VARCHAR) AS track_name,
+         'Album ' || CAST(vec_id % 25 % 8 AS VARCHAR) AS album_name,
+         'Artist ' || CAST(label AS VARCHAR) AS artist_name,
+         CASE WHEN vec_id % 4 <> 0 THEN 'Artist ' || CAST(vec_id % 13 AS VARCHAR) END AS album_artist_name,
+         CASE WHEN vec_id % 9 = 0 THEN '19.5' ELSE CAST(1990 + vec_id % 30 AS VARCHAR) || '-05-01' END AS track_date,
+         CAST(30 + vec_id % 300 AS DOUBLE) AS track_length_seconds,
+         CASE WHEN vec_id % 11 = 0 THEN NULL ELSE {mbid('r', 'vec_id % 10')} END AS recording_mbid,
+         {mbid('l', 'vec_id % 25')} AS release_mbid,
+         {mbid('g', 'vec_id % 25 % 8')} AS release_group_mbid,
+         {mbid('a', 'label')} AS artist_mbid,
+         CASE WHEN vec_id % 4 <> 0 THEN {mbid('a', 'vec_id % 13')} END AS album_artist_mbid,
+         vec_id
+  FROM embeddings)
+SELECT filepath, recording_md5,
+       CASE WHEN vec_id % 3 = 0 THEN least(TIMESTAMP '2022-06-01' + to_minutes(vec_id), created) ELSE created END AS file_created_at,
+       track_name, album_name, artist_name, album_artist_name, track_date, track_length_seconds,
+       recording_mbid, release_mbid, release_group_mbid, artist_mbid, album_artist_mbid,
+       CASE WHEN regexp_full_match(substr(track_date, 1, 4), '[0-9]{{4}}') THEN CAST(substr(track_date, 1, 4) AS INTEGER) END AS track_year,
+       CASE WHEN vec_id % 37 = 0 THEN false WHEN vec_id % 5 <> 0 THEN true END AS embedding_success,
+       CASE WHEN vec_id % 37 = 0 OR vec_id % 5 <> 0 THEN CAST(least(30 + vec_id % 300, 90) AS INTEGER) END AS embedding_duration_seconds,
+       CASE WHEN vec_id % 37 <> 0 AND vec_id % 5 <> 0 THEN 64 END AS embedding_dims
+FROM m""")

@@ -94,3 +94,50 @@ def file_maps_long(files: DataFrame, nm: DataFrame) -> DataFrame:
         d = df.select(F.lit(ent).alias("entity"), "filepath", F.col(col).alias("mbid"))
         out = d if out is None else out.unionByName(d)
     return out
+
+
+# --- local files view ---------------------------------------------------------------
+
+from cadence.functions.scalars import extract_year  # noqa: E402
+
+
+def local_files_metadata(raw: DataFrame) -> DataFrame:
+    j = F.col("json_data")
+    return raw.select(
+        "filepath",
+        "recording_md5",
+        F.least("file_created_at", "file_modified_at").alias("file_created_at"),
+        json_get(j, "$.title").alias("track_name"),
+        json_get(j, "$.album").alias("album_name"),
+        json_get(j, "$.artist").alias("artist_name"),
+        json_get(j, "$.album_artist").alias("album_artist_name"),
+        json_get(j, "$.date").alias("track_date"),
+        json_get(j, "$.length").cast("double").alias("track_length_seconds"),
+        try_cast_uuid(json_get(j, "$.musicbrainz_trackid")).alias("recording_mbid"),
+        try_cast_uuid(json_get(j, "$.musicbrainz_albumid")).alias("release_mbid"),
+        try_cast_uuid(json_get(j, "$.musicbrainz_releasegroupid")).alias("release_group_mbid"),
+        try_cast_uuid(json_get(j, "$.musicbrainz_artistid")).alias("artist_mbid"),
+        try_cast_uuid(json_get(j, "$.musicbrainz_albumartistid")).alias("album_artist_mbid"),
+    )
+
+
+def local_files_embedding(raw: DataFrame) -> DataFrame:
+    """Embedding runs usable downstream: conditioned, or failed (a success
+    without a conditioned embedding is still waiting for the model)."""
+    return raw.where(F.col("conditioned_embedding").isNotNull() | (F.col("success") == F.lit(False)))
+
+
+def local_files(raw_meta: DataFrame, raw_emb: DataFrame, births: DataFrame) -> DataFrame:
+    """Files with metadata, their usable embedding run and the earliest known
+    creation time (NULL-skipping least of birth and created)."""
+    m = local_files_metadata(raw_meta).withColumn("track_year", extract_year("track_date"))
+    e = local_files_embedding(raw_emb).select(
+        "filepath", F.col("success").alias("embedding_success"),
+        F.col("duration_seconds").alias("embedding_duration_seconds"),
+        F.col("conditioned_embedding").alias("embedding"))
+    return (
+        m.join(e, "filepath", "left")
+        .join(births.select("filepath", "birth_at"), "filepath", "left")
+        .withColumn("file_created_at", F.least("birth_at", "file_created_at"))
+        .drop("birth_at")
+    )

@@ -532,3 +532,10 @@ def q_cull_tracks(spark, sf_dir):
     rc = lc.recording_listen_counts(g, td.recordings(spark, sf_dir), REVISIT_AS_OF)
     rt = act.revisit_tracks(rc, file_map(spark, sf_dir), td.files(spark, sf_dir))
     return col.revisit_tracks_collection(rt, td.files(spark, sf_dir))
+
+
+@register("local_files_view")
+def q_local_files_view(spark, sf_dir):
+    lf = lib.local_files(td.raw_local_files(spark, sf_dir), td.raw_embeddings(spark, sf_dir),
+                         td.birth_timestamps(spark, sf_dir))
+    return lf.withColumn("embedding_dims", F.size("embedding")).drop("embedding")

@@ -575,3 +575,70 @@ def _build_listen_dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.struct(ids.alias("artist_mbids"), one.alias("artist_mbid")).alias("additional_info")).alias("track_metadata"),
     )
     return j.select(F.to_json(doc).alias("value"))
+
+
+# --- local library sources (metadata payloads, embedding runs, birth times) ----------
+
+def _lib_path(v) -> Column:
+    return F.concat(F.lit("lib/"), F.col("label").cast("string"), F.lit("/"), F.lpad(v.cast("string"), 6, "0"),
+                    F.lit(".flac"))
+
+
+def raw_local_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed file metadata: tag documents (JSON) plus file times. Every 9th
+    file has a malformed date, every 11th an upper-case recording id."""
+    return landed(spark, sf_dir, "raw_local_files", _build_raw_local_files)
+
+
+def _build_raw_local_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    v = F.col("vec_id")
+    rec = mbid("r", v % 10)
+    tags = F.struct(
+        F.concat(F.lit("Track "), (v % 10).cast("string")).alias("title"),
+        F.concat(F.lit("Album "), (v % 25 % 8).cast("string")).alias("album"),
+        F.concat(F.lit("Artist "), F.col("label").cast("string")).alias("artist"),
+        F.when(v % 4 != 0, F.concat(F.lit("Artist "), (v % 13).cast("string"))).alias("album_artist"),
+        F.when(v % 9 == 0, F.lit("19.5")).otherwise(
+            F.concat((F.lit(1990) + v % 30).cast("string"), F.lit("-05-01"))).alias("date"),
+        (F.lit(30) + v % 300).cast("string").alias("length"),
+        F.when(v % 11 == 0, F.upper(rec)).otherwise(rec).alias("musicbrainz_trackid"),
+        mbid("l", v % 25).alias("musicbrainz_albumid"),
+        mbid("g", v % 25 % 8).alias("musicbrainz_releasegroupid"),
+        mbid("a", F.col("label")).alias("musicbrainz_artistid"),
+        F.when(v % 4 != 0, mbid("a", v % 13)).alias("musicbrainz_albumartistid"),
+    )
+    t0 = dt.datetime(2023, 1, 1)
+    return e.select(
+        _lib_path(v).alias("filepath"),
+        F.md5(F.concat_ws("-", F.concat(F.lit("Track "), (v % 10).cast("string")),
+                          F.concat(F.lit("Album "), (v % 25 % 8).cast("string")),
+                          F.concat(F.lit("Artist "), F.col("label").cast("string")))).alias("recording_md5"),
+        F.to_json(tags).alias("json_data"),
+        (F.lit(t0) + F.make_dt_interval(hours=v.cast("int"))).cast("timestamp_ntz").alias("file_created_at"),
+        (F.lit(t0) + F.make_dt_interval(hours=(v * 7 % 1000).cast("int"))).cast("timestamp_ntz").alias("file_modified_at"),
+    )
+
+
+def raw_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embedding runs: failed every 37th file; conditioned embedding not yet
+    computed for every 5th file."""
+    e = table(spark, sf_dir, "embeddings")
+    v = F.col("vec_id")
+    ok = v % 37 != 0
+    return e.select(
+        _lib_path(v).alias("filepath"),
+        ok.alias("success"),
+        F.when(~ok, F.lit("decode error")).alias("fail_reason"),
+        F.least(F.lit(30) + v % 300, F.lit(90)).cast("int").alias("duration_seconds"),
+        F.when(ok, F.col("embedding")).alias("embedding"),
+        F.when(ok & (v % 5 != 0), F.col("embedding")).alias("conditioned_embedding"),
+    )
+
+
+def birth_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 3 == 0)
+    v = F.col("vec_id")
+    return e.select(_lib_path(v).alias("filepath"),
+                    (F.lit(dt.datetime(2022, 6, 1)) + F.make_dt_interval(mins=v.cast("int")))
+                    .cast("timestamp_ntz").alias("birth_at"))
