@@ -1041,3 +1041,29 @@ SELECT filepath, recording_md5,
        CASE WHEN vec_id % 37 = 0 OR vec_id % 5 <> 0 THEN CAST(least(30 + vec_id % 300, 90) AS INTEGER) END AS embedding_duration_seconds,
        CASE WHEN vec_id % 37 <> 0 AND vec_id % 5 <> 0 THEN 64 END AS embedding_dims
 FROM m""")
+
+
+QUERIES["play_count_export"] = q(["listens", "releases", "artists", "files", "name_map", "map_file_recording"],
+    recency_base(LISTEN_AS_OF) + _ART_SRC + """
+, ac AS (SELECT b.username, b.artist_mbid AS key, count(*) AS n, min(b.listen_recency_days) AS d
+         FROM base_a b JOIN artists x ON b.artist_mbid = x.artist_mbid GROUP BY 1, 2)
+, rc AS (SELECT b.username, b.release_mbid AS key, count(*) AS n, min(b.listen_recency_days) AS d
+         FROM base b JOIN releases x ON b.release_mbid = x.release_mbid GROUP BY 1, 2)
+, lfm AS (
+  SELECT l.listen_md5, m.filepath, count(*) OVER (PARTITION BY l.listen_md5) AS k
+  FROM listens l JOIN map_file_recording m USING (recording_mbid) WHERE l.recording_mbid IS NOT NULL)
+, fr AS (
+  SELECT m.filepath AS key, CAST(round(sum(1.0 / m.k)) AS BIGINT) AS n, max(l.listen_at_ts_utc) AS last_listen
+  FROM lfm m JOIN listens l USING (listen_md5) GROUP BY 1 HAVING CAST(round(sum(1.0 / m.k)) AS INTEGER) > 0)
+, cat AS (
+  SELECT DISTINCT item_type, key FROM (
+    SELECT 'media_file' AS item_type, filepath AS key FROM files
+    UNION ALL SELECT 'artist', artist_mbid FROM files WHERE artist_mbid IS NOT NULL
+    UNION ALL SELECT 'artist', album_artist_mbid FROM files WHERE album_artist_mbid IS NOT NULL
+    UNION ALL SELECT 'album', release_mbid FROM files WHERE release_mbid IS NOT NULL))
+, u AS (
+  SELECT NULL::VARCHAR AS username, 'media_file' AS item_type, key, n AS play_count, CAST(last_listen AS DATE) AS play_date FROM fr
+  UNION ALL SELECT username, 'artist', key, n, CAST(DATE '2024-01-31' - CAST(d AS INTEGER) AS DATE) FROM ac
+  UNION ALL SELECT username, 'album', key, n, CAST(DATE '2024-01-31' - CAST(d AS INTEGER) AS DATE) FROM rc)
+SELECT u.username, u.item_type, md5(u.item_type || ':' || u.key) AS item_id, CAST(u.play_count AS BIGINT) AS play_count, u.play_date
+FROM u JOIN cat USING (item_type, key)""")

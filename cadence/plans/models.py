@@ -539,3 +539,14 @@ def q_local_files_view(spark, sf_dir):
     lf = lib.local_files(td.raw_local_files(spark, sf_dir), td.raw_embeddings(spark, sf_dir),
                          td.birth_timestamps(spark, sf_dir))
     return lf.withColumn("embedding_dims", F.size("embedding")).drop("embedding")
+
+
+@register("play_count_export")
+def q_play_count_export(spark, sf_dir):
+    files = td.files(spark, sf_dir)
+    g = grain(spark, sf_dir)
+    return qu.play_count_export(
+        act.file_play_rollup(td.listens(spark, sf_dir), file_map(spark, sf_dir)),
+        lc.artist_listen_counts(g, td.artists(spark, sf_dir), AS_OF),
+        lc.release_listen_counts(g, td.releases(spark, sf_dir), AS_OF),
+        qu.media_catalogue(files), AS_OF)

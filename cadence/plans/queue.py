@@ -210,3 +210,40 @@ def playlist_file_counts(tracks: DataFrame, files: DataFrame,
     return agg.join(files.select("filepath", "track_name", "album_name", "artist_name", "album_artist_name"),
                     "filepath").select("username", "filepath", "track_name", "album_name", "artist_name",
                                        "album_artist_name", "playlist_count", "collection_names")
+
+
+def media_catalogue(files: DataFrame) -> DataFrame:
+    """Media-server ids: (item_type, key, item_id) for files (by path), artists
+    and albums (by catalogue id)."""
+    def ids(kind, key):
+        return files.where(F.col(key).isNotNull()).select(
+            F.lit(kind).alias("item_type"), F.col(key).alias("key")).distinct()
+
+    media = files.select(F.lit("media_file").alias("item_type"), F.col("filepath").alias("key"))
+    parts = [media, ids("artist", "artist_mbid"), ids("artist", "album_artist_mbid"), ids("album", "release_mbid")]
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    return u.distinct().withColumn("item_id", F.md5(F.concat_ws(":", "item_type", "key")))
+
+
+def play_count_export(file_rollup: DataFrame, artist_counts: DataFrame, release_counts: DataFrame,
+                      catalogue: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """Play counts for the media server: files (rounded fractional counts,
+    last listen), artists and albums (lifetime counts per user, last listen
+    date = as_of - recency days); ids resolved by join, misses skipped."""
+    day = F.lit(as_of.date())
+    files = file_rollup.select(
+        F.lit(None).cast("string").alias("username"), F.lit("media_file").alias("item_type"),
+        F.col("filepath").alias("key"), F.col("listen_count").cast("long").alias("play_count"),
+        F.to_date("last_listen").alias("play_date"))
+    arts = artist_counts.select(
+        "username", F.lit("artist").alias("item_type"), F.col("artist_mbid").alias("key"),
+        F.col("lifetime_listen_count").alias("play_count"),
+        F.date_sub(day, F.col("listen_recency_days").cast("int")).alias("play_date"))
+    albs = release_counts.select(
+        "username", F.lit("album").alias("item_type"), F.col("release_mbid").alias("key"),
+        F.col("lifetime_listen_count").alias("play_count"),
+        F.date_sub(day, F.col("listen_recency_days").cast("int")).alias("play_date"))
+    return files.unionByName(arts).unionByName(albs).join(catalogue, ["item_type", "key"]).select(
+        "username", "item_type", "item_id", "play_count", "play_date")
