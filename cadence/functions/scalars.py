@@ -187,8 +187,10 @@ def timeline(min_year, max_year) -> Column:
 
 
 def url_safe_b64_json(struct_col) -> Column:
-    """Signature payload: url-safe base64 of the JSON of a struct."""
-    return F.translate(F.base64(F.encode(F.to_json(struct_col), "UTF-8")), "+/", "-_")
+    """Signature payload: url-safe base64 of the JSON of a struct, on one
+    line (Spark's base64 wraps at 76 characters)."""
+    b64 = F.regexp_replace(F.base64(F.encode(F.to_json(struct_col), "UTF-8")), r"[\r\n]", "")
+    return F.translate(b64, "+/", "-_")
 
 
 def parse_url_safe_b64_json(col, schema: str, prefix: str) -> Column:

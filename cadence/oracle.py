@@ -1067,3 +1067,23 @@ QUERIES["play_count_export"] = q(["listens", "releases", "artists", "files", "na
   UNION ALL SELECT username, 'album', key, n, CAST(DATE '2024-01-31' - CAST(d AS INTEGER) AS DATE) FROM rc)
 SELECT u.username, u.item_type, md5(u.item_type || ':' || u.key) AS item_id, CAST(u.play_count AS BIGINT) AS play_count, u.play_date
 FROM u JOIN cat USING (item_type, key)""")
+
+
+QUERIES["ingest_window"] = q(["listens"], """
+, users AS (SELECT DISTINCT 'u' || CAST(c_custkey % 20 AS VARCHAR) AS username FROM customer)
+, last AS (SELECT username, max(listen_at_ts_utc) AS last_listen_at FROM listens GROUP BY 1)
+SELECT u.username, l.last_listen_at, l.last_listen_at - INTERVAL 3 DAY AS from_ts,
+       TIMESTAMP '2024-01-29 12:00:00' AS to_ts,
+       (l.last_listen_at IS NULL OR l.last_listen_at - INTERVAL 3 DAY < TIMESTAMP '2024-01-29 12:00:00') AS valid
+FROM users u LEFT JOIN last l USING (username)""")
+
+QUERIES["signature_roundtrip"] = q([], f"""
+, t AS (SELECT DISTINCT 'pl' || CAST(pn AS VARCHAR) AS pid, pn % 4 AS cid,
+               ['top-artists', 'smart-mix', 'loved-tracks', 'revisit-tracks'][pn % 4 + 1] AS collection_name
+        FROM (SELECT UNNEST([vec_id % 7, (vec_id + 4) % 7 + 7]) AS pn FROM embeddings))
+, p AS (SELECT {mbid('p', 'pid')} AS playlist_id, {mbid('c', 'cid')} AS collection_id, collection_name FROM t)
+SELECT playlist_id, collection_name,
+       CASE WHEN substr(playlist_id, 1, 1) IN ('0', '1', '2', '3', '4') THEN NULL ELSE playlist_id END AS sig_playlist_id,
+       CASE WHEN substr(playlist_id, 1, 1) IN ('0', '1', '2', '3', '4') THEN NULL ELSE collection_id END AS sig_collection_id,
+       CASE WHEN substr(playlist_id, 1, 1) IN ('0', '1', '2', '3', '4') THEN NULL ELSE 0 END AS sig_order_index
+FROM p""")

@@ -550,3 +550,35 @@ def q_play_count_export(spark, sf_dir):
         lc.artist_listen_counts(g, td.artists(spark, sf_dir), AS_OF),
         lc.release_listen_counts(g, td.releases(spark, sf_dir), AS_OF),
         qu.media_catalogue(files), AS_OF)
+
+
+INGEST_TO = _dt.datetime(2024, 1, 29, 12, 0, 0)
+
+
+@register("ingest_window")
+def q_ingest_window(spark, sf_dir):
+    """Per customer-user: where the next listen fetch starts (users u0..u9
+    have listens; extra users from the customer table have none)."""
+    users = td.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("u"), (F.col("c_custkey") % 20).cast("string")).alias("username")).distinct()
+    return qu.ingest_windows(td.listens(spark, sf_dir), users, INGEST_TO)
+
+
+@register("signature_roundtrip")
+def q_signature_roundtrip(spark, sf_dir):
+    """Sign every stored playlist, garble every 3rd comment, parse back."""
+    t = td.playlist_tracks(spark, sf_dir).select("playlist_id", "collection_id", "collection_name").distinct()
+    pl = t.select(
+        td.mbid("c", F.col("collection_id")).alias("collection_id"), td.mbid("p", F.col("playlist_id")).alias("playlist_id"),
+        "collection_name", F.lit(0).alias("collection_order_index"),
+        F.date_format(F.lit(_dt.datetime(2024, 1, 1)), "yyyy-MM-dd'T'HH:mm:ss").alias("playlist_create_at"),
+        F.concat(F.lit("Songs for "), F.col("collection_name")).alias("description"))
+    signed = qu.sign_playlists(pl)
+    garbled = signed.withColumn("comment", F.when(
+        F.substring(F.col("playlist_id"), 1, 1).isin("0", "1", "2", "3", "4"),
+        F.concat(F.col("description"), F.lit(" --- moomoo playlist: ***"))).otherwise(F.col("comment")))
+    p = qu.parse_signatures(garbled)
+    return p.select("playlist_id", "collection_name",
+                    F.col("signature.playlist_id").alias("sig_playlist_id"),
+                    F.col("signature.collection_id").alias("sig_collection_id"),
+                    F.col("signature.collection_order_index").alias("sig_order_index"))

@@ -247,3 +247,40 @@ def play_count_export(file_rollup: DataFrame, artist_counts: DataFrame, release_
         F.date_sub(day, F.col("listen_recency_days").cast("int")).alias("play_date"))
     return files.unionByName(arts).unionByName(albs).join(catalogue, ["item_type", "key"]).select(
         "username", "item_type", "item_id", "play_count", "play_date")
+
+
+SIGNATURE_PREFIX = " --- moomoo playlist:"
+SIGNATURE_SCHEMA = ("collection_id string, playlist_id string, collection_name string, "
+                    "collection_order_index int, playlist_create_at string")
+
+
+def sign_playlists(playlists: DataFrame, description: str = "description") -> DataFrame:
+    """Append the signature comment (prefix + url-safe base64 JSON) to each
+    playlist's description."""
+    from cadence.functions.scalars import url_safe_b64_json
+
+    payload = F.struct("collection_id", "playlist_id", "collection_name", "collection_order_index",
+                       "playlist_create_at")
+    return playlists.withColumn(
+        "comment", F.concat(F.coalesce(F.col(description), F.lit("")), F.lit(SIGNATURE_PREFIX), url_safe_b64_json(payload)))
+
+
+def parse_signatures(df: DataFrame, comment: str = "comment") -> DataFrame:
+    """Decode signatures from comments; NULL when absent or garbled."""
+    import re
+
+    from cadence.functions.scalars import parse_url_safe_b64_json
+
+    sig = parse_url_safe_b64_json(F.col(comment), SIGNATURE_SCHEMA, re.escape(SIGNATURE_PREFIX) + r"\s*")
+    return df.withColumn("signature", F.when(F.col(comment).contains(SIGNATURE_PREFIX), sig))
+
+
+def ingest_windows(listens: DataFrame, users: DataFrame, to_ts: dt.datetime, buffer_days: int = 3) -> DataFrame:
+    """Per user: fetch window (last stored listen - buffer, to_ts]; users
+    without listens start from the beginning (NULL). Windows that are not
+    increasing are flagged invalid."""
+    last = listens.groupBy("username").agg(F.max("listen_at_ts_utc").alias("last_listen_at"))
+    frm = F.col("last_listen_at") - F.expr(f"INTERVAL {int(buffer_days)} DAYS")
+    return users.join(last, "username", "left").select(
+        "username", "last_listen_at", frm.alias("from_ts"), F.lit(to_ts).cast("timestamp_ntz").alias("to_ts"),
+        (frm.isNull() | (frm < F.lit(to_ts))).alias("valid"))
