@@ -1087,3 +1087,33 @@ SELECT playlist_id, collection_name,
        CASE WHEN substr(playlist_id, 1, 1) IN ('0', '1', '2', '3', '4') THEN NULL ELSE collection_id END AS sig_collection_id,
        CASE WHEN substr(playlist_id, 1, 1) IN ('0', '1', '2', '3', '4') THEN NULL ELSE 0 END AS sig_order_index
 FROM p""")
+
+
+QUERIES["revisit_release_playlists"] = q(["listens", "releases", "release_groups", "files", "name_map"], _RR + f"""
+, k AS (
+  SELECT rr.*, -(revisit_score - max(revisit_score) OVER (PARTITION BY username))
+           - ln(-ln({uniform_sql("'0|' || username || '|' || release_group_mbid")})) AS g
+  FROM rr)
+, sampled AS (
+  SELECT * FROM (SELECT k.*, row_number() OVER (PARTITION BY username ORDER BY g DESC, username, release_group_mbid) AS rn FROM k)
+  WHERE rn <= 5)
+, rgm AS (
+  SELECT DISTINCT filepath, release_group_mbid FROM (
+    SELECT f.filepath, m.release_group_mbid FROM files f JOIN name_map m USING (recording_md5) WHERE m.release_group_mbid IS NOT NULL
+    UNION SELECT filepath, release_group_mbid FROM files WHERE release_group_mbid IS NOT NULL))
+, j AS (
+  SELECT s.username, s.release_group_mbid, s.release_group_title, s.artist_name, f.filepath, f.recording_mbid,
+         f.release_mbid, f.artist_mbid, coalesce(f.album_artist_mbid, f.artist_mbid) AS album_artist_mbid,
+         CAST(floor(f.track_length_seconds) AS INTEGER) AS track_length_seconds
+  FROM sampled s JOIN rgm USING (release_group_mbid) JOIN files f ON f.filepath = rgm.filepath)
+, have AS (
+  SELECT username, release_group_mbid,
+         row_number() OVER (PARTITION BY username ORDER BY artist_name, release_group_title, release_group_mbid) AS playlist_index
+  FROM (SELECT DISTINCT username, release_group_mbid, release_group_title, artist_name FROM j))
+SELECT j.username, CAST(h.playlist_index AS INTEGER) AS playlist_index,
+       'Revisit Release ' || CAST(h.playlist_index AS VARCHAR) AS title,
+       'Revisit: ' || j.release_group_title || ' - ' || j.artist_name AS description,
+       CAST(row_number() OVER (PARTITION BY j.username, j.release_group_mbid ORDER BY j.filepath) - 1 AS INTEGER) AS order_index,
+       j.filepath, j.recording_mbid, j.release_mbid, j.release_group_mbid, j.artist_mbid, j.album_artist_mbid,
+       j.track_length_seconds
+FROM j JOIN have h USING (username, release_group_mbid)""")

@@ -582,3 +582,35 @@ def q_signature_roundtrip(spark, sf_dir):
                     F.col("signature.playlist_id").alias("sig_playlist_id"),
                     F.col("signature.collection_id").alias("sig_collection_id"),
                     F.col("signature.collection_order_index").alias("sig_order_index"))
+
+
+@register("revisit_release_playlists")
+def q_revisit_release_playlists(spark, sf_dir):
+    g = grain(spark, sf_dir, REVISIT_AS_OF)
+    rr = act.revisit_releases(lc.release_group_listen_counts(g, td.release_groups(spark, sf_dir), REVISIT_AS_OF))
+    sampled = col.sample_revisit_releases(rr, count=5)
+    files = td.files(spark, sf_dir)
+    return col.release_track_playlists(sampled, lib.map_file_release_group(files, name_map(spark, sf_dir)), files)
+
+
+@register("top_artists_playlists")
+def q_top_artists_playlists(spark, sf_dir):
+    """Per user: top artists (lifetime history) sampled; per artist a
+    playlist seeded from the artist's files (entity-routed lookup)."""
+    from cadence.operators.sets import symmetrise as _sym
+    from cadence.plans.playlists import _file_counts, playlist_from_files
+
+    files, nm = td.files(spark, sf_dir), name_map(spark, sf_dir)
+    ac = lc.artist_listen_counts(grain(spark, sf_dir), td.artists(spark, sf_dir), AS_OF)
+    top = col.sample_top_artists(ac, "lifetime", count=15)
+    requests = top.select(F.concat_ws(":", "username", "artist_mbid").alias("playlist_id"), "username",
+                          F.col("artist_mbid").alias("mbid"), "artist_name")
+    universe = col.mbid_universe(td.listens(spark, sf_dir), files, nm, similar_activity(spark, sf_dir),
+                                 td.releases(spark, sf_dir), td.feedback(spark, sf_dir))
+    # bounded (playlists x 100 sources) and read by several consumers
+    sources = col.files_for_mbids(requests.drop("artist_name"), universe, lib.file_maps_long(files, nm)).cache()
+    fc = _file_counts(spark, sf_dir).cache()
+    out = playlist_from_files(files, sources, _sym(td.cf_scores(spark, sf_dir)), fc, limit=20, seed_count=1,
+                              recency_fac=0.5)
+    desc = requests.select("playlist_id", F.concat(F.lit("Songs like "), F.col("artist_name")).alias("description"))
+    return out.join(desc, "playlist_id").withColumn("match_distance", F.round("match_distance", 6))
