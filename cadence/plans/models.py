@@ -614,3 +614,27 @@ def q_top_artists_playlists(spark, sf_dir):
                               recency_fac=0.5)
     desc = requests.select("playlist_id", F.concat(F.lit("Songs like "), F.col("artist_name")).alias("description"))
     return out.join(desc, "playlist_id").withColumn("match_distance", F.round("match_distance", 6))
+
+
+# --- smart mixes ---------------------------------------------------------------------------
+
+
+def _smart_mix(spark, sf_dir):
+    from cadence.plans import smart_mix as sm
+    from cadence.plans.playlists import _file_counts
+
+    files = td.files(spark, sf_dir)
+    tracks = sm.clusterable_tracks(_file_counts(spark, sf_dir), _loved(spark, sf_dir), files)
+    return sm.smart_mix_clusters(tracks, symmetrise(td.cf_scores(spark, sf_dir)))
+
+
+@register("smart_mix_clusters")
+def q_smart_mix_clusters(spark, sf_dir):
+    membership, _ = _smart_mix(spark, sf_dir)
+    return membership
+
+
+@register("cluster_stats")
+def q_cluster_stats(spark, sf_dir):
+    _, stats = _smart_mix(spark, sf_dir)
+    return round_doubles(stats.drop("label"))
