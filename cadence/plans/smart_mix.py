@@ -45,8 +45,12 @@ def smart_mix_clusters(tracks: DataFrame, cf: DataFrame | None, max_clusters: in
                        min_tracks: int = MIN_TRACKS) -> tuple[DataFrame, DataFrame]:
     """(membership, stats) of the kept clusters per user. Users with at most
     ``min_tracks`` tracks get none."""
+    from cadence.session import checkpoint_dir
+
+    checkpoint_dir(tracks.sparkSession)
     n = tracks.groupBy("username").agg(F.count(F.lit(1)).alias("_n"))
-    t = downsample(tracks.join(n.where(F.col("_n") > min_tracks).select("username"), "username"))
+    # the clustering makes several passes over the sample: materialise it once
+    t = downsample(tracks.join(n.where(F.col("_n") > min_tracks).select("username"), "username")).checkpoint()
     labels = cl.hdbscan_labels(t, cf).where(F.col("label") >= 0)
     members = t.join(labels, ["username", "filepath"])
     stats = members.groupBy("username", "label").agg(
