@@ -1117,3 +1117,20 @@ SELECT j.username, CAST(h.playlist_index AS INTEGER) AS playlist_index,
        j.filepath, j.recording_mbid, j.release_mbid, j.release_group_mbid, j.artist_mbid, j.album_artist_mbid,
        j.track_length_seconds
 FROM j JOIN have h USING (username, release_group_mbid)""")
+
+
+QUERIES["collection_registry"] = q(["listens"], """
+, existing AS (
+  SELECT 'coll-' || CAST(c_custkey AS VARCHAR) AS collection_name, 'u' || CAST(c_custkey % 10 AS VARCHAR) AS username,
+         CASE WHEN c_custkey % 5 = 0 THEN []::INTEGER[] ELSE [c_nationkey % 24, (c_nationkey + 12) % 24] END AS hours,
+         CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE TIMESTAMP '2024-05-18 12:00:00' - to_hours(c_custkey % 48) END AS refreshed_at_utc
+  FROM customer)
+, defs AS (SELECT * FROM (VALUES ('loved-tracks', NULL::INTEGER[]), ('revisit-tracks', NULL::INTEGER[]),
+                                 ('revisit-releases', [7]), ('smart-mixes', [7]), ('top-artists', [7])) d(collection_name, hours))
+, want AS (SELECT d.collection_name, u.username, d.hours, NULL::TIMESTAMP AS refreshed_at_utc
+           FROM (SELECT DISTINCT username FROM listens) u CROSS JOIN defs d)
+, merged AS (
+  SELECT * FROM existing
+  UNION ALL SELECT * FROM want w WHERE NOT EXISTS (
+    SELECT 1 FROM existing e WHERE e.username = w.username AND e.collection_name = w.collection_name))
+SELECT collection_name, username, array_to_string(hours, ',') AS refresh_at_hours_utc, refreshed_at_utc FROM merged""")

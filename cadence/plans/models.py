@@ -638,3 +638,10 @@ def q_smart_mix_clusters(spark, sf_dir):
 def q_cluster_stats(spark, sf_dir):
     _, stats = _smart_mix(spark, sf_dir)
     return round_doubles(stats.drop("label"))
+
+
+@register("collection_registry")
+def q_collection_registry(spark, sf_dir):
+    users = td.listens(spark, sf_dir).select("username").distinct()
+    return qu.create_collections(users, td.collections(spark, sf_dir)).withColumn(
+        "refresh_at_hours_utc", F.array_join(F.transform("refresh_at_hours_utc", lambda h: h.cast("string")), ","))

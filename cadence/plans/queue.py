@@ -284,3 +284,47 @@ def ingest_windows(listens: DataFrame, users: DataFrame, to_ts: dt.datetime, buf
     return users.join(last, "username", "left").select(
         "username", "last_listen_at", frm.alias("from_ts"), F.lit(to_ts).cast("timestamp_ntz").alias("to_ts"),
         (frm.isNull() | (frm < F.lit(to_ts))).alias("valid"))
+
+
+# Collection names and refresh hours (UTC) per collection.
+COLLECTION_REFRESH_HOURS = {
+    "loved-tracks": None,
+    "revisit-tracks": None,
+    "revisit-releases": [7],
+    "smart-mixes": [7],
+    "top-artists": [7],
+}
+
+
+def create_collections(users: DataFrame, existing: DataFrame, replace: bool = False) -> DataFrame:
+    """Every user gets the five collections; existing ones are kept unless
+    ``replace`` (then they are recreated, unrefreshed, with the default hours)."""
+    from cadence.operators.merge import insert_absent, upsert
+
+    spark = users.sparkSession
+    defs = spark.createDataFrame(
+        [(n, h) for n, h in COLLECTION_REFRESH_HOURS.items()], "collection_name string, refresh_at_hours_utc array<int>")
+    want = users.select("username").distinct().join(F.broadcast(defs), how="cross").select(
+        "collection_name", "username", "refresh_at_hours_utc",
+        F.lit(None).cast("timestamp_ntz").alias("refreshed_at_utc"))
+    key = ["username", "collection_name"]
+    if replace:
+        return upsert(existing.select(*want.columns), want, key)
+    return insert_absent(existing.select(*want.columns), want, key)
+
+
+def replace_playlists(stored: DataFrame, new: DataFrame, collections: DataFrame, now: dt.datetime,
+                      force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Swap in new playlists for collections that are stale (or forced):
+    their stored tracks are replaced as a group and refreshed_at is
+    stamped. Returns (tracks, collections)."""
+    from cadence.operators.merge import replace_groups, update_column
+
+    key = ["username", "collection_name"]
+    st = stale_collections(collections, now)
+    gate = st if force else st.where(F.col("is_stale"))
+    chosen = new.select(*key).distinct().join(gate.select(*key), key, "left_semi")
+    tracks = replace_groups(stored, new.join(chosen, key, "left_semi").select(*stored.columns), key, groups=chosen)
+    stamped = update_column(collections, chosen.withColumn("refreshed_at_utc", F.lit(now).cast("timestamp_ntz")),
+                            key, "refreshed_at_utc")
+    return tracks, stamped

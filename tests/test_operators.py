@@ -105,3 +105,36 @@ def test_symmetrise_diagonal_once(spark):
     cf = spark.createDataFrame([("a", "a", 1.0), ("a", "b", 0.5)], "artist_mbid_a string, artist_mbid_b string, score_value double")
     got = sorted((r.artist_mbid_a, r.artist_mbid_b) for r in symmetrise(cf).collect())
     assert got == [("a", "a"), ("a", "b"), ("b", "a")]
+
+
+def test_replace_playlists_only_stale_or_forced(spark):
+    from cadence.plans import queue as qu
+
+    now = dt.datetime(2024, 5, 18, 12, 0, 0)
+    coll = spark.createDataFrame(
+        [("u", "fresh", [6, 18], dt.datetime(2024, 5, 18, 7)), ("u", "stale", [6, 18], dt.datetime(2024, 5, 18, 5)),
+         ("u", "never", [6], None)],
+        "username string, collection_name string, refresh_at_hours_utc array<int>, refreshed_at_utc timestamp_ntz")
+    stored = spark.createDataFrame([("u", c, 0, "old") for c in ["fresh", "stale", "never"]],
+                                   "username string, collection_name string, order_index int, filepath string")
+    new = spark.createDataFrame([("u", c, 0, "new") for c in ["fresh", "stale", "never"]], stored.schema)
+    tracks, stamped = qu.replace_playlists(stored, new, coll, now)
+    got = {r.collection_name: r.filepath for r in tracks.collect()}
+    assert got == {"fresh": "old", "stale": "new", "never": "new"}
+    st = {r.collection_name: r.refreshed_at_utc for r in stamped.collect()}
+    assert st["stale"] == now and st["fresh"] == dt.datetime(2024, 5, 18, 7)
+    forced, _ = qu.replace_playlists(stored, new, coll, now, force=True)
+    assert {r.filepath for r in forced.collect()} == {"new"}
+
+
+def test_staleness_targets(spark):
+    from cadence.plans import queue as qu
+
+    coll = spark.createDataFrame([("c", "u", [6, 18], None)],
+                                 "collection_name string, username string, refresh_at_hours_utc array<int>, "
+                                 "refreshed_at_utc timestamp_ntz")
+    for now, want in [(dt.datetime(2024, 5, 18, 12), dt.datetime(2024, 5, 18, 6)),
+                      (dt.datetime(2024, 5, 18, 0), dt.datetime(2024, 5, 17, 18)),
+                      (dt.datetime(2024, 5, 18, 21), dt.datetime(2024, 5, 18, 18)),
+                      (dt.datetime(2024, 5, 18, 6), dt.datetime(2024, 5, 18, 6))]:
+        assert qu.stale_collections(coll, now).first().refresh_target == want
