@@ -1134,3 +1134,18 @@ QUERIES["collection_registry"] = q(["listens"], """
   UNION ALL SELECT * FROM want w WHERE NOT EXISTS (
     SELECT 1 FROM existing e WHERE e.username = w.username AND e.collection_name = w.collection_name))
 SELECT collection_name, username, array_to_string(hours, ',') AS refresh_at_hours_utc, refreshed_at_utc FROM merged""")
+
+
+QUERIES["entity_dump_scan"] = q([], f"""
+, p AS (SELECT p_partkey AS k, p_partkey // 300 AS packet FROM part WHERE p_partkey % 13 <> 0)
+, e AS (SELECT k, packet, {ent('packet')} AS entity FROM p)
+, c AS (
+  SELECT k, list_sort(CASE
+      WHEN entity = 'release-group' THEN ['artist:' || {mbid('a', 'k % 11')}, 'artist:' || {mbid('a', '(k + 1) % 11')}]
+      WHEN entity = 'release' THEN ['release-group:' || {mbid('g', 'k % 50')}, 'artist:' || {mbid('a', 'k % 11')},
+                                   'artist:' || {mbid('a', '(k + 1) % 11')}]
+      ELSE []::VARCHAR[] END) AS cl
+  FROM e)
+SELECT 'mb-' || CAST(e.packet AS VARCHAR) AS slug, CAST(e.packet AS BIGINT) AS packet_number, e.entity,
+       {mbid('p', 'e.k')} AS mbid, CAST(len(c.cl) AS INTEGER) AS n_containers, array_to_string(c.cl, ',') AS containers
+FROM e JOIN c USING (k)""")

@@ -72,3 +72,65 @@ def scan_listen_dump(spark, path: str) -> DataFrame:
 def count_pairs(listens: DataFrame) -> DataFrame:
     """Multiplicity of (user, artist) rows -> listen_count."""
     return listens.groupBy("user_id", "artist_mbid").agg(F.count(F.lit(1)).alias("listen_count"))
+
+
+OBJECT_SCHEMA = (
+    "id string, `artist-credit` array<struct<artist:struct<id:string>>>, `release-group` struct<id:string>"
+)
+ENTITY_BY_PACKET = ["artist", "release", "release-group", "recording"]
+
+
+def split_concatenated_json(lines: DataFrame, text_col: str = "value") -> DataFrame:
+    """Whitespace-separated JSON objects (several per line) -> one row per
+    object text (only objects carrying an ``id``). Python's raw decoder does
+    the splitting per Arrow batch; parsing stays in Spark."""
+    import json
+
+    import pandas as pd
+
+    others = [c for c in lines.columns if c != text_col]
+    schema = lines.select(*others).schema.add("obj", "string")
+
+    def fn(batches):
+        dec = json.JSONDecoder()
+        for pdf in batches:
+            rows = []
+            for rec in pdf.itertuples(index=False):
+                s = getattr(rec, text_col) or ""
+                i, n = 0, len(s)
+                while i < n:
+                    while i < n and s[i].isspace():
+                        i += 1
+                    if i >= n:
+                        break
+                    try:
+                        o, j = dec.raw_decode(s, i)
+                    except ValueError:
+                        break
+                    if isinstance(o, dict) and "id" in o:
+                        rows.append([getattr(rec, c) for c in others] + [s[i:j]])
+                    i = j
+            yield pd.DataFrame(rows, columns=others + ["obj"])
+
+    return lines.mapInPandas(fn, schema)
+
+
+def scan_entity_dump(spark, path: str) -> DataFrame:
+    """Dump packets -> (slug, packet_number, entity, mbid, containers): the
+    slug comes from the file path; containers are the release group and
+    credited artists of releases, the credited artists of release groups."""
+    raw = spark.read.text(path).select(
+        F.regexp_extract(F.col("_metadata.file_path"), r"slug=([^/]+)", 1).alias("slug"), "value")
+    objs = split_concatenated_json(raw)
+    packet = F.regexp_extract("slug", r"(\d+)$", 1).cast("long")
+    ent = F.element_at(F.array(*[F.lit(e) for e in ENTITY_BY_PACKET]), (packet % 4 + 1).cast("int"))
+    d = objs.select("slug", packet.alias("packet_number"), ent.alias("entity"), F.from_json("obj", OBJECT_SCHEMA).alias("o"))
+    artists = F.transform(F.coalesce(F.col("o.`artist-credit`"), F.array()),
+                          lambda c: F.struct(c["artist"]["id"].alias("mbid"), F.lit("artist").alias("entity")))
+    group = F.array(F.struct(F.col("o.`release-group`.id").alias("mbid"), F.lit("release-group").alias("entity")))
+    containers = (
+        F.when(F.col("entity") == "release-group", artists)
+        .when(F.col("entity") == "release", F.concat(group, artists))
+        .otherwise(F.array().cast("array<struct<mbid:string,entity:string>>"))
+    )
+    return d.select("slug", "packet_number", "entity", F.col("o.id").alias("mbid"), containers.alias("containers"))

@@ -645,3 +645,11 @@ def q_collection_registry(spark, sf_dir):
     users = td.listens(spark, sf_dir).select("username").distinct()
     return qu.create_collections(users, td.collections(spark, sf_dir)).withColumn(
         "refresh_at_hours_utc", F.array_join(F.transform("refresh_at_hours_utc", lambda h: h.cast("string")), ","))
+
+
+@register("entity_dump_scan")
+def q_entity_dump_scan(spark, sf_dir):
+    d = ingest.scan_entity_dump(spark, td.entity_dump_files(spark, sf_dir))
+    return d.select("slug", "packet_number", "entity", "mbid", F.size("containers").alias("n_containers"),
+                    F.array_join(F.array_sort(F.transform("containers", lambda c: F.concat(c["entity"], F.lit(":"), c["mbid"]))),
+                                 ",").alias("containers"))

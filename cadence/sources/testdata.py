@@ -642,3 +642,43 @@ def birth_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(_lib_path(v).alias("filepath"),
                     (F.lit(dt.datetime(2022, 6, 1)) + F.make_dt_interval(mins=v.cast("int")))
                     .cast("timestamp_ntz").alias("birth_at"))
+
+
+def entity_dump_files(spark: SparkSession, sf_dir: str) -> str:
+    """Entity dump packets as text files, one folder per slug
+    (slug=mb-<packet>), several JSON objects concatenated on each line; every
+    13th object lacks an id."""
+    return landed_text_partitioned(spark, sf_dir, "entity_dump_packets", _build_entity_dump_lines, "slug")
+
+
+def landed_text_partitioned(spark: SparkSession, sf_dir: str, name: str, build, part_col: str) -> str:
+    import hashlib
+    import os
+
+    from cadence.session import checkpoint_dir
+
+    base = checkpoint_dir(spark)
+    key = hashlib.md5(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
+    path = os.path.join(base, "landed", f"{key}-v{LANDED_VERSION}", name)
+    if not os.path.exists(os.path.join(path, "_SUCCESS")):
+        build(spark, sf_dir).write.mode("overwrite").partitionBy(part_col).text(path)
+    return path
+
+
+def _build_entity_dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey")
+    k = F.col("p_partkey")
+    packet = (k / 300).cast("long")
+    ent = _entity(packet)
+    credits = F.array(F.struct(F.struct(mbid("a", k % 11).alias("id")).alias("artist")),
+                      F.struct(F.struct(mbid("a", (k + 1) % 11).alias("id")).alias("artist")))
+    obj = F.when(k % 13 == 0, F.lit('{"junk": 1}')).otherwise(F.to_json(F.struct(
+        mbid("p", k).alias("id"),
+        F.when(ent.isin("release", "release-group"), credits).alias("artist-credit"),
+        F.when(ent == "release", F.struct(mbid("g", k % 50).alias("id"))).alias("release-group"),
+    )))
+    lines = p.select(F.concat(F.lit("mb-"), packet.cast("string")).alias("slug"), (k / 3).cast("long").alias("line"),
+                     k, obj.alias("obj"))
+    return lines.groupBy("slug", "line").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "obj"))), lambda x: x["obj"]),
+                     "  ").alias("value")).select("slug", "value")
