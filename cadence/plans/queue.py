@@ -301,11 +301,14 @@ def create_collections(users: DataFrame, existing: DataFrame, replace: bool = Fa
     ``replace`` (then they are recreated, unrefreshed, with the default hours)."""
     from cadence.operators.merge import insert_absent, upsert
 
-    spark = users.sparkSession
-    defs = spark.createDataFrame(
-        [(n, h) for n, h in COLLECTION_REFRESH_HOURS.items()], "collection_name string, refresh_at_hours_utc array<int>")
-    want = users.select("username").distinct().join(F.broadcast(defs), how="cross").select(
-        "collection_name", "username", "refresh_at_hours_utc",
+    defs = F.array(*[
+        F.struct(F.lit(n).alias("collection_name"),
+                 (F.array(*[F.lit(x) for x in h]) if h is not None else F.lit(None)).cast("array<int>")
+                 .alias("refresh_at_hours_utc"))
+        for n, h in COLLECTION_REFRESH_HOURS.items()])
+    want = users.select("username").distinct().select("username", F.explode(defs).alias("d")).select(
+        F.col("d.collection_name").alias("collection_name"), "username",
+        F.col("d.refresh_at_hours_utc").alias("refresh_at_hours_utc"),
         F.lit(None).cast("timestamp_ntz").alias("refreshed_at_utc"))
     key = ["username", "collection_name"]
     if replace:
