@@ -1149,3 +1149,49 @@ QUERIES["entity_dump_scan"] = q([], f"""
 SELECT 'mb-' || CAST(e.packet AS VARCHAR) AS slug, CAST(e.packet AS BIGINT) AS packet_number, e.entity,
        {mbid('p', 'e.k')} AS mbid, CAST(len(c.cl) AS INTEGER) AS n_containers, array_to_string(c.cl, ',') AS containers
 FROM e JOIN c USING (k)""")
+
+
+_PARENTS = """
+, parents AS (
+  SELECT slug, max(dump_date) AS dump_date,
+         CAST(max(dump_date) AS TIMESTAMP) + to_hours(CAST(count(*) % 5 AS INTEGER)) AS ftp_modify_ts
+  FROM dump_records GROUP BY slug)"""
+
+QUERIES["retention_drop"] = q(["dump_records"], _PARENTS + """
+SELECT slug, count(*) AS n_records, CAST(sum(listen_count) AS BIGINT) AS listens
+FROM dump_records WHERE slug IN (SELECT slug FROM parents WHERE dump_date >= DATE '1996-08-01')
+GROUP BY slug""")
+
+QUERIES["new_or_modified"] = q(["dump_records"], _PARENTS + """
+, known AS (
+  SELECT slug, CASE WHEN dayofmonth(dump_date) % 2 = 0 THEN ftp_modify_ts - INTERVAL 1 HOUR ELSE ftp_modify_ts END AS stored
+  FROM parents WHERE dump_date < DATE '2000-01-01')
+SELECT p.slug, p.dump_date, p.ftp_modify_ts, k.stored IS NULL AS is_new
+FROM parents p LEFT JOIN known k USING (slug)
+WHERE k.stored IS NULL OR p.ftp_modify_ts > k.stored""")
+
+QUERIES["column_update"] = q([], """
+SELECT 'lib/' || CAST(label AS VARCHAR) || '/' || lpad(CAST(vec_id AS VARCHAR), 6, '0') || '.flac' AS filepath,
+       vec_id % 37 <> 0 AS success,
+       CASE WHEN label <> 3 AND vec_id % 37 <> 0 AND vec_id % 5 <> 0 THEN 64 END AS conditioned_dims
+FROM embeddings""")
+
+QUERIES["key_set_checks"] = q(["artists"], SIMILAR_CTE + """
+, known AS (SELECT DISTINCT artist_mbid FROM artists)
+, dump AS (SELECT DISTINCT mbid AS artist_mbid FROM sua WHERE entity = 'artist')
+SELECT artist_mbid, 'both' AS side FROM (SELECT * FROM known INTERSECT SELECT * FROM dump)
+UNION ALL SELECT artist_mbid, 'known_only' FROM (SELECT * FROM known EXCEPT SELECT * FROM dump)
+UNION ALL SELECT artist_mbid, 'dump_only' FROM (SELECT * FROM dump EXCEPT SELECT * FROM known)""")
+
+QUERIES["first_per_key"] = q(["listens"], """
+SELECT username, recording_mbid, listen_md5, listen_at_ts_utc FROM (
+  SELECT *, row_number() OVER (PARTITION BY username, recording_mbid ORDER BY listen_at_ts_utc, listen_md5) AS rn
+  FROM listens) WHERE rn = 1""")
+
+QUERIES["path_and_flags"] = q(["files"], """
+SELECT filepath,
+       CASE WHEN starts_with(filepath, 'lib/') THEN substr(filepath, 5) ELSE filepath END AS relative,
+       '/music/' || CASE WHEN starts_with(filepath, 'lib/') THEN substr(filepath, 5) ELSE filepath END AS absolute,
+       ['1', 'TRUE', ' true ', '0', 'no'][vec_id % 5 + 1] AS flag_text,
+       lower(trim(['1', 'TRUE', ' true ', '0', 'no'][vec_id % 5 + 1])) IN ('1', 'true') AS flag
+FROM files""")

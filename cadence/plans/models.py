@@ -653,3 +653,89 @@ def q_entity_dump_scan(spark, sf_dir):
     return d.select("slug", "packet_number", "entity", "mbid", F.size("containers").alias("n_containers"),
                     F.array_join(F.array_sort(F.transform("containers", lambda c: F.concat(c["entity"], F.lit(":"), c["mbid"]))),
                                  ",").alias("containers"))
+
+
+# --- maintenance: retention, new-or-modified gate, column update, key sets ----------------
+
+RETENTION_CUTOFF = _dt.date(1996, 8, 1)
+
+
+def _dump_parents(spark, sf_dir):
+    """Listen dumps (slug, date, remote modify time)."""
+    r = td.dump_records(spark, sf_dir)
+    return r.groupBy("slug").agg(F.max("dump_date").alias("dump_date"),
+                                 F.count(F.lit(1)).alias("_n")).select(
+        "slug", "dump_date",
+        (F.col("dump_date").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("_n") % 5).cast("int")))
+        .alias("ftp_modify_ts"))
+
+
+@register("retention_drop")
+def q_retention_drop(spark, sf_dir):
+    parents, children = mg.retention(_dump_parents(spark, sf_dir), td.dump_records(spark, sf_dir), "slug",
+                                     "dump_date", RETENTION_CUTOFF)
+    return children.groupBy("slug").agg(F.count(F.lit(1)).alias("n_records"), F.sum("listen_count").alias("listens"))
+
+
+@register("new_or_modified")
+def q_new_or_modified(spark, sf_dir):
+    """Remote dumps to (re)load: unknown locally, or modified since stored.
+    Known = dumps before 2000; stored modify time is an hour older for
+    slugs whose day-of-month is even."""
+    remote = _dump_parents(spark, sf_dir)
+    known = remote.where(F.col("dump_date") < F.lit(_dt.date(2000, 1, 1))).select(
+        "slug", F.when(F.dayofmonth("dump_date") % 2 == 0, F.col("ftp_modify_ts") - F.expr("INTERVAL 1 HOUR"))
+        .otherwise(F.col("ftp_modify_ts")).alias("stored_modify_ts"))
+    j = remote.join(known, "slug", "left")
+    return j.where(F.col("stored_modify_ts").isNull() | (F.col("ftp_modify_ts") > F.col("stored_modify_ts"))).select(
+        "slug", "dump_date", "ftp_modify_ts", F.col("stored_modify_ts").isNull().alias("is_new"))
+
+
+@register("column_update")
+def q_column_update(spark, sf_dir):
+    """Null out the conditioned embedding of listed files (label 3), keep the rest."""
+    emb = td.raw_embeddings(spark, sf_dir)
+    listed = td.files(spark, sf_dir).where(F.col("label") == 3).select(
+        "filepath", F.lit(None).cast("array<float>").alias("conditioned_embedding"))
+    out = mg.update_column(emb, listed, ["filepath"], "conditioned_embedding")
+    return out.select("filepath", "success", F.size("conditioned_embedding").alias("conditioned_dims"))
+
+
+@register("key_set_checks")
+def q_key_set_checks(spark, sf_dir):
+    """Known artists vs dump artists: intersection, both differences, and
+    whether two stored playlist id sets are equal."""
+    from cadence.operators.sets import two_way_difference
+
+    known = td.artists(spark, sf_dir).select("artist_mbid")
+    dump = similar_activity(spark, sf_dir).where(F.col("entity") == "artist").select(
+        F.col("mbid").alias("artist_mbid")).distinct()
+    only_known, only_dump = two_way_difference(known, dump, ["artist_mbid"])
+    both = known.intersect(dump)
+    return (both.withColumn("side", F.lit("both"))
+            .unionByName(only_known.withColumn("side", F.lit("known_only")))
+            .unionByName(only_dump.withColumn("side", F.lit("dump_only"))))
+
+
+@register("first_per_key")
+def q_first_per_key(spark, sf_dir):
+    """unique_by: the first listen (by time, then id) of every (user, recording)."""
+    from pyspark.sql.window import Window as W
+
+    li = td.listens(spark, sf_dir)
+    w = W.partitionBy("username", "recording_mbid").orderBy("listen_at_ts_utc", "listen_md5")
+    return li.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).select(
+        "username", "recording_mbid", "listen_md5", "listen_at_ts_utc")
+
+
+@register("path_and_flags")
+def q_path_and_flags(spark, sf_dir):
+    """Relative/absolute library paths and boolean text parsing."""
+    f = td.files(spark, sf_dir).select("filepath", "vec_id")
+    txt = F.element_at(F.array(F.lit("1"), F.lit("TRUE"), F.lit(" true "), F.lit("0"), F.lit("no")),
+                       (F.col("vec_id") % 5 + 1).cast("int"))
+    return f.select(
+        "filepath",
+        S.path_relative("filepath", "lib").alias("relative"),
+        S.path_absolute(S.path_relative("filepath", "lib"), "/music").alias("absolute"),
+        txt.alias("flag_text"), S.parse_bool_text(txt).alias("flag"))
