@@ -1195,3 +1195,36 @@ SELECT filepath,
        ['1', 'TRUE', ' true ', '0', 'no'][vec_id % 5 + 1] AS flag_text,
        lower(trim(['1', 'TRUE', ' true ', '0', 'no'][vec_id % 5 + 1])) IN ('1', 'true') AS flag
 FROM files""")
+
+
+QUERIES["artist_stats_flatten"] = q([], f"""
+SELECT {mbid('s', 's_suppkey')} AS artist_mbid, 'all_time' AS stats_range, s_name AS artist_name,
+       make_timestamp(1700000000::BIGINT * 1000000) AS from_ts,
+       make_timestamp((1700000000 + s_suppkey * 3600) * 1000000) AS to_ts,
+       make_timestamp((1700000000 + s_suppkey * 60) * 1000000) AS last_updated,
+       CAST(s_nationkey * 3 AS INTEGER) AS total_user_count, CAST(trunc(abs(s_acctbal)) AS INTEGER) AS total_listen_count,
+       TIMESTAMP '2024-02-01' AS _insert_ts_utc, CAST(s_suppkey % 4 + 1 AS INTEGER) AS n_listeners
+FROM supplier WHERE s_suppkey % 6 <> 0""")
+
+QUERIES["listen_page_scan"] = q([], f"""
+SELECT md5('["' || username || '", "' || msid || '", ' || CAST(sec AS VARCHAR) || ']') AS listen_md5,
+       username, make_timestamp(sec * 1000000) AS listen_at_ts_utc, msid AS recording_msid, track_name
+FROM (SELECT 'u' || CAST(user_id % 10 AS VARCHAR) AS username, CAST(floor(epoch(ts)) AS BIGINT) AS sec,
+             md5('msid' || CAST({K} % 12 AS VARCHAR)) AS msid, 'Track ' || CAST({K} % 12 AS VARCHAR) AS track_name
+      FROM events)""")
+
+QUERIES["request_grid"] = q(["listens"], """
+SELECT u.username, e.entity, r.time_range
+FROM (SELECT DISTINCT username FROM listens) u,
+     (VALUES ('artists'), ('releases'), ('recordings')) e(entity),
+     (VALUES ('month'), ('year'), ('all_time')) r(time_range)""")
+
+QUERIES["dq_not_null"] = q(["files"], "SELECT filepath FROM files WHERE album_artist_mbid IS NULL")
+
+QUERIES["dq_orphans"] = q(["files", "name_map", "artists"], """
+, fa AS (
+  SELECT f.filepath, UNNEST(m.artist_mbids) AS artist_mbid FROM files f JOIN name_map m USING (recording_md5)
+  WHERE len(m.artist_mbids) > 0
+  UNION SELECT filepath, artist_mbid FROM files WHERE artist_mbid IS NOT NULL
+  UNION SELECT filepath, album_artist_mbid FROM files WHERE album_artist_mbid IS NOT NULL)
+SELECT * FROM fa WHERE artist_mbid NOT IN (SELECT artist_mbid FROM artists)""")

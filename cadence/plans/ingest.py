@@ -134,3 +134,42 @@ def scan_entity_dump(spark, path: str) -> DataFrame:
         .otherwise(F.array().cast("array<struct<mbid:string,entity:string>>"))
     )
     return d.select("slug", "packet_number", "entity", F.col("o.id").alias("mbid"), containers.alias("containers"))
+
+
+def flatten_artist_stats(raw: DataFrame) -> DataFrame:
+    """Successful artist-stats results -> typed rows; listeners stay JSON."""
+    from cadence.functions.scalars import json_get, json_sub
+
+    p = F.col("payload_json")
+    ts = lambda path: F.timestamp_seconds(json_get(p, path).cast("long")).cast("timestamp_ntz")
+    return raw.where(json_get(p, "$.success").cast("boolean")).select(
+        F.col("mbid").alias("artist_mbid"),
+        json_get(p, "$.data.stats_range").alias("stats_range"),
+        json_get(p, "$.data.artist_name").alias("artist_name"),
+        ts("$.data.from_ts").alias("from_ts"), ts("$.data.to_ts").alias("to_ts"),
+        ts("$.data.last_updated").alias("last_updated"),
+        json_get(p, "$.data.total_user_count").cast("int").alias("total_user_count"),
+        json_get(p, "$.data.total_listen_count").cast("int").alias("total_listen_count"),
+        json_sub(p, "$.data.listeners").alias("listeners"),
+        F.col("ts_utc").alias("_insert_ts_utc"),
+    )
+
+
+PAGE_SCHEMA = ("payload struct<count:int, user_id:string, latest_listen_ts:long, listens:array<struct<"
+               "listened_at:long, recording_msid:string, track_metadata:struct<track_name:string, artist_name:string>>>>")
+
+
+def scan_listen_pages(spark, path: str) -> DataFrame:
+    """Listen API pages -> one row per listen, keyed by the md5 of the JSON
+    list [user, recording_msid, listened_at] (immutable fields)."""
+    from cadence.functions.scalars import json_list_hash
+
+    pages = spark.read.schema(PAGE_SCHEMA).json(path)
+    rows = pages.select(F.col("payload.user_id").alias("username"), F.explode("payload.listens").alias("l"))
+    return rows.select(
+        json_list_hash(F.col("username"), F.col("l.recording_msid"), (F.col("l.listened_at"), "num")).alias("listen_md5"),
+        "username",
+        F.timestamp_seconds(F.col("l.listened_at")).cast("timestamp_ntz").alias("listen_at_ts_utc"),
+        F.col("l.recording_msid").alias("recording_msid"),
+        F.col("l.track_metadata.track_name").alias("track_name"),
+    )

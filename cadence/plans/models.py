@@ -739,3 +739,41 @@ def q_path_and_flags(spark, sf_dir):
         S.path_relative("filepath", "lib").alias("relative"),
         S.path_absolute(S.path_relative("filepath", "lib"), "/music").alias("absolute"),
         txt.alias("flag_text"), S.parse_bool_text(txt).alias("flag"))
+
+
+# --- more payload scans, request grid, not-null / orphan checks -------------------------
+
+SIMILAR_ENTITIES = ["artists", "releases", "recordings"]
+SIMILAR_RANGES = ["month", "year", "all_time"]
+
+
+@register("artist_stats_flatten")
+def q_artist_stats_flatten(spark, sf_dir):
+    df = ingest.flatten_artist_stats(td.raw_artist_stats(spark, sf_dir))
+    return df.withColumn("n_listeners", F.size(F.from_json("listeners", "array<string>"))).drop("listeners")
+
+
+@register("listen_page_scan")
+def q_listen_page_scan(spark, sf_dir):
+    return ingest.scan_listen_pages(spark, td.listen_pages(spark, sf_dir))
+
+
+@register("request_grid")
+def q_request_grid(spark, sf_dir):
+    """Similar-user requests: every user x entity x time range (by explode)."""
+    users = td.listens(spark, sf_dir).select("username").distinct()
+    grid = F.array(*[F.struct(F.lit(e).alias("entity"), F.lit(r).alias("time_range"))
+                     for e in SIMILAR_ENTITIES for r in SIMILAR_RANGES])
+    return users.select("username", F.explode(grid).alias("g")).select("username", "g.entity", "g.time_range")
+
+
+@register("dq_not_null")
+def q_dq_not_null(spark, sf_dir):
+    return dq.not_null(td.files(spark, sf_dir), "album_artist_mbid").select("filepath")
+
+
+@register("dq_orphans")
+def q_dq_orphans(spark, sf_dir):
+    """File -> artist links whose artist is missing from the artist dimension."""
+    fa = lib.map_file_artist(td.files(spark, sf_dir), name_map(spark, sf_dir))
+    return dq.orphans(fa, td.artists(spark, sf_dir), ["artist_mbid"])

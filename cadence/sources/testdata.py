@@ -683,3 +683,51 @@ def _build_entity_dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("slug", "line").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "obj"))), lambda x: x["obj"]),
                      "  ").alias("value")).select("slug", "value")
+
+
+def raw_artist_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed artist-stats results (one per supplier as an artist); every
+    6th lookup failed."""
+    return landed(spark, sf_dir, "raw_artist_stats", _build_raw_artist_stats)
+
+
+def _build_raw_artist_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    ok = k % 6 != 0
+    base = 1_700_000_000
+    listeners = F.transform(F.sequence(F.lit(1), (k % 4 + 1).cast("int")), lambda i: F.struct(
+        F.concat(F.lit("u"), ((k + i) % 10).cast("string")).alias("user_name"), (i * 7).alias("listen_count")))
+    data = F.struct(
+        F.lit("all_time").alias("stats_range"), F.col("s_name").alias("artist_name"),
+        F.lit(base).alias("from_ts"), (F.lit(base) + k * 3600).alias("to_ts"), (F.lit(base) + k * 60).alias("last_updated"),
+        (F.col("s_nationkey") * 3).alias("total_user_count"), F.abs(F.col("s_acctbal")).cast("int").alias("total_listen_count"),
+        listeners.alias("listeners"))
+    payload = F.struct(ok.alias("success"), F.when(~ok, F.lit("HTTP 204: No data in range.")).alias("error"),
+                       F.when(ok, data).alias("data"))
+    return s.select(mbid("s", k).alias("mbid"), F.to_json(payload).alias("payload_json"),
+                    F.lit(dt.datetime(2024, 2, 1)).cast("timestamp_ntz").alias("ts_utc"))
+
+
+def listen_pages(spark: SparkSession, sf_dir: str) -> str:
+    """Listen API pages as JSON lines: one page per (user, UTC day) with the
+    listens of that day."""
+    return landed_text(spark, sf_dir, "listen_pages", _build_listen_pages)
+
+
+def _build_listen_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    k = _k()
+    user = F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string"))
+    listen = F.struct(
+        F.unix_seconds(F.col("ts").cast("timestamp")).alias("listened_at"),
+        F.md5(F.concat(F.lit("msid"), (k % 12).cast("string"))).alias("recording_msid"),
+        F.struct(F.concat(F.lit("Track "), (k % 12).cast("string")).alias("track_name"),
+                 F.concat(F.lit("Artist "), (k % 12).cast("string")).alias("artist_name")).alias("track_metadata"),
+    )
+    pages = e.select(user.alias("u"), F.to_date("ts").alias("d"), listen.alias("l")).groupBy("u", "d").agg(
+        F.collect_list("l").alias("listens"))
+    doc = F.struct(F.struct(F.size("listens").alias("count"), F.col("u").alias("user_id"),
+                            F.array_max(F.transform("listens", lambda x: x["listened_at"])).alias("latest_listen_ts"),
+                            F.col("listens").alias("listens")).alias("payload"))
+    return pages.select(F.to_json(doc).alias("value"))
