@@ -1228,3 +1228,16 @@ QUERIES["dq_orphans"] = q(["files", "name_map", "artists"], """
   UNION SELECT filepath, artist_mbid FROM files WHERE artist_mbid IS NOT NULL
   UNION SELECT filepath, album_artist_mbid FROM files WHERE album_artist_mbid IS NOT NULL)
 SELECT * FROM fa WHERE artist_mbid NOT IN (SELECT artist_mbid FROM artists)""")
+
+
+QUERIES["stream_spike_counts"] = q(["listens"], """
+, wm AS (SELECT max(listen_at_ts_utc) - INTERVAL 1 HOUR AS w FROM listens)
+, c AS (
+  SELECT t0.listen_md5, t0.username, t0.recording_mbid, t0.listen_at_ts_utc,
+         count(tn.listen_md5) AS next_24h_listen_count
+  FROM listens t0 LEFT JOIN listens tn
+    ON t0.recording_mbid = tn.recording_mbid AND t0.username = tn.username
+   AND tn.listen_at_ts_utc > t0.listen_at_ts_utc AND tn.listen_at_ts_utc < t0.listen_at_ts_utc + INTERVAL 1 DAY
+  WHERE t0.recording_mbid IS NOT NULL
+  GROUP BY 1, 2, 3, 4)
+SELECT c.* FROM c, wm WHERE c.listen_at_ts_utc + INTERVAL 1 DAY <= wm.w AND next_24h_listen_count >= 5""")

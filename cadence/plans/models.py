@@ -777,3 +777,14 @@ def q_dq_orphans(spark, sf_dir):
     """File -> artist links whose artist is missing from the artist dimension."""
     fa = lib.map_file_artist(td.files(spark, sf_dir), name_map(spark, sf_dir))
     return dq.orphans(fa, td.artists(spark, sf_dir), ["artist_mbid"])
+
+
+@register("stream_spike_counts")
+def q_stream_spike_counts(spark, sf_dir):
+    """Streaming per-listen 24h look-ahead counts (listens whose window the
+    watermark has closed), filtered to spikes (>= 5)."""
+    s = td.listens_from_events(td.events_stream(spark, sf_dir))
+    path = stl.run_to_parquet(stl.next_24h_counts_stream(s), "stream-spike-counts")
+    out = stl.read_sink(spark, path)
+    return out.where(F.col("next_24h_listen_count") >= 5).withColumn(
+        "listen_at_ts_utc", F.col("listen_at_ts_utc").cast("timestamp_ntz"))

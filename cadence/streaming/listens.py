@@ -65,3 +65,66 @@ def dedupe_listens_stream(listens: DataFrame, lateness: str = "1 day") -> DataFr
 
 def read_sink(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+SPIKE_WINDOW_MS = 24 * 3600 * 1000
+
+
+def next_24h_counts_stream(listens: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """Per-listen look-ahead count as a keyed stateful stream: each listen is
+    emitted once the watermark passes t + 24h, with the number of same
+    (user, recording) listens strictly inside (t, t + 24h). State per key
+    holds only listens younger than watermark - 24h; an event-time timeout
+    flushes keys that receive no new data."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    out_schema = ("listen_md5 string, username string, recording_mbid string, "
+                  "listen_at_ts_utc timestamp, next_24h_listen_count long")
+    state_schema = "md5s array<string>, ts array<long>"
+
+    def fn(key, batches, state):
+        user, rec = key
+        md5s, ts = [], []
+        if state.exists:
+            md5s, ts = list(state.get[0]), list(state.get[1])
+        for pdf in batches:
+            md5s += pdf["listen_md5"].tolist()
+            ts += (pdf["_ts"].astype("int64") // 1000).tolist()  # ns -> us
+        wm_us = state.getCurrentWatermarkMs() * 1000
+        order = sorted(range(len(ts)), key=lambda i: (ts[i], md5s[i]))
+        md5s, ts = [md5s[i] for i in order], [ts[i] for i in order]
+        window_us = SPIKE_WINDOW_MS * 1000
+        rows, keep = [], []
+        import bisect
+
+        for i, t in enumerate(ts):
+            if wm_us > 0 and t + window_us <= wm_us:
+                lo = bisect.bisect_right(ts, t)
+                hi = bisect.bisect_left(ts, t + window_us)
+                rows.append((md5s[i], user, rec, pd.Timestamp(t, unit="us"), hi - lo))
+            else:
+                keep.append(i)
+        if state.hasTimedOut and not keep:
+            state.remove()
+        else:
+            # a pending listen still needs every later listen of its window
+            first = min((ts[i] for i in keep), default=None)
+            if first is None:
+                state.remove()
+            else:
+                kept = [i for i in range(len(ts)) if ts[i] > first]
+                kept = sorted(set(kept) | set(keep))
+                state.update(([md5s[i] for i in kept], [ts[i] for i in kept]))
+                state.setTimeoutTimestamp(first // 1000 + SPIKE_WINDOW_MS)
+        yield pd.DataFrame(rows, columns=["listen_md5", "username", "recording_mbid", "listen_at_ts_utc",
+                                          "next_24h_listen_count"])
+
+    return (
+        listens.where(F.col("recording_mbid").isNotNull())
+        .withColumn("_ts", F.col("listen_at_ts_utc").cast("timestamp"))
+        .withWatermark("_ts", lateness)
+        .select("username", "recording_mbid", "listen_md5", "_ts")
+        .groupBy("username", "recording_mbid")
+        .applyInPandasWithState(fn, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+    )
