@@ -298,7 +298,7 @@ QUERIES["release_group_listen_counts"] = q(
 # --- library / activity --------------------------------------------------------
 
 DEPS["name_map"] = []
-QUERIES["name_map_flatten"] = q(["name_map"], "SELECT * FROM name_map")
+QUERIES["name_map_flatten"] = q(["name_map"], "SELECT * REPLACE (array_to_string(artist_mbids, ',') AS artist_mbids) FROM name_map")
 
 QUERIES["file_maps"] = q(["files", "name_map"], """
 SELECT 'recording' AS entity, filepath, recording_mbid AS mbid FROM (
@@ -566,7 +566,7 @@ SIMILAR_CTE = f"""
          make_timestamp(epoch_us(o_orderdate) + 2592000000000) AS activity_to_ts,
          CASE o_orderkey % 3 WHEN 0 THEN 'artist' WHEN 1 THEN 'release' ELSE 'recording' END AS entity,
          payload_id AS ingest_payload_id
-  FROM (SELECT payload_id, mbid, sum(lc) AS listen_count FROM rows_ GROUP BY 1, 2) x
+  FROM (SELECT payload_id, mbid, CAST(sum(lc) AS BIGINT) AS listen_count FROM rows_ GROUP BY 1, 2) x
   JOIN orders o ON md5(CAST(o.o_orderkey AS VARCHAR)) = x.payload_id
   WHERE mbid IS NOT NULL)"""
 

@@ -62,7 +62,7 @@ def file_map(spark, sf_dir):
 
 @register("name_map_flatten")
 def q_name_map_flatten(spark, sf_dir):
-    return name_map(spark, sf_dir)
+    return name_map(spark, sf_dir).withColumn("artist_mbids", F.array_join("artist_mbids", ","))
 
 
 @register("file_maps")

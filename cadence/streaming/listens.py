@@ -43,8 +43,8 @@ def daily_listen_stats_stream(listens: DataFrame, lateness: str = "1 hour") -> D
         .groupBy("username", F.window("_ts", "1 day"))
         .agg(
             F.count(F.lit(1)).alias("count_listens"),
-            F.size(F.collect_set("recording_mbid")).alias("count_recordings"),
-            F.size(F.collect_set("release_mbid")).alias("count_releases"),
+            F.size(F.collect_set("recording_mbid")).cast("long").alias("count_recordings"),
+            F.size(F.collect_set("release_mbid")).cast("long").alias("count_releases"),
             (F.sum("duration_ms") / F.lit(3_600_000.0)).alias("sum_listen_hours"),
         )
         .select("username", F.to_date(F.col("window.start")).alias("listen_date"), "count_listens",
