@@ -1241,3 +1241,19 @@ QUERIES["stream_spike_counts"] = q(["listens"], """
   WHERE t0.recording_mbid IS NOT NULL
   GROUP BY 1, 2, 3, 4)
 SELECT c.* FROM c, wm WHERE c.listen_at_ts_utc + INTERVAL 1 DAY <= wm.w AND next_24h_listen_count >= 5""")
+
+
+QUERIES["playlist_xspf"] = q(["files", "cf_sym", "playlist_seeds"],
+    KNN_BODY.format(min_distance=0.5, cw_table=NO_CW, limit=2000).replace(
+        "SELECT k.playlist_id, CAST(k.position AS INTEGER) AS position", ", top AS (SELECT k.playlist_id, CAST(k.position AS INTEGER) AS position", 1)
+    + """)
+SELECT playlist_id,
+       '<?xml version="1.0" encoding="UTF-8"?><playlist version="1" xmlns="http://xspf.org/ns/0/">'
+       || '<creator>cadence</creator><trackList>'
+       || string_agg('<track><location>' || replace(replace(replace(filepath, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')
+                     || '</location>'
+                     || CASE WHEN track_length_seconds IS NOT NULL AND track_length_seconds <> 0
+                             THEN '<duration>' || CAST(track_length_seconds * 1000 AS VARCHAR) || '</duration>' ELSE '' END
+                     || '</track>', '' ORDER BY position)
+       || '</trackList></playlist>' AS xspf
+FROM top WHERE position <= 20 GROUP BY playlist_id""")

@@ -61,4 +61,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{os.getpid()}-{os.urandom(4).hex()}")
+    return join_path(base, f"{name}-{os.getpid()}-{os.urandom(4).hex()}")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the Hadoop FileSystem of the path (works for
+    local, HDFS and object-store URIs alike)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(conf).exists(p))
+
+
+def join_path(base: str, *parts: str) -> str:
+    """Join path segments with '/' (URIs and local paths alike)."""
+    return "/".join([base.rstrip("/")] + [x.strip("/") for x in parts])

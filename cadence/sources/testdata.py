@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadence.functions.scalars import uuid_from_hex
+from cadence.session import path_exists
 
 # Fixed reference clocks for the test tables (events span 2024-01-01..30,
 # orders 1995-01-01..2001-08-01).
@@ -43,20 +44,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
-def landed(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Raw payload tables (JSON documents) are inputs in production: landed
-    files. Synthesised from the test tables, they are landed once per input
-    folder as parquet under the shared checkpoint folder and read from
-    there, so queries parse landed payloads instead of recomputing them."""
+def _landed_path(spark: SparkSession, sf_dir: str, name: str) -> str:
     import hashlib
     import os
 
-    from cadence.session import checkpoint_dir
+    from cadence.session import checkpoint_dir, join_path
 
-    base = checkpoint_dir(spark)
     key = hashlib.md5(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
-    path = os.path.join(base, "landed", f"{key}-v{LANDED_VERSION}", name)
-    if not os.path.exists(os.path.join(path, "_SUCCESS")):
+    return join_path(checkpoint_dir(spark), "landed", f"{key}-v{LANDED_VERSION}", name)
+
+
+def landed(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Raw payload tables (JSON documents) are inputs in production: landed
+    files. Synthesised from the test tables, they are landed once per input
+    folder as parquet under the shared checkpoint folder and read from
+    there, so queries parse landed payloads instead of recomputing them."""
+    path = _landed_path(spark, sf_dir, name)
+    if not path_exists(spark, path + "/_SUCCESS"):
         build(spark, sf_dir).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -530,15 +534,8 @@ def exclude_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def landed_text(spark: SparkSession, sf_dir: str, name: str, build) -> str:
     """Like ``landed`` for line-oriented text inputs (JSONL dumps); returns
     the folder holding the text files."""
-    import hashlib
-    import os
-
-    from cadence.session import checkpoint_dir
-
-    base = checkpoint_dir(spark)
-    key = hashlib.md5(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
-    path = os.path.join(base, "landed", f"{key}-v{LANDED_VERSION}", name)
-    if not os.path.exists(os.path.join(path, "_SUCCESS")):
+    path = _landed_path(spark, sf_dir, name)
+    if not path_exists(spark, path + "/_SUCCESS"):
         build(spark, sf_dir).write.mode("overwrite").text(path)
     return path
 
@@ -653,15 +650,8 @@ def entity_dump_files(spark: SparkSession, sf_dir: str) -> str:
 
 
 def landed_text_partitioned(spark: SparkSession, sf_dir: str, name: str, build, part_col: str) -> str:
-    import hashlib
-    import os
-
-    from cadence.session import checkpoint_dir
-
-    base = checkpoint_dir(spark)
-    key = hashlib.md5(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
-    path = os.path.join(base, "landed", f"{key}-v{LANDED_VERSION}", name)
-    if not os.path.exists(os.path.join(path, "_SUCCESS")):
+    path = _landed_path(spark, sf_dir, name)
+    if not path_exists(spark, path + "/_SUCCESS"):
         build(spark, sf_dir).write.mode("overwrite").partitionBy(part_col).text(path)
     return path
 

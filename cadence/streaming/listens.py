@@ -13,7 +13,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.session import scratch_path
+from cadence.session import join_path, scratch_path
 
 
 def run_to_parquet(df: DataFrame, name: str, output_mode: str = "append", path: str | None = None) -> str:
@@ -22,14 +22,14 @@ def run_to_parquet(df: DataFrame, name: str, output_mode: str = "append", path:
     path = path or scratch_path(spark, name)
     q = (
         df.writeStream.format("parquet")
-        .option("path", os.path.join(path, "data"))
-        .option("checkpointLocation", os.path.join(path, "_checkpoint"))
+        .option("path", join_path(path, "data"))
+        .option("checkpointLocation", join_path(path, "_checkpoint"))
         .outputMode(output_mode)
         .trigger(availableNow=True)
         .start()
     )
     q.awaitTermination()
-    return os.path.join(path, "data")
+    return join_path(path, "data")
 
 
 def daily_listen_stats_stream(listens: DataFrame, lateness: str = "1 hour") -> DataFrame:
