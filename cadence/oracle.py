@@ -1257,3 +1257,97 @@ SELECT playlist_id,
                      || '</track>', '' ORDER BY position)
        || '</trackList></playlist>' AS xspf
 FROM top WHERE position <= 20 GROUP BY playlist_id""")
+
+
+# --- greedy playlist composition (recursive walk over the ranked candidates) ----------
+
+_SPECIAL = ", ".join("'" + x + "'" for x in [
+    "f731ccc4-e22a-43af-a747-64213329e088", "33cf029c-63b0-41a0-9855-be2a3665fb3b",
+    "314e1c25-dde7-4e4d-b2f4-0a7b9f7c56dc", "eec63d3c-3b81-4ad4-b1e4-7c147d4d2b61",
+    "9be7f096-97ec-4615-8957-8d40b5dcbc41", "125ec42a-7229-4250-afc5-e057484327fe",
+    "89ad4ac3-39f7-470e-963a-56509c546377"])
+
+_PG = q(
+    ["listens", "files", "map_file_recording", "cf_sym"],
+    FILE_COUNTS_CTE + """
+, seeds_raw AS (""" + ADAPTERS["playlist_seeds"] + """)
+, playlist_seeds AS (
+  SELECT s.playlist_id, s.username, s.filepath, ln(2 + greatest(coalesce(fc.lifetime_listen_count, 0), 0)) AS weight
+  FROM seeds_raw s LEFT JOIN fc ON fc.username = s.username AND fc.filepath = s.filepath)
+, recent AS (
+  SELECT username, filepath, recency_score FROM (
+    SELECT username, filepath, recency_score,
+           row_number() OVER (PARTITION BY username ORDER BY recency_score DESC, filepath) AS rn
+    FROM fc WHERE last30_listen_count > 0 AND recency_score IS NOT NULL) WHERE rn <= 1000)
+, cw AS (
+  SELECT o.playlist_id, r.filepath, 1.0 / (1.0 + r.recency_score * 0.5) AS weight
+  FROM (SELECT DISTINCT playlist_id, username FROM playlist_seeds) o JOIN recent r USING (username))"""
+    + KNN_BODY.format(min_distance=0.5, cw_table="cw", limit=2000).replace(
+        "SELECT k.playlist_id, CAST(k.position AS INTEGER) AS position",
+        ", top AS (SELECT k.playlist_id, CAST(k.position AS INTEGER) AS position", 1)
+    + f""")
+, gc AS (
+  SELECT t.*, s.filepath IS NOT NULL AS is_seed_path
+  FROM top t LEFT JOIN seeds_raw s ON s.playlist_id = t.playlist_id AND s.filepath = t.filepath)
+, g(playlist_id, pos, n_acc, acc, ok) AS (
+  SELECT playlist_id, 0, 0, []::VARCHAR[], false FROM (SELECT DISTINCT playlist_id FROM gc)
+  UNION ALL
+  SELECT playlist_id, pos, n_acc + CASE WHEN ok THEN 1 ELSE 0 END,
+         CASE WHEN ok THEN list_concat(acc, mem) ELSE acc END, ok
+  FROM (
+    SELECT g.playlist_id, c.position AS pos, g.n_acc, g.acc,
+           (NOT c.is_seed_path AND c.artist_mbid IS NOT NULL AND c.album_artist_mbid IS NOT NULL
+            AND len(list_filter(g.acc, lambda x: x = c.artist_mbid)) < 2
+            AND len(list_filter(g.acc, lambda x: x = c.album_artist_mbid)) < 2) AS ok,
+           list_filter(list_distinct([c.artist_mbid, c.album_artist_mbid]), lambda x: x NOT IN ({_SPECIAL})) AS mem
+    FROM g JOIN gc c ON c.playlist_id = g.playlist_id AND c.position = g.pos + 1
+    WHERE g.n_acc < 19))
+, rest AS (
+  SELECT c.*, row_number() OVER (PARTITION BY c.playlist_id ORDER BY c.position) AS r
+  FROM gc c JOIN g ON g.playlist_id = c.playlist_id AND g.pos = c.position AND g.ok)
+, chosen AS (
+  SELECT playlist_id, filepath FROM (
+    SELECT *, row_number() OVER (PARTITION BY playlist_id ORDER BY md5(playlist_id || filepath), filepath) AS rn
+    FROM seeds_raw) WHERE rn = 1)
+SELECT c.playlist_id, c.filepath, f.recording_mbid, f.release_mbid, f.release_group_mbid, f.artist_mbid,
+       coalesce(f.album_artist_mbid, f.artist_mbid) AS album_artist_mbid,
+       CAST(floor(f.track_length_seconds) AS INTEGER) AS track_length_seconds,
+       0.0::DOUBLE AS match_distance, true AS is_seed, 0 AS order_index
+FROM chosen c JOIN files f USING (filepath)
+UNION ALL
+SELECT playlist_id, filepath, recording_mbid, release_mbid, release_group_mbid, artist_mbid, album_artist_mbid,
+       track_length_seconds, distance AS match_distance, false AS is_seed, CAST(r AS INTEGER) AS order_index
+FROM rest""")
+QUERIES["playlist_greedy"] = _PG.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_CT = "WITH RECURSIVE rt AS (" + QUERIES["revisit_tracks"] + """)
+, top AS (
+  SELECT rt.username, rt.filepath, rt.recording_mbid, rt.artist_mbid,
+         coalesce(rt.album_artist_mbid, '<null>') AS aa, rt.album_artist_mbid,
+         CAST(floor(CAST(30 + f.vec_id % 300 AS DOUBLE) + 0.5) AS INTEGER) AS track_length_seconds,
+         row_number() OVER (PARTITION BY rt.username ORDER BY rt.revisit_score DESC, rt.recording_mbid) AS pos
+  FROM rt JOIN (SELECT 'lib/' || CAST(label AS VARCHAR) || '/' || lpad(CAST(vec_id AS VARCHAR), 6, '0') || '.flac' AS filepath,
+                       vec_id FROM embeddings) f USING (filepath))
+, g(username, pos, n_acc, recs, paths, arts, ok) AS (
+  SELECT username, 0, 0, []::VARCHAR[], []::VARCHAR[], []::VARCHAR[], false FROM (SELECT DISTINCT username FROM top)
+  UNION ALL
+  SELECT username, pos, n_acc + CASE WHEN ok THEN 1 ELSE 0 END,
+         CASE WHEN ok THEN list_append(recs, rec) ELSE recs END,
+         CASE WHEN ok THEN list_append(paths, fp) ELSE paths END,
+         CASE WHEN ok THEN (CASE WHEN aa <> a THEN list_concat(arts, [a, aa]) ELSE list_append(arts, a) END) ELSE arts END,
+         ok
+  FROM (
+    SELECT g.username, t.pos, g.n_acc, g.recs, g.paths, g.arts, t.recording_mbid AS rec, t.filepath AS fp,
+           t.artist_mbid AS a, t.aa,
+           (NOT list_contains(g.recs, t.recording_mbid) AND NOT list_contains(g.paths, t.filepath)
+            AND len(list_filter(g.arts, lambda x: x = t.artist_mbid)) < 2
+            AND len(list_filter(g.arts, lambda x: x = t.aa)) < 2) AS ok
+    FROM g JOIN top t ON t.username = g.username AND t.pos = g.pos + 1 AND t.pos <= 1000
+    WHERE g.n_acc < 20))
+SELECT t.username,
+       CAST(row_number() OVER (PARTITION BY t.username ORDER BY md5('0|' || t.username || '|' || t.filepath), t.filepath) - 1
+            AS INTEGER) AS order_index,
+       t.filepath, t.recording_mbid, t.artist_mbid, t.album_artist_mbid, t.track_length_seconds
+FROM top t JOIN g ON g.username = t.username AND g.pos = t.pos AND g.ok"""
+QUERIES["cull_tracks"] = _CT
