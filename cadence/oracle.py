@@ -1351,3 +1351,73 @@ SELECT t.username,
        t.filepath, t.recording_mbid, t.artist_mbid, t.album_artist_mbid, t.track_length_seconds
 FROM top t JOIN g ON g.username = t.username AND g.pos = t.pos AND g.ok"""
 QUERIES["cull_tracks"] = _CT
+
+
+def _greedy_with_seeds(seeds_raw_sql: str, extra: str, names: list[str]) -> str:
+    """The greedy playlist SQL with another seed source (playlist_id, username, filepath)."""
+    body = _PG[_PG.index("\n, lfm AS ("):]
+    start = body.index(", seeds_raw AS (")
+    end = body.index(", playlist_seeds AS (")
+    body = body[:start] + ", seeds_raw AS (" + seeds_raw_sql + ")\n" + body[end:]
+    return q(names, extra + body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_TOP_ARTIST_SOURCES = """
+, ta_counts AS (
+  SELECT b.username, b.artist_mbid, max(d.artist_name) AS artist_name, count(*) AS lifetime_listen_count
+  FROM base_a b JOIN artists d ON b.artist_mbid = d.artist_mbid GROUP BY 1, 2)
+, ta AS (
+  SELECT * FROM (
+    SELECT ta_counts.*, row_number() OVER (PARTITION BY username
+             ORDER BY md5('0|' || username || '|' || artist_mbid), username, artist_mbid) AS rn
+    FROM ta_counts WHERE lifetime_listen_count >= 50) WHERE rn <= 15)
+, requests AS (SELECT username || ':' || artist_mbid AS playlist_id, username, artist_mbid AS mbid, artist_name FROM ta)
+, universe AS (
+  SELECT DISTINCT mbid, entity FROM (
+    SELECT release_mbid AS mbid, 'release' AS entity FROM listens
+    UNION ALL SELECT release_mbid, 'release' FROM files
+    UNION ALL SELECT release_mbid, 'release' FROM name_map
+    UNION ALL SELECT mbid, 'release' FROM sua WHERE entity = 'release'
+    UNION ALL SELECT release_group_mbid, 'release-group' FROM files
+    UNION ALL SELECT release_group_mbid, 'release-group' FROM name_map
+    UNION ALL SELECT release_group_mbid, 'release-group' FROM releases
+    UNION ALL SELECT recording_mbid, 'recording' FROM listens
+    UNION ALL SELECT recording_mbid, 'recording' FROM name_map
+    UNION ALL SELECT recording_mbid, 'recording' FROM files
+    UNION ALL SELECT mbid, 'recording' FROM sua WHERE entity = 'recording'
+    UNION ALL SELECT recording_mbid, 'recording' FROM feedback
+    UNION ALL SELECT UNNEST(artist_mbids), 'artist' FROM listens
+    UNION ALL SELECT artist_mbid, 'artist' FROM files
+    UNION ALL SELECT album_artist_mbid, 'artist' FROM files
+    UNION ALL SELECT UNNEST(artist_mbids), 'artist' FROM name_map
+    UNION ALL SELECT mbid, 'artist' FROM sua WHERE entity = 'artist')
+  WHERE mbid IS NOT NULL)
+, fml AS (""" + QUERIES["file_maps"][QUERIES["file_maps"].index("\nSELECT 'recording' AS entity"):] + """)
+, routed AS (
+  SELECT DISTINCT r.playlist_id, r.username, m.filepath
+  FROM requests r JOIN universe u USING (mbid) JOIN fml m ON m.entity = u.entity AND m.mbid = r.mbid)
+, sources AS (
+  SELECT playlist_id, username, filepath FROM (
+    SELECT routed.*, row_number() OVER (PARTITION BY playlist_id
+             ORDER BY md5('0|' || playlist_id || '|' || filepath), playlist_id, filepath) AS rn
+    FROM routed) WHERE rn <= 100)"""
+
+_TA = _greedy_with_seeds(
+    "SELECT playlist_id, username, filepath FROM sources",
+    recency_base(LISTEN_AS_OF).replace(", base AS (", ", rbase AS (")
+    + _ART_SRC.replace("FROM base b", "FROM rbase b") + SIMILAR_CTE + _TOP_ARTIST_SOURCES,
+    ["listens", "files", "map_file_recording", "cf_sym", "releases", "artists", "name_map", "feedback"])
+_TA_FINAL = _TA[:_TA.rindex("SELECT c.playlist_id, c.filepath")]
+QUERIES["top_artists_playlists"] = _TA_FINAL + """
+, composed AS (
+SELECT c.playlist_id, c.filepath, f.recording_mbid, f.release_mbid, f.release_group_mbid, f.artist_mbid,
+       coalesce(f.album_artist_mbid, f.artist_mbid) AS album_artist_mbid,
+       CAST(floor(f.track_length_seconds) AS INTEGER) AS track_length_seconds,
+       0.0::DOUBLE AS match_distance, true AS is_seed, 0 AS order_index
+FROM chosen c JOIN files f USING (filepath)
+UNION ALL
+SELECT playlist_id, filepath, recording_mbid, release_mbid, release_group_mbid, artist_mbid, album_artist_mbid,
+       track_length_seconds, distance AS match_distance, false AS is_seed, CAST(r AS INTEGER) AS order_index
+FROM rest)
+SELECT composed.*, 'Songs like ' || requests.artist_name AS description
+FROM composed JOIN requests USING (playlist_id)"""
