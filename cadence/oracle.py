@@ -1421,3 +1421,17 @@ SELECT playlist_id, filepath, recording_mbid, release_mbid, release_group_mbid,
 FROM rest)
 SELECT composed.*, 'Songs like ' || requests.artist_name AS description
 FROM composed JOIN requests USING (playlist_id)"""
+
+
+QUERIES["playlist_json"] = q(["files", "cf_sym", "playlist_seeds"],
+    KNN_BODY.format(min_distance=0.5, cw_table=NO_CW, limit=2000).replace(
+        "SELECT k.playlist_id, CAST(k.position AS INTEGER) AS position", ", top AS (SELECT k.playlist_id, CAST(k.position AS INTEGER) AS position", 1)
+    + """)
+SELECT playlist_id,
+       CAST(json_object(
+         'playlist', list(json_object('filepath', filepath, 'recording_mbid', recording_mbid, 'release_mbid', release_mbid,
+                                      'release_group_mbid', release_group_mbid, 'artist_mbid', artist_mbid,
+                                      'album_artist_mbid', album_artist_mbid, 'track_length_seconds', track_length_seconds,
+                                      'match_distance', distance) ORDER BY position),
+         'description', 'Songs like ' || playlist_id) AS VARCHAR) AS json
+FROM top WHERE position <= 20 GROUP BY playlist_id""")
