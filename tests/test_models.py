@@ -115,3 +115,33 @@ def test_clusterable_tracks_rules(spark):
     assert got == {("a", "AA")}
     loved = spark.createDataFrame([("u", "e")], "username string, filepath string")
     assert {r.filepath for r in clusterable_tracks(counts, loved, files).collect()} == {"a", "e"}
+
+
+def test_seed_weights_missing_path_is_zero_listens(spark):
+    import math
+
+    from cadence.plans.playlists import recently_played, seed_weights_from_listens
+
+    seeds = spark.createDataFrame([("p", "u", "a"), ("p", "u", "b")], "playlist_id string, username string, filepath string")
+    fc = spark.createDataFrame([("u", "a", 5.0, 1.0, 0.5), ("u", "c", 1.0, 0.0, 0.9), ("u", "d", 2.0, 2.0, 0.7),
+                                ("u", "e", 2.0, 1.0, 0.8)],
+                               "username string, filepath string, lifetime_listen_count double, "
+                               "last30_listen_count double, recency_score double")
+    w = {r.filepath: r.weight for r in seed_weights_from_listens(seeds, fc).collect()}
+    assert math.isclose(w["a"], math.log(7.0)) and math.isclose(w["b"], math.log(2.0))
+    rp = [r.filepath for r in recently_played(fc, limit=2).orderBy("recency_score", ascending=False).collect()]
+    assert rp == ["e", "d"]  # c has no listens in 30 days; limit 2 by recency
+
+
+def test_leaf_selection_on_handmade_tree():
+    from cadence.operators.clustering import leaf_labels_from_mst
+
+    nodes = ["a1", "a2", "a3", "b1", "b2", "b3", "z"]
+    edges = [("a1", "a2", 0.1), ("a2", "a3", 0.1), ("b1", "b2", 0.1), ("b2", "b3", 0.12),
+             ("a3", "b1", 1.0), ("b3", "z", 3.0)]
+    lab = leaf_labels_from_mst(nodes, edges)
+    assert lab["z"] == -1
+    assert lab["a1"] == lab["a2"] == lab["a3"] >= 0
+    assert lab["b1"] == lab["b2"] == lab["b3"] >= 0 and lab["b1"] != lab["a1"]
+    # all points in one tight group: no split -> no clusters (all noise)
+    assert set(leaf_labels_from_mst(["x", "y", "w"], [("x", "y", 0.1), ("y", "w", 0.1)]).values()) == {-1}
