@@ -41,6 +41,7 @@ def get_session(
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -76,3 +77,32 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def join_path(base: str, *parts: str) -> str:
     """Join path segments with '/' (URIs and local paths alike)."""
     return "/".join([base.rstrip("/")] + [x.strip("/") for x in parts])
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``cadence`` importable in the Python workers (pandas UDFs and
+    grouped maps pickle references to its functions): zip the package once
+    per application and add it with ``addPyFile``, which Spark distributes
+    to every executor."""
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import cadence
+
+    pkg = os.path.dirname(os.path.abspath(cadence.__file__))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="cadence-pkg-"), "cadence.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, names in os.walk(pkg):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(dirpath, n)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
