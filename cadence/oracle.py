@@ -1435,3 +1435,23 @@ SELECT playlist_id,
                                       'match_distance', distance) ORDER BY position),
          'description', 'Songs like ' || playlist_id) AS VARCHAR) AS json
 FROM top WHERE position <= 20 GROUP BY playlist_id""")
+
+
+QUERIES["cf_calibration"] = q(["cf_sym"], """
+, per AS (SELECT artist_mbid_a, quantile_cont(exp(score_value), 0.5) AS m FROM cf_sym GROUP BY 1)
+, b AS (SELECT ln(quantile_cont(m, 0.5)) AS baseline FROM per)
+, r AS (SELECT min(score_value) AS lb, max(score_value) AS ub FROM cf_sym)
+, sims AS (SELECT r.lb + i * 0.01 AS similarity FROM r, range(0, CAST(ceil((r.ub - r.lb) / 0.01) AS BIGINT)) t(i))
+SELECT round(s.similarity, 6) AS similarity, round(sc.scalar, 6) AS scalar,
+       round(exp(sc.scalar * (s.similarity - b.baseline)), 6) AS multiplier
+FROM sims s, b, (VALUES (0.5::DOUBLE), (0.75), (1.0), (1.25), (1.5), (1.75), (2.0)) sc(scalar)""")
+
+QUERIES["queue_log_gate"] = q([], """
+, logs AS (
+  SELECT ['new', 'http_fail', 'updated'][o_orderkey % 3 + 1] AS source,
+         o_orderdate + to_seconds(CAST(o_orderkey % 900 AS BIGINT)) AS as_of_ts_utc
+  FROM orders)
+, last AS (SELECT source, max(as_of_ts_utc) AS last_log_at FROM logs GROUP BY 1)
+SELECT s.source, l.last_log_at,
+       (l.last_log_at IS NULL OR l.last_log_at < TIMESTAMP '2001-08-01 00:05:00' - INTERVAL 300 SECOND) AS due
+FROM (VALUES ('new'), ('http_fail'), ('updated'), ('old')) s(source) LEFT JOIN last l USING (source)""")

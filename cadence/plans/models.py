@@ -788,3 +788,32 @@ def q_stream_spike_counts(spark, sf_dir):
     out = stl.read_sink(spark, path)
     return out.where(F.col("next_24h_listen_count") >= 5).withColumn(
         "listen_at_ts_utc", F.col("listen_at_ts_utc").cast("timestamp_ntz"))
+
+
+@register("cf_calibration")
+def q_cf_calibration(spark, sf_dir):
+    from cadence.operators.stats import cf_calibration_grid
+
+    return round_doubles(cf_calibration_grid(symmetrise(td.cf_scores(spark, sf_dir))))
+
+
+LOG_NOW = _dt.datetime(2001, 8, 1, 0, 5, 0)
+LOG_TIMEOUT_SECONDS = 300
+
+
+@register("queue_log_gate")
+def q_queue_log_gate(spark, sf_dir):
+    """Throttled snapshots: a source gets a new queue-log snapshot only when
+    its last one is older than the timeout (or it has none)."""
+    o = td.table(spark, sf_dir, "orders")
+    # logs exist for three of the four sources ('old' was never snapshotted)
+    src = F.element_at(F.array(*[F.lit(x) for x in qu.SOURCES[:3]]), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    logs = o.select(
+        src.alias("source"),
+        (F.col("o_orderdate") + F.make_dt_interval(secs=(F.col("o_orderkey") % 900).cast("int"))).alias("as_of_ts_utc"))
+    last = logs.groupBy("source").agg(F.max("as_of_ts_utc").alias("last_log_at"))
+    srcs = spark.createDataFrame([(s,) for s in qu.SOURCES], "source string")
+    return srcs.join(last, "source", "left").select(
+        "source", "last_log_at",
+        (F.col("last_log_at").isNull()
+         | (F.col("last_log_at") < F.lit(LOG_NOW) - F.expr(f"INTERVAL {LOG_TIMEOUT_SECONDS} SECONDS"))).alias("due"))
