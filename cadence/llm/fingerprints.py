@@ -88,10 +88,15 @@ def _bucket(k: Column, cuts: list[int]) -> Column:
     return F.when(row == 0, F.lit(0)).otherwise((row - 1) * step + inside).cast("int")
 
 
-def terms(text: Column) -> Column:
+def word_list(text: Column) -> Column:
+    """Lower-cased words between white space."""
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
+
+
+def terms(words: Column) -> Column:
     """array<struct<a, b>> of neighbouring words (one word: b is null; no
-    words: one struct of nulls, so that the row is not lost)."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
+    words: one struct of nulls, so that the row is not lost). ``words`` should
+    be a column of a projection of its own: it is used several times here."""
     n = F.size(words)
     none = F.array(F.lit(None).cast("string"))
     a = F.when(n > 1, F.slice(words, 1, n - 1)).when(n == 1, words).otherwise(none)
@@ -103,7 +108,8 @@ def fingerprint_texts(rows: DataFrame, keys: list[str], text_col: str = "text")
     """(keys, rows long, fp long): one row for each different key; the keys
     must fix the text. ``rows``: how many input rows had the key. The partial
     sums are formed where the text is, so a row of sums per key is shuffled."""
-    each = rows.select(*keys, F.posexplode(terms(F.col(text_col))).alias("_p", "_t"))
+    lists = rows.select(*keys, word_list(F.col(text_col)).alias("_words"))
+    each = lists.select(*keys, F.posexplode(terms(F.col("_words"))).alias("_p", "_t"))
     h = F.when(F.col("_t.a").isNotNull(), F.xxhash64("_t.a", "_t.b"))
     weight = (F.length("_t.a") + F.coalesce(F.length("_t.b"), F.lit(0))).cast("long")
     return (
