@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm import bpe, common, fingerprints, packing, sharding, simhash_dedup
+from cadence.llm import bpe, common, fingerprints, langid, packing, sharding, simhash_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -20,6 +20,21 @@ def query(fn):
     return fn
 
 
+def language_model(docs: DataFrame) -> langid.Model:
+    """Fitted on text and lang of the rows that are not held out."""
+    return langid.fit(docs.where(~langid.is_held_out(F.col("doc_id"))).select("text", "lang"))
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text by error-correcting output codes."""
+    docs = common.read(spark, sf_dir, "documents")
+    out = langid.identify(docs, language_model(docs))
+    return out.withColumn("held_out", langid.is_held_out(F.col("doc_id"))).select(
+        "doc_id", "held_out", "lang_pred", "score", "bits", "ambiguous"
+    )
+
+
 @query
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text by the rank file, and what they decode to."""
@@ -44,6 +59,22 @@ def packed(docs: DataFrame) -> DataFrame:
     )
 
 
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Fitted on the labels of ids that are not held out."""
+    return toxicity.fit(docs, labels.where(~toxicity.is_held_out(F.col("doc_id"))).select("doc_id", "toxic"))
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, with its nearest labelled examples."""
+    docs, labels = common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels")
+    out = toxicity.score(docs, toxicity_model(docs, labels))
+    return out.select(
+        "doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "cosines",
+    )
+
+
 @query
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of 3-word shingles linked at 3 or fewer differing bits."""
