@@ -63,7 +63,7 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tu
         yield held_key, pa.Table.from_batches(held)
 
 
-def connected_components(edges: DataFrame, max_idle: int = 0) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable id of every id that has an edge.
 
     ``edges``: (src long, dst long), undirected, self loops allowed. Returns
@@ -75,13 +75,13 @@ def connected_components(edges: DataFrame, max_idle: int = 0) -> DataFrame:
     folder, so a lost executor costs one round. A hub's rows meet one row of
     the per-node minimum in an inner join, which AQE splits when it is skewed.
     """
-    e = (
+    e = materialise(
         edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull())
         .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
         .distinct()
     )
     loops = e.where("u = v").select(F.col("u").alias("id"))
-    links = materialise(e.where("u > v"))
+    links = e.where("u > v")
     while True:
         # large star: both directions, larger neighbours move to the minimum
         both = links.union(links.select("v", "u"))
