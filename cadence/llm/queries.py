@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm import bpe, common, fingerprints, langid, packing, sharding, simhash_dedup, toxicity
+from cadence.llm import bpe, common, embed_dedup, fingerprints, langid, licences, packing, sharding, simhash_dedup, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -46,6 +46,23 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of equal label linked at a cosine of 0.93 or more."""
+    return embed_dedup.near_duplicates(common.read(spark, sf_dir, "embeddings"), 0.93)
+
+
+@query
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every whole text, the sentences and rules behind them."""
+    out = licences.scan(common.read(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", F.size("matches").alias("n_matches"), F.concat_ws(",", "licences").alias("licences"),
+        F.concat_ws(",", "sentences").alias("sentences"), F.concat_ws(",", F.col("matches.rule")).alias("rules"),
+        F.concat_ws(",", F.transform("matches", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string")))).alias("spans"),
+    )
+
+
 @query
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
@@ -59,6 +76,87 @@ def packed(docs: DataFrame) -> DataFrame:
     )
 
 
+def damaged_replica(pages: DataFrame) -> DataFrame:
+    """A second copy of the pages in which about one in 97 has a wrong
+    character and about one in 89 is lost, by a hash of the id."""
+    d = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("/replica"))), 1, 8), 16, 10).cast("long")
+    wrong = F.concat(F.substring("html", 1, 10), F.lit("#"), F.col("html").substr(F.lit(12), F.length("html")))
+    return pages.where(d % 89 != 0).withColumn("html", F.when(d % 97 == 1, wrong).otherwise(F.col("html")))
+
+
+@query
+def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle audit of the pages' WARC files against a damaged replica."""
+    pages = common.read(spark, sf_dir, "pages")
+    return warc.fixity_report(pages, damaged_replica(pages), per_file=256, levels=3)
+
+
+_UP = """
+SELECT rep, file, idx // 16 AS idx, min(s) AS s, max(e) AS e,
+       sha256(min(s) || '-' || max(e) || chr(10) || string_agg(hash, chr(10) ORDER BY idx)) AS hash
+FROM {below} GROUP BY rep, file, idx // 16
+"""
+ORACLE["op6_warc_fixity"] = f"""
+WITH n AS (SELECT greatest(1, CAST(ceil(count(*) / 256.0) AS BIGINT)) AS f FROM pages),
+src AS (
+  SELECT 'a' AS rep, page_id, url, coalesce(html, '') AS body FROM pages
+  UNION ALL
+  SELECT 'b', page_id, url, coalesce(CASE WHEN d % 97 = 1
+           THEN substr(html, 1, 10) || '#' || substr(html, 12) ELSE html END, '')
+  FROM (SELECT *, CAST('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), '') || '/replica'), 1, 8) AS BIGINT) AS d FROM pages)
+  WHERE d % 89 <> 0
+),
+named AS (
+  SELECT *, md5(coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '')) AS m,
+         CAST('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), '')), 1, 8) AS BIGINT) % (SELECT f FROM n) AS file
+  FROM src
+),
+rec AS (
+  SELECT rep, page_id, url, file,
+         'WARC/1.1' || nl || 'WARC-Type: resource' || nl || 'WARC-Target-URI: ' || coalesce(url, '') || nl
+         || 'WARC-Record-ID: <urn:uuid:' || substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-'
+         || substr(m, 17, 4) || '-' || substr(m, 21, 12) || '>' || nl || 'Content-Type: text/html' || nl
+         || 'Content-Length: ' || strlen(body) || nl || nl || body || nl || nl AS r
+  FROM named, (SELECT chr(13) || chr(10) AS nl)
+),
+hashed AS (SELECT rep, file, page_id, url, strlen(r) AS len, sha256(r) AS hash FROM rec),
+t0 AS (
+  SELECT rep, file, page_id, hash, row_number() OVER w - 1 AS idx,
+         CAST(coalesce(sum(len) OVER (PARTITION BY rep, file ORDER BY page_id, url, hash
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s, len
+  FROM hashed WINDOW w AS (PARTITION BY rep, file ORDER BY page_id, url, hash)
+),
+t0e AS (SELECT *, s + len AS e FROM t0),
+t1 AS ({_UP.format(below="t0e")}), t2 AS ({_UP.format(below="t1")}), t3 AS ({_UP.format(below="t2")}),
+upper_nodes AS (SELECT 1 AS lev, * FROM t1 UNION ALL SELECT 2, * FROM t2 UNION ALL SELECT 3, * FROM t3),
+opened AS (
+  SELECT coalesce(a.file, b.file) AS file, count(*) AS m
+  FROM (SELECT * FROM upper_nodes WHERE rep = 'a') a FULL JOIN (SELECT * FROM upper_nodes WHERE rep = 'b') b
+    ON a.lev = b.lev AND a.file = b.file AND a.idx = b.idx
+  WHERE a.hash IS DISTINCT FROM b.hash GROUP BY 1
+),
+fate AS (
+  SELECT coalesce(a.file, b.file) AS file, coalesce(a.page_id, b.page_id) AS page_id, coalesce(a.idx, b.idx) AS idx,
+         CASE WHEN b.page_id IS NULL THEN 'missing' WHEN a.page_id IS NULL THEN 'extra'
+              WHEN a.hash <> b.hash THEN 'changed' WHEN a.s <> b.s THEN 'moved' END AS kind
+  FROM (SELECT * FROM t0e WHERE rep = 'a') a FULL JOIN (SELECT * FROM t0e WHERE rep = 'b') b
+    ON a.file = b.file AND a.page_id = b.page_id
+),
+told AS (
+  SELECT file, count(*) FILTER (kind = 'changed') AS n_changed, count(*) FILTER (kind = 'moved') AS n_moved,
+         count(*) FILTER (kind = 'missing') AS n_missing, count(*) FILTER (kind = 'extra') AS n_extra,
+         string_agg(CAST(page_id AS VARCHAR), ',' ORDER BY page_id, idx) AS damaged
+  FROM fate WHERE kind IS NOT NULL GROUP BY file
+)
+SELECT x.file, z.n_records, z.n_bytes, x.hash AS root, y.hash AS replica_root, x.hash IS NOT DISTINCT FROM y.hash AS matches,
+       coalesce(o.m, 0) AS branches_opened, coalesce(n_changed, 0) AS n_changed, coalesce(n_moved, 0) AS n_moved,
+       coalesce(n_missing, 0) AS n_missing, coalesce(n_extra, 0) AS n_extra, coalesce(damaged, '') AS damaged
+FROM (SELECT * FROM t3 WHERE rep = 'a') x LEFT JOIN (SELECT * FROM t3 WHERE rep = 'b') y USING (file)
+JOIN (SELECT file, count(*) AS n_records, max(e) AS n_bytes FROM t0e WHERE rep = 'a' GROUP BY file) z USING (file)
+LEFT JOIN opened o USING (file) LEFT JOIN told USING (file)
+"""
+
+
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
     """Fitted on the labels of ids that are not held out."""
     return toxicity.fit(docs, labels.where(~toxicity.is_held_out(F.col("doc_id"))).select("doc_id", "toxic"))
