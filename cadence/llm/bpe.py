@@ -2,9 +2,9 @@
 
 A pre-token starts as a linked list of its bytes. Every neighbouring pair that
 some merge joins lies, by its left position, in the bucket of that merge's
-rank. A bitmap has one bit per rank for the buckets in use, and each level
-above it one bit per 64-bit word below, so find-first-set on one word per
-level gives the smallest waiting rank. A merge changes the pairs on its two
+rank. A bitmap has one bit per rank for the buckets in use, and the level
+above it one bit per word below, so find-first-set on one word per level gives
+the smallest waiting rank. A merge changes the pairs on its two
 sides; their old entries stay in the buckets and are skipped when met (the
 position's present rank is another by then). The cost grows with the length
 of a pre-token times a constant, whatever its length.
@@ -26,26 +26,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Width of a bitmap word, and its single bits.
+SHIFT = 8
+WORD = 1 << SHIFT
+MASK = WORD - 1
+BIT = [1 << i for i in range(WORD)]
 #: Rows encoded before a result batch goes back to Spark.
 SLICE_ROWS = 256
 #: Short pre-tokens whose ids a worker remembers; the store starts anew beyond.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 48
 #: Pre-tokens of a text held at once.
 MATCHES = 200_000
 
 
 class RankQueue:
-    """Positions by merge rank; takes the smallest rank first."""
+    """Positions by merge rank; takes the smallest rank first.
+
+    ``words`` has a bit per rank, ``top`` a bit per word in use. Words are
+    ``WORD`` bits wide: Python finds the lowest set bit of such an integer in
+    one step, so two levels do for vocabularies up to WORD * WORD and more.
+    """
 
     def __init__(self, n_ranks: int):
         self.buckets: dict[int, list[int]] = {}
-        self.levels: list[list[int]] = []
-        n = max(1, n_ranks)
-        while True:
-            n = (n + 63) >> 6
-            self.levels.append([0] * n)
-            if n == 1:
-                break
+        self.words = [0] * (n_ranks // WORD + 1)
+        self.top = 0
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
@@ -53,28 +58,23 @@ class RankQueue:
             bucket.append(position)
             return
         self.buckets[rank] = [position]
-        i = rank
-        for words in self.levels:
-            word, i = i & 63, i >> 6
-            before = words[i]
-            words[i] = before | (1 << word)
-            if before:
-                return
+        i = rank >> SHIFT
+        if not self.words[i]:
+            self.top |= 1 << i
+        self.words[i] |= BIT[rank & MASK]
 
     def pop(self) -> tuple[int, list[int]] | None:
         """The smallest waiting rank and all positions in its bucket."""
-        i = 0
-        for words in reversed(self.levels):
-            w = words[i]
-            if not w:
-                return None
-            i = (i << 6) | ((w & -w).bit_length() - 1)
-        rank = i
-        for words in self.levels:
-            word, i = i & 63, i >> 6
-            words[i] &= ~(1 << word)
-            if words[i]:
-                break
+        top = self.top
+        if not top:
+            return None
+        i = (top & -top).bit_length() - 1
+        word = self.words[i]
+        low = word & -word
+        self.words[i] = word = word ^ low
+        if not word:
+            self.top = top ^ (1 << i)
+        rank = (i << SHIFT) | (low.bit_length() - 1)
         return rank, self.buckets.pop(rank)
 
 
@@ -94,58 +94,59 @@ class Codec:
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        ranks, queue = self.ranks, self.queue
-        whole = ranks.get(piece)
+        get = self.ranks.get
+        whole = get(piece)
         if whole is not None:
             return [whole]
-        n, longest = len(piece), self.longest
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        push, pop, longest = self.queue.push, self.queue.pop, self.longest
+        n = len(piece)
+        after, before = list(range(1, n + 2)), list(range(-1, n))
         # rank of the pair that starts here; -1: none, or merged away
-        pair = [ranks.get(piece[i:i + 2], -1) for i in range(n - 1)]
+        pair = [get(piece[i:i + 2], -1) for i in range(n - 1)]
         pair.append(-1)
         for i, r in enumerate(pair):
             if r >= 0:
-                queue.push(r, i)
-
-        def look(i: int) -> int:
-            mid = after[i]
-            if mid >= n:
-                return -1
-            end = after[mid]
-            return ranks.get(piece[i:end], -1) if end - i <= longest else -1
-
-        while (top := queue.pop()) is not None:
-            rank, places = top
-            places.sort()
+                push(r, i)
+        left_over = n
+        while (found := pop()) is not None:
+            rank, places = found
+            if len(places) > 1:
+                places.sort()
             for k, i in enumerate(places):
                 if pair[i] != rank:
                     continue
                 gone = after[i]
                 end = after[i] = after[gone]
                 pair[gone] = -1
-                if end < n:
-                    before[end] = i
+                before[end] = i
+                left_over -= 1
                 lower = False
-                r = pair[i] = look(i)
-                if r >= 0:
-                    queue.push(r, i)
-                    lower = r < rank
+                r = -1
+                if end < n:
+                    stop = after[end]
+                    if stop - i <= longest:
+                        r = get(piece[i:stop], -1)
+                        if r >= 0:
+                            push(r, i)
+                            lower = r < rank
+                pair[i] = r
                 left = before[i]
                 if left >= 0:
-                    r = look(left)
+                    r = get(piece[left:end], -1) if end - left <= longest else -1
                     if r != pair[left]:
                         pair[left] = r
                         if r >= 0:
-                            queue.push(r, left)
+                            push(r, left)
                             lower |= r < rank
                 if lower:  # a smaller rank has come up: it goes first
                     for j in places[k + 1:]:
-                        queue.push(rank, j)
+                        push(rank, j)
                     break
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i:after[i]]])
-            i = after[i]
+        ranks, out, i = self.ranks, [], 0
+        for _ in range(left_over):
+            end = after[i]
+            out.append(ranks[piece[i:end]])
+            i = end
         return out
 
     def encode(self, text: str) -> bytes:

@@ -38,6 +38,8 @@ K, BLOCK, DOUBT = 15, 64, 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words of a text held at once.
 WORDS = 200_000
+#: Runs that a worker remembers, and how long they may be.
+CHUNKS, CHUNK_CHARS = 400_000, 48
 
 
 def term_counts(text: str) -> dict[str, int]:
@@ -54,35 +56,41 @@ def term_counts(text: str) -> dict[str, int]:
 
 
 class Vocabulary:
-    """Terms, split by kind so that a text is matched with set operations."""
+    """Terms and their inverse document frequencies. Words lie within runs
+    without white space, most of which repeat, so the terms of a run are
+    remembered."""
 
     def __init__(self, terms: list[str], idf: np.ndarray | None = None):
         self.terms = sorted(terms)
         self.number = {t: i for i, t in enumerate(self.terms)}
-        self.starts = {n: {t[1:] for t in self.terms if t[0] == "^" and len(t) == n + 1} for n in (4, 5)}
+        self.chunks = _Chunks(self)
         self.idf = np.ones(len(self.terms)) if idf is None else idf
 
     def matches(self, text: str) -> dict[int, int]:
         """Occurrences of the terms in a whole text, by term number."""
         found: dict[int, int] = {}
-        number, starts = self.number, self.starts
-        for words in _blocks(text):
-            distinct = set(words)
-            hit = {w for w in distinct if w in number}
-            begun = {w for w in distinct if w[:4] in starts[4] or w[:5] in starts[5]}
-            if not hit and not begun:
-                continue
-            for w in words:
-                if w in hit:
-                    i = number[w]
+        look = self.chunks.__getitem__
+        for chunks in _blocks(text):
+            for terms in filter(None, map(look, chunks)):
+                for i in terms:
                     found[i] = found.get(i, 0) + 1
-                if w in begun:
-                    for n in (4, 5):
-                        if len(w) > n and w[:n] in starts[n]:
-                            i = number["^" + w[:n]]
-                            found[i] = found.get(i, 0) + 1
         return found
 
+    def terms_in(self, chunk: str) -> tuple[int, ...]:
+        """Numbers of the terms in a lower-case run without white space."""
+        out = []
+        for w in _WORD.findall(chunk):
+            for t in (w, "^" + w[:4] if len(w) > 4 else "", "^" + w[:5] if len(w) > 5 else ""):
+                if (i := self.number.get(t)) is not None:
+                    out.append(i)
+        return tuple(out)
+
+    def __getstate__(self):
+        return self.terms, self.idf
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
     def vector(self, text: str) -> tuple[tuple[int, float], ...]:
         """The text's unit vector; empty if it holds no term."""
         tf = self.matches(text)
@@ -91,19 +99,29 @@ class Vocabulary:
         return tuple((i, w / norm) for i, w in raw) if norm else ()
 
 
+class _Chunks(dict):
+    """Terms by run; starts anew when it is full."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
+        terms = self.vocabulary.terms_in(chunk)
+        if len(chunk) <= CHUNK_CHARS:
+            if len(self) >= CHUNKS:
+                self.clear()
+            self[chunk] = terms
+        return terms
+
+
 def _blocks(text: str) -> Iterator[list[str]]:
-    low = text.lower()
-    if len(low) <= 4 * WORDS:
-        yield _WORD.findall(low)
-        return
-    held: list[str] = []
-    for m in _WORD.finditer(low):
-        held.append(m.group())
-        if len(held) == WORDS:
-            yield held
-            held = []
-    if held:
-        yield held
+    """Runs without white space, lower case, ``WORDS`` at a time."""
+    rest = text.lower()
+    while rest:
+        runs = rest.split(None, WORDS)
+        rest = runs.pop() if len(runs) > WORDS else ""
+        yield runs
 
 
 class BlockMaxIndex:
@@ -119,41 +137,54 @@ class BlockMaxIndex:
         for place, r in enumerate(order):
             for t, w in vectors[r]:
                 lists.setdefault(t, []).append((place, w))
-        #: term -> (blocks, largest weight in each, first posting of each, places, weights)
+        #: term -> (blocks, largest weight in each, first posting of each and
+        #: the end, places, weights)
         self.lists = {}
         for t, posts in lists.items():
             places = np.array([p for p, _ in posts], dtype=np.int64)
             weights = np.array([w for _, w in posts])
             blocks, first = np.unique(places // block, return_index=True)
             top = np.maximum.reduceat(weights, first)
-            self.lists[t] = (blocks, top, dict(zip(blocks.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(places)]))), places, weights)
+            self.lists[t] = (blocks, top, np.r_[first, len(places)], places, weights)
+
+    def _add(self, score: np.ndarray, lists: list, blocks: np.ndarray) -> None:
+        """Add the query's products over the postings in some blocks."""
+        chosen = np.zeros(self.n_blocks, dtype=bool)
+        chosen[blocks] = True
+        for q, (own, _, first, places, weights) in lists:
+            at = np.flatnonzero(chosen[own])
+            if len(at) == len(own):
+                score[places] += q * weights
+            elif len(at):
+                size = first[at + 1] - first[at]
+                shift = first[at] - np.r_[0, np.cumsum(size)[:-1]]
+                posts = np.repeat(shift, size) + np.arange(size.sum())
+                score[places[posts]] += q * weights[posts]
 
     def search(self, query: tuple[tuple[int, float], ...], k: int) -> list[tuple[float, int, int]]:
         """The ``k`` nearest by cosine (above zero), ties by smaller id:
-        (cosine, example id, example number)."""
+        (cosine, example id, example number).
+
+        The blocks with the highest bounds are scored first; of the others
+        only those whose bound reaches the k-th cosine found there can hold a
+        neighbour, and they are scored next."""
         bound = np.zeros(self.n_blocks)
         lists = [(q, self.lists[t]) for t, q in query if t in self.lists]
-        for q, (blocks, top, *_) in lists:
-            bound[blocks] += q * top
-        found: list[tuple[float, int, int]] = []
-        least = -1.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0.0 or len(found) >= k and bound[b] < least - 1e-9:
-                break
-            base = b * self.block
-            score = np.zeros(self.block)
-            for q, (_, _, spans, places, weights) in lists:
-                if (span := spans.get(b)) is not None:
-                    lo, hi = span
-                    score[places[lo:hi] - base] += q * weights[lo:hi]
-            for j in np.flatnonzero(score > 0.0).tolist():
-                found.append((round(float(score[j]), 12), int(self.ids[base + j]), int(self.row[base + j])))
-            if len(found) >= k:
-                found.sort(key=lambda x: (-x[0], x[1]))
-                del found[k:]
-                least = found[-1][0]
-        found.sort(key=lambda x: (-x[0], x[1]))
-        return found[:k]
+        for q, (own, top, *_) in lists:
+            bound[own] += q * top
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0.0]
+        score = np.zeros(self.n_blocks * self.block)
+        n = max(2, 2 * -(-k // self.block))
+        self._add(score, lists, order[:n])
+        least = np.partition(score, -k)[-k] if len(score) >= k else 0.0
+        self._add(score, lists, order[n:][bound[order[n:]] >= least - 1e-9])
+        score = np.round(score, 12)
+        hits = np.flatnonzero(score > 0.0)
+        if len(hits) > k:
+            hits = hits[score[hits] >= np.partition(score[hits], -k)[-k]]
+        hits = hits[np.lexsort((self.ids[hits], -score[hits]))][:k]
+        return [(float(score[h]), int(self.ids[h]), int(self.row[h])) for h in hits]
 
 
 class Model:

@@ -52,7 +52,7 @@ def test_rank_queue_pops_in_order():
         want.setdefault(r, []).append(p)
     for r in sorted(want):
         assert q.pop() == (r, want[r])
-    assert q.pop() is None and not any(map(any, q.levels))
+    assert q.pop() is None and not q.top and not any(q.words)
 
 
 def test_codec_matches_library_on_hard_texts(enc):
