@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadence.llm.common import id_bytes
+
 #: Width of a bitmap word, and its single bits.
 SHIFT = 8
 WORD = 1 << SHIFT
@@ -168,7 +170,7 @@ class Codec:
                 p = pieces[i]
                 known = cache.get(p)
                 if known is None:
-                    known = np.array(self.merge(p.encode()), dtype="<u4").tobytes()
+                    known = id_bytes(self.merge(p.encode()))
                     if len(p) <= CACHE_CHARS:
                         cache[p] = known
                 out[i] = known

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def id_bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
+
+
 def batch_columns(batch: pa.RecordBatch, *names: str) -> list:
     return [batch.column(batch.schema.get_field_index(n)) for n in names]
 

@@ -27,12 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadence.llm.common import materialise
+from cadence.llm.common import id_bytes, materialise
 
 #: Rows tokenised before a result batch goes back to Spark.
 SLICE_ROWS = 256
 #: Space-separated chunks whose ids a worker remembers; starts anew beyond.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 1_000_000
 #: The id that ends every document.
 END = b"\0\0\0\0"
 _TWO_SPACES = re.compile(r"\s\s")
@@ -70,11 +70,11 @@ class Tokeniser:
         found = self.library.encode_batch_fast([" " + c for c in new], add_special_tokens=False)
         long: dict[str, bytes] = {}
         for c, e in zip(new, found):
-            (cache if len(c) <= 64 else long)[c] = np.array(e.ids, dtype="<u4").tobytes()
+            (cache if len(c) <= 48 else long)[c] = id_bytes(e.ids)
         heads = self.library.encode_batch_fast([c[0] for c in cut], add_special_tokens=False)
         look = cache.__getitem__ if not long else lambda c: cache[c] if c in cache else long[c]
         return [
-            np.array(h.ids, dtype="<u4").tobytes() + b"".join(map(look, c[1:]))
+            id_bytes(h.ids) + b"".join(map(look, c[1:]))
             for h, c in zip(heads, cut)
         ]
 
