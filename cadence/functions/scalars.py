@@ -179,11 +179,8 @@ def path_absolute(col, root: str) -> Column:
 
 
 def timeline(min_year, max_year) -> Column:
-    """'1999-2010', or the single year, or NULL."""
-    lo, hi = _c(min_year), _c(max_year)
-    return F.when(lo.isNull(), F.lit(None).cast("string")).when(
-        lo == hi, lo.cast("string")
-    ).otherwise(F.concat(lo.cast("string"), F.lit("-"), hi.cast("string")))
+    """'1999-2010', '2000-2000' for a single year, NULL without years."""
+    return F.concat(_c(min_year).cast("string"), F.lit("-"), _c(max_year).cast("string"))
 
 
 def url_safe_b64_json(struct_col) -> Column:

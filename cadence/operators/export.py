@@ -57,9 +57,14 @@ def _xml_escape(c):
 
 
 def playlist_xspf(tracks: DataFrame, group: str = "playlist_id", order: str = "order_index",
-                  creator: str = "cadence") -> DataFrame:
-    """XSPF document per playlist; durations in milliseconds."""
+                  creator: str = "cadence", description: DataFrame | None = None) -> DataFrame:
+    """XSPF document per playlist; durations in milliseconds. ``description``
+    (group, description) becomes the annotation."""
     g = _ordered_tracks(tracks, group, order, ["filepath", "track_length_seconds"])
+    note = F.lit("")
+    if description is not None:
+        g = g.join(description.select(group, "description"), group, "left")
+        note = F.coalesce(F.concat(F.lit("<annotation>"), _xml_escape(F.col("description")), F.lit("</annotation>")), F.lit(""))
     track_xml = F.transform("_t", lambda x: F.concat(
         F.lit("<track><location>"), _xml_escape(x["filepath"]), F.lit("</location>"),
         F.when(x["track_length_seconds"].isNotNull() & (x["track_length_seconds"] != 0),
@@ -68,5 +73,5 @@ def playlist_xspf(tracks: DataFrame, group: str = "playlist_id", order: str = "o
         F.lit("</track>")))
     return g.select(group, F.concat(
         F.lit('<?xml version="1.0" encoding="UTF-8"?><playlist version="1" xmlns="http://xspf.org/ns/0/">'),
-        F.lit(f"<creator>{creator}</creator><trackList>"), F.array_join(track_xml, ""),
+        F.lit(f"<creator>{creator}</creator>"), note, F.lit("<trackList>"), F.array_join(track_xml, ""),
         F.lit("</trackList></playlist>")).alias("xspf"))

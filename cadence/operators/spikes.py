@@ -75,14 +75,20 @@ def suppress_24h(spikes: DataFrame, keys=("username", "recording_mbid"),
     strong, earlier one) of the same key starts less than 24h away."""
     keys = list(keys)
     s = spikes.withColumn("_us", micros(ts))
-    around = Window.partitionBy(*keys).orderBy("_us").rangeBetween(-(MICROS_PER_DAY - 1), MICROS_PER_DAY - 1)
-    before = Window.partitionBy(*keys).orderBy("_us").rangeBetween(-(MICROS_PER_DAY - 1), -1)
+    day = F.floor(F.col("_us") / F.lit(MICROS_PER_DAY)).cast("long")
+    # a spike is judged in its own day's bucket and seen from the days beside
+    # it, so a window partition holds three days of one key
+    seen = s.select("*", F.explode(F.array(*[
+        F.struct((day + o).alias("day"), F.lit(o == 0).alias("judged")) for o in (-1, 0, 1)])).alias("_d"))
+    by = Window.partitionBy(*keys, "_d.day").orderBy("_us")
+    around = by.rangeBetween(-(MICROS_PER_DAY - 1), MICROS_PER_DAY - 1)
+    before = by.rangeBetween(-(MICROS_PER_DAY - 1), -1)
     c = F.col("next_24h_listen_count")
     return (
-        s.withColumn("_m1", F.max(c).over(around))
+        seen.withColumn("_m1", F.max(c).over(around))
         .withColumn("_m2", F.max(c).over(before))
-        .where(~((F.col("_m1") > c) | (F.coalesce(F.col("_m2"), F.lit(-1)) == c)))
-        .drop("_us", "_m1", "_m2")
+        .where(F.col("_d.judged") & ~((F.col("_m1") > c) | (F.coalesce(F.col("_m2"), F.lit(-1)) == c)))
+        .drop("_us", "_m1", "_m2", "_d")
     )
 
 

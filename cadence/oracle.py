@@ -70,8 +70,7 @@ FROM part"""
 
 ADAPTERS["artists"] = """
 SELECT b.artist_mbid, b.artist_name, t.tags_string,
-       CASE WHEN b.y0 IS NULL THEN NULL WHEN b.y0 = b.y1 THEN CAST(b.y0 AS VARCHAR)
-            ELSE CAST(b.y0 AS VARCHAR) || '-' || CAST(b.y1 AS VARCHAR) END AS active_years
+       CAST(b.y0 AS VARCHAR) || '-' || CAST(b.y1 AS VARCHAR) AS active_years
 FROM (SELECT artist_mbid, max(artist_name) AS artist_name, min(year) AS y0, max(year) AS y1
       FROM artist_ann GROUP BY 1) b
 LEFT JOIN (SELECT artist_mbid, string_agg(tag, ', ' ORDER BY c DESC, tag) AS tags_string
@@ -354,54 +353,44 @@ HAVING CAST(round(sum(1.0 / m.k)) AS INTEGER) > 0
 """)
 
 QUERIES["daily_stats"] = q(["listens", "files", "map_file_recording"], f"""
-, prop AS (
-  SELECT l.username, CAST(l.listen_at_ts_utc AS DATE) AS listen_date,
-         CAST(count(DISTINCT CASE WHEN m.filepath IS NOT NULL THEN l.listen_md5 END) AS DOUBLE)
-           / count(DISTINCT l.listen_md5) AS pct
-  FROM listens l LEFT JOIN map_file_recording m USING (recording_mbid)
-  WHERE l.recording_mbid IS NOT NULL
-  GROUP BY 1, 2)
-, counts AS (
-  SELECT username, CAST(listen_at_ts_utc AS DATE) AS listen_date,
-         count(DISTINCT listen_md5) AS count_listens,
-         count(DISTINCT recording_mbid) AS count_recordings,
-         count(DISTINCT release_mbid) AS count_releases,
-         round(sum(duration_ms) / 3600000.0, 6) AS sum_listen_hours
+, d AS (
+  SELECT username, CAST(listen_at_ts_utc AS DATE) AS listen_date, recording_mbid, release_mbid,
+         recording_mbid IN (SELECT recording_mbid FROM map_file_recording) AS mapped,
+         count(*) AS n, sum(duration_ms) AS ms
   FROM listens
   WHERE CAST(listen_at_ts_utc AS DATE) >= CAST({LISTEN_AS_OF} AS DATE) - INTERVAL 90 DAY
-  GROUP BY 1, 2)
-SELECT {skey('c.username', 'c.listen_date')} AS user_date_key, c.*,
-       round(coalesce(p.pct, 0), 6) AS pct_listens_mapped_to_file
-FROM counts c LEFT JOIN prop p USING (username, listen_date)
+  GROUP BY ALL)
+SELECT {skey('username', 'listen_date')} AS user_date_key, username, listen_date,
+       CAST(sum(n) AS BIGINT) AS count_listens, count(DISTINCT recording_mbid) AS count_recordings,
+       count(DISTINCT release_mbid) AS count_releases, round(sum(ms) / 3600000.0, 6) AS sum_listen_hours,
+       round(coalesce(CAST(sum(n) FILTER (mapped) AS DOUBLE) / sum(n) FILTER (recording_mbid IS NOT NULL), 0), 6)
+         AS pct_listens_mapped_to_file
+FROM d GROUP BY username, listen_date
 """)
 
-SPIKES_CTE = """
-, su AS (
-  SELECT t0.listen_md5, min(t0.username) AS username, min(t0.recording_mbid) AS recording_mbid,
-         min(t0.listen_at_ts_utc) AS period_start_at_utc, count(*) AS next_24h_listen_count
-  FROM listens t0 JOIN listens tn
-    ON t0.recording_mbid = tn.recording_mbid AND t0.recording_mbid IS NOT NULL
-   AND t0.username = tn.username
-   AND t0.listen_at_ts_utc + INTERVAL 1 DAY > tn.listen_at_ts_utc
-   AND t0.listen_at_ts_utc < tn.listen_at_ts_utc
-  GROUP BY t0.listen_md5
-  HAVING count(*) >= 5)
-, excl AS (
-  SELECT tx.listen_md5
-  FROM su t0 JOIN su tx ON t0.username = tx.username AND t0.recording_mbid = tx.recording_mbid
-   AND {window}
-  WHERE CASE WHEN tx.next_24h_listen_count < t0.next_24h_listen_count THEN true
-             WHEN tx.next_24h_listen_count > t0.next_24h_listen_count THEN false
-             ELSE tx.period_start_at_utc > t0.period_start_at_utc END)
+# Listens in the open interval (t, t + 24 h), by a range frame in microseconds.
+_STARTS = """
+, starts AS (
+  SELECT * FROM (
+    SELECT listen_md5 AS start_listen_md5, recording_mbid, username, listen_at_ts_utc AS period_start_at_utc,
+           count(*) OVER (PARTITION BY username, recording_mbid ORDER BY epoch_us(listen_at_ts_utc)
+                          RANGE BETWEEN 1 FOLLOWING AND 86399999999 FOLLOWING) AS next_24h_listen_count,
+           track_name, release_name, artist_name
+    FROM listens WHERE recording_mbid IS NOT NULL)
+  WHERE next_24h_listen_count >= 5)"""
+
+SPIKES_GLOBAL = _STARTS + """
 , spikes AS (
-  SELECT su.listen_md5 AS start_listen_md5, l.recording_mbid, su.username, su.period_start_at_utc,
-         su.next_24h_listen_count, l.track_name, l.release_name, l.artist_name
-  FROM su JOIN listens l ON su.listen_md5 = l.listen_md5
-  WHERE su.listen_md5 NOT IN (SELECT listen_md5 FROM excl))"""
-
-SPIKES_GLOBAL = SPIKES_CTE.format(window="true")
-SPIKES_24H = SPIKES_CTE.format(
-    window="abs(epoch_us(tx.period_start_at_utc) - epoch_us(t0.period_start_at_utc)) < 86400000000")
+  SELECT * FROM starts
+  QUALIFY rank() OVER (PARTITION BY username, recording_mbid
+                       ORDER BY next_24h_listen_count DESC, period_start_at_utc) = 1)"""
+SPIKES_24H = _STARTS + """
+, spikes AS (
+  SELECT x.* FROM starts x WHERE NOT EXISTS (
+    SELECT 1 FROM starts y
+    WHERE y.username = x.username AND y.recording_mbid = x.recording_mbid
+      AND abs(epoch_us(y.period_start_at_utc) - epoch_us(x.period_start_at_utc)) < 86400000000
+      AND (-y.next_24h_listen_count, y.period_start_at_utc) < (-x.next_24h_listen_count, x.period_start_at_utc)))"""
 
 QUERIES["play_spikes"] = q(["listens"], SPIKES_GLOBAL + "\nSELECT * FROM spikes")
 QUERIES["play_spikes_24h"] = q(["listens"], SPIKES_24H + "\nSELECT * FROM spikes")
@@ -485,10 +474,7 @@ QUERIES["knn_predicate_weights"] = q(
   SELECT s.playlist_id, s.username, s.filepath, ln(2 + greatest(coalesce(fc.lifetime_listen_count, 0), 0)) AS weight
   FROM seeds_raw s LEFT JOIN fc ON fc.username = s.username AND fc.filepath = s.filepath)
 , recent AS (
-  SELECT username, filepath, recency_score FROM (
-    SELECT username, filepath, recency_score,
-           row_number() OVER (PARTITION BY username ORDER BY recency_score DESC, filepath) AS rn
-    FROM fc WHERE last30_listen_count > 0 AND recency_score IS NOT NULL) WHERE rn <= 1000)
+  SELECT username, filepath, recency_score FROM fc WHERE last30_listen_count > 0 AND recency_score IS NOT NULL)
 , cw AS (
   SELECT o.playlist_id, r.filepath, 1.0 / (1.0 + r.recency_score * 0.5) AS weight
   FROM (SELECT DISTINCT playlist_id, username FROM playlist_seeds) o JOIN recent r USING (username))"""
@@ -616,9 +602,9 @@ QUERIES["artist_recommends"] = q(["listens", "releases", "artists", "files", "na
   LEFT JOIN in_library l ON c.artist_mbid_b = l.artist_mbid
   WHERE l.artist_mbid IS NULL)
 , best AS (
-  SELECT artist_mbid_b, artist_mbid_a, score_value FROM (
-    SELECT s.*, row_number() OVER (PARTITION BY s.artist_mbid_b ORDER BY s.score_value DESC, s.artist_mbid_a DESC) AS rn
-    FROM scores s JOIN in_library l ON s.artist_mbid_a = l.artist_mbid) WHERE rn = 1)
+  SELECT artist_mbid_b, m.a AS artist_mbid_a, m.s AS score_value FROM (
+    SELECT artist_mbid_b, max({'s': score_value, 'a': artist_mbid_a}) AS m
+    FROM scores WHERE artist_mbid_a IN (SELECT artist_mbid FROM in_library) GROUP BY 1))
 , agg AS (
   SELECT artist_mbid_b, sum(score_value * log_listens) AS total_score, max(score_value) AS max_score
   FROM scores GROUP BY 1)
@@ -696,7 +682,7 @@ QUERIES["weighted_sample"] = q(["listens", "releases", "release_groups"], _RR +
 SELECT release_group_mbid, release_group_title, artist_name, username, round(revisit_score, 6) AS revisit_score,
        num_recordings, listens_old, listens_recent
 FROM (SELECT k.*, row_number() OVER (PARTITION BY username ORDER BY g DESC, username, release_group_mbid) AS rn FROM k)
-WHERE rn <= 5""")
+WHERE rn <= 15""")
 
 QUERIES["top_artists_sample"] = q(["listens", "releases", "artists"], recency_base(LISTEN_AS_OF) + _ART_SRC + f"""
 , ac AS (
@@ -707,7 +693,7 @@ QUERIES["top_artists_sample"] = q(["listens", "releases", "artists"], recency_ba
 SELECT username, artist_mbid, artist_name, listen_count FROM (
   SELECT ac.*, row_number() OVER (PARTITION BY username
            ORDER BY md5('0|' || username || '|' || artist_mbid), username, artist_mbid) AS rn
-  FROM ac WHERE listen_count >= 15) WHERE rn <= 3""")
+  FROM ac WHERE listen_count >= 15) WHERE rn <= 15""")
 
 QUERIES["mbid_universe"] = q(["listens", "files", "name_map", "releases", "feedback"], SIMILAR_CTE + """
 SELECT DISTINCT mbid, entity FROM (
@@ -795,7 +781,7 @@ QUERIES["playlist_m3u8"] = q(["files", "cf_sym", "playlist_seeds"],
 SELECT playlist_id,
        '#EXTM3U' || chr(10) || '#PLAYLIST:Songs like ' || playlist_id || chr(10) ||
        string_agg('#EXTINF:' || CAST(track_length_seconds AS VARCHAR) || ',' || chr(10) || filepath, chr(10) ORDER BY position) AS m3u8
-FROM top WHERE position <= 20 GROUP BY playlist_id""")
+FROM top GROUP BY playlist_id""")
 
 QUERIES["stream_daily_stats"] = q(["listens"], """
 SELECT username, CAST(listen_at_ts_utc AS DATE) AS listen_date, count(*) AS count_listens,
@@ -966,9 +952,7 @@ QUERIES["loves_diff"] = q(["listens", "feedback", "files", "map_file_recording"]
     SELECT username, recording_mbid FROM feedback UNION ALL SELECT username, recording_mbid FROM spikes) l
   JOIN map_file_recording m USING (recording_mbid))
 , starred AS (
-  SELECT username, filepath FROM (
-    SELECT username, filepath, row_number() OVER (PARTITION BY username ORDER BY recency_score DESC, filepath) AS rn
-    FROM fc WHERE last30_listen_count > 0 AND recency_score IS NOT NULL) WHERE rn <= 20)
+  SELECT username, filepath FROM fc WHERE last30_listen_count > 0 AND recency_score IS NOT NULL)
 SELECT username, filepath, 'to_star' AS direction FROM (SELECT * FROM loved EXCEPT SELECT * FROM starred)
 UNION ALL
 SELECT username, filepath, 'to_submit' FROM (SELECT * FROM starred EXCEPT SELECT * FROM loved)""")
@@ -1085,7 +1069,8 @@ QUERIES["signature_roundtrip"] = q([], f"""
 SELECT playlist_id, collection_name,
        CASE WHEN substr(playlist_id, 1, 1) IN ('0', '1', '2', '3', '4') THEN NULL ELSE playlist_id END AS sig_playlist_id,
        CASE WHEN substr(playlist_id, 1, 1) IN ('0', '1', '2', '3', '4') THEN NULL ELSE collection_id END AS sig_collection_id,
-       CASE WHEN substr(playlist_id, 1, 1) IN ('0', '1', '2', '3', '4') THEN NULL ELSE 0 END AS sig_order_index
+       CASE WHEN substr(playlist_id, 1, 1) IN ('0', '1', '2', '3', '4') THEN NULL ELSE 0 END AS sig_order_index,
+       CASE WHEN substr(playlist_id, 1, 1) IN ('0', '1', '2', '3', '4') THEN NULL ELSE '2024-05-18T12:30:00Z' END AS signed_at
 FROM p""")
 
 
@@ -1096,7 +1081,7 @@ QUERIES["revisit_release_playlists"] = q(["listens", "releases", "release_groups
   FROM rr)
 , sampled AS (
   SELECT * FROM (SELECT k.*, row_number() OVER (PARTITION BY username ORDER BY g DESC, username, release_group_mbid) AS rn FROM k)
-  WHERE rn <= 5)
+  WHERE rn <= 15)
 , rgm AS (
   SELECT DISTINCT filepath, release_group_mbid FROM (
     SELECT f.filepath, m.release_group_mbid FROM files f JOIN name_map m USING (recording_md5) WHERE m.release_group_mbid IS NOT NULL
@@ -1136,6 +1121,11 @@ QUERIES["collection_registry"] = q(["listens"], """
 SELECT collection_name, username, array_to_string(hours, ',') AS refresh_at_hours_utc, refreshed_at_utc FROM merged""")
 
 
+QUERIES["entity_dump_quarantine"] = q([], f"""
+SELECT CAST(packet AS VARCHAR) || '-' || entity AS slug, count(*) AS n_bad, 'oops' AS bad
+FROM (SELECT p_partkey // 300 AS packet, {ent('p_partkey // 300')} AS entity FROM part WHERE p_partkey % 60 = 1)
+GROUP BY 1""")
+
 QUERIES["entity_dump_scan"] = q([], f"""
 , p AS (SELECT p_partkey AS k, p_partkey // 300 AS packet FROM part WHERE p_partkey % 13 <> 0)
 , e AS (SELECT k, packet, {ent('packet')} AS entity FROM p)
@@ -1146,7 +1136,7 @@ QUERIES["entity_dump_scan"] = q([], f"""
                                    'artist:' || {mbid('a', '(k + 1) % 11')}]
       ELSE []::VARCHAR[] END) AS cl
   FROM e)
-SELECT 'mb-' || CAST(e.packet AS VARCHAR) AS slug, CAST(e.packet AS BIGINT) AS packet_number, e.entity,
+SELECT CAST(e.packet AS VARCHAR) || '-' || e.entity AS slug, CAST(e.packet AS BIGINT) AS packet_number, e.entity,
        {mbid('p', 'e.k')} AS mbid, CAST(len(c.cl) AS INTEGER) AS n_containers, array_to_string(c.cl, ',') AS containers
 FROM e JOIN c USING (k)""")
 
@@ -1249,14 +1239,14 @@ QUERIES["playlist_xspf"] = q(["files", "cf_sym", "playlist_seeds"],
     + """)
 SELECT playlist_id,
        '<?xml version="1.0" encoding="UTF-8"?><playlist version="1" xmlns="http://xspf.org/ns/0/">'
-       || '<creator>cadence</creator><trackList>'
+       || '<creator>cadence</creator><annotation>Songs like ' || playlist_id || '</annotation><trackList>'
        || string_agg('<track><location>' || replace(replace(replace(filepath, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')
                      || '</location>'
                      || CASE WHEN track_length_seconds IS NOT NULL AND track_length_seconds <> 0
                              THEN '<duration>' || CAST(track_length_seconds * 1000 AS VARCHAR) || '</duration>' ELSE '' END
                      || '</track>', '' ORDER BY position)
        || '</trackList></playlist>' AS xspf
-FROM top WHERE position <= 20 GROUP BY playlist_id""")
+FROM top GROUP BY playlist_id""")
 
 
 # --- greedy playlist composition (recursive walk over the ranked candidates) ----------
@@ -1275,14 +1265,11 @@ _PG = q(
   SELECT s.playlist_id, s.username, s.filepath, ln(2 + greatest(coalesce(fc.lifetime_listen_count, 0), 0)) AS weight
   FROM seeds_raw s LEFT JOIN fc ON fc.username = s.username AND fc.filepath = s.filepath)
 , recent AS (
-  SELECT username, filepath, recency_score FROM (
-    SELECT username, filepath, recency_score,
-           row_number() OVER (PARTITION BY username ORDER BY recency_score DESC, filepath) AS rn
-    FROM fc WHERE last30_listen_count > 0 AND recency_score IS NOT NULL) WHERE rn <= 1000)
+  SELECT username, filepath, recency_score FROM fc WHERE last30_listen_count > 0 AND recency_score IS NOT NULL)
 , cw AS (
   SELECT o.playlist_id, r.filepath, 1.0 / (1.0 + r.recency_score * 0.5) AS weight
   FROM (SELECT DISTINCT playlist_id, username FROM playlist_seeds) o JOIN recent r USING (username))"""
-    + KNN_BODY.format(min_distance=0.5, cw_table="cw", limit=2000).replace(
+    + KNN_BODY.format(min_distance=0.5, cw_table="cw", limit=1000000000).replace(
         "SELECT k.playlist_id, CAST(k.position AS INTEGER) AS position",
         ", top AS (SELECT k.playlist_id, CAST(k.position AS INTEGER) AS position", 1)
     + f""")
@@ -1343,7 +1330,7 @@ _CT = "WITH RECURSIVE rt AS (" + QUERIES["revisit_tracks"] + """)
            (NOT list_contains(g.recs, t.recording_mbid) AND NOT list_contains(g.paths, t.filepath)
             AND len(list_filter(g.arts, lambda x: x = t.artist_mbid)) < 2
             AND len(list_filter(g.arts, lambda x: x = t.aa)) < 2) AS ok
-    FROM g JOIN top t ON t.username = g.username AND t.pos = g.pos + 1 AND t.pos <= 1000
+    FROM g JOIN top t ON t.username = g.username AND t.pos = g.pos + 1
     WHERE g.n_acc < 20))
 SELECT t.username,
        CAST(row_number() OVER (PARTITION BY t.username ORDER BY md5('0|' || t.username || '|' || t.filepath), t.filepath) - 1
@@ -1397,10 +1384,7 @@ _TOP_ARTIST_SOURCES = """
   SELECT DISTINCT r.playlist_id, r.username, m.filepath
   FROM requests r JOIN universe u USING (mbid) JOIN fml m ON m.entity = u.entity AND m.mbid = r.mbid)
 , sources AS (
-  SELECT playlist_id, username, filepath FROM (
-    SELECT routed.*, row_number() OVER (PARTITION BY playlist_id
-             ORDER BY md5('0|' || playlist_id || '|' || filepath), playlist_id, filepath) AS rn
-    FROM routed) WHERE rn <= 100)"""
+  SELECT playlist_id, username, filepath FROM routed)"""
 
 _TA = _greedy_with_seeds(
     "SELECT playlist_id, username, filepath FROM sources",
@@ -1434,7 +1418,7 @@ SELECT playlist_id,
                                       'album_artist_mbid', album_artist_mbid, 'track_length_seconds', track_length_seconds,
                                       'match_distance', distance) ORDER BY position),
          'description', 'Songs like ' || playlist_id) AS VARCHAR) AS json
-FROM top WHERE position <= 20 GROUP BY playlist_id""")
+FROM top GROUP BY playlist_id""")
 
 
 QUERIES["cf_calibration"] = q(["cf_sym"], """

@@ -102,27 +102,24 @@ def daily_user_listen_stats(listens: DataFrame, file_map: DataFrame, as_of: dt.d
     """Per (user, date) for the last ``days`` days: listens, distinct
     recordings and releases, hours, share of listens mapped to a file.
     listen_md5 is the listens key, so distinct listens are plain counts."""
-    d = F.to_date("listen_at_ts_utc")
-    mapped = file_map.select("recording_mbid").distinct().withColumn("_mapped", F.lit(True))
-    prop = (
-        listens.where(F.col("recording_mbid").isNotNull())
-        .join(mapped, "recording_mbid", "left")
-        .groupBy("username", d.alias("listen_date"))
-        .agg((F.count_if(F.col("_mapped").isNotNull()) / F.count(F.lit(1))).alias("pct_listens_mapped_to_file"))
-    )
     start = (as_of - dt.timedelta(days=days)).date()
+    d = F.to_date("listen_at_ts_utc")
+    # one aggregate of the last days serves counts, distinct counts and share
     per = (
         listens.where(d >= F.lit(start))
         .groupBy("username", d.alias("listen_date"), "recording_mbid", "release_mbid")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ms").alias("ms"))
     )
-    counts = per.groupBy("username", "listen_date").agg(
+    mapped = file_map.select("recording_mbid").distinct().withColumn("_mapped", F.lit(True))
+    known = F.when(F.col("recording_mbid").isNotNull(), F.col("n"))
+    counts = per.join(mapped, "recording_mbid", "left").groupBy("username", "listen_date").agg(
         F.sum("n").alias("count_listens"),
         F.count_distinct("recording_mbid").alias("count_recordings"),
         F.count_distinct("release_mbid").alias("count_releases"),
         (F.sum("ms") / F.lit(3_600_000.0)).alias("sum_listen_hours"),
+        (F.coalesce(F.sum(F.when(F.col("_mapped"), F.col("n"))), F.lit(0)) / F.sum(known)).alias("pct_listens_mapped_to_file"),
     )
-    return counts.join(prop, ["username", "listen_date"], "left").select(
+    return counts.select(
         surrogate_key("username", "listen_date").alias("user_date_key"),
         "username",
         "listen_date",

@@ -51,13 +51,14 @@ DUMP_LINE_SCHEMA = (
 )
 
 
-def scan_listen_dump(spark, path: str) -> DataFrame:
-    """JSON-lines listen dump -> one (user_id, artist_mbid) per valid id.
+def scan_listen_dump(lines: DataFrame) -> DataFrame:
+    """Lines of a listen dump (``value``: JSON, as ``spark.read.text`` gives
+    them) -> one (user_id, artist_mbid) per valid id.
     A non-empty id list wins (even when none of its ids parse); otherwise a
     non-empty scalar id; ids parse leniently to canonical text."""
     from cadence.functions.scalars import try_uuid
 
-    d = spark.read.schema(DUMP_LINE_SCHEMA).json(path)
+    d = lines.select(F.from_json("value", DUMP_LINE_SCHEMA).alias("d")).select("d.*")
     info = F.col("track_metadata.additional_info")
     lst, one = info["artist_mbids"], info["artist_mbid"]
     ids = (
@@ -77,54 +78,79 @@ def count_pairs(listens: DataFrame) -> DataFrame:
 OBJECT_SCHEMA = (
     "id string, `artist-credit` array<struct<artist:struct<id:string>>>, `release-group` struct<id:string>"
 )
-ENTITY_BY_PACKET = ["artist", "release", "release-group", "recording"]
-
-
-def split_concatenated_json(lines: DataFrame, text_col: str = "value") -> DataFrame:
-    """Whitespace-separated JSON objects (several per line) -> one row per
-    object text (only objects carrying an ``id``). Python's raw decoder does
-    the splitting per Arrow batch; parsing stays in Spark."""
-    import json
-
+#: What a dump text is made of, as far as its objects' ends are concerned.
+JSON_PIECES = r'"(?:[^"\\]|\\.)*"|[{}]'
+
+
+def object_spans(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(objects, rest) of a text of JSON objects one after the other: where
+    each outermost pair of braces begins and ends, and where there is anything
+    else than white space between or after them. Braces in strings do not
+    count."""
+    import re
+
+    objects, rest = [], []
+    depth = begin = done = 0
+    for m in re.finditer(JSON_PIECES, text, re.S):
+        if m.group() == "{":
+            if depth == 0:
+                begin = m.start()
+                if text[done:begin].strip():
+                    rest.append((done, begin))
+            depth += 1
+        elif m.group() == "}" and depth:
+            depth -= 1
+            if depth == 0:
+                objects.append((begin, m.end()))
+                done = m.end()
+    if text[done:].strip():
+        rest.append((done, len(text)))
+    return objects, rest
+
+
+def split_concatenated_json(texts: DataFrame, text_col: str = "value") -> DataFrame:
+    """Whole texts of concatenated JSON objects -> (other columns, obj, bad):
+    one row per object, which may reach over lines, in ``obj``, and one per
+    stretch that is no object, in ``bad``. Nothing is dropped; whether an
+    object parses is for the reader to say."""
     import pandas as pd
 
-    others = [c for c in lines.columns if c != text_col]
-    schema = lines.select(*others).schema.add("obj", "string")
+    others = [c for c in texts.columns if c != text_col]
+    schema = texts.select(*others).schema.add("obj", "string").add("bad", "string")
 
     def fn(batches):
-        dec = json.JSONDecoder()
         for pdf in batches:
-            rows = []
-            for rec in pdf.itertuples(index=False):
-                s = getattr(rec, text_col) or ""
-                i, n = 0, len(s)
-                while i < n:
-                    while i < n and s[i].isspace():
-                        i += 1
-                    if i >= n:
-                        break
-                    try:
-                        o, j = dec.raw_decode(s, i)
-                    except ValueError:
-                        break
-                    if isinstance(o, dict) and "id" in o:
-                        rows.append([getattr(rec, c) for c in others] + [s[i:j]])
-                    i = j
-            yield pd.DataFrame(rows, columns=others + ["obj"])
-
-    return lines.mapInPandas(fn, schema)
-
-
-def scan_entity_dump(spark, path: str) -> DataFrame:
-    """Dump packets -> (slug, packet_number, entity, mbid, containers): the
-    slug comes from the file path; containers are the release group and
-    credited artists of releases, the credited artists of release groups."""
-    raw = spark.read.text(path).select(
+            for *own, text in pdf[[*others, text_col]].itertuples(index=False, name=None):
+                text = text if isinstance(text, str) else ""
+                objects, rest = object_spans(text)
+                rows = [(*own, text[a:b], None) for a, b in objects] + [(*own, None, text[a:b].strip()) for a, b in rest]
+                yield pd.DataFrame(rows, columns=[*others, "obj", "bad"], dtype=object)
+
+    return texts.mapInPandas(fn, schema)
+
+
+def read_dump_files(spark, path: str) -> DataFrame:
+    """(slug, value) of the dump files below ``path``: whole files, the slug
+    from the folder name ``slug=<packet>-<entity>``."""
+    return spark.read.text(path, wholetext=True).select(
         F.regexp_extract(F.col("_metadata.file_path"), r"slug=([^/]+)", 1).alias("slug"), "value")
-    objs = split_concatenated_json(raw)
-    packet = F.regexp_extract("slug", r"(\d+)$", 1).cast("long")
-    ent = F.element_at(F.array(*[F.lit(e) for e in ENTITY_BY_PACKET]), (packet % 4 + 1).cast("int"))
-    d = objs.select("slug", packet.alias("packet_number"), ent.alias("entity"), F.from_json("obj", OBJECT_SCHEMA).alias("o"))
+
+
+def scan_entity_dump(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Dump files (slug, value) -> (records, quarantine).
+
+    records: (slug, packet_number, entity, mbid, containers) of the objects
+    that carry an id. The slug is ``<packet>-<entity>``; containers are the
+    release group and credited artists of releases, the credited artists of
+    release groups. quarantine: (slug, bad), what is no object or does not
+    parse; an object without an id is neither."""
+    objs = split_concatenated_json(files)
+    packet = F.regexp_extract("slug", r"^(\d+)-", 1).cast("long")
+    ent = F.regexp_extract("slug", r"^\d+-(.+)$", 1)
+    parses = F.expr("try_parse_json(obj)").isNotNull()
+    quarantine = objs.where(F.col("bad").isNotNull() | ~parses).select("slug", F.coalesce("bad", "obj").alias("bad"))
+    d = objs.where(F.col("obj").isNotNull() & parses & F.get_json_object("obj", "$.id").isNotNull()).select(
+        "slug", packet.alias("packet_number"), ent.alias("entity"), F.from_json("obj", OBJECT_SCHEMA).alias("o"))
     artists = F.transform(F.coalesce(F.col("o.`artist-credit`"), F.array()),
                           lambda c: F.struct(c["artist"]["id"].alias("mbid"), F.lit("artist").alias("entity")))
     group = F.array(F.struct(F.col("o.`release-group`.id").alias("mbid"), F.lit("release-group").alias("entity")))
@@ -133,7 +159,8 @@ def scan_entity_dump(spark, path: str) -> DataFrame:
         .when(F.col("entity") == "release", F.concat(group, artists))
         .otherwise(F.array().cast("array<struct<mbid:string,entity:string>>"))
     )
-    return d.select("slug", "packet_number", "entity", F.col("o.id").alias("mbid"), containers.alias("containers"))
+    records = d.select("slug", "packet_number", "entity", F.col("o.id").alias("mbid"), containers.alias("containers"))
+    return records, quarantine
 
 
 def flatten_artist_stats(raw: DataFrame) -> DataFrame:
@@ -159,12 +186,12 @@ PAGE_SCHEMA = ("payload struct<count:int, user_id:string, latest_listen_ts:long,
                "listened_at:long, recording_msid:string, track_metadata:struct<track_name:string, artist_name:string>>>>")
 
 
-def scan_listen_pages(spark, path: str) -> DataFrame:
-    """Listen API pages -> one row per listen, keyed by the md5 of the JSON
+def scan_listen_pages(texts: DataFrame) -> DataFrame:
+    """Listen API pages (``value``: JSON) -> one row per listen, keyed by the md5 of the JSON
     list [user, recording_msid, listened_at] (immutable fields)."""
     from cadence.functions.scalars import json_list_hash
 
-    pages = spark.read.schema(PAGE_SCHEMA).json(path)
+    pages = texts.select(F.from_json("value", PAGE_SCHEMA).alias("p")).select("p.*")
     rows = pages.select(F.col("payload.user_id").alias("username"), F.explode("payload.listens").alias("l"))
     return rows.select(
         json_list_hash(F.col("username"), F.col("l.recording_msid"), (F.col("l.listened_at"), "num")).alias("listen_md5"),

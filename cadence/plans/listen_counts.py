@@ -108,16 +108,21 @@ def _entity_table(
         cols.append(f"last{d}_listen_count")
         for col, label in distinct_of:
             cols.append(f"last{d}_{label}_count")
-    for col, label in distinct_of:
+    if distinct_of:
+        # all distinct counts in one pass: (kind of thing, thing) rows with the
+        # latest listen, then counted by kind and cutoff
+        things = F.explode(F.array(*[F.struct(F.lit(label).alias("kind"), F.col(col).alias("thing")) for col, label in distinct_of]))
         latest = (
-            grain.where(F.col(col).isNotNull())
-            .groupBy(*keys, col)
+            grain.select(*keys, "max_ts", things.alias("t"))
+            .where(F.col("t.thing").isNotNull())
+            .groupBy(*keys, F.col("t.kind").alias("kind"), F.col("t.thing").alias("thing"))
             .agg(F.max("max_ts").alias("mt"))
             .groupBy(*keys)
-            .agg(
-                F.count(F.lit(1)).alias(f"lifetime_{label}_count"),
-                *[F.count_if(F.col("mt") >= cutoff(as_of, d)).alias(f"last{d}_{label}_count") for d in windows],
-            )
+            .agg(*[
+                F.count_if((F.col("kind") == label) & (F.lit(True) if d is None else F.col("mt") >= cutoff(as_of, d)))
+                .alias(f"lifetime_{label}_count" if d is None else f"last{d}_{label}_count")
+                for _, label in distinct_of for d in (None, *windows)
+            ])
         )
         main = main.join(latest, keys, "left")
     for col, label in distinct_of:

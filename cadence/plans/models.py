@@ -239,7 +239,7 @@ def q_bm25(spark, sf_dir):
 def q_item_similarity(spark, sf_dir):
     recs = td.dump_records(spark, sf_dir)
     known = recs.select("artist_mbid").distinct()
-    return round_doubles(sim.artist_similarity(recs, known, td.DUMP_AS_OF, EXCLUDED_DUMP_USER, max_iter=10))
+    return round_doubles(sim.artist_similarity(recs, known, td.DUMP_AS_OF, EXCLUDED_DUMP_USER))
 
 
 @register("cf_baseline")
@@ -258,13 +258,13 @@ from cadence.plans import collections as col  # noqa: E402
 def q_weighted_sample(spark, sf_dir):
     g = grain(spark, sf_dir, REVISIT_AS_OF)
     rr = act.revisit_releases(lc.release_group_listen_counts(g, td.release_groups(spark, sf_dir), REVISIT_AS_OF))
-    return round_doubles(col.sample_revisit_releases(rr, count=5))
+    return round_doubles(col.sample_revisit_releases(rr, count=15))
 
 
 @register("top_artists_sample")
 def q_top_artists_sample(spark, sf_dir):
     ac = lc.artist_listen_counts(grain(spark, sf_dir), td.artists(spark, sf_dir), AS_OF)
-    return col.sample_top_artists(ac, "30", count=3)
+    return col.sample_top_artists(ac, "30", count=15)
 
 
 @register("mbid_universe")
@@ -353,29 +353,31 @@ from cadence.operators import export as ex  # noqa: E402
 from cadence.streaming import listens as stl  # noqa: E402
 
 
-def _short_playlists(spark, sf_dir, n=20):
+def _exported_playlists(spark, sf_dir):
     from cadence.plans.playlists import knn_weighted
 
-    k = knn_weighted(spark, sf_dir)
-    return k.where(F.col("position") <= n).withColumnRenamed("position", "order_index").withColumnRenamed(
-        "distance", "match_distance")
+    return knn_weighted(spark, sf_dir).withColumnsRenamed({"position": "order_index", "distance": "match_distance"})
+
+
+def _descriptions(tracks):
+    return tracks.select("playlist_id").distinct().withColumn("description", F.concat(F.lit("Songs like "), "playlist_id"))
 
 
 @register("playlist_m3u8")
 def q_playlist_m3u8(spark, sf_dir):
-    t = _short_playlists(spark, sf_dir)
-    desc = t.select("playlist_id").distinct().withColumn("description", F.concat(F.lit("Songs like "), "playlist_id"))
-    return ex.playlist_m3u8(t, description=desc)
+    t = _exported_playlists(spark, sf_dir)
+    return ex.playlist_m3u8(t, description=_descriptions(t))
 
 
 @register("playlist_json")
 def q_playlist_json(spark, sf_dir):
-    return ex.playlist_json(_short_playlists(spark, sf_dir), description="Songs like ")
+    return ex.playlist_json(_exported_playlists(spark, sf_dir), description="Songs like ")
 
 
 @register("playlist_xspf")
 def q_playlist_xspf(spark, sf_dir):
-    return ex.playlist_xspf(_short_playlists(spark, sf_dir))
+    t = _exported_playlists(spark, sf_dir)
+    return ex.playlist_xspf(t, description=_descriptions(t))
 
 
 @register("stream_daily_stats")
@@ -478,7 +480,7 @@ def q_loves_diff(spark, sf_dir):
 
     loved = act.loved_tracks(td.feedback(spark, sf_dir), sp.track_play_spikes(td.listens(spark, sf_dir)),
                              file_map(spark, sf_dir))
-    starred = recently_played(_file_counts(spark, sf_dir), 20)
+    starred = recently_played(_file_counts(spark, sf_dir))
     return qu.loves_diff(loved, starred)
 
 
@@ -491,7 +493,7 @@ def q_playlist_file_counts(spark, sf_dir):
 
 from cadence.operators import conditioner as cond  # noqa: E402
 
-CONDITIONED_DIMS = 16
+CONDITIONED_DIMS = 50
 
 
 @register("pca_condition")
@@ -513,7 +515,7 @@ def q_pca_condition(spark, sf_dir):
 
 @register("listen_dump_scan")
 def q_listen_dump_scan(spark, sf_dir):
-    return ingest.count_pairs(ingest.scan_listen_dump(spark, td.listen_dump_lines(spark, sf_dir)))
+    return ingest.count_pairs(ingest.scan_listen_dump(td.listen_dump_lines(spark, sf_dir)))
 
 
 def _loved(spark, sf_dir):
@@ -573,22 +575,23 @@ def q_signature_roundtrip(spark, sf_dir):
         "collection_name", F.lit(0).alias("collection_order_index"),
         F.date_format(F.lit(_dt.datetime(2024, 1, 1)), "yyyy-MM-dd'T'HH:mm:ss").alias("playlist_create_at"),
         F.concat(F.lit("Songs for "), F.col("collection_name")).alias("description"))
-    signed = qu.sign_playlists(pl)
+    signed = qu.sign_playlists(pl, _dt.datetime(2024, 5, 18, 12, 30))
     garbled = signed.withColumn("comment", F.when(
         F.substring(F.col("playlist_id"), 1, 1).isin("0", "1", "2", "3", "4"),
-        F.concat(F.col("description"), F.lit(" --- moomoo playlist: ***"))).otherwise(F.col("comment")))
+        F.concat(F.col("description"), F.lit(qu.SIGNATURE_PREFIX + " ***"))).otherwise(F.col("comment")))
     p = qu.parse_signatures(garbled)
     return p.select("playlist_id", "collection_name",
                     F.col("signature.playlist_id").alias("sig_playlist_id"),
                     F.col("signature.collection_id").alias("sig_collection_id"),
-                    F.col("signature.collection_order_index").alias("sig_order_index"))
+                    F.col("signature.collection_order_index").alias("sig_order_index"),
+                    F.col("signature.signed_at").alias("signed_at"))
 
 
 @register("revisit_release_playlists")
 def q_revisit_release_playlists(spark, sf_dir):
     g = grain(spark, sf_dir, REVISIT_AS_OF)
     rr = act.revisit_releases(lc.release_group_listen_counts(g, td.release_groups(spark, sf_dir), REVISIT_AS_OF))
-    sampled = col.sample_revisit_releases(rr, count=5)
+    sampled = col.sample_revisit_releases(rr, count=15)
     files = td.files(spark, sf_dir)
     return col.release_track_playlists(sampled, lib.map_file_release_group(files, name_map(spark, sf_dir)), files)
 
@@ -607,9 +610,8 @@ def q_top_artists_playlists(spark, sf_dir):
                           F.col("artist_mbid").alias("mbid"), "artist_name")
     universe = col.mbid_universe(td.listens(spark, sf_dir), files, nm, similar_activity(spark, sf_dir),
                                  td.releases(spark, sf_dir), td.feedback(spark, sf_dir))
-    # bounded (playlists x 100 sources) and read by several consumers
-    sources = col.files_for_mbids(requests.drop("artist_name"), universe, lib.file_maps_long(files, nm)).cache()
-    fc = _file_counts(spark, sf_dir).cache()
+    sources = col.files_for_mbids(requests.drop("artist_name"), universe, lib.file_maps_long(files, nm))
+    fc = _file_counts(spark, sf_dir)
     out = playlist_from_files(files, sources, _sym(td.cf_scores(spark, sf_dir)), fc, limit=20, seed_count=1,
                               recency_fac=0.5)
     desc = requests.select("playlist_id", F.concat(F.lit("Songs like "), F.col("artist_name")).alias("description"))
@@ -649,12 +651,19 @@ def q_collection_registry(spark, sf_dir):
 
 @register("entity_dump_scan")
 def q_entity_dump_scan(spark, sf_dir):
-    d = ingest.scan_entity_dump(spark, td.entity_dump_files(spark, sf_dir))
+    d, _ = ingest.scan_entity_dump(td.entity_dump_files(spark, sf_dir))
     return d.select("slug", "packet_number", "entity", "mbid", F.size("containers").alias("n_containers"),
                     F.array_join(F.array_sort(F.transform("containers", lambda c: F.concat(c["entity"], F.lit(":"), c["mbid"]))),
                                  ",").alias("containers"))
 
 
+@register("entity_dump_quarantine")
+def q_entity_dump_quarantine(spark, sf_dir):
+    """What the dump packets hold besides JSON objects."""
+    _, bad = ingest.scan_entity_dump(td.entity_dump_files(spark, sf_dir))
+    return bad.groupBy("slug").agg(F.count(F.lit(1)).alias("n_bad"), F.min("bad").alias("bad"))
+
+
 # --- maintenance: retention, new-or-modified gate, column update, key sets ----------------
 
 RETENTION_CUTOFF = _dt.date(1996, 8, 1)
@@ -755,7 +764,7 @@ def q_artist_stats_flatten(spark, sf_dir):
 
 @register("listen_page_scan")
 def q_listen_page_scan(spark, sf_dir):
-    return ingest.scan_listen_pages(spark, td.listen_pages(spark, sf_dir))
+    return ingest.scan_listen_pages(td.listen_pages(spark, sf_dir))
 
 
 @register("request_grid")

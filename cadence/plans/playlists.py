@@ -40,9 +40,8 @@ def knn_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- playlist composition ------------------------------------------------------
 
 from cadence.functions.scalars import listen_weight, recency_weight  # noqa: E402
-from cadence.operators.quota import greedy_quota  # noqa: E402
+from cadence.operators.quota import first_rows, greedy_quota  # noqa: E402
 
-RECENT_LIMIT = 1000
 RECENCY_FAC = 0.5
 
 
@@ -54,22 +53,20 @@ def seed_weights_from_listens(seeds: DataFrame, file_counts: DataFrame) -> DataF
     )
 
 
-def recently_played(file_counts: DataFrame, limit: int = RECENT_LIMIT) -> DataFrame:
-    """Per user: files played in the last 30 days, most recent first, top ``limit``."""
-    w = Window.partitionBy("username").orderBy(F.desc("recency_score"), "filepath")
-    return (
-        file_counts.where((F.col("last30_listen_count") > 0) & F.col("recency_score").isNotNull())
-        .withColumn("_rn", F.row_number().over(w))
-        .where(F.col("_rn") <= limit)
-        .select("username", "filepath", "recency_score")
-    )
+def recently_played(file_counts: DataFrame, limit: int | None = None) -> DataFrame:
+    """Per user: files played in the last 30 days; the ``limit`` most recent
+    ones, if asked."""
+    rows = file_counts.where((F.col("last30_listen_count") > 0) & F.col("recency_score").isNotNull()).select(
+        "username", "filepath", "recency_score")
+    if limit is None:
+        return rows
+    return first_rows(rows, ["username"], [F.desc("recency_score"), F.col("filepath")], limit)
 
 
-def recency_candidate_weights(playlists: DataFrame, file_counts: DataFrame, fac: float = RECENCY_FAC,
-                              limit: int = RECENT_LIMIT) -> DataFrame:
+def recency_candidate_weights(playlists: DataFrame, file_counts: DataFrame, fac: float = RECENCY_FAC) -> DataFrame:
     """(playlist_id, filepath, weight = 1 / (1 + recency * fac)) for the owner's recent files."""
     owners = playlists.select("playlist_id", "username").distinct()
-    return owners.join(recently_played(file_counts, limit), "username").select(
+    return owners.join(recently_played(file_counts), "username").select(
         "playlist_id", "filepath", recency_weight("recency_score", fac).alias("weight")
     )
 
@@ -85,7 +82,7 @@ def _file_counts(spark, sf_dir):
 def knn_predicate_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listen-weighted seeds, candidates penalised by the owner's recent plays."""
     lib = td.files(spark, sf_dir)
-    fc = _file_counts(spark, sf_dir).cache()
+    fc = _file_counts(spark, sf_dir)
     seeds = seed_weights_from_listens(td.playlist_seeds(spark, sf_dir), fc)
     cw = recency_candidate_weights(seeds, fc)
     cf = symmetrise(td.cf_scores(spark, sf_dir))
@@ -99,7 +96,8 @@ def playlist_from_files(lib: DataFrame, seeds: DataFrame, cf: DataFrame, file_co
     quota-limited nearest tracks; 0-based order_index per playlist."""
     sw = seed_weights_from_listens(seeds, file_counts)
     cw = recency_candidate_weights(sw, file_counts, recency_fac) if recency_fac > 0 else None
-    near = weighted_knn(lib, sw, cf, cw)
+    # no cut before the quota: a near artist may fill any number of places
+    near = weighted_knn(lib, sw, cf, cw, limit=None, keep_per_pair=limit_per_artist, limit_special=limit)
     picked = greedy_quota(near, limit=limit - seed_count, quota=limit_per_artist,
                           seed_paths=seeds.select("playlist_id", "filepath"), out_col="_rank")
     ws = Window.partitionBy("playlist_id").orderBy(F.md5(F.concat("playlist_id", "filepath")), "filepath")
@@ -126,6 +124,6 @@ def playlist_from_files(lib: DataFrame, seeds: DataFrame, cf: DataFrame, file_co
 @register("playlist_greedy")
 def playlist_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = td.files(spark, sf_dir)
-    fc = _file_counts(spark, sf_dir).cache()
+    fc = _file_counts(spark, sf_dir)
     out = playlist_from_files(lib, td.playlist_seeds(spark, sf_dir), symmetrise(td.cf_scores(spark, sf_dir)), fc)
     return out.withColumn("match_distance", F.round("match_distance", 6))

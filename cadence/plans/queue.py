@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,7 +101,7 @@ def drop_dangling(ann: DataFrame, mbids: DataFrame, as_of: dt.datetime) -> DataF
     return ann.join(victims.select("mbid"), "mbid", "left_anti")
 
 
-def dependents_closure(seeds: DataFrame, edges: DataFrame, annotated: DataFrame, max_rounds: int = 50) -> DataFrame:
+def dependents_closure(seeds: DataFrame, edges: DataFrame, annotated: DataFrame) -> DataFrame:
     """Breadth-first expansion: dependents of the seeds that are not yet
     annotated, then their dependents, ... until no new ids appear.
     Each round is checkpointed to the shared checkpoint folder."""
@@ -109,7 +110,7 @@ def dependents_closure(seeds: DataFrame, edges: DataFrame, annotated: DataFrame,
     seen = annotated.select("mbid").unionByName(seeds.select("mbid")).distinct().checkpoint()
     frontier = seeds.select("mbid")
     found = None
-    for depth in range(1, max_rounds + 1):
+    for depth in count(1):
         nxt = (
             frontier.join(edges, frontier["mbid"] == edges["src"])
             .select(F.col("dst").alias("mbid"), F.col("dst_entity").alias("entity"))
@@ -146,7 +147,9 @@ def inbox(births: DataFrame, mark: dt.datetime) -> tuple[DataFrame, object]:
 
 
 def last_refresh_target(hours, now: dt.datetime):
-    """Latest of {today, yesterday} x hours that is <= now (NULL without hours)."""
+    """Latest of {today, yesterday} x hours that is <= now (NULL without
+    hours). Hours outside 0..23 do not count."""
+    hours = F.filter(hours, lambda h: h.between(0, 23))
     today = F.lit(dt.datetime(now.year, now.month, now.day))
     cands = F.concat(
         F.transform(hours, lambda h: today + F.make_dt_interval(hours=h)),
@@ -164,17 +167,15 @@ def stale_collections(coll: DataFrame, now: dt.datetime) -> DataFrame:
     )
 
 
-def exclude_by_patterns(paths: DataFrame, patterns: DataFrame, max_patterns: int = 10_000) -> DataFrame:
-    """Drop paths matched at their start by any rule. Rules are a small
-    table (checked); they are OR-ed into one anchored regex evaluated in
-    the scan, so no join is needed."""
-    rules = [r[0] for r in patterns.limit(max_patterns + 1).collect()]
-    if len(rules) > max_patterns:
-        raise ValueError("too many exclusion rules for one regex")
-    if not rules:
-        return paths
-    rx = "^(?:" + "|".join(f"(?:{p})" for p in rules) + ")"
-    return paths.where(~F.col("filepath").rlike(rx))
+def exclude_by_patterns(paths: DataFrame, patterns: DataFrame, per_regex: int = 500) -> DataFrame:
+    """Drop paths matched at their start by any rule. Rules are configuration;
+    they are OR-ed into anchored regexes of ``per_regex`` rules each, which
+    are evaluated in the scan, so no join is needed."""
+    rules = [r[0] for r in patterns.where(F.col(patterns.columns[0]).isNotNull()).toLocalIterator()]
+    for at in range(0, len(rules), per_regex):
+        rx = "^(?:" + "|".join(f"(?:{p})" for p in rules[at:at + per_regex]) + ")"
+        paths = paths.where(~F.col("filepath").rlike(rx))
+    return paths
 
 
 def new_recordings(files: DataFrame, raw_name_map: DataFrame, max_len: int = 245) -> DataFrame:
@@ -249,30 +250,33 @@ def play_count_export(file_rollup: DataFrame, artist_counts: DataFrame, release_
         "username", "item_type", "item_id", "play_count", "play_date")
 
 
-SIGNATURE_PREFIX = " --- moomoo playlist:"
+SIGNATURE_PREFIX = " --- signed playlist:"
 SIGNATURE_SCHEMA = ("collection_id string, playlist_id string, collection_name string, "
-                    "collection_order_index int, playlist_create_at string")
+                    "collection_order_index int, playlist_create_at string, signed_at string")
 
 
-def sign_playlists(playlists: DataFrame, description: str = "description") -> DataFrame:
-    """Append the signature comment (prefix + url-safe base64 JSON) to each
-    playlist's description."""
+def sign_playlists(playlists: DataFrame, signed_at: dt.datetime, description: str = "description",
+                   prefix: str = SIGNATURE_PREFIX) -> DataFrame:
+    """Append the signature comment (prefix, a space, url-safe base64 JSON) to
+    each playlist's description. ``prefix`` is the marker that the media
+    server's comments carry."""
     from cadence.functions.scalars import url_safe_b64_json
 
+    at = F.lit(signed_at.strftime("%Y-%m-%dT%H:%M:%SZ")).alias("signed_at")
     payload = F.struct("collection_id", "playlist_id", "collection_name", "collection_order_index",
-                       "playlist_create_at")
+                       "playlist_create_at", at)
     return playlists.withColumn(
-        "comment", F.concat(F.coalesce(F.col(description), F.lit("")), F.lit(SIGNATURE_PREFIX), url_safe_b64_json(payload)))
+        "comment", F.concat(F.coalesce(F.col(description), F.lit("")), F.lit(prefix + " "), url_safe_b64_json(payload)))
 
 
-def parse_signatures(df: DataFrame, comment: str = "comment") -> DataFrame:
+def parse_signatures(df: DataFrame, comment: str = "comment", prefix: str = SIGNATURE_PREFIX) -> DataFrame:
     """Decode signatures from comments; NULL when absent or garbled."""
     import re
 
     from cadence.functions.scalars import parse_url_safe_b64_json
 
-    sig = parse_url_safe_b64_json(F.col(comment), SIGNATURE_SCHEMA, re.escape(SIGNATURE_PREFIX) + r"\s*")
-    return df.withColumn("signature", F.when(F.col(comment).contains(SIGNATURE_PREFIX), sig))
+    sig = parse_url_safe_b64_json(F.col(comment), SIGNATURE_SCHEMA, re.escape(prefix) + r"\s*")
+    return df.withColumn("signature", F.when(F.col(comment).contains(prefix), sig))
 
 
 def ingest_windows(listens: DataFrame, users: DataFrame, to_ts: dt.datetime, buffer_days: int = 3) -> DataFrame:

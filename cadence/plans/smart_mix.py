@@ -12,7 +12,6 @@ from cadence.operators import clustering as cl
 
 MIN_LISTENS = 2
 MIN_TRACKS = 50
-SAMPLE_FLOOR = 2000
 MAX_CLUSTERS = 15
 
 
@@ -31,16 +30,6 @@ def clusterable_tracks(file_counts: DataFrame, loved: DataFrame, files: DataFram
     return t.join(f, "filepath")
 
 
-def downsample(tracks: DataFrame, floor: int = SAMPLE_FLOOR, seed: str = "0") -> DataFrame:
-    """Users with more than ``floor`` tracks keep max(floor, 7n/8) of them
-    (uniform by hash)."""
-    n = tracks.groupBy("username").agg(F.count(F.lit(1)).alias("_n"))
-    keep = F.when(F.col("_n") > floor, F.greatest(F.lit(floor), (F.col("_n") * 7 / 8).cast("long"))).otherwise(F.col("_n"))
-    w = Window.partitionBy("username").orderBy(F.md5(F.concat_ws("|", F.lit(seed), "username", "filepath")), "filepath")
-    return (tracks.join(n, "username").withColumn("_rn", F.row_number().over(w))
-            .where(F.col("_rn") <= keep).drop("_rn", "_n"))
-
-
 def smart_mix_clusters(tracks: DataFrame, cf: DataFrame | None, max_clusters: int = MAX_CLUSTERS,
                        min_tracks: int = MIN_TRACKS) -> tuple[DataFrame, DataFrame]:
     """(membership, stats) of the kept clusters per user. Users with at most
@@ -49,8 +38,8 @@ def smart_mix_clusters(tracks: DataFrame, cf: DataFrame | None, max_clusters: in
 
     checkpoint_dir(tracks.sparkSession)
     n = tracks.groupBy("username").agg(F.count(F.lit(1)).alias("_n"))
-    # the clustering makes several passes over the sample: materialise it once
-    t = downsample(tracks.join(n.where(F.col("_n") > min_tracks).select("username"), "username")).checkpoint()
+    # the clustering makes several passes over the tracks: materialise them once
+    t = tracks.join(n.where(F.col("_n") > min_tracks).select("username"), "username").checkpoint()
     labels = cl.hdbscan_labels(t, cf).where(F.col("label") >= 0)
     members = t.join(labels, ["username", "filepath"])
     stats = members.groupBy("username", "label").agg(

@@ -48,11 +48,15 @@ def get_session(
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the setting is absent (local tests) do we create one under the
-    system temp folder and register it on the session.
+    Only when the setting is absent and the session runs in one process
+    (``local[...]``, as in tests) is one created under the system temp folder
+    and registered on the session; on a cluster its absence is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="cadence-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
@@ -65,15 +69,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return join_path(base, f"{name}-{os.getpid()}-{os.urandom(4).hex()}")
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Existence check through the Hadoop FileSystem of the path (works for
-    local, HDFS and object-store URIs alike)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return bool(p.getFileSystem(conf).exists(p))
-
-
 def join_path(base: str, *parts: str) -> str:
     """Join path segments with '/' (URIs and local paths alike)."""
     return "/".join([base.rstrip("/")] + [x.strip("/") for x in parts])

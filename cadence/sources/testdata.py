@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadence.functions.scalars import uuid_from_hex
-from cadence.session import path_exists
 
 # Fixed reference clocks for the test tables (events span 2024-01-01..30,
 # orders 1995-01-01..2001-08-01).
@@ -44,29 +43,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
-def _landed_path(spark: SparkSession, sf_dir: str, name: str) -> str:
-    import hashlib
-    import os
-
-    from cadence.session import checkpoint_dir, join_path
-
-    key = hashlib.md5(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
-    return join_path(checkpoint_dir(spark), "landed", f"{key}-v{LANDED_VERSION}", name)
-
-
-def landed(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Raw payload tables (JSON documents) are inputs in production: landed
-    files. Synthesised from the test tables, they are landed once per input
-    folder as parquet under the shared checkpoint folder and read from
-    there, so queries parse landed payloads instead of recomputing them."""
-    path = _landed_path(spark, sf_dir, name)
-    if not path_exists(spark, path + "/_SUCCESS"):
-        build(spark, sf_dir).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-LANDED_VERSION = 1
-
 # Tables with per-row derivations heavy enough to spread.
 SPREAD_TABLES = {"events", "lineitem", "orders", "customer", "part", "embeddings"}
 
@@ -117,7 +93,7 @@ def listens_from_events(e: DataFrame) -> DataFrame:
 
 
 def raw_listens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return landed(spark, sf_dir, "raw_listens", _build_raw_listens)
+    return _build_raw_listens(spark, sf_dir)
 
 
 def _build_raw_listens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,7 +295,7 @@ def dump_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_name_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return landed(spark, sf_dir, "raw_name_map", _build_raw_name_map)
+    return _build_raw_name_map(spark, sf_dir)
 
 
 def _build_raw_name_map(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,7 +331,7 @@ def _build_raw_name_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_similar_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return landed(spark, sf_dir, "raw_similar_activity", _build_raw_similar_activity)
+    return _build_raw_similar_activity(spark, sf_dir)
 
 
 def _build_raw_similar_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -417,7 +393,7 @@ def queue_mbids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return landed(spark, sf_dir, "annotations", _build_annotations)
+    return _build_annotations(spark, sf_dir)
 
 
 def _build_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -446,7 +422,7 @@ def _build_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mb_dump_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return landed(spark, sf_dir, "mb_dump_records", _build_mb_dump_records)
+    return _build_mb_dump_records(spark, sf_dir)
 
 
 def _build_mb_dump_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -531,20 +507,11 @@ def exclude_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
                              F.col("r_regionkey").cast("string")).alias("pattern"))
 
 
-def landed_text(spark: SparkSession, sf_dir: str, name: str, build) -> str:
-    """Like ``landed`` for line-oriented text inputs (JSONL dumps); returns
-    the folder holding the text files."""
-    path = _landed_path(spark, sf_dir, name)
-    if not path_exists(spark, path + "/_SUCCESS"):
-        build(spark, sf_dir).write.mode("overwrite").text(path)
-    return path
-
-
-def listen_dump_lines(spark: SparkSession, sf_dir: str) -> str:
-    """A listen dump as JSON lines (one per order line) with every id shape
+def listen_dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listen dump as lines of JSON (one per order line) with every id shape
     the dump parser meets: id lists, scalar ids, upper case / bare hex /
     urn-prefixed ids, malformed ids, empty lists and missing ids."""
-    return landed_text(spark, sf_dir, "listen_dump_jsonl", _build_listen_dump_lines)
+    return _build_listen_dump_lines(spark, sf_dir)
 
 
 def _build_listen_dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -585,7 +552,7 @@ def _lib_path(v) -> Column:
 def raw_local_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed file metadata: tag documents (JSON) plus file times. Every 9th
     file has a malformed date, every 11th an upper-case recording id."""
-    return landed(spark, sf_dir, "raw_local_files", _build_raw_local_files)
+    return _build_raw_local_files(spark, sf_dir)
 
 
 def _build_raw_local_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -642,21 +609,14 @@ def birth_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .cast("timestamp_ntz").alias("birth_at"))
 
 
-def entity_dump_files(spark: SparkSession, sf_dir: str) -> str:
-    """Entity dump packets as text files, one folder per slug
-    (slug=mb-<packet>), several JSON objects concatenated on each line; every
-    13th object lacks an id."""
-    return landed_text_partitioned(spark, sf_dir, "entity_dump_packets", _build_entity_dump_lines, "slug")
-
-
-def landed_text_partitioned(spark: SparkSession, sf_dir: str, name: str, build, part_col: str) -> str:
-    path = _landed_path(spark, sf_dir, name)
-    if not path_exists(spark, path + "/_SUCCESS"):
-        build(spark, sf_dir).write.mode("overwrite").partitionBy(part_col).text(path)
-    return path
+def entity_dump_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entity dump packets as whole texts: (slug = <packet>-<entity>, value),
+    JSON objects one after the other, on one line or over several; every 13th
+    object lacks an id."""
+    return _build_entity_dump_files(spark, sf_dir)
 
 
-def _build_entity_dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _build_entity_dump_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey")
     k = F.col("p_partkey")
     packet = (k / 300).cast("long")
@@ -668,17 +628,21 @@ def _build_entity_dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(ent.isin("release", "release-group"), credits).alias("artist-credit"),
         F.when(ent == "release", F.struct(mbid("g", k % 50).alias("id"))).alias("release-group"),
     )))
-    lines = p.select(F.concat(F.lit("mb-"), packet.cast("string")).alias("slug"), (k / 3).cast("long").alias("line"),
-                     k, obj.alias("obj"))
-    return lines.groupBy("slug", "line").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "obj"))), lambda x: x["obj"]),
-                     "  ").alias("value")).select("slug", "value")
+    # some objects are broken over lines, some share one; every 60th is
+    # followed by a token that is no JSON
+    obj = F.when(k % 7 == 0, F.regexp_replace(obj, ",", ",\n")).otherwise(obj)
+    obj = F.when(k % 60 == 1, F.concat(obj, F.lit(" oops "))).otherwise(obj)
+    lines = p.select(F.concat_ws("-", packet.cast("string"), ent).alias("slug"), k, obj.alias("obj"),
+                     F.when(k % 3 == 2, F.lit("\n")).otherwise(F.lit("  ")).alias("gap"))
+    # a packet holds 300 objects at most
+    return lines.groupBy("slug").agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("p_partkey", "obj", "gap"))), lambda x: F.concat(x["obj"], x["gap"])), "").alias("value"))
 
 
 def raw_artist_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed artist-stats results (one per supplier as an artist); every
     6th lookup failed."""
-    return landed(spark, sf_dir, "raw_artist_stats", _build_raw_artist_stats)
+    return _build_raw_artist_stats(spark, sf_dir)
 
 
 def _build_raw_artist_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -699,10 +663,10 @@ def _build_raw_artist_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(dt.datetime(2024, 2, 1)).cast("timestamp_ntz").alias("ts_utc"))
 
 
-def listen_pages(spark: SparkSession, sf_dir: str) -> str:
-    """Listen API pages as JSON lines: one page per (user, UTC day) with the
+def listen_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listen API pages as JSON texts: one page per (user, UTC day) with the
     listens of that day."""
-    return landed_text(spark, sf_dir, "listen_pages", _build_listen_pages)
+    return _build_listen_pages(spark, sf_dir)
 
 
 def _build_listen_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

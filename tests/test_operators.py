@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pandas as pd
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -32,17 +34,58 @@ def test_pca_matches_numpy(spark):
 
 
 def test_cull_rules():
-    rows = [dict(filepath=p, recording_mbid=r, artist_mbid=a, album_artist_mbid=aa)
-            for p, r, a, aa in [("1", "r1", "x", "x"), ("2", "r2", "x", "x"), ("3", "r3", "x", "x"),
-                                ("2", "r9", "y", "y"), ("4", "r4", "z", None)]]
-    assert [r["filepath"] for r in quota.cull_rows(rows, 10)] == ["1", "2", "4"]
-
-
-def test_greedy_rows_skip_seeds_and_null_artists():
-    rows = [dict(filepath=str(i), artist_mbid=None if i == 2 else f"a{i}", album_artist_mbid=f"a{i}")
-            for i in range(6)]
-    got = quota.greedy_quota_rows(rows, limit=3, quota=2, seeds={"0"})
-    assert [r["filepath"] for r in got] == ["1", "3", "4"]
+    rows = pd.DataFrame([dict(filepath=p, recording_mbid=r, artist_mbid=a, album_artist_mbid=aa)
+                         for p, r, a, aa in [("1", "r1", "x", "x"), ("2", "r2", "x", "x"), ("3", "r3", "x", "x"),
+                                             ("2", "r9", "y", "y"), ("4", "r4", "z", None)]])
+    taken = quota.walk(quota.cull_keys(rows), lambda k: quota.CULL_ROOM[k[0]], 10)
+    assert list(rows["filepath"].iloc[taken]) == ["1", "2", "4"]
+
+
+def test_greedy_quota_skips_seeds_and_null_artists(spark):
+    rows = [("p", str(i), float(i), None if i == 2 else f"a{i}", f"a{i}") for i in range(6)]
+    df = spark.createDataFrame(rows, "playlist_id string, filepath string, distance double, artist_mbid string, album_artist_mbid string")
+    seeds = spark.createDataFrame([("p", "0")], "playlist_id string, filepath string")
+    got = quota.greedy_quota(df, limit=3, quota=2, seed_paths=seeds).orderBy("rank").collect()
+    assert [(r.filepath, r["rank"]) for r in got] == [("1", 0), ("3", 1), ("4", 2)]
+    plain = quota.greedy_quota(df, limit=3, quota=None).orderBy("rank").collect()
+    assert [r.filepath for r in plain] == ["0", "1", "2"]
+
+
+def test_pruning_before_the_walk_changes_nothing(spark):
+    import random
+
+    rng = random.Random(0)
+    artists = ["a", "b", "c", *sorted(quota.SPECIAL_PURPOSE_ARTISTS)[:2]]
+    rows = [(f"p{p}", f"{p}-{i}", rng.random(), rng.choice(artists), rng.choice(artists)) for p in range(40) for i in range(30)]
+    schema = "playlist_id string, filepath string, distance double, artist_mbid string, album_artist_mbid string"
+    got = {}
+    for r in quota.greedy_quota(spark.createDataFrame(rows, schema), limit=7, quota=2).orderBy("rank").collect():
+        got.setdefault(r.playlist_id, []).append(r.filepath)
+    for p in range(40):
+        counts, want = {}, []
+        for _, f, _, a, b in sorted((r for r in rows if r[0] == f"p{p}"), key=lambda r: r[2]):
+            if len(want) < 7 and all(counts.get(x, 0) < 2 for x in {a, b}):
+                want.append(f)
+                for x in {a, b} - quota.SPECIAL_PURPOSE_ARTISTS:
+                    counts[x] = counts.get(x, 0) + 1
+        assert got[f"p{p}"] == want
+
+
+def test_concatenated_json_over_lines(spark):
+    from cadence.plans import ingest
+
+    text = '{"id": "a"}{"id":\n "b{", "x": {"y": "}\\""}}\n oops {"id": "c"} {"nope": 1} {"id": "d"\n'
+    df = spark.createDataFrame([("12-release", text), ("13-artist", None), ("14-artist", "")], "slug string, value string")
+    records, bad = ingest.scan_entity_dump(df)
+    assert sorted((r.packet_number, r.entity, r.mbid) for r in records.collect()) == [(12, "release", x) for x in ("a", "b{", "c")]
+    assert sorted(r.bad for r in bad.collect()) == ["oops", '{"id": "d"']
+
+
+def test_timeline_of_a_single_year(spark):
+    from cadence.functions.scalars import timeline
+
+    df = spark.createDataFrame([(2000, 2000), (1999, 2001), (None, None)], "a int, b int")
+    assert [r.t for r in df.select(timeline("a", "b").alias("t")).collect()] == ["2000-2000", "1999-2001", None]
 
 
 def test_spike_counts_against_brute_force(spark):
