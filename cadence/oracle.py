@@ -884,24 +884,76 @@ WHERE mbid NOT IN (
   SELECT mbid FROM ann WHERE mbid NOT IN (SELECT mbid FROM qm)
     AND NOT coalesce(success, true) AND ts_utc < TIMESTAMP '2001-08-01' - INTERVAL 1 MONTH)""")
 
-ADAPTERS["edges"] = f"""
-SELECT DISTINCT * FROM (
-  SELECT {mbid('o', 'o_orderkey')} AS src, {mbid('p', 'l_partkey')} AS dst, 'release' AS dst_entity
-  FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 4 = 0
-  UNION ALL
-  SELECT {mbid('p', 'p_partkey')}, {mbid('g', 'p_partkey % 50')}, 'release-group' FROM part)"""
-
-QUERIES["dependents_closure"] = (
-    "WITH RECURSIVE ann AS (" + ADAPTERS["ann"] + "),\n"
-    "edges AS (" + ADAPTERS["edges"] + "),\n"
-    "seeds AS (SELECT mbid FROM ann WHERE entity = 'artist' AND coalesce(success, true)),\n"
-    "r(mbid, entity, depth) AS (\n"
-    "  SELECT e.dst, e.dst_entity, 1 FROM seeds s JOIN edges e ON e.src = s.mbid\n"
-    "  WHERE e.dst NOT IN (SELECT mbid FROM ann)\n"
-    "  UNION ALL\n"
-    "  SELECT e.dst, e.dst_entity, r.depth + 1 FROM r JOIN edges e ON e.src = r.mbid\n"
-    "  WHERE e.dst NOT IN (SELECT mbid FROM ann) AND r.depth < 50)\n"
-    "SELECT mbid, entity, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY mbid, entity")
+
+def _ts(k: str) -> str:
+    return f"TIMESTAMP '2024-01-01' + to_minutes(CAST({k} % 1000 AS INTEGER))"
+
+
+QUERIES["artists_flatten"] = q([], f"""
+, a AS (
+  SELECT s_suppkey AS n, s_name, generate_series(0, s_suppkey % 4) AS ii FROM supplier WHERE s_suppkey % 17 <> 0)
+, y AS (
+  SELECT n, min(1990 + (n * 7 + i * 3) % 30) AS lo, max(1990 + (n * 7 + i * 3) % 30) AS hi
+  FROM (SELECT n, UNNEST(ii) AS i FROM a) WHERE NOT (n % 9 = 0 AND i = 1) GROUP BY n)
+, g AS (
+  SELECT n, string_agg('tag ' || CAST((n + i) % 6 AS VARCHAR), ', ' ORDER BY (n * (i + 2)) % 5 DESC, 'tag ' || CAST((n + i) % 6 AS VARCHAR)) AS tags
+  FROM (SELECT n, UNNEST([0, 1, 2]) AS i FROM a WHERE n % 6 <> 0) GROUP BY n)
+SELECT {mbid('s', 'a.n')} AS artist_mbid, s_name AS artist_name, CASE WHEN a.n % 2 = 0 THEN 'Group' END AS artist_type,
+       NULL::VARCHAR AS disambiguation, CAST(a.n % 4 + 1 AS INTEGER) AS release_count,
+       CAST(lo AS INTEGER) AS earliest_release_year, CAST(hi AS INTEGER) AS latest_release_year,
+       CAST(lo AS VARCHAR) || '-' || CAST(hi AS VARCHAR) AS active_years, tags AS tags_string,
+       {_ts('a.n')} AS _ingest_insert_ts_utc, CAST(len(ii) AS INTEGER) AS n_releases
+FROM a LEFT JOIN y USING (n) LEFT JOIN g USING (n)""")
+
+QUERIES["recordings_flatten"] = q([], f"""
+SELECT {mbid('r', 'p_partkey')} AS recording_mbid, p_name AS recording_title, CAST(p_partkey * 1000 AS INTEGER) AS recording_length_ms,
+       p_brand AS artist_credit_phrase, {_ts('p_partkey')} AS _ingest_insert_ts_utc, 2 AS n_releases
+FROM part WHERE p_partkey % 17 <> 0""")
+
+QUERIES["releases_flatten"] = q([], f"""
+SELECT {mbid('p', 'p_partkey')} AS release_mbid, p_name AS release_title,
+       CASE WHEN p_partkey % 13 <> 0 THEN {mbid('g', 'p_partkey % 50')} END AS release_group_mbid,
+       CAST(1950 + p_size AS INTEGER) AS release_year, p_brand AS artist_credit_phrase,
+       {_ts('p_partkey')} AS _ingest_insert_ts_utc, 3 AS n_credits
+FROM part WHERE p_partkey % 17 <> 0""")
+
+QUERIES["release_groups_flatten"] = q([], f"""
+SELECT {mbid('g', 'p_partkey')} AS release_group_mbid, p_type AS release_group_title,
+       CAST(p_partkey % 3 + 1 AS VARCHAR) AS release_count,
+       CASE WHEN p_partkey % 8 <> 0 THEN CAST(1960 + p_size AS INTEGER) END AS release_group_year,
+       CASE WHEN p_partkey % 8 <> 0 THEN CAST(1960 + p_size AS VARCHAR) || '-01-01' END AS first_release_date,
+       'Album' AS release_group_type, 'Album' AS release_group_primary_type, p_brand AS artist_credit_phrase,
+       {_ts('p_partkey')} AS _ingest_insert_ts_utc
+FROM part WHERE p_partkey % 17 <> 0""")
+
+QUERIES["map_recording_release"] = q([], f"""
+SELECT {mbid('r', 'p_partkey')} AS recording_mbid, UNNEST([{mbid('p', 'p_partkey')},
+       CASE WHEN p_partkey % 5 <> 0 THEN {mbid('p', '(p_partkey + 1)')} END]) AS release_mbid
+FROM part WHERE p_partkey % 17 <> 0""")
+
+QUERIES["map_release_group_artist"] = q([], f"""
+SELECT {mbid('g', 'p_partkey')} AS release_group_mbid, {mbid('s', '(p_partkey % 100 + 1)')} AS artist_mbid FROM part WHERE p_partkey % 17 <> 0
+UNION
+SELECT {mbid('g', 'p_partkey')}, {mbid('s', '(p_partkey % 7 + 1)')} FROM part WHERE p_partkey % 17 <> 0""")
+
+_EDGES = f"""
+, edges AS (
+  SELECT DISTINCT {mbid('s', 'n')} AS src, {mbid('p', '((n * 5 + i) % 400 + 1)')} AS dst, 'release' AS dst_entity
+  FROM (SELECT s_suppkey AS n, UNNEST(generate_series(0, s_suppkey % 4)) AS i FROM supplier WHERE s_suppkey % 17 <> 0)
+  UNION
+  SELECT {mbid('p', 'p_partkey')}, {mbid('g', 'p_partkey % 50')}, 'release-group'
+  FROM part WHERE p_partkey % 17 <> 0 AND p_partkey % 13 <> 0)"""
+
+QUERIES["dependents"] = q([], _EDGES + "\nSELECT * FROM edges")
+
+# two rounds are all there can be: artist -> release -> release group
+QUERIES["dependents_closure"] = q([], _EDGES + f"""
+, known AS (SELECT {mbid('s', 's_suppkey')} AS mbid FROM supplier UNION SELECT {mbid('p', 'p_partkey')} FROM part WHERE p_partkey % 3 = 0)
+, one AS (SELECT DISTINCT dst AS mbid, dst_entity AS entity FROM edges
+          WHERE src IN (SELECT {mbid('s', 's_suppkey')} FROM supplier) AND dst NOT IN (SELECT mbid FROM known))
+, two AS (SELECT DISTINCT dst AS mbid, dst_entity AS entity FROM edges
+          WHERE src IN (SELECT mbid FROM one) AND dst NOT IN (SELECT mbid FROM known) AND dst NOT IN (SELECT mbid FROM one))
+SELECT *, 1 AS depth FROM one UNION ALL SELECT *, 2 FROM two""")
 
 QUERIES["gap_packets"] = q([], f"""
 , d AS (SELECT {ent('l_orderkey')} AS entity, epoch_us(l_shipdate) // 3600000000 AS packet_number FROM lineitem)

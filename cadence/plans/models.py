@@ -397,6 +397,7 @@ def q_stream_dedupe(spark, sf_dir):
 
 # --- annotation queue and maintenance ------------------------------------------------
 
+from cadence.plans import annotations as an  # noqa: E402
 from cadence.plans import queue as qu  # noqa: E402
 
 QUEUE_AS_OF = td.DUMP_AS_OF
@@ -440,9 +441,58 @@ def q_dangling_delete(spark, sf_dir):
 
 @register("dependents_closure")
 def q_dependents_closure(spark, sf_dir):
-    a = td.annotations(spark, sf_dir)
-    seeds = a.where((F.col("entity") == "artist") & F.expr(qu._SUCCESS)).select("mbid")
-    return qu.dependents_closure(seeds, td.dependency_edges(spark, sf_dir), a)
+    """From all annotated artists; releases and release groups whose part
+    number is no multiple of 3 are not annotated yet, but their payloads are
+    there to be read in the next round."""
+    a = td.entity_annotations(spark, sf_dir)
+    artists = a.where(F.col("entity") == "artist").select("mbid")
+    part = td.table(spark, sf_dir, "part").where(F.col("p_partkey") % 3 == 0)
+    known = artists.unionByName(part.select(td.mbid("p", F.col("p_partkey")).alias("mbid")))
+    return qu.dependents_closure(artists, an.dependents(a), known)
+
+
+@register("dependents")
+def q_dependents(spark, sf_dir):
+    return an.dependents(td.entity_annotations(spark, sf_dir))
+
+
+@register("artists_flatten")
+def q_artists_flatten(spark, sf_dir):
+    a = an.flatten_artists(td.entity_annotations(spark, sf_dir))
+    return a.select("artist_mbid", "artist_name", "artist_type", "disambiguation", "release_count", "earliest_release_year",
+                    "latest_release_year", "active_years", "tags_string", "_ingest_insert_ts_utc",
+                    F.json_array_length("release_list").alias("n_releases"))
+
+
+@register("recordings_flatten")
+def q_recordings_flatten(spark, sf_dir):
+    r = an.flatten_recordings(td.entity_annotations(spark, sf_dir))
+    return r.select("recording_mbid", "recording_title", "recording_length_ms", "artist_credit_phrase", "_ingest_insert_ts_utc",
+                    F.json_array_length("release_list").alias("n_releases"))
+
+
+@register("releases_flatten")
+def q_releases_flatten(spark, sf_dir):
+    r = an.flatten_releases(td.entity_annotations(spark, sf_dir))
+    return r.select("release_mbid", "release_title", "release_group_mbid", "release_year", "artist_credit_phrase",
+                    "_ingest_insert_ts_utc", F.json_array_length("artist_credit_list").alias("n_credits"))
+
+
+@register("release_groups_flatten")
+def q_release_groups_flatten(spark, sf_dir):
+    r = an.flatten_release_groups(td.entity_annotations(spark, sf_dir))
+    return r.select("release_group_mbid", "release_group_title", "release_count", "release_group_year", "first_release_date",
+                    "release_group_type", "release_group_primary_type", "artist_credit_phrase", "_ingest_insert_ts_utc")
+
+
+@register("map_recording_release")
+def q_map_recording_release(spark, sf_dir):
+    return an.map_recording_release(an.flatten_recordings(td.entity_annotations(spark, sf_dir)))
+
+
+@register("map_release_group_artist")
+def q_map_release_group_artist(spark, sf_dir):
+    return an.map_release_group_artist(an.flatten_release_groups(td.entity_annotations(spark, sf_dir)))
 
 
 @register("gap_packets")

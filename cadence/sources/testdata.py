@@ -440,18 +440,56 @@ def _build_mb_dump_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def dependency_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dependents listed by annotation payloads: artist orders -> the parts
-    they contain (releases); parts -> their release group (p_partkey % 50)."""
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 4 == 0).select("o_orderkey")
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    a = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(
-        mbid("o", F.col("o_orderkey")).alias("src"), mbid("p", F.col("l_partkey")).alias("dst"),
-        F.lit("release").alias("dst_entity"))
-    p = table(spark, sf_dir, "part").select(
-        mbid("p", F.col("p_partkey")).alias("src"), mbid("g", F.col("p_partkey") % 50).alias("dst"),
-        F.lit("release-group").alias("dst_entity"))
-    return a.unionByName(p).distinct()
+def entity_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotation payloads of all four entities: an artist per supplier, a
+    recording, a release and a release group per part. Every 17th lookup
+    failed. Artists with s_suppkey % 4 = 0 have one release, so one year; every
+    9th has a malformed date as well. Every 13th release names a malformed
+    group, every 5th recording a malformed release."""
+    s, p = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part")
+    n, k = F.col("s_suppkey").cast("long"), F.col("p_partkey").cast("long")
+
+    def payload(entity: str, key: Column, doc: Column) -> Column:
+        ok = key % 17 != 0
+        return F.to_json(F.struct(
+            ok.alias("_success"), F.struct(F.lit(entity).alias("entity")).alias("_args"),
+            F.when(~ok, F.lit("status=404 not found")).alias("error"), F.when(ok, F.struct(doc.alias(entity))).alias("data")))
+
+    def row(df: DataFrame, kind: str, entity: str, key: Column, doc: Column) -> DataFrame:
+        return df.select(mbid(kind, key).alias("mbid"), F.lit(entity).alias("entity"), payload(entity, key, doc).alias("payload_json"),
+                         (F.lit(dt.datetime(2024, 1, 1)) + F.make_dt_interval(mins=(key % 1000).cast("int"))).cast("timestamp_ntz").alias("ts_utc"))
+
+    def credits(key: Column) -> Column:
+        return F.array(*[F.struct(F.struct(a.alias("id")).alias("artist")) for a in
+                         (mbid("s", key % 100 + 1), mbid("s", key % 7 + 1), F.lit("unknown"))])
+
+    date = lambda key, i: F.when((key % 9 == 0) & (i == 1), F.lit("19.x-01")).otherwise(
+        F.concat((1990 + (key * 7 + i * 3) % 30).cast("string"), F.lit("-02-03")))
+    releases = F.transform(F.sequence(F.lit(0).cast("long"), n % 4), lambda i: F.struct(
+        mbid("p", (n * 5 + i) % 400 + 1).alias("id"), date(n, i).alias("date")))
+    tags = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long")), lambda i: F.struct(
+        F.concat(F.lit("tag "), ((n + i) % 6).cast("string")).alias("name"), ((n * (i + 2)) % 5).cast("string").alias("count")))
+    artist = F.struct(F.col("s_name").alias("name"), F.when(n % 2 == 0, F.lit("Group")).otherwise(F.lit(" ")).alias("type"),
+                      releases.alias("release-list"), F.when(n % 6 != 0, tags).alias("tag-list"), (n % 4 + 1).cast("string").alias("release-count"))
+    release = F.struct(
+        F.col("p_name").alias("title"), F.struct(F.when(k % 13 == 0, F.lit("BAD")).otherwise(mbid("g", k % 50)).alias("id")).alias("release-group"),
+        F.concat((1950 + F.col("p_size")).cast("string"), F.lit("-05")).alias("date"), credits(k).alias("artist-credit"),
+        F.col("p_brand").alias("artist-credit-phrase"))
+    group = F.struct(
+        F.col("p_type").alias("title"), (k % 3 + 1).cast("string").alias("release-count"),
+        F.when(k % 8 != 0, F.concat((1960 + F.col("p_size")).cast("string"), F.lit("-01-01"))).alias("first-release-date"),
+        F.lit("Album").alias("type"), F.lit("Album").alias("primary-type"), credits(k).alias("artist-credit"),
+        F.col("p_brand").alias("artist-credit-phrase"))
+    recording = F.struct(
+        F.col("p_name").alias("title"), (k * 1000).cast("string").alias("length"),
+        F.array(F.struct(mbid("p", k).alias("id")), F.struct(F.when(k % 5 == 0, F.lit("x")).otherwise(mbid("p", k + 1)).alias("id"))).alias("release-list"),
+        credits(k).alias("artist-credit"), F.col("p_brand").alias("artist-credit-phrase"))
+    return (
+        row(s, "s", "artist", n, artist)
+        .unionByName(row(p, "r", "recording", k, recording))
+        .unionByName(row(p, "p", "release", k, release))
+        .unionByName(row(p, "g", "release-group", k, group))
+    )
 
 
 def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
