@@ -786,10 +786,10 @@ FROM top GROUP BY playlist_id""")
 QUERIES["stream_daily_stats"] = q(["listens"], """
 SELECT username, CAST(listen_at_ts_utc AS DATE) AS listen_date, count(*) AS count_listens,
        count(DISTINCT recording_mbid) AS count_recordings, count(DISTINCT release_mbid) AS count_releases,
-       round(sum(duration_ms) / 3600000.0, 6) AS sum_listen_hours
+       round(sum(duration_ms) / 3600000.0, 6) AS sum_listen_hours,
+       CAST(listen_at_ts_utc AS DATE) + INTERVAL 1 DAY <= (SELECT max(listen_at_ts_utc) - INTERVAL 1 HOUR FROM listens) AS is_closed
 FROM listens
-WHERE CAST(listen_at_ts_utc AS DATE) + INTERVAL 1 DAY <= (SELECT max(listen_at_ts_utc) - INTERVAL 1 HOUR FROM listens)
-GROUP BY 1, 2""")
+GROUP BY ALL""")
 
 QUERIES["stream_dedupe"] = q(["listens"], "SELECT DISTINCT * EXCLUDE (artist_mbids) FROM listens")
 
@@ -1272,17 +1272,10 @@ QUERIES["dq_orphans"] = q(["files", "name_map", "artists"], """
 SELECT * FROM fa WHERE artist_mbid NOT IN (SELECT artist_mbid FROM artists)""")
 
 
-QUERIES["stream_spike_counts"] = q(["listens"], """
-, wm AS (SELECT max(listen_at_ts_utc) - INTERVAL 1 HOUR AS w FROM listens)
-, c AS (
-  SELECT t0.listen_md5, t0.username, t0.recording_mbid, t0.listen_at_ts_utc,
-         count(tn.listen_md5) AS next_24h_listen_count
-  FROM listens t0 LEFT JOIN listens tn
-    ON t0.recording_mbid = tn.recording_mbid AND t0.username = tn.username
-   AND tn.listen_at_ts_utc > t0.listen_at_ts_utc AND tn.listen_at_ts_utc < t0.listen_at_ts_utc + INTERVAL 1 DAY
-  WHERE t0.recording_mbid IS NOT NULL
-  GROUP BY 1, 2, 3, 4)
-SELECT c.* FROM c, wm WHERE c.listen_at_ts_utc + INTERVAL 1 DAY <= wm.w AND next_24h_listen_count >= 5""")
+QUERIES["stream_spike_counts"] = q(["listens"], _STARTS + """
+SELECT start_listen_md5 AS listen_md5, username, recording_mbid, period_start_at_utc AS listen_at_ts_utc, next_24h_listen_count,
+       period_start_at_utc + INTERVAL 1 DAY <= (SELECT max(listen_at_ts_utc) - INTERVAL 1 HOUR FROM listens) AS is_closed
+FROM starts""")
 
 
 QUERIES["playlist_xspf"] = q(["files", "cf_sym", "playlist_seeds"],

@@ -384,7 +384,9 @@ def q_playlist_xspf(spark, sf_dir):
 def q_stream_daily_stats(spark, sf_dir):
     s = td.listens_from_events(td.events_stream(spark, sf_dir))
     path = stl.run_to_parquet(stl.daily_listen_stats_stream(s), "stream-daily-stats")
-    return round_doubles(stl.read_sink(spark, path))
+    done = stl.read_sink(spark, path).withColumn("is_closed", F.lit(True))
+    rest = stl.open_days(td.listens(spark, sf_dir)).withColumn("is_closed", F.lit(False))
+    return round_doubles(done.unionByName(rest))
 
 
 @register("stream_dedupe")
@@ -840,11 +842,13 @@ def q_dq_orphans(spark, sf_dir):
 
 @register("stream_spike_counts")
 def q_stream_spike_counts(spark, sf_dir):
-    """Streaming per-listen 24h look-ahead counts (listens whose window the
-    watermark has closed), filtered to spikes (>= 5)."""
+    """Streaming per-listen 24h look-ahead counts, filtered to spikes (>= 5):
+    final for the listens whose window the watermark has closed, so far for
+    the others."""
     s = td.listens_from_events(td.events_stream(spark, sf_dir))
     path = stl.run_to_parquet(stl.next_24h_counts_stream(s), "stream-spike-counts")
-    out = stl.read_sink(spark, path)
+    out = stl.read_sink(spark, path).withColumn("is_closed", F.lit(True)).unionByName(
+        stl.open_starts(td.listens(spark, sf_dir)).withColumn("is_closed", F.lit(False)))
     return out.where(F.col("next_24h_listen_count") >= 5).withColumn(
         "listen_at_ts_utc", F.col("listen_at_ts_utc").cast("timestamp_ntz"))
 

@@ -1,9 +1,14 @@
 """Structured Streaming variants of the listen models.
 
-Sources are file streams; sinks are parquet folders under the shared
-checkpoint folder (``spark.checkpoint.dir``) with their own checkpoint, so a
-restarted or failed query resumes where it stopped. ``availableNow`` drains
+Sources are file streams; sinks are parquet folders with their own checkpoint.
+A job that names its sink folder (``path``) resumes where the last run
+stopped; without one each run starts anew in a fresh folder below
+``spark.checkpoint.dir``, as the registered queries do. ``availableNow`` drains
 what is there and stops (the polling daemon becomes a scheduled trigger).
+
+Windows that the watermark has not closed are not in a sink yet; ``open_days``
+and ``open_starts`` compute them from the stored listens, so that sink and open
+part together are complete at any time.
 """
 
 from __future__ import annotations
@@ -52,6 +57,36 @@ def daily_listen_stats_stream(listens: DataFrame, lateness: str = "1 hour") -> D
     )
 
 
+def _watermark(listens: DataFrame, lateness: str) -> DataFrame:
+    return listens.agg((F.max("listen_at_ts_utc") - F.expr(f"INTERVAL {lateness}")).alias("_wm"))
+
+
+def open_days(listens: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """The daily statistics of the days that the watermark has not closed, in
+    the columns of ``daily_listen_stats_stream``, from a table of listens."""
+    day = F.to_date("listen_at_ts_utc")
+    wm = _watermark(listens, lateness).first()["_wm"]
+    late = listens.where((day + F.expr("INTERVAL 1 DAY")).cast("timestamp_ntz") > F.lit(wm).cast("timestamp_ntz"))
+    return late.groupBy("username", day.alias("listen_date")).agg(
+        F.count(F.lit(1)).alias("count_listens"),
+        F.count_distinct("recording_mbid").alias("count_recordings"),
+        F.count_distinct("release_mbid").alias("count_releases"),
+        (F.sum("duration_ms") / F.lit(3_600_000.0)).alias("sum_listen_hours"),
+    )
+
+
+def open_starts(listens: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """The look-ahead counts so far of the listens whose 24 hours are not over
+    at the watermark, in the columns of ``next_24h_counts_stream``."""
+    from cadence.operators.spikes import next_24h_counts
+
+    wm = _watermark(listens, lateness).first()["_wm"]
+    ends = F.col("listen_at_ts_utc") + F.expr("INTERVAL 1 DAY")
+    return next_24h_counts(listens.where(ends > F.lit(wm).cast("timestamp_ntz"))).select(
+        "listen_md5", "username", "recording_mbid", F.col("listen_at_ts_utc").cast("timestamp").alias("listen_at_ts_utc"),
+        "next_24h_listen_count")
+
+
 def dedupe_listens_stream(listens: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Re-delivered listens (same listen_md5) are dropped while within the
     watermark; state for a key is released once the watermark passes."""
