@@ -94,3 +94,26 @@ def transform(df: DataFrame, model: Conditioner, col: str = "embedding", out: st
             yield pdf
 
     return df.mapInPandas(fn, schema)
+
+
+def save(spark, model: Conditioner, path: str) -> str:
+    """Add the fitted model to the registry folder ``path`` (a parquet table
+    of one row per model); returns its id."""
+    row = (model.model_id, model.name, model.hash, [float(x) for x in model.mean], [[float(x) for x in c] for c in model.components])
+    spark.createDataFrame(
+        [row], "model_id string, name string, hash string, mean array<double>, components array<array<double>>"
+    ).write.mode("append").parquet(path)
+    return model.model_id
+
+
+def load(spark, path: str, model_id: str) -> Conditioner:
+    """The registered model of that id. Refused: an id that is not there, and
+    a model whose name or fingerprint is not the registered one."""
+    rows = spark.read.parquet(path).where(F.col("model_id") == model_id).limit(1).collect()
+    if not rows:
+        raise ValueError(f"no model {model_id} in the registry")
+    r = rows[0]
+    model = Conditioner(mean=np.asarray(r["mean"]), components=np.asarray(r["components"]))
+    if (model.name, model.hash, model.model_id) != (r["name"], r["hash"], model_id):
+        raise ValueError(f"model {model_id} does not match its fingerprint ({model.model_id})")
+    return model

@@ -639,6 +639,22 @@ SELECT a.user_id, a.artist_mbid,
              * (ln(s.n) - ln(1 + df.df)), 6) AS weight
 FROM agg a JOIN df USING (artist_mbid) JOIN rs USING (user_id) CROSS JOIN s""")
 
+QUERIES["embedding_cosine_pairs"] = q([], """
+, v AS (SELECT lpad(CAST(vec_id AS VARCHAR), 9, '0') AS id, CAST(embedding AS DOUBLE[]) AS e, vec_id FROM embeddings)
+SELECT a.id AS artist_mbid_a, b.id AS artist_mbid_b, round(list_cosine_similarity(a.e, b.e), 6) AS score_value
+FROM v a JOIN v b ON a.id < b.id WHERE a.vec_id % 100 = 0""")
+
+QUERIES["dense_ids"] = q(["dump_records"], """
+SELECT artist_mbid, row_number() OVER (ORDER BY artist_mbid) - 1 AS artist_id FROM (SELECT DISTINCT artist_mbid FROM dump_records)""")
+
+QUERIES["folder_seeds"] = q(["files"], """
+, r AS (
+  SELECT n_name AS playlist_id, 'u' || CAST(n_nationkey % 10 AS VARCHAR) AS username,
+         CASE n_nationkey % 3 WHEN 0 THEN 'lib/' || CAST(n_nationkey % 12 AS VARCHAR) || '/'
+                              WHEN 1 THEN 'lib/' || CAST(n_nationkey % 10 AS VARCHAR) || '/0001' ELSE 'lib' END AS prefix
+  FROM nation)
+SELECT DISTINCT playlist_id, username, filepath FROM r JOIN files ON starts_with(filepath, prefix)""")
+
 QUERIES["cf_baseline"] = q(["cf_sym"], """
 , per AS (
   SELECT artist_mbid_a, min(exp(score_value)) AS min_score, quantile_cont(exp(score_value), 0.5) AS median_score,

@@ -267,6 +267,19 @@ def q_top_artists_sample(spark, sf_dir):
     return col.sample_top_artists(ac, "30", count=15)
 
 
+@register("embedding_cosine_pairs")
+def q_embedding_cosine_pairs(spark, sf_dir):
+    """Files whose vector number is divisible by 100 against all files."""
+    f = td.table(spark, sf_dir, "embeddings").select(F.lpad(F.col("vec_id").cast("string"), 9, "0").alias("artist_mbid"), "embedding", "vec_id")
+    asked = f.where(F.col("vec_id") % 100 == 0).select("artist_mbid")
+    return round_doubles(sim.cosine_pairs(f.drop("vec_id"), "artist_mbid", "embedding", 256, from_ids=asked))
+
+
+@register("dense_ids")
+def q_dense_ids(spark, sf_dir):
+    return sim.dense_ids(td.dump_records(spark, sf_dir))
+
+
 @register("mbid_universe")
 def q_mbid_universe(spark, sf_dir):
     return col.mbid_universe(td.listens(spark, sf_dir), td.files(spark, sf_dir), name_map(spark, sf_dir),
@@ -688,6 +701,18 @@ def q_smart_mix_clusters(spark, sf_dir):
     return membership
 
 
+@register("smart_mix_playlists")
+def q_smart_mix_playlists(spark, sf_dir):
+    """The clusters' playlists."""
+    from cadence.plans import smart_mix as sm
+    from cadence.plans.playlists import _file_counts
+
+    membership, stats = _smart_mix(spark, sf_dir)
+    out = sm.smart_mix_playlists(membership, stats, td.files(spark, sf_dir), symmetrise(td.cf_scores(spark, sf_dir)),
+                                 _file_counts(spark, sf_dir))
+    return out.withColumn("match_distance", F.round("match_distance", 6))
+
+
 @register("cluster_stats")
 def q_cluster_stats(spark, sf_dir):
     _, stats = _smart_mix(spark, sf_dir)

@@ -91,9 +91,10 @@ def knn_predicate_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def playlist_from_files(lib: DataFrame, seeds: DataFrame, cf: DataFrame, file_counts: DataFrame, *,
                         limit: int = 20, limit_per_artist: int = 2, seed_count: int = 1,
-                        recency_fac: float = RECENCY_FAC) -> DataFrame:
+                        recency_fac: float = RECENCY_FAC, shuffle: str | None = None) -> DataFrame:
     """Seeds (``seed_count`` sampled by hash) first, then the greedy
-    quota-limited nearest tracks; 0-based order_index per playlist."""
+    quota-limited nearest tracks; 0-based order_index per playlist.
+    ``shuffle``: a seed to shuffle the tracks after the seeds by hash."""
     sw = seed_weights_from_listens(seeds, file_counts)
     cw = recency_candidate_weights(sw, file_counts, recency_fac) if recency_fac > 0 else None
     # no cut before the quota: a near artist may fill any number of places
@@ -113,6 +114,9 @@ def playlist_from_files(lib: DataFrame, seeds: DataFrame, cf: DataFrame, file_co
                 F.lit(0.0).alias("match_distance"), F.lit(True).alias("is_seed"),
                 (F.col("_rn") - 1).alias("_rank"))
     )
+    if shuffle is not None:
+        by = F.md5(F.concat_ws("|", F.lit(shuffle), "playlist_id", "filepath"))
+        picked = picked.withColumn("_rank", F.row_number().over(Window.partitionBy("playlist_id").orderBy(by, "filepath")) - 1)
     rest = picked.select("playlist_id", "filepath", "recording_mbid", "release_mbid", "release_group_mbid",
                          "artist_mbid", "album_artist_mbid", "track_length_seconds",
                          F.col("distance").alias("match_distance"), F.lit(False).alias("is_seed"),
@@ -121,6 +125,30 @@ def playlist_from_files(lib: DataFrame, seeds: DataFrame, cf: DataFrame, file_co
     return chosen.unionByName(rest).withColumn("order_index", F.row_number().over(w) - 1).drop("_rank")
 
 
+def seeds_below(requests: DataFrame, files: DataFrame) -> DataFrame:
+    """(playlist_id, username, filepath): library files whose path starts with
+    the ``prefix`` of a request (playlist_id, username, prefix). Paths are cut
+    at the distinct lengths of the prefixes, so the join is on equality."""
+    lengths = [r[0] for r in requests.select(F.length("prefix")).distinct().collect() if r[0] is not None]
+    if not lengths:
+        return requests.join(files, F.lit(False)).select("playlist_id", "username", "filepath")
+    starts = F.array_distinct(F.array(*[F.substring("filepath", 1, n) for n in sorted(lengths)]))
+    return files.select("filepath", F.explode(starts).alias("prefix")).join(requests, "prefix").select(
+        "playlist_id", "username", "filepath").distinct()
+
+
+@register("folder_seeds")
+def folder_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder or path prefix per nation; some match nothing."""
+    n = F.col("n_nationkey")
+    requests = td.table(spark, sf_dir, "nation").select(
+        F.col("n_name").alias("playlist_id"), F.concat(F.lit("u"), (n % 10).cast("string")).alias("username"),
+        F.when(n % 3 == 0, F.concat(F.lit("lib/"), (n % 12).cast("string"), F.lit("/")))
+        .when(n % 3 == 1, F.concat(F.lit("lib/"), (n % 10).cast("string"), F.lit("/0001")))
+        .otherwise(F.lit("lib")).alias("prefix"))
+    return seeds_below(requests, td.files(spark, sf_dir))
+
+
 @register("playlist_greedy")
 def playlist_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = td.files(spark, sf_dir)

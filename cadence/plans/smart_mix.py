@@ -63,3 +63,21 @@ def smart_mix_clusters(tracks: DataFrame, cf: DataFrame | None, max_clusters: in
     membership = members.join(kept.select("username", "label", "cluster_rank"), ["username", "label"]).select(
         "username", "cluster_rank", "filepath", "artist_mbid", "artist_name")
     return membership, stats_out
+
+
+def smart_mix_playlists(membership: DataFrame, stats: DataFrame, files: DataFrame, cf: DataFrame | None,
+                        file_counts: DataFrame, limit: int = 20, recency_fac: float = 0.5, shuffle: str = "0") -> DataFrame:
+    """A playlist per kept cluster: its tracks seed the weighted search, one of
+    them opens the playlist, the rest are similar tracks. Titles number the
+    clusters that gave a playlist, the tightest first."""
+    from cadence.plans.playlists import playlist_from_files
+
+    # read by the search, the seeds and the titles: written once
+    seeds = membership.select(
+        F.concat_ws(":", "username", "cluster_rank").alias("playlist_id"), "username", "filepath").checkpoint()
+    tracks = playlist_from_files(files, seeds, cf, file_counts, limit=limit, seed_count=1, recency_fac=recency_fac, shuffle=shuffle)
+    titled = stats.select(F.concat_ws(":", "username", "cluster_rank").alias("playlist_id"), "username", "cluster_rank", "description")
+    w = Window.partitionBy("username").orderBy("cluster_rank")
+    titled = titled.join(tracks.select("playlist_id").distinct(), "playlist_id", "left_semi").withColumn(
+        "title", F.concat(F.lit("Smart Mix "), F.row_number().over(w).cast("string")))
+    return tracks.join(titled.select("playlist_id", "username", "title", "description"), "playlist_id")

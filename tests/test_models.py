@@ -26,8 +26,7 @@ def test_id_map_and_bm25_rows(spark):
     recs = spark.createDataFrame(
         [(1, "b", 10), (2, "a", 20), (3, "a", 30), (1, "c", 40), (2, "b", 50)],
         "user_id long, artist_mbid string, listen_count long")
-    idx = sim.artist_index(recs)
-    got = [int(r.artist_id) for r in idx.transform(recs).orderBy("listen_count").collect()]
+    got = [r.artist_id for r in recs.join(sim.dense_ids(recs), "artist_mbid").orderBy("listen_count").collect()]
     assert got == [1, 0, 0, 2, 1]
     w = {(r.user_id, r.artist_mbid): r.weight for r in sim.bm25(recs).collect()}
     # N = max user id + 1 = 4 rows; idf(a) = ln 4 - ln(1 + 2)
@@ -40,10 +39,9 @@ def test_id_map_and_bm25_rows(spark):
 def test_similarity_pairs_properties(spark):
     recs = dump_fixture(spark)
     agg = sim.dump_aggregate(recs, AS_OF)
-    model = sim.fit_als(sim.bm25(agg), sim.artist_index(agg), rank=8, max_iter=5)
-    idx = sim.artist_index(agg)
-    lab = idx.transform(agg.select("artist_mbid").distinct()).select(F.col("artist_id").cast("int").alias("id"),
-                                                                     "artist_mbid")
+    numbers = sim.dense_ids(agg)
+    model = sim.fit_als(sim.bm25(agg), numbers, rank=8, max_iter=5)
+    lab = numbers.select(F.col("artist_id").cast("int").alias("id"), "artist_mbid")
     factors = model.itemFactors.join(lab, "id")
     pairs = sim.cosine_pairs(factors, block_size=3).collect()
     ids = sorted({r.artist_mbid for r in lab.collect()})
@@ -61,7 +59,7 @@ def test_similarity_pairs_properties(spark):
     assert len(subset(ids[:2], ids[2:4])) == 4
     assert len(subset(ids[:3], ids[1:4])) == 6
     again = sim.cosine_pairs(
-        sim.fit_als(sim.bm25(agg), sim.artist_index(agg), rank=8, max_iter=5).itemFactors.join(lab, "id"),
+        sim.fit_als(sim.bm25(agg), numbers, rank=8, max_iter=5).itemFactors.join(lab, "id"),
         block_size=3).collect()
     key = lambda rs: sorted((r.artist_mbid_a, r.artist_mbid_b, round(r.score_value, 6)) for r in rs)
     assert key(again) == key(pairs)
@@ -145,3 +143,30 @@ def test_leaf_selection_on_handmade_tree():
     assert lab["b1"] == lab["b2"] == lab["b3"] >= 0 and lab["b1"] != lab["a1"]
     # all points in one tight group: no split -> no clusters (all noise)
     assert set(leaf_labels_from_mst(["x", "y", "w"], [("x", "y", 0.1), ("y", "w", 0.1)]).values()) == {-1}
+
+
+def test_conditioner_registry(spark, tmp_path):
+    """A registered model comes back; a wrong id or a changed model is refused."""
+    import pytest
+
+    from cadence.operators import conditioner as cond
+
+    rng = np.random.default_rng(0)
+    df = spark.createDataFrame([([float(x) for x in v],) for v in rng.standard_normal((60, 8))], "embedding array<double>")
+    model = cond.fit(df, "embedding", 3)
+    path = str(tmp_path / "models")
+    name = cond.save(spark, model, path)
+    back = cond.load(spark, path, name)
+    assert back.model_id == name and np.allclose(back.components, model.components)
+    # components are orthonormal and ordered by the variance they explain
+    assert np.allclose(model.components @ model.components.T, np.eye(3), atol=1e-8)
+    x = np.array([r.embedding for r in df.collect()]) - model.mean
+    var = ((x @ model.components.T) ** 2).sum(axis=0)
+    assert (np.diff(var) <= 1e-9).all()
+    with pytest.raises(ValueError):
+        cond.load(spark, path, "pca_d3_000000")
+    other = cond.Conditioner(mean=model.mean, components=model.components + 1e-3)
+    bad = spark.read.parquet(path).withColumn("components", F.lit([[float(v) for v in c] for c in other.components]))
+    bad.write.parquet(path + "-bad")
+    with pytest.raises(ValueError):
+        cond.load(spark, path + "-bad", name)
