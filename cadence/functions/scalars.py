@@ -88,17 +88,31 @@ def recording_md5(track, artist, release) -> Column:
     return surrogate_key(*[F.lower(F.trim(_c(c))) for c in (track, artist, release)])
 
 
+def json_string(col) -> Column:
+    """JSON text of a string as an ASCII dump writes it: quotes, backslashes
+    and control characters escaped, everything beyond ASCII as \\uXXXX (two of
+    them beyond U+FFFF)."""
+    def one(ch: Column) -> Column:
+        cp = F.ascii(ch)
+        esc = lambda n: F.format_string("\\u%04x", n)
+        high = F.lit(0xD800) + F.floor((cp - 0x10000) / 0x400).cast("int")
+        low = F.lit(0xDC00) + F.pmod(cp - 0x10000, F.lit(0x400)).cast("int")
+        out = F.when((ch == '"') | (ch == "\\"), F.concat(F.lit("\\"), ch))
+        for raw, short in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
+            out = out.when(ch == raw, F.lit(short))
+        return out.when(cp > 0xFFFF, F.concat(esc(high), esc(low))).when((cp < 0x20) | (cp > 0x7E), esc(cp)).otherwise(ch)
+
+    chars = F.filter(F.split(_c(col), ""), lambda ch: ch != "")
+    return F.concat(F.lit('"'), F.array_join(F.transform(chars, one), ""), F.lit('"'))
+
+
 def json_list_hash(*cols) -> Column:
-    """md5 of a JSON list text '["a", "b", 1]' ("," + space separators);
-    strings quoted, numbers as is. Matches a JSON dump of a flat list of
-    ASCII strings/numbers."""
-    parts = []
-    for c in cols:
-        if isinstance(c, tuple) and c[1] == "num":
-            parts.append(_c(c[0]).cast("string"))
-        else:
-            esc = F.regexp_replace(F.regexp_replace(_c(c), r"\\", r"\\\\"), '"', '\\\\"')
-            parts.append(F.concat(F.lit('"'), esc, F.lit('"')))
+    """md5 of the JSON text of a flat list of strings and numbers, '["a", 1]'
+    (a number is given as ``(column, "num")``)."""
+    parts = [
+        _c(c[0]).cast("string") if isinstance(c, tuple) and c[1] == "num" else json_string(c)
+        for c in cols
+    ]
     return F.md5(F.concat(F.lit("["), F.concat_ws(", ", *parts), F.lit("]")))
 
 

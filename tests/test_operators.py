@@ -181,3 +181,15 @@ def test_staleness_targets(spark):
                       (dt.datetime(2024, 5, 18, 21), dt.datetime(2024, 5, 18, 18)),
                       (dt.datetime(2024, 5, 18, 6), dt.datetime(2024, 5, 18, 6))]:
         assert qu.stale_collections(coll, now).first().refresh_target == want
+
+
+def test_json_list_hash_matches_a_json_dump(spark):
+    import hashlib
+    import json
+
+    from cadence.functions.scalars import json_list_hash
+
+    names = ["plain", 'q"uo\\te', "Björk é", "日本 \U0001f600", "tab\tnl\n\x01\x7f", ""]
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, n long")
+    got = {r.n: r.h for r in df.select("n", json_list_hash(F.col("name"), (F.col("n"), "num")).alias("h")).collect()}
+    assert got == {i: hashlib.md5(json.dumps([n, i]).encode()).hexdigest() for i, n in enumerate(names)}
