@@ -39,7 +39,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 #: Words of a text held at once.
 WORDS = 200_000
 #: Runs that a worker remembers, and how long they may be.
-CHUNKS, CHUNK_CHARS = 400_000, 48
+CHUNKS, CHUNK_CHARS = 300_000, 48
 
 
 def term_counts(text: str) -> dict[str, int]:
@@ -85,6 +85,11 @@ class Vocabulary:
                     out.append(i)
         return tuple(out)
 
+    def fresh(self) -> Vocabulary:
+        """The same vocabulary with nothing remembered: a task works with its
+        own, which goes when the task ends."""
+        return Vocabulary(self.terms, self.idf)
+
     def __getstate__(self):
         return self.terms, self.idf
 
@@ -217,15 +222,21 @@ class Model:
             self._known[v] = known
         return known
 
+    def fresh(self) -> Model:
+        """The same model with nothing remembered, for one task."""
+        return Model(self.vocabulary.fresh(), self.index, self.toxic, self.vote, self.base, self.empty, self.k, self.doubt)
+
     def __getstate__(self):
         return self.__dict__ | {"_known": {}}
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int) -> tuple[DataFrame, int, int]:
-    """((doc_id, text, toxic) of the sampled labelled rows, each text once;
-    how many labelled ids of label 1, of label 0). An id labelled both ways
-    counts as label 1. The sampled ids are at most max_toxic + max_clean, so
-    they are broadcast to the scan of the documents."""
+    """((doc_id, text, toxic) of the sampled labelled rows; how many labelled
+    ids of label 1, of label 0). An id labelled both ways counts as label 1.
+    The sampled ids are at most max_toxic + max_clean, so they are broadcast to
+    the scan of the documents. Of copies and near copies, told by the smallest
+    hash of their three-word shingles, one stays: many copies of one text are
+    no evidence that its words go with its label."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(
         F.max("toxic").cast("int").alias("toxic")
     )
@@ -238,7 +249,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clea
     rows = materialise(
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
     )
-    firsts = rows.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(F.min(F.struct(-F.col("toxic"), F.col("doc_id"))).alias("m"))
+    words = rows.select("doc_id", "toxic", F.split(F.lower("text"), r"\s+").alias("w"))
+    three = F.arrays_zip(*[F.slice("w", i, F.greatest(F.size("w") - 2, F.lit(1))).alias(c) for i, c in enumerate("abc", 1)])
+    sketch = F.array_min(F.transform(three, lambda x: F.xxhash64(x)))
+    firsts = words.groupBy(sketch.alias("s")).agg(F.min(F.struct(-F.col("toxic"), F.col("doc_id"))).alias("m"))
     ids = firsts.select(F.col("m.doc_id").alias("doc_id"))
     return rows.join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]), sizes.get(1, 0), sizes.get(0, 0)
 
@@ -291,7 +305,7 @@ def document_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.nd
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
+        v = shared.value.fresh()
         df, n = np.zeros(len(v.terms), dtype=np.int64), 0
         for batch in batches:
             for t in batch.column(0).to_pylist():
@@ -311,6 +325,7 @@ def document_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.nd
             total = r["n"]
         else:
             out[r["term"]] = r["n"]
+    shared.destroy()
     return out, total
 
 
@@ -332,17 +347,19 @@ def fit(
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value.fresh()
         for batch in batches:
-            vecs = [shared.value.vector(t) for t in batch.column(1).to_pylist()]
+            vecs = [v.vector(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([[i for i, _ in v] for v in vecs], type=pa.list_(pa.int32())),
-                 pa.array([[w for _, w in v] for v in vecs], type=pa.list_(pa.float64()))],
+                [batch.column(0), batch.column(2), pa.array([[i for i, _ in x] for x in vecs], type=pa.list_(pa.int32())),
+                 pa.array([[w for _, w in x] for x in vecs], type=pa.list_(pa.float64()))],
                 names=["doc_id", "toxic", "at", "w"],
             )
 
     rows = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic").mapInArrow(
         run, "doc_id long, toxic int, at array<int>, w array<double>"
     ).where(F.size("at") > 0).orderBy("doc_id").collect()
+    shared.destroy()
     vectors = [tuple(zip(r["at"], r["w"])) for r in rows]
     toxic = np.array([r["toxic"] for r in rows], dtype=np.int8)
     base = all_toxic / max(all_toxic + all_clean, 1)
@@ -364,8 +381,9 @@ def score(docs: DataFrame, model: Model, id_cols: tuple[str, ...] = ("doc_id",),
     kinds = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in id_cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value.fresh()
         for batch in batches:
-            got = [shared.value.score(t) for t in batch.column(len(id_cols)).to_pylist()]
+            got = [model.score(t) for t in batch.column(len(id_cols)).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array([g[0] for g in got], type=pa.float64()),
                  pa.array([g[1] for g in got], type=pa.list_(pa.int64())), pa.array([g[2] for g in got], type=pa.list_(pa.float64()))],
