@@ -31,8 +31,10 @@ from cadence.llm.common import materialise
 
 #: Sampled examples of either label, and terms of the vector space.
 MAX_TOXIC, MAX_CLEAN, MAX_TERMS = 4000, 16000, 4096
-#: Least test statistic of a term, and least texts of label 1 with it.
-LEAST_G2, LEAST_TEXTS = 30.0, 3
+#: Least test statistic of a term, least texts of label 1 with it, and how many
+#: times likelier it must be there than in texts of label 0: longer texts hold
+#: more of every word, so a small lift tells nothing.
+LEAST_G2, LEAST_TEXTS, LEAST_LIFT = 30.0, 3, 4.0
 #: Neighbours, examples in a block, doubt in votes.
 K, BLOCK, DOUBT = 15, 64, 0.5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -258,8 +260,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clea
 
 
 def associated_terms(sample: DataFrame, n_toxic: int, n_clean: int, least_g2: float, least_texts: int, max_terms: int) -> list[str]:
-    """Terms that go with label 1, by the likelihood-ratio statistic of their
-    presence against the label; the ``max_terms`` strongest."""
+    """Terms that go with label 1, by their lift and the likelihood-ratio
+    statistic of their presence against the label; the ``max_terms``
+    strongest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
         for batch in batches:
@@ -285,7 +289,7 @@ def associated_terms(sample: DataFrame, n_toxic: int, n_clean: int, least_g2: fl
     g2 = 2 * (part(a, n1 * rate) + part(b, n0 * rate) + part(n1 - a, n1 * (1 - rate)) + part(n0 - b, n0 * (1 - rate)))
     best = (
         counts.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
-        .where((F.col("a") >= least_texts) & (a / n1 > b / n0))
+        .where((F.col("a") >= least_texts) & (a / n1 > LEAST_LIFT * b / n0))
         .select("term", g2.alias("g2")).where(F.col("g2") >= least_g2)
         .orderBy(F.desc("g2"), "term").limit(max_terms)
     )
