@@ -51,65 +51,75 @@ def records(pages: DataFrame, n_files: int, id_col: str = "page_id", url_col: st
     )
 
 
-def leaves(recs: DataFrame) -> DataFrame:
-    """(file, idx, page_id, start, end, hash): the records of each file in
-    order of page_id, url and hash, with their offset ranges.
+def leaves(recs: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:
+    """(keys, idx, page_id, start, end, hash): the records of each file in
+    order of page_id, url and hash, with their offset ranges. ``keys`` tells
+    files apart, such as (rep, file) for several replicas in one table.
 
     A file's records are numbered in one task; a file is bounded by design
     (``per_file``)."""
     hashed = recs.select(
-        "file", "page_id", "url", F.octet_length("record").cast("long").alias("n"), F.sha2("record", 256).alias("hash")
+        *keys, "page_id", "url", F.octet_length("record").cast("long").alias("n"), F.sha2("record", 256).alias("hash")
     )
-    w = Window.partitionBy("file").orderBy("page_id", "url", "hash")
+    w = Window.partitionBy(*keys).orderBy("page_id", "url", "hash")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))
     return hashed.select(
-        "file", (F.row_number().over(w) - 1).cast("long").alias("idx"), "page_id", start.alias("start"),
+        *keys, (F.row_number().over(w) - 1).cast("long").alias("idx"), "page_id", start.alias("start"),
         (start + F.col("n")).alias("end"), "hash",
     )
 
 
-def tree(leaf: DataFrame, levels: int) -> DataFrame:
-    """(file, level, idx, start, end, hash, page_id): level 0 are the records,
+def tree(leaf: DataFrame, levels: int, keys: tuple[str, ...] = ("file",)) -> DataFrame:
+    """(keys, level, idx, start, end, hash, page_id): level 0 are the records,
     level ``levels`` the roots. A file needs FAN_OUT ** levels records at
-    most; more leave several nodes on the top level, which are all compared."""
-    made = [leaf.select("file", F.lit(0).alias("level"), "idx", "start", "end", "hash", "page_id")]
-    below = leaf.select("file", "idx", "start", "end", "hash")
+    most; more leave several nodes on the top level, which are all compared.
+    Each level is written, as the next one and the comparison read it."""
+    below = materialise(leaf)
+    made = [below.select(*keys, F.lit(0).alias("level"), "idx", "start", "end", "hash", "page_id")]
+    none = F.lit(None).cast(leaf.schema["page_id"].dataType).alias("page_id")
     for level in range(1, levels + 1):
         kids = F.array_sort(F.collect_list(F.struct("idx", "start", "end", "hash")))
-        rows = below.groupBy("file", F.floor(F.col("idx") / FAN_OUT).cast("long").alias("up")).agg(kids.alias("kids"))
+        rows = below.groupBy(*keys, F.floor(F.col("idx") / FAN_OUT).cast("long").alias("up")).agg(kids.alias("kids"))
         start, end = F.col("kids")[0]["start"], F.element_at("kids", -1)["end"]
         spell = F.concat_ws(
             "\n", F.concat_ws("-", start.cast("string"), end.cast("string")), F.transform("kids", lambda k: k["hash"])
         )
-        below = rows.select("file", F.col("up").alias("idx"), start.alias("start"), end.alias("end"), F.sha2(spell, 256).alias("hash"))
-        made.append(below.select("file", F.lit(level).alias("level"), "idx", "start", "end", "hash", F.lit(None).cast(leaf.schema["page_id"].dataType).alias("page_id")))
+        below = materialise(rows.select(
+            *keys, F.col("up").alias("idx"), start.alias("start"), end.alias("end"), F.sha2(spell, 256).alias("hash")
+        ))
+        made.append(below.select(*keys, F.lit(level).alias("level"), "idx", "start", "end", "hash", none))
     return reduce(DataFrame.unionByName, made)
 
 
-def differing(a: DataFrame, b: DataFrame, levels: int) -> DataFrame:
-    """(file, level, idx) of the nodes that differ between two trees or are in
-    one only, found from the roots down. Trees should be materialised: each
-    level reads its own rows of them."""
-    frontier: DataFrame | None = None
+def paired(nodes: DataFrame) -> DataFrame:
+    """(file, level, idx, a, b): the nodes of both replicas (``rep`` 0 and 1)
+    side by side, null where a replica has none."""
+    node = F.struct("start", "end", "hash", "page_id")
+    return nodes.groupBy("file", "level", "idx").agg(
+        F.max(F.when(F.col("rep") == 0, node)).alias("a"), F.max(F.when(F.col("rep") == 1, node)).alias("b")
+    )
+
+
+def differing(pairs: DataFrame, levels: int) -> DataFrame:
+    """The pairs of nodes that differ or are in one replica only, found from
+    the roots down: below the roots only children of differing nodes are
+    compared. ``pairs`` should be materialised, as each level reads its rows."""
+    cols = pairs.columns
     found: list[DataFrame] = []
     for level in range(levels, -1, -1):
-        left = a.where(F.col("level") == level).select("file", "idx", F.struct("start", "end", "hash").alias("a"))
-        right = b.where(F.col("level") == level).select("file", "idx", F.struct("start", "end", "hash").alias("b"))
-        if frontier is not None:
+        other = ~F.col("a.hash").eqNullSafe(F.col("b.hash")) | ~F.col("a.start").eqNullSafe(F.col("b.start"))
+        rows = pairs.where((F.col("level") == level) & other)
+        if found:
             up = F.floor(F.col("idx") / FAN_OUT).cast("long")
-            key = ["file", "up"]
-            left = left.withColumn("up", up).join(frontier, key, "left_semi").drop("up")
-            right = right.withColumn("up", up).join(frontier, key, "left_semi").drop("up")
-        other = left.join(right, ["file", "idx"], "full").where(~F.col("a").eqNullSafe(F.col("b")))
-        nodes = materialise(other.select("file", F.lit(level).alias("level"), "idx"))
-        found.append(nodes)
-        frontier = nodes.select("file", F.col("idx").alias("up"))
+            above = found[-1].select("file", F.col("idx").alias("up"))
+            rows = rows.withColumn("up", up).join(above, ["file", "up"], "left_semi").select(*cols)
+        found.append(materialise(rows))
     return reduce(DataFrame.unionByName, found)
 
 
-def audit(a: DataFrame, b: DataFrame, levels: int) -> tuple[DataFrame, DataFrame]:
-    """(files, damage) of two trees.
+def audit(pairs: DataFrame, levels: int) -> tuple[DataFrame, DataFrame]:
+    """(files, damage) of two replicas' paired trees.
 
     ``damage``: (file, idx, page_id, start, end, kind) of the records that do
     not lie in both replicas alike. Kinds: ``changed`` (the page is there with
@@ -119,49 +129,55 @@ def audit(a: DataFrame, b: DataFrame, levels: int) -> tuple[DataFrame, DataFrame
     second.
 
     ``files``: (file, n_records, n_bytes, root, replica_root, matches,
-    nodes_compared) for every file of either replica."""
-    nodes = materialise(differing(a, b, levels))
-    bad = nodes.where("level = 0").select("file", "idx")
-    left = a.where("level = 0").join(bad, ["file", "idx"], "left_semi")
-    right = b.where("level = 0").join(bad, ["file", "idx"], "left_semi")
-    # the k-th of equal (page, hash) rows meets the k-th of the other replica
-    w = Window.partitionBy("file", "page_id", "hash").orderBy("idx")
-    left, right = left.withColumn("k", F.row_number().over(w)), right.withColumn("k", F.row_number().over(w))
-    l, r = left.alias("l"), right.alias("r")
-    same = (F.col("l.file") == F.col("r.file")) & F.col("l.page_id").eqNullSafe(F.col("r.page_id")) & (F.col("l.hash") == F.col("r.hash")) & (F.col("l.k") == F.col("r.k"))
-    there = [F.col(f"l.{c}").alias(c) for c in ("file", "idx", "page_id", "start", "end")]
-    moved = l.join(r, same).where("l.start <> r.start").select(*there, F.lit("moved").alias("kind"))
-    only_l = l.join(r, same, "left_anti").select("file", "idx", "page_id", "start", "end", "hash")
-    only_r = r.join(l, same, "left_anti").select("file", "idx", "page_id", "start", "end", "hash")
-    v = Window.partitionBy("file", "page_id").orderBy("idx")
-    x, y = only_l.withColumn("k", F.row_number().over(v)).alias("x"), only_r.withColumn("k", F.row_number().over(v)).alias("y")
-    page = (F.col("x.file") == F.col("y.file")) & F.col("x.page_id").eqNullSafe(F.col("y.page_id")) & (F.col("x.k") == F.col("y.k"))
-    cols = ["file", "idx", "page_id", "start", "end"]
-    damage = (
-        moved
-        .unionByName(x.join(y, page, "left_semi").select(*cols, F.lit("changed").alias("kind")))
-        .unionByName(x.join(y, page, "left_anti").select(*cols, F.lit("missing").alias("kind")))
-        .unionByName(y.join(x, page, "left_anti").select(*cols, F.lit("extra").alias("kind")))
-    )
-    size = a.where("level = 0").groupBy("file").agg(F.count(F.lit(1)).alias("n_records"), F.max("end").alias("n_bytes"))
-    top = [
-        t.where(F.col("level") == levels).groupBy("file").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("idx", "hash"))), lambda h: h["hash"])).alias(name))
-        for t, name in ((a, "root"), (b, "replica_root"))
-    ]
-    # a level below is looked at under differing nodes only
-    looked = nodes.where("level > 0").groupBy("file").agg(F.count(F.lit(1)).alias("m"))
-    files = (
-        top[0].join(top[1], "file", "full").join(size, "file", "left").join(looked, "file", "left")
-        .select(
-            "file", F.coalesce("n_records", F.lit(0).cast("long")).alias("n_records"),
-            F.coalesce("n_bytes", F.lit(0).cast("long")).alias("n_bytes"), "root", "replica_root",
-            F.col("root").eqNullSafe(F.col("replica_root")).alias("matches"),
-            F.coalesce("m", F.lit(0).cast("long")).alias("branches_opened"),
-        )
+    branches_opened) for every file of either replica."""
+    nodes = differing(pairs, levels)
+    bad = nodes.where("level = 0")
+    # a row per record and replica; the k-th of equal (page, hash) rows of one
+    # replica meets the k-th of the other, then the k-th of a page's others
+    side = F.inline(F.filter(F.array(
+        F.struct(F.lit(0).alias("rep"), F.col("a").alias("n")), F.struct(F.lit(1).alias("rep"), F.col("b").alias("n"))
+    ), lambda x: x["n"].isNotNull()))
+    rows = bad.select("file", "idx", side).select("file", "idx", "rep", "n.*")
+    k = F.row_number().over(Window.partitionBy("rep", "file", "page_id", "hash").orderBy("idx"))
+    place = F.struct("idx", "start", "end")
+    same = rows.withColumn("k", k).groupBy("file", "page_id", "hash", "k").agg(
+        F.max(F.when(F.col("rep") == 0, place)).alias("a"), F.max(F.when(F.col("rep") == 1, place)).alias("b"))
+    same = materialise(same)
+    moved = same.where("a is not null and b is not null and a.start <> b.start").select(
+        "file", "a.idx", "page_id", "a.start", "a.end", F.lit("moved").alias("kind"))
+    lone = same.where("a is null or b is null").select(
+        "file", "page_id", F.when(F.col("a").isNotNull(), 0).otherwise(1).alias("rep"), F.coalesce("a", "b").alias("at"))
+    k = F.row_number().over(Window.partitionBy("rep", "file", "page_id").orderBy("at.idx"))
+    fate = lone.withColumn("k", k).groupBy("file", "page_id", "k").agg(
+        F.max(F.when(F.col("rep") == 0, F.col("at"))).alias("a"), F.max(F.when(F.col("rep") == 1, F.col("at"))).alias("b"))
+    kind = F.when(F.col("a").isNull(), "extra").when(F.col("b").isNull(), "missing").otherwise("changed")
+    fate = fate.select("file", "page_id", F.coalesce("a", "b").alias("at"), kind.alias("kind"))
+    damage = moved.unionByName(fate.select("file", "at.idx", "page_id", "at.start", "at.end", "kind"))
+
+    tops = F.col("level") == levels
+    hashes = lambda c: F.concat_ws(",", F.transform(F.array_sort(F.collect_list(
+        F.when(tops & F.col(c).isNotNull(), F.struct("idx", F.col(c)["hash"].alias("h"))))), lambda x: x["h"]))
+    opened = nodes.where("level > 0").groupBy("file").agg(F.count(F.lit(1)).alias("m"))
+    files = pairs.groupBy("file").agg(
+        F.count(F.when((F.col("level") == 0) & F.col("a").isNotNull(), 1)).alias("n_records"),
+        F.coalesce(F.max(F.when(F.col("level") == 0, F.col("a")["end"])), F.lit(0).cast("long")).alias("n_bytes"),
+        F.nullif(hashes("a"), F.lit("")).alias("root"), F.nullif(hashes("b"), F.lit("")).alias("replica_root"),
+    ).join(opened, "file", "left").select(
+        "file", "n_records", "n_bytes", "root", "replica_root",
+        F.col("root").eqNullSafe(F.col("replica_root")).alias("matches"),
+        F.coalesce("m", F.lit(0).cast("long")).alias("branches_opened"),
     )
     return files, damage
 
 
+def replicas(pages: DataFrame, replica: DataFrame, n_files: int, levels: int) -> DataFrame:
+    """The paired trees of two tables of pages laid out in ``n_files`` files,
+    materialised."""
+    both = records(pages, n_files).withColumn("rep", F.lit(0)).unionByName(records(replica, n_files).withColumn("rep", F.lit(1)))
+    keys = ("rep", "file")
+    return materialise(paired(tree(leaves(both, keys), levels, keys)))
+
+
 def levels_for(most_records: int) -> int:
     """Levels above the records that bring a file to one root."""
     n, levels = max(1, most_records), 1
@@ -179,10 +195,9 @@ def fixity_report(pages: DataFrame, replica: DataFrame, per_file: int = 256, lev
     one's rows. Three levels above the records hold 4096 records a file, far
     above any hash-dealt file of ``per_file``. Two empty tables: no rows."""
     n_files = max(1, -(-pages.count() // per_file))
-    a, b = (materialise(tree(leaves(records(t, n_files)), levels)) for t in (pages, replica))
-    files, damage = audit(a, b, levels)
+    files, damage = audit(replicas(pages, replica, n_files, levels), levels)
     kinds = ("changed", "moved", "missing", "extra")
-    told = materialise(damage).groupBy("file").agg(
+    told = damage.groupBy("file").agg(
         *[F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in kinds],
         F.concat_ws(",", F.transform(
             F.array_sort(F.collect_list(F.struct("page_id", "idx"))),

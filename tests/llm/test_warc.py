@@ -67,15 +67,16 @@ def test_planted_damage_is_located(pages):
         .unionByName(pages.limit(1).withColumns({"page_id": F.lit(9999).cast("long"), "url": F.lit("u")}))
     )
     n = 3
-    a, b = (warc.materialise(warc.tree(warc.leaves(warc.records(t, n)), 3)) for t in (pages, other))
-    files, damage = warc.audit(a, b, 3)
+    pairs = warc.replicas(pages, other, n, 3)
+    files, damage = warc.audit(pairs, 3)
     kinds = {}
     for r in damage.collect():
         kinds.setdefault(r.kind, set()).add(r.page_id)
     assert kinds["changed"] == {5, 400} and kinds["missing"] == {650} and kinds["extra"] == {9999}
     # what lies behind a lost or resized record in its file has moved, nothing else
-    place = {r.page_id: (r.file, r.start) for r in a.where("level = 0").collect()}
-    other_place = {r.page_id: (r.file, r.start) for r in b.where("level = 0").collect()}
+    low = pairs.where("level = 0").collect()
+    place = {r.a.page_id: (r.file, r.a.start) for r in low if r.a}
+    other_place = {r.b.page_id: (r.file, r.b.start) for r in low if r.b}
     want = {p for p in place if p in other_place and place[p] != other_place[p]} - {5, 400}
     assert kinds.get("moved", set()) == want and want
     assert sorted(r.matches for r in files.collect()).count(False) >= 1
@@ -83,10 +84,10 @@ def test_planted_damage_is_located(pages):
 
 def test_only_differing_branches_are_opened(pages):
     other = pages.withColumn("html", F.when(F.col("page_id") == 350, F.regexp_replace("html", "x", "y")).otherwise(F.col("html")))
-    a, b = (warc.materialise(warc.tree(warc.leaves(warc.records(t, 1)), 3)) for t in (pages, other))
-    nodes = [(r.level, r.idx) for r in warc.differing(a, b, 3).collect()]
+    pairs = warc.replicas(pages, other, 1, 3)
+    nodes = [(r.level, r.idx) for r in warc.differing(pairs, 3).collect()]
     assert sorted(nodes) == [(0, 350), (1, 350 // 16), (2, 1), (3, 0)]
-    assert [(r.page_id, r.kind) for r in warc.audit(a, b, 3)[1].collect()] == [(350, "changed")]
+    assert [(r.page_id, r.kind) for r in warc.audit(pairs, 3)[1].collect()] == [(350, "changed")]
 
 
 def test_odd_rows(spark):
