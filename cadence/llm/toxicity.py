@@ -12,7 +12,7 @@ inverse of their label's sampling rate; a constant of doubt pulls weak
 evidence towards the base rate.
 
 Bounded on the driver: the vocabulary (``max_terms``) and the sampled examples
-(``max_toxic``, ``max_clean``). Sampling takes the smallest hashes of ids, so
+(``max_toxic``, ``max_clean``). Sampling takes the smallest hashes of texts, so
 it is the same on every run. Everything else runs over all rows in scan tasks.
 """
 
@@ -233,30 +233,25 @@ class Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int) -> tuple[DataFrame, int, int]:
-    """((doc_id, text, toxic) of the sampled labelled rows; how many labelled
-    ids of label 1, of label 0). An id labelled both ways counts as label 1.
-    The sampled ids are at most max_toxic + max_clean, so they are broadcast to
-    the scan of the documents. Of copies and near copies, told by the smallest
-    hash of their three-word shingles, one stays: many copies of one text are
-    no evidence that its words go with its label."""
+    """((doc_id, text, toxic) of the sampled labelled texts; how many labelled
+    texts of label 1, of label 0 there are). An id labelled both ways counts as
+    label 1. Exact copies under one label are one text, carried by their
+    smallest id, in the sample and in the totals: many copies of one text are
+    no evidence that its words go with its label. Texts that only share
+    passages, and one text under both labels, stay apart. Only ids and hashes
+    are shuffled; the sampled ones are at most max_toxic + max_clean, so they
+    are broadcast to the scan of the documents."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(
         F.max("toxic").cast("int").alias("toxic")
     )
-    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    some = [
-        known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-        for y, n in ((1, max_toxic), (0, max_clean))
-    ]
-    ids = some[0].union(some[1])
-    rows = materialise(
-        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    )
-    words = rows.select("doc_id", "toxic", F.split(F.lower("text"), r"\s+").alias("w"))
-    three = F.arrays_zip(*[F.slice("w", i, F.greatest(F.size("w") - 2, F.lit(1))).alias(c) for i, c in enumerate("abc", 1)])
-    sketch = F.array_min(F.transform(three, lambda x: F.xxhash64(x)))
-    firsts = words.groupBy(sketch.alias("s")).agg(F.min(F.struct(-F.col("toxic"), F.col("doc_id"))).alias("m"))
-    ids = firsts.select(F.col("m.doc_id").alias("doc_id"))
-    return rows.join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]), sizes.get(1, 0), sizes.get(0, 0)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    hashes = texts.select("doc_id", F.md5("text").alias("h")).distinct()
+    once = materialise(hashes.join(known, "doc_id").groupBy("toxic", "h").agg(F.min("doc_id").alias("doc_id")))
+    sizes = {r["toxic"]: r["n"] for r in once.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    some = [once.where(F.col("toxic") == y).orderBy("h").limit(n) for y, n in ((1, max_toxic), (0, max_clean))]
+    picked = some[0].union(some[1])
+    rows = texts.withColumn("h", F.md5("text")).join(F.broadcast(picked), ["doc_id", "h"])
+    return rows.dropDuplicates(["doc_id", "h"]).select("doc_id", "text", "toxic"), sizes.get(1, 0), sizes.get(0, 0)
 
 
 def associated_terms(sample: DataFrame, n_toxic: int, n_clean: int, least_g2: float, least_texts: int, max_terms: int) -> list[str]:
@@ -362,7 +357,7 @@ def fit(
 
     rows = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic").mapInArrow(
         run, "doc_id long, toxic int, at array<int>, w array<double>"
-    ).where(F.size("at") > 0).orderBy("doc_id").collect()
+    ).where(F.size("at") > 0).orderBy("doc_id", "at", "w").collect()
     shared.destroy()
     vectors = [tuple(zip(r["at"], r["w"])) for r in rows]
     toxic = np.array([r["toxic"] for r in rows], dtype=np.int8)

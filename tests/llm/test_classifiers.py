@@ -196,3 +196,25 @@ def test_scores_do_not_see_labels(docs, labels, tox):
     a = {r.doc_id: r.score for r in toxicity.score(docs, tox).collect()}
     b = {r.doc_id - 10**6: r.score for r in toxicity.score(moved, tox).collect()}
     assert a == b
+
+
+def test_only_exact_copies_of_one_label_are_merged(spark):
+    """Texts that share a passage, one text under both labels and two texts of
+    one id all stay; copies count once, in the sample and in the totals."""
+    shared = "this very same header line stands above all of the texts here "
+    rows = [(i, shared + f"own words number{i} of{i} text{i}") for i in range(60)]
+    rows += [(100 + i, rows[i][1]) for i in range(10)]  # copies under the same label
+    rows += [(200, rows[2][1]), (3, "another text of the same id"), (3, rows[3][1]), (300, None), (301, ""), (None, "x")]
+    labels = [(i, int(i % 3 == 0)) for i in range(60)] + [(100 + i, int(i % 3 == 0)) for i in range(10)]
+    labels += [(200, 1), (300, 0), (301, 0), (400, 1), (None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    label = dict(labels[:-1])
+    want = sorted({(t or "", label[i]) for i, t in rows if i in label})
+    sample, yes, no = toxicity.labelled_sample(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), 1000, 1000)
+    got = sample.collect()
+    assert sorted((r.text, r.toxic) for r in got) == want
+    assert all(r.doc_id < 100 for r in got if r.text.startswith(shared) and (r.text, r.toxic) != (rows[2][1], 1))
+    assert (yes, no) == (sum(y for _, y in want), sum(1 - y for _, y in want))
+    few, yes, no = toxicity.labelled_sample(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), 5, 7)
+    assert few.where("toxic = 1").count() == 5 and few.where("toxic = 0").count() == 7
+    assert (yes, no) == (sum(y for _, y in want), sum(1 - y for _, y in want))
