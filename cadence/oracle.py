@@ -644,6 +644,11 @@ QUERIES["embedding_cosine_pairs"] = q([], """
 SELECT a.id AS artist_mbid_a, b.id AS artist_mbid_b, round(list_cosine_similarity(a.e, b.e), 6) AS score_value
 FROM v a JOIN v b ON a.id < b.id WHERE a.vec_id % 100 = 0""")
 
+QUERIES["embedding_cosine_search"] = q([], """
+, v AS (SELECT lpad(CAST(vec_id AS VARCHAR), 9, '0') AS id, CAST(embedding AS DOUBLE[]) AS e, vec_id FROM embeddings)
+SELECT a.id AS artist_mbid_a, b.id AS artist_mbid_b, round(list_cosine_similarity(a.e, b.e), 6) AS score_value
+FROM v a JOIN v b ON a.id <> b.id WHERE a.vec_id % 100 = 0""")
+
 QUERIES["dense_ids"] = q(["dump_records"], """
 SELECT artist_mbid, row_number() OVER (ORDER BY artist_mbid) - 1 AS artist_id FROM (SELECT DISTINCT artist_mbid FROM dump_records)""")
 

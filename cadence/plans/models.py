@@ -267,12 +267,25 @@ def q_top_artists_sample(spark, sf_dir):
     return col.sample_top_artists(ac, "30", count=15)
 
 
+def _asked_files(spark, sf_dir):
+    """(all files with their vectors, the ids whose vector number is divisible by 100)."""
+    f = td.table(spark, sf_dir, "embeddings").select(F.lpad(F.col("vec_id").cast("string"), 9, "0").alias("artist_mbid"), "embedding", "vec_id")
+    return f.drop("vec_id"), f.where(F.col("vec_id") % 100 == 0).select("artist_mbid")
+
+
 @register("embedding_cosine_pairs")
 def q_embedding_cosine_pairs(spark, sf_dir):
-    """Files whose vector number is divisible by 100 against all files."""
-    f = td.table(spark, sf_dir, "embeddings").select(F.lpad(F.col("vec_id").cast("string"), 9, "0").alias("artist_mbid"), "embedding", "vec_id")
-    asked = f.where(F.col("vec_id") % 100 == 0).select("artist_mbid")
-    return round_doubles(sim.cosine_pairs(f.drop("vec_id"), "artist_mbid", "embedding", 256, from_ids=asked))
+    """Rows of the similarity table (a < b) whose first file has a vector
+    number divisible by 100; ``embedding_cosine_search`` has all partners."""
+    f, asked = _asked_files(spark, sf_dir)
+    return round_doubles(sim.cosine_pairs(f, "artist_mbid", "embedding", 256, from_ids=asked))
+
+
+@register("embedding_cosine_search")
+def q_embedding_cosine_search(spark, sf_dir):
+    """Files whose vector number is divisible by 100 against all other files."""
+    f, asked = _asked_files(spark, sf_dir)
+    return round_doubles(sim.cosine_search(f, asked, "artist_mbid", "embedding", 256))
 
 
 @register("dense_ids")

@@ -65,6 +65,19 @@ def test_similarity_pairs_properties(spark):
     assert key(again) == key(pairs)
 
 
+def test_cosine_search_finds_smaller_and_larger_ids(spark):
+    rng = np.random.default_rng(5)
+    v = {f"{i:03d}": [float(x) for x in rng.normal(size=6)] for i in range(40)}
+    rows = [*v.items(), (None, [1.0] * 6)]
+    asked = ["000", "017", "018", "039"]
+    got = sim.cosine_search(spark.createDataFrame(rows, "id string, v array<double>"),
+                            spark.createDataFrame([(a,) for a in [*asked, None, "x"]], "m string"), "id", "v", block_size=4).collect()
+    assert sorted((r.artist_mbid_a, r.artist_mbid_b) for r in got) == [(a, b) for a in asked for b in sorted(v) if b != a]
+    for r in got:
+        a, b = np.array(v[r.artist_mbid_a]), np.array(v[r.artist_mbid_b])
+        assert np.isclose(r.score_value, a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+
+
 def test_min_users_filter(spark):
     recs = spark.createDataFrame(
         [("s", dt.date(2024, 5, 1), u, "x", 1) for u in range(3)] + [("s", dt.date(2024, 5, 1), u, "y", 1) for u in range(4)]
