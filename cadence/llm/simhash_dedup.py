@@ -42,6 +42,13 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     Fewer words: the whole sequence is one shingle. No words, empty or null
     text: fingerprint zero. Repeated rows stay (each gets its row).
     """
+    return _by_text(docs, shingle, id_col, text_col).select(
+        "doc_id", "fp", F.explode(F.expr("sequence(1, cast(_rows as int))")).alias("_i")
+    ).drop("_i")
+
+
+def _by_text(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, _t, fp, _rows): a row per id and text hash."""
     src = docs.select(
         F.col(id_col).alias("doc_id"),
         F.xxhash64(F.col(text_col)).alias("_t"),
@@ -62,9 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
         F.count(h).alias("_n"),
         *vote_sums(h),
     )
-    return votes.select("doc_id", majority("_n").alias("fp"), "_rows").select(
-        "doc_id", "fp", F.explode(F.expr("sequence(1, cast(_rows as int))")).alias("_i")
-    ).drop("_i")
+    return votes.select("doc_id", "_t", majority("_n").alias("fp"), "_rows")
 
 
 def _segments(bits: int, segments: int) -> list[tuple[int, int]]:
@@ -112,6 +117,18 @@ def links(fps: DataFrame, radius: int = 3, segments: int = 2) -> DataFrame:
     return found.where(F.col("s") == first).select("a", "b")
 
 
+def _smallest(fp: DataFrame, value: Column, radius: int, segments: int) -> DataFrame:
+    """(fp, smallest): the smallest ``value`` of the rows in the component of
+    each distinct fingerprint."""
+    distinct = materialise(fp.groupBy("fp").agg(F.min(value).alias("rep")))
+    pairs = links(distinct, radius, segments)
+    edges = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    comp = connected_components(edges).select(F.col("id").alias("fp"), F.col("component").alias("root"))
+    labelled = distinct.join(comp, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    smallest = labelled.groupBy("root").agg(F.min("rep").alias("smallest"))
+    return labelled.join(smallest, "root").select("fp", "smallest")
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = 3, radius: int = 3, segments: int = 2, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -123,21 +140,25 @@ def near_duplicates(
     component. An empty table gives an empty result.
     """
     fp = materialise(fingerprints(docs, shingle, id_col, text_col))
-    distinct = fp.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    distinct = materialise(distinct.select("fp", "rep"))
-    pairs = links(distinct, radius, segments)
-    edges = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    comp = connected_components(edges).select(F.col("id").alias("fp"), F.col("component").alias("root"))
-    labelled = distinct.join(comp, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    smallest = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_fp = labelled.join(smallest, "root").select("fp", "component_id")
+    by_fp = _smallest(fp, F.col("doc_id"), radius, segments).withColumnRenamed("smallest", "component_id")
     return fp.join(by_fp, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id", "fp")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3, segments: int = 2) -> DataFrame:
-    """``docs`` without the members of a near-duplicate group other than the
-    one with the smallest doc_id; columns unchanged. Rows with that doc_id
-    stay as they are repeated; rows with a null doc_id stay."""
-    groups = near_duplicates(docs, shingle, radius, segments)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one document of each near-duplicate group; columns
+    unchanged. A document is an id with a text, so an id that carries several
+    texts loses those that copy others and keeps the rest. The smallest id
+    stays, of its texts the one with the smallest hash, as often as that row is
+    repeated. A null id tells no documents apart: it stays only in groups
+    without another id, in one row."""
+    fp = materialise(_by_text(docs, shingle, "doc_id", "text").select("doc_id", "_t", "fp"))
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_t")
+    kept = _smallest(fp, row, radius, segments)
+    same = F.col("doc_id").eqNullSafe(F.col("smallest.doc_id")) & (F.col("_t") == F.col("smallest._t"))
+    gone = materialise(fp.join(kept, "fp").where(~same).select("doc_id", "_t"))
+    rows = docs.withColumn("_t", F.xxhash64("text"))
+    named = rows.where(F.col("doc_id").isNotNull()).join(gone, ["doc_id", "_t"], "left_anti")
+    # copies meet in partial minima, so no task gets all rows without an id
+    once = rows.where(F.col("doc_id").isNull()).groupBy("_t").agg(F.min(F.struct(*docs.columns)).alias("r"))
+    unnamed = once.join(gone.where(F.col("doc_id").isNull()).select("_t"), "_t", "left_anti").select("r.*")
+    return named.select(*docs.columns).union(unnamed.select(*docs.columns))

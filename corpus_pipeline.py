@@ -43,7 +43,8 @@ def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by fingerprints of 3-word shingles
-    within 3 bits: the one with the smallest doc_id."""
+    within 3 bits: the one with the smallest doc_id; see ``keep_one`` for null
+    and repeated ids."""
     return simhash_dedup.keep_one(docs, shingle=3, radius=3)
 
 

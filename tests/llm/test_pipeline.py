@@ -58,6 +58,19 @@ def test_odd_rows_go_through(spark):
     assert out.count() >= docs.count()
 
 
+def test_near_copies_with_null_and_repeated_ids(spark):
+    """One document of each group stays, and no text without a copy is lost."""
+    a, b, c, d, e = (" ".join(f"{w}{i}" for i in range(30)) for w in "abcde")
+    rows = [(5, a), (9, a), (None, a), (None, a)]  # nulls go where an id is
+    rows += [(None, b)] * 3 + [(None, b.upper())]  # only nulls: one row
+    rows += [(9, c)]  # 9 copies 5, but this text is its own
+    rows += [(7, d), (7, d.upper()), (8, d)]  # one id, two copies
+    rows += [(6, e), (6, e)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text.lower()) for r in cp.drop_near_copies(spark, docs, SF_SMALL).collect()), key=repr)
+    assert got == sorted([(5, a), (None, b), (9, c), (7, d), (6, e), (6, e)], key=repr)
+
+
 @pytest.mark.parametrize("stage", [s for _, s in cp.STAGES])
 def test_empty_table(spark, stage):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
