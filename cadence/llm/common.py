@@ -19,6 +19,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """The columns of exactly these names, whatever else the table has (other
+    columns may differ from them in case only)."""
+    plain = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return plain.select(*[F.col(f"_{df.columns.index(n)}").alias(n) for n in names])
+
+
+#: UTF-8 byte -> itself in a term (A-Z lower-cased), space between terms. Terms
+#: are runs of letters, digits and characters beyond ASCII.
+TERM_BYTES = bytes(
+    b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
+)
+
+
+def terms(text: bytes | None) -> list[bytes]:
+    """The terms of a UTF-8 text, repeats included."""
+    return text.translate(TERM_BYTES).split() if text else []
+
+
 def fold(id_col: Column | str, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n (null id: null)."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

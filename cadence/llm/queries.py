@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm import bpe, common, embed_dedup, fingerprints, langid, licences, packing, sharding, simhash_dedup, toxicity, warc
+from cadence.llm import (
+    bpe, common, decontam, embed_dedup, fingerprints, langid, lexical, licences, packing, runs, sharding, simhash_dedup, toxicity, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -192,3 +194,87 @@ def op9_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted SimHash of every text and of its edited text."""
     return fingerprints.document_fingerprints(common.read(spark, sf_dir, "documents"))
+
+
+@query
+def op11_reversed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return lexical.search(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"), k=20)
+
+
+_UPPER, _LOWER = simhash_dedup.UPPER, simhash_dedup.LOWER
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), '{0}', '{1}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".format(_UPPER, _LOWER)
+ORACLE["op11_reversed_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+total AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL),
+q AS (SELECT item_id, term, count(*) AS times
+      FROM (SELECT item_id, unnest({_TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+      FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total),
+m AS (SELECT r, doc_id, 100 - 25 + ((25 * len(w) * n_docs) // n_terms) AS m FROM d, total WHERE len(w) > 0),
+s AS (SELECT item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+      FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+WHERE rank <= 20
+"""
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): where crc32 of the id ends in 0, the words from a place
+    on repeat the first few of them; place and period come from the crc32."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    cut = common.pick(docs, "doc_id", "text").select(
+        "doc_id", "text", F.expr("crc32(cast(doc_id as string)) div 10").alias("g"),
+        F.when(h % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w"))
+    n = F.size("w").cast("long")
+    cut = cut.withColumn("a", F.when(n > 0, F.col("g") % n))
+    cut = cut.withColumn("p", F.when(n > 0, F.lit(1) + F.floor((n - F.col("a")) / (F.lit(3) + F.col("g") % 8)).cast("long")))
+    again = F.transform("w", lambda x, i: F.when(i >= F.col("a"), F.element_at("w", (F.col("a") + (i - F.col("a")) % F.col("p") + 1).cast("int"))).otherwise(x))
+    return cut.select("doc_id", F.when(n > 0, F.concat_ws(" ", again)).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every whole text, and the text without them."""
+    docs = with_planted_runs(common.read(spark, sf_dir, "documents"))
+    found = runs.find_runs(docs, derive={"collapsed_sha256": F.sha2("collapsed", 256)})
+    best = F.aggregate("runs", F.element_at("runs", 1), lambda a, r: F.when(
+        r["length"] * a["period"] > a["length"] * r["period"], r).otherwise(a))
+    lines = F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    found = found.withColumn("best", F.when(F.size("runs") > 0, best))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"), "collapsed_sha256",
+    )
+
+
+@query
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every whole text that lie in a window of a benchmark item."""
+    docs, items = common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark")
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return decontam.contamination(docs, items, window=10).select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
+ORACLE["op13_benchmark_decontamination"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+i AS (SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_TERMS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, array_to_string(w[s : s + 9], ' ') AS g, least(len(w), 10) AS k
+        FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT k FROM win),
+places AS (SELECT r, k, s, array_to_string(w[s : s + k - 1], ' ') AS g
+           FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, sizes WHERE len(w) >= k)),
+found AS (SELECT r, s, places.k AS k, item FROM places JOIN win USING (g)),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + k)) AS p FROM (SELECT DISTINCT r, s, k FROM found)) GROUP BY r),
+names AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN names USING (r)
+"""
