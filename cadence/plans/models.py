@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cadence.plans import listen_counts as lc
 from cadence.plans.common import round_doubles
 from cadence.plans.registry import register
+from cadence.session import stored
 from cadence.sources import testdata as td
 
 AS_OF = td.LISTEN_AS_OF
@@ -684,8 +685,8 @@ def q_top_artists_playlists(spark, sf_dir):
     files, nm = td.files(spark, sf_dir), name_map(spark, sf_dir)
     ac = lc.artist_listen_counts(grain(spark, sf_dir), td.artists(spark, sf_dir), AS_OF)
     top = col.sample_top_artists(ac, "lifetime", count=15)
-    requests = top.select(F.concat_ws(":", "username", "artist_mbid").alias("playlist_id"), "username",
-                          F.col("artist_mbid").alias("mbid"), "artist_name")
+    requests = stored(top.select(F.concat_ws(":", "username", "artist_mbid").alias("playlist_id"), "username",
+                                 F.col("artist_mbid").alias("mbid"), "artist_name"), "playlist-requests")
     universe = col.mbid_universe(td.listens(spark, sf_dir), files, nm, similar_activity(spark, sf_dir),
                                  td.releases(spark, sf_dir), td.feedback(spark, sf_dir))
     sources = col.files_for_mbids(requests.drop("artist_name"), universe, lib.file_maps_long(files, nm))

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from cadence.operators.knn import weighted_knn
 from cadence.operators.sets import symmetrise
 from cadence.plans.registry import register
+from cadence.session import stored
 from cadence.sources import testdata as td
 
 
@@ -63,11 +64,10 @@ def recently_played(file_counts: DataFrame, limit: int | None = None) -> DataFra
     return first_rows(rows, ["username"], [F.desc("recency_score"), F.col("filepath")], limit)
 
 
-def recency_candidate_weights(playlists: DataFrame, file_counts: DataFrame, fac: float = RECENCY_FAC) -> DataFrame:
-    """(playlist_id, filepath, weight = 1 / (1 + recency * fac)) for the owner's recent files."""
-    owners = playlists.select("playlist_id", "username").distinct()
-    return owners.join(recently_played(file_counts), "username").select(
-        "playlist_id", "filepath", recency_weight("recency_score", fac).alias("weight")
+def recency_candidate_weights(file_counts: DataFrame, fac: float = RECENCY_FAC) -> DataFrame:
+    """(username, filepath, weight = 1 / (1 + recency * fac)) for the users' recent files."""
+    return recently_played(file_counts).select(
+        "username", "filepath", recency_weight("recency_score", fac).alias("weight")
     )
 
 
@@ -75,7 +75,8 @@ def _file_counts(spark, sf_dir):
     from cadence.plans import activity as act
     from cadence.plans.models import AS_OF, file_map
 
-    return act.file_listen_counts(td.listens(spark, sf_dir), file_map(spark, sf_dir), td.files(spark, sf_dir), AS_OF)
+    counts = act.file_listen_counts(td.listens(spark, sf_dir), file_map(spark, sf_dir), td.files(spark, sf_dir), AS_OF)
+    return stored(counts, "file-counts")
 
 
 @register("knn_predicate_weights")
@@ -84,7 +85,7 @@ def knn_predicate_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = td.files(spark, sf_dir)
     fc = _file_counts(spark, sf_dir)
     seeds = seed_weights_from_listens(td.playlist_seeds(spark, sf_dir), fc)
-    cw = recency_candidate_weights(seeds, fc)
+    cw = recency_candidate_weights(fc)
     cf = symmetrise(td.cf_scores(spark, sf_dir))
     return _knn_output(weighted_knn(lib, seeds, cf, cw))
 
@@ -95,10 +96,11 @@ def playlist_from_files(lib: DataFrame, seeds: DataFrame, cf: DataFrame, file_co
     """Seeds (``seed_count`` sampled by hash) first, then the greedy
     quota-limited nearest tracks; 0-based order_index per playlist.
     ``shuffle``: a seed to shuffle the tracks after the seeds by hash."""
+    seeds = stored(seeds, "playlist-seeds")
     sw = seed_weights_from_listens(seeds, file_counts)
-    cw = recency_candidate_weights(sw, file_counts, recency_fac) if recency_fac > 0 else None
+    cw = recency_candidate_weights(file_counts, recency_fac) if recency_fac > 0 else None
     # no cut before the quota: a near artist may fill any number of places
-    near = weighted_knn(lib, sw, cf, cw, limit=None, keep_per_pair=limit_per_artist, limit_special=limit)
+    near = weighted_knn(lib, sw, cf, cw, limit=None, quota=limit_per_artist, wanted=limit - seed_count)
     picked = greedy_quota(near, limit=limit - seed_count, quota=limit_per_artist,
                           seed_paths=seeds.select("playlist_id", "filepath"), out_col="_rank")
     ws = Window.partitionBy("playlist_id").orderBy(F.md5(F.concat("playlist_id", "filepath")), "filepath")

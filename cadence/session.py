@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(
@@ -69,6 +69,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return join_path(base, f"{name}-{os.getpid()}-{os.urandom(4).hex()}")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to a fresh scratch folder and read from there: for
+    a frame that several jobs of a query read."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def join_path(base: str, *parts: str) -> str:
     """Join path segments with '/' (URIs and local paths alike)."""
     return "/".join([base.rstrip("/")] + [x.strip("/") for x in parts])
