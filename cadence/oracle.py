@@ -1199,6 +1199,13 @@ SELECT CAST(packet AS VARCHAR) || '-' || entity AS slug, count(*) AS n_bad, 'oop
 FROM (SELECT p_partkey // 300 AS packet, {ent('p_partkey // 300')} AS entity FROM part WHERE p_partkey % 60 = 1)
 GROUP BY 1""")
 
+QUERIES["entity_dump_broken"] = q([], f"""
+SELECT CAST(p_partkey // 1000 AS VARCHAR) || '-release-group' AS slug,
+       count(*) FILTER (p_partkey % 10 NOT IN (5, 7)) AS n_objects,
+       md5(string_agg({mbid('p', 'p_partkey')}, ',' ORDER BY {mbid('p', 'p_partkey')}) FILTER (p_partkey % 10 NOT IN (5, 7))) AS ids_md5,
+       count(*) FILTER (p_partkey % 10 IN (3, 5, 7)) AS n_bad
+FROM part GROUP BY 1""")
+
 QUERIES["entity_dump_scan"] = q([], f"""
 , p AS (SELECT p_partkey AS k, p_partkey // 300 AS packet FROM part WHERE p_partkey % 13 <> 0)
 , e AS (SELECT k, packet, {ent('packet')} AS entity FROM p)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cadence.functions.scalars import try_cast_uuid
+from cadence.session import checkpoint_dir
 
 LISTEN_SCHEMA = (
     "listened_at long, inserted_at long, recording_msid string, "
@@ -78,36 +83,82 @@ def count_pairs(listens: DataFrame) -> DataFrame:
 OBJECT_SCHEMA = (
     "id string, `artist-credit` array<struct<artist:struct<id:string>>>, `release-group` struct<id:string>"
 )
-#: What a dump text is made of, as far as its objects' ends are concerned.
-JSON_PIECES = r'"(?:[^"\\]|\\.)*"|[{}]'
+#: What a dump text is made of, as far as its objects' ends are concerned: a
+#: string (closed or not: JSON strings hold no line break), a brace, a line
+#: that begins with one.
+JSON_PIECES = re.compile(r'"(?:[^"\\\n]|\\[^\n])*("?)|\n\{|[{}]')
+LINE_OBJECT = re.compile(r"\n\{")
+#: Characters of one range of a dump file.
+RANGE_CHARS = 1 << 20
+
+
+def _begins(text: str, newline: int) -> bool | None:
+    """Whether the brace after this line break can only begin an object of its
+    own: inside an object a brace follows a colon, comma or bracket. None if
+    nothing but white space is before it."""
+    at = newline - 1
+    while at >= 0 and text[at].isspace():
+        at -= 1
+    return None if at < 0 else text[at] not in ":,["
+
+
+def _object_end(text: str, begin: int) -> tuple[int, bool]:
+    """(end of the object that begins here, whether it closes)."""
+    depth = 0
+    for m in JSON_PIECES.finditer(text, begin):
+        piece = m.group()
+        if piece[0] == '"':
+            if not m.group(1):
+                line = text.find("\n{", m.end())
+                return (line + 1 if line >= 0 else len(text)), False
+        elif piece == "}":
+            depth -= 1
+            if depth == 0:
+                return m.end(), True
+        else:
+            if piece != "{" and _begins(text, m.start()):
+                return m.start() + 1, False
+            depth += 1
+    return len(text), False
 
 
 def object_spans(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """(objects, rest) of a text of JSON objects one after the other: where
     each outermost pair of braces begins and ends, and where there is anything
-    else than white space between or after them. Braces in strings do not
-    count."""
-    import re
-
+    else than white space. Braces in strings do not count, nor do quotes
+    outside of objects. An object that does not close ends where the next line
+    begins an object; it is one stretch of the rest."""
     objects, rest = [], []
-    depth = begin = done = 0
-    for m in re.finditer(JSON_PIECES, text, re.S):
-        if m.group() == "{":
-            if depth == 0:
-                begin = m.start()
-                if text[done:begin].strip():
-                    rest.append((done, begin))
-            depth += 1
-        elif m.group() == "}" and depth:
-            depth -= 1
-            if depth == 0:
-                objects.append((begin, m.end()))
-                done = m.end()
-    if text[done:].strip():
-        rest.append((done, len(text)))
+    at = 0
+    while at < len(text):
+        begin = text.find("{", at)
+        junk = len(text) if begin < 0 else begin
+        if text[at:junk].strip():
+            rest.append((at, junk))
+        if begin < 0:
+            break
+        at, closed = _object_end(text, begin)
+        if closed:
+            objects.append((begin, at))
+        else:
+            line = text.find("\n{", begin, at)
+            at = line + 1 if line >= 0 else at
+            rest.append((begin, at))
     return objects, rest
 
 
+def _anchors(text: str) -> tuple[int, int] | None:
+    """First and last place where an object begins whatever came before the
+    text, or None."""
+    sure = [m.start() + 1 for m in LINE_OBJECT.finditer(text) if _begins(text, m.start())]
+    return (sure[0], sure[-1]) if sure else None
+
+
+def _split(text: str) -> list[tuple[str | None, str | None]]:
+    objects, rest = object_spans(text)
+    return [(text[a:b], None) for a, b in objects] + [(None, text[a:b].strip()) for a, b in rest]
+
+
 def split_concatenated_json(texts: DataFrame, text_col: str = "value") -> DataFrame:
     """Whole texts of concatenated JSON objects -> (other columns, obj, bad):
     one row per object, which may reach over lines, in ``obj``, and one per
@@ -121,30 +172,103 @@ def split_concatenated_json(texts: DataFrame, text_col: str = "value") -> DataFr
     def fn(batches):
         for pdf in batches:
             for *own, text in pdf[[*others, text_col]].itertuples(index=False, name=None):
-                text = text if isinstance(text, str) else ""
-                objects, rest = object_spans(text)
-                rows = [(*own, text[a:b], None) for a, b in objects] + [(*own, None, text[a:b].strip()) for a, b in rest]
+                rows = [(*own, *r) for r in _split(text if isinstance(text, str) else "")]
                 yield pd.DataFrame(rows, columns=[*others, "obj", "bad"], dtype=object)
 
     return texts.mapInPandas(fn, schema)
 
 
-def read_dump_files(spark, path: str) -> DataFrame:
-    """(slug, value) of the dump files below ``path``: whole files, the slug
-    from the folder name ``slug=<packet>-<entity>``."""
-    return spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"slug=([^/]+)", 1).alias("slug"), "value")
+def split_json_ranges(ranges: DataFrame, file_cols: list[str], order_cols: list[str], text_col: str = "value") -> DataFrame:
+    """``split_concatenated_json`` for files that come in ranges, cut anywhere:
+    (file columns, obj, bad), the same rows as for the whole texts.
+
+    A line that begins with a brace which can follow nothing inside an object
+    (``_begins``) begins an object in every state of the text before it. So
+    what lies between the first and the last such line of a range is split in
+    the task that has the range. The ends of neighbouring ranges are put
+    together, up to the next such line, and split as one text: usually one
+    object. Only a stretch of a file without any such line is one text.
+    """
+    import pandas as pd
+
+    kept = [*file_cols, *order_cols]
+    schema = ranges.select(*kept).schema.add("kind", "integer").add("obj", "string").add("bad", "string").add("piece", "string")
+
+    def fn(batches):
+        for pdf in batches:
+            rows = []
+            for *own, text in pdf[[*kept, text_col]].itertuples(index=False, name=None):
+                text = text if isinstance(text, str) else ""
+                sure = _anchors(text)
+                if sure is None:
+                    rows.append((*own, 1, None, None, text))
+                    continue
+                first, last = sure
+                rows += [(*own, 0, obj, bad, None) for obj, bad in _split(text[first:last])]
+                rows += [(*own, 1, None, None, text[:first]), (*own, 2, None, None, text[last:])]
+            yield pd.DataFrame(rows, columns=[*kept, "kind", "obj", "bad", "piece"], dtype=object)
+
+    checkpoint_dir(ranges.sparkSession)
+    parts = ranges.mapInPandas(fn, schema).checkpoint()
+    edges = parts.where("kind > 0").drop("obj", "bad")
+    # the last sure line of a range (kind 2) opens a seam; pieces up to the
+    # next one belong to it. The numbering sees no text.
+    w = Window.partitionBy(*file_cols).orderBy(*order_cols, "kind").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = edges.select(*kept, "kind").withColumn("seam", F.sum((F.col("kind") == 2).cast("long")).over(w))
+    numbered = numbered.select(*[F.col(c).alias(f"_{c}") for c in [*kept, "kind"]], "seam")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*kept, "kind"]])
+    pieces = F.sort_array(F.collect_list(F.struct(*order_cols, "kind", "piece")))
+    seams = edges.join(numbered, same).groupBy(*file_cols, "seam").agg(
+        F.array_join(F.transform(pieces, lambda p: p["piece"]), "").alias(text_col)).drop("seam")
+    return parts.where("kind = 0").select(*file_cols, "obj", "bad").unionByName(split_concatenated_json(seams, text_col))
+
+
+def read_dump_ranges(spark, path: str, chars: int = RANGE_CHARS) -> DataFrame:
+    """(slug, file, block, line, value): the dump files below ``path`` in
+    ranges of about ``chars`` characters, read in Spark's own splits, so that
+    one file is many tasks; the slug is from the folder name
+    ``slug=<packet>-<entity>``."""
+    import pandas as pd
+
+    lines = spark.read.text(path).select(
+        F.regexp_extract(F.col("_metadata.file_path"), r"slug=([^/]+)", 1).alias("slug"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+
+    columns = list(lines.columns)
+
+    def fn(batches):
+        held, size, key = [], 0, None
+        for pdf in batches:
+            out = []
+            for slug, file, block, line, value in pdf.itertuples(index=False, name=None):
+                if held and (key[:3] != (slug, file, block) or size >= chars):
+                    out.append((*key, "".join(held)))
+                    held, size = [], 0
+                if not held:
+                    key = (slug, file, block, line)
+                held.append(value + "\n")
+                size += len(value) + 1
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+        if held:
+            yield pd.DataFrame([(*key, "".join(held))], columns=columns)
+
+    return lines.mapInPandas(fn, lines.schema)
 
 
 def scan_entity_dump(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Dump files (slug, value) -> (records, quarantine).
+    """Dump files (slug, value), or their ranges (slug, file, block, line,
+    value), -> (records, quarantine).
 
     records: (slug, packet_number, entity, mbid, containers) of the objects
     that carry an id. The slug is ``<packet>-<entity>``; containers are the
     release group and credited artists of releases, the credited artists of
     release groups. quarantine: (slug, bad), what is no object or does not
     parse; an object without an id is neither."""
-    objs = split_concatenated_json(files)
+    if "block" in files.columns:
+        objs = split_json_ranges(files, ["slug", "file"], ["block", "line"])
+    else:
+        objs = split_concatenated_json(files)
     packet = F.regexp_extract("slug", r"^(\d+)-", 1).cast("long")
     ent = F.regexp_extract("slug", r"^\d+-(.+)$", 1)
     parses = F.expr("try_parse_json(obj)").isNotNull()

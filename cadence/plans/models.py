@@ -755,6 +755,16 @@ def q_entity_dump_quarantine(spark, sf_dir):
     return bad.groupBy("slug").agg(F.count(F.lit(1)).alias("n_bad"), F.min("bad").alias("bad"))
 
 
+@register("entity_dump_broken")
+def q_entity_dump_broken(spark, sf_dir):
+    """Dump files with damaged objects, in ranges that cut through objects:
+    what is recovered and how much goes to quarantine, per packet."""
+    records, bad = ingest.scan_entity_dump(td.broken_dump_ranges(spark, sf_dir))
+    ids = F.array_join(F.sort_array(F.collect_list("mbid")), ",")
+    return records.groupBy("slug").agg(F.count(F.lit(1)).alias("n_objects"), F.md5(ids).alias("ids_md5")).join(
+        bad.groupBy("slug").agg(F.count(F.lit(1)).alias("n_bad")), "slug")
+
+
 # --- maintenance: retention, new-or-modified gate, column update, key sets ----------------
 
 RETENTION_CUTOFF = _dt.date(1996, 8, 1)

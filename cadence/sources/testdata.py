@@ -677,6 +677,27 @@ def _build_entity_dump_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("p_partkey", "obj", "gap"))), lambda x: F.concat(x["obj"], x["gap"])), "").alias("value"))
 
 
+def broken_dump_ranges(spark: SparkSession, sf_dir: str, chars: int = 700) -> DataFrame:
+    """Line-by-line dump files of 1000 parts in ranges of ``chars`` characters
+    (slug, file, block, line, value). Of ten objects the fourth has a stray
+    quote behind it, the sixth lacks its last brace, the eighth the end of a
+    string."""
+    k = F.col("p_partkey").cast("long")
+    obj = F.to_json(F.struct(mbid("p", k).alias("id"), F.array(F.struct(F.struct(mbid("a", k % 11).alias("id")).alias("artist"))).alias("artist-credit"),
+                             F.concat(F.lit('a "quoted" {name} '), k.cast("string")).alias("name")))
+    line = (F.when(k % 10 == 3, F.concat(obj, F.lit(' stray"')))
+            .when(k % 10 == 5, F.substring(obj, 1, F.length(obj) - 1))
+            .when(k % 10 == 7, F.concat(F.substring(obj, 1, F.length(obj) - 2), F.lit("}"))).otherwise(obj))
+    # a file holds 1000 lines at most
+    slug = F.concat(F.floor(k / 1000).cast("string"), F.lit("-release-group"))
+    text = table(spark, sf_dir, "part").select(slug.alias("slug"), k.alias("k"), line.alias("line")).groupBy("slug").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda x: F.concat(x["line"], F.lit("\n"))), "").alias("text"))
+    starts = F.sequence(F.lit(0), F.floor(F.length("text") / chars).cast("int"))
+    return text.select("slug", F.col("slug").alias("file"), F.explode(starts).alias("n"), "text").select(
+        "slug", "file", F.lit(0).cast("long").alias("block"), F.col("n").cast("long").alias("line"),
+        F.substring("text", F.col("n") * chars + 1, F.lit(chars)).alias("value"))
+
+
 def raw_artist_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed artist-stats results (one per supplier as an artist); every
     6th lookup failed."""
