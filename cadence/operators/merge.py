@@ -1,14 +1,12 @@
 """Keyed merges for tables without MERGE support (plain parquet).
 
-Each returns the new version of the target as a DataFrame; ``write_version``
-persists it to a fresh path (atomic by path swap, safe to re-run, and it
-cuts lineage for iterative jobs). Keys are shuffled once per merge.
+Each returns the new version of the target as a DataFrame; keys are shuffled
+once per merge. ``operators.tables`` has tables that change by commits, without
+a rewrite of what is there.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -83,16 +81,3 @@ def retention(parents: DataFrame, children: DataFrame, key: str, ts: str, cutoff
     """Drop parents older than ``cutoff`` and their children."""
     kept = parents.where(F.col(ts) >= F.lit(cutoff))
     return kept, children.join(kept.select(key), key, "left_semi")
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)
-
-
-def write_version(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Persist a new table version and read it back (cuts lineage)."""
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-    return df.sparkSession.read.parquet(path)

@@ -765,6 +765,25 @@ QUERIES["replace_group"] = q(["dump_records"], DUMP_TABLE_CTE + """
 SELECT * FROM target WHERE slug NOT IN (SELECT DISTINCT slug FROM source)
 UNION ALL SELECT * FROM source""")
 
+QUERIES["table_append"] = q(["dump_records"], DUMP_TABLE_CTE + "\nSELECT * FROM t")
+QUERIES["table_replace_group"] = QUERIES["replace_group"]
+QUERIES["table_versions"] = q(["dump_records"], DUMP_TABLE_CTE + """
+, y AS (SELECT * FROM target WHERE year(dump_date) = 1997)
+, replaced AS (SELECT * FROM target WHERE slug NOT IN (SELECT slug FROM source) AND year(dump_date) <> 1997
+               UNION ALL SELECT * FROM source)
+, appended AS (SELECT * FROM replaced UNION ALL SELECT * FROM y)
+, v AS (SELECT 0 AS version, 'refresh' AS kind, listen_count FROM target UNION ALL SELECT 1, 'replace', listen_count FROM replaced
+        UNION ALL SELECT 2, 'append', listen_count FROM appended UNION ALL SELECT 3, 'refresh', listen_count FROM appended
+        UNION ALL SELECT 4, 'refresh', listen_count FROM source)
+SELECT version, kind, count(*) AS n_rows, CAST(sum(listen_count) AS BIGINT) AS listens FROM v GROUP BY 1, 2""")
+QUERIES["stream_merge"] = q(["listens"], """
+SELECT username, recording_mbid, listen_md5, listen_at_ts_utc FROM listens
+QUALIFY row_number() OVER (PARTITION BY username, recording_mbid ORDER BY listen_at_ts_utc DESC, listen_md5 DESC) = 1""")
+QUERIES["listen_count_totals"] = "\nUNION ALL\n".join(
+    f"SELECT '{e}' AS entity, username, count(*) AS n_rows, CAST(sum(lifetime_listen_count) AS BIGINT) AS listens FROM ("
+    + QUERIES[e.replace("-", "_") + "_listen_counts"] + ") GROUP BY username"
+    for e in ("artist", "recording", "release", "release-group"))
+
 QUERIES["incremental_merge"] = q([], f"""
 , o AS (SELECT {mbid('o', 'o_orderkey % 5000')} AS mbid, o_orderdate AS ts_utc, o_totalprice AS value FROM orders)
 , t0 AS (

@@ -306,6 +306,7 @@ import datetime as _dt  # noqa: E402
 
 from cadence.operators import merge as mg  # noqa: E402
 from cadence.operators import quality as dq  # noqa: E402
+from cadence.operators import tables as tb  # noqa: E402
 
 MERGE_SPLIT = _dt.date(1999, 1, 1)
 MERGE_OVERLAP = _dt.date(1998, 1, 1)
@@ -357,6 +358,87 @@ def q_incremental_merge(spark, sf_dir):
     return round_doubles(mg.incremental_merge(target, o, ["mbid"], "ts_utc", tiebreak=["value"]))
 
 
+def _table(first, partition_by=None):
+    """A new table in the scratch folder."""
+    from cadence.session import scratch_path
+
+    return tb.Table.create(first, scratch_path(first.sparkSession, "table"), partition_by)
+
+
+@register("table_append")
+def q_table_append(spark, sf_dir):
+    """A dump table that came in four appended parts, one of them twice."""
+    t = _dump_table(spark, sf_dir).withColumn("part", F.col("user_id") % 4)
+    table = _table(t.where("part = 0"))
+    for part in (1, 2, 2, 3):
+        table.append(t.where(F.col("part") == part), batch=part)
+    return table.read().drop("part")
+
+
+@register("table_replace_group")
+def q_table_replace_group(spark, sf_dir):
+    """Dumps loaded again take the place of the stored ones, slug by slug."""
+    target, source = _target_source(spark, sf_dir)
+    table = _table(target)
+    table.replace(source, ["slug"])
+    return table.read()
+
+
+@register("table_versions")
+def q_table_versions(spark, sf_dir):
+    """What each version holds: load, replaced groups (one year of them
+    deleted), append, full refresh, and the compacted state before it."""
+    target, source = _target_source(spark, sf_dir)
+    table = _table(target)
+    year = target.where(F.year("dump_date") == 1997)
+    table.replace(source, ["slug"], groups=source.select("slug").unionByName(year.select("slug")))
+    table.append(year)
+    table.compact()
+    table.refresh(source)
+    out = None
+    for c in table.log():
+        told = table.read(c["version"]).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("listen_count").alias("listens")).select(
+            F.lit(c["version"]).alias("version"), F.lit(c["kind"]).alias("kind"), "n_rows", "listens")
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
+@register("stream_merge")
+def q_stream_merge(spark, sf_dir):
+    """The last listen of every (user, recording) by a stream of micro-batches
+    that is stopped and started again; its first batch is delivered twice."""
+    from cadence.session import join_path, scratch_path
+
+    li = td.listens_from_events(td.events_stream(spark, sf_dir)).select("username", "recording_mbid", "listen_md5", "listen_at_ts_utc")
+    keys, order = ["username", "recording_mbid"], ["listen_at_ts_utc", "listen_md5"]
+    first = td.listens(spark, sf_dir).select(*li.columns)
+    table = _table(first.limit(0))
+    path = scratch_path(spark, "stream-merge")
+    tb.merge_stream(li, table, keys, order, join_path(path, "once"))
+    tb.merge_stream(li, table, keys, order, join_path(path, "once"))
+    tb.merge_stream(li, table, keys, order, join_path(path, "again"))
+    return table.read()
+
+
+@register("listen_count_totals")
+def q_listen_count_totals(spark, sf_dir):
+    """The four listen-count tables from one stored listen grain: rows and
+    lifetime listens per user."""
+    g = stored(grain(spark, sf_dir), "listen-grain")
+    tables = {
+        "artist": lc.artist_listen_counts(g, td.artists(spark, sf_dir), AS_OF),
+        "recording": lc.recording_listen_counts(g, td.recordings(spark, sf_dir), AS_OF),
+        "release": lc.release_listen_counts(g, td.releases(spark, sf_dir), AS_OF),
+        "release-group": lc.release_group_listen_counts(g, td.release_groups(spark, sf_dir), AS_OF),
+    }
+    out = None
+    for name, t in tables.items():
+        told = t.groupBy("username").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("lifetime_listen_count").alias("listens")).select(
+            F.lit(name).alias("entity"), "username", "n_rows", "listens")
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
 @register("dq_unique")
 def q_dq_unique(spark, sf_dir):
     return dq.unique(td.dump_records(spark, sf_dir), KEY)
