@@ -37,9 +37,3 @@ def two_way_difference(left: DataFrame, right: DataFrame, keys: list[str]) -> tu
     lk = left.select(*keys).distinct()
     rk = right.select(*keys).distinct()
     return lk.join(rk, keys, "left_anti"), rk.join(lk, keys, "left_anti")
-
-
-def same_key_sets(left: DataFrame, right: DataFrame, keys: list[str]) -> bool:
-    """True when both frames hold exactly the same key set."""
-    a, b = two_way_difference(left, right, keys)
-    return a.limit(1).count() == 0 and b.limit(1).count() == 0

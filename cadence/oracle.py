@@ -532,7 +532,6 @@ SELECT l_orderkey, l_linenumber,
        md5('["' || l_returnflag || '", ' || CAST(l_orderkey AS VARCHAR) || ']') AS list_hash
 FROM lineitem""")
 
-QUERIES["cf_symmetrise"] = q(["cf_sym"], "SELECT * FROM cf_sym")
 QUERIES["dim_flatten"] = q(["artists"], "SELECT * FROM artists")
 
 SIMILAR_CTE = f"""
@@ -582,38 +581,25 @@ WHERE s.rank <= 200""")
 
 QUERIES["artist_recommends"] = q(["listens", "releases", "artists", "files", "name_map", "cf_sym"],
     recency_base(LISTEN_AS_OF) + _ART_SRC + """
-, ac AS (
-  SELECT b.username, b.artist_mbid, count(*) AS lifetime_listen_count
-  FROM base_a b JOIN artists d ON b.artist_mbid = d.artist_mbid
-  GROUP BY 1, 2)
-, top_n AS (
-  SELECT artist_mbid, ln(lifetime_listen_count) AS log_listens FROM ac
-  WHERE lifetime_listen_count > 50
-  ORDER BY lifetime_listen_count DESC, username, artist_mbid LIMIT 500)
-, fa AS (
-  SELECT f.filepath, UNNEST(m.artist_mbids) AS artist_mbid FROM files f JOIN name_map m USING (recording_md5)
-  WHERE len(m.artist_mbids) > 0
-  UNION SELECT filepath, artist_mbid FROM files WHERE artist_mbid IS NOT NULL
-  UNION SELECT filepath, album_artist_mbid FROM files WHERE album_artist_mbid IS NOT NULL)
-, in_library AS (SELECT artist_mbid FROM fa GROUP BY 1 HAVING count(*) > 6)
-, scores AS (
-  SELECT c.artist_mbid_a, c.artist_mbid_b, exp(c.score_value - 0.35) AS score_value, t.log_listens
-  FROM cf_sym c JOIN top_n t ON c.artist_mbid_a = t.artist_mbid
-  LEFT JOIN in_library l ON c.artist_mbid_b = l.artist_mbid
-  WHERE l.artist_mbid IS NULL)
-, best AS (
-  SELECT artist_mbid_b, m.a AS artist_mbid_a, m.s AS score_value FROM (
-    SELECT artist_mbid_b, max({'s': score_value, 'a': artist_mbid_a}) AS m
-    FROM scores WHERE artist_mbid_a IN (SELECT artist_mbid FROM in_library) GROUP BY 1))
-, agg AS (
-  SELECT artist_mbid_b, sum(score_value * log_listens) AS total_score, max(score_value) AS max_score
-  FROM scores GROUP BY 1)
-SELECT agg.artist_mbid_b AS artist_mbid, b.artist_name, a.artist_name AS most_similar_artist_name,
-       b.tags_string, b.active_years, round(agg.total_score, 6) AS total_score, round(agg.max_score, 6) AS max_score,
-       round(best.score_value, 6) AS max_similar_artist_score
-FROM agg JOIN best USING (artist_mbid_b)
-LEFT JOIN artists b ON agg.artist_mbid_b = b.artist_mbid
-LEFT JOIN artists a ON best.artist_mbid_a = a.artist_mbid""")
+, played AS (
+  SELECT username, artist_mbid, count(*) AS plays FROM base_a WHERE artist_mbid IN (SELECT artist_mbid FROM artists)
+  GROUP BY ALL HAVING count(*) > 50 ORDER BY plays DESC, username, artist_mbid LIMIT 500)
+, shelf AS (
+  SELECT artist_mbid, count(DISTINCT filepath) > 6 AS owned
+  FROM (SELECT filepath, unnest([f.artist_mbid, album_artist_mbid] || coalesce(m.artist_mbids, [])) AS artist_mbid
+        FROM files f LEFT JOIN name_map m USING (recording_md5))
+  WHERE artist_mbid IS NOT NULL GROUP BY 1)
+, told AS (
+  SELECT c.artist_mbid_b AS artist_mbid, sum(exp(score_value - 0.35) * ln(plays)) AS total, max(exp(score_value - 0.35)) AS top,
+         max(exp(score_value - 0.35)) FILTER (ours.owned) AS near_score,
+         arg_max(c.artist_mbid_a, {'s': score_value, 'a': c.artist_mbid_a}) FILTER (ours.owned) AS near
+  FROM played p JOIN cf_sym c ON p.artist_mbid = c.artist_mbid_a
+  LEFT JOIN shelf ours ON ours.artist_mbid = c.artist_mbid_a LEFT JOIN shelf theirs ON theirs.artist_mbid = c.artist_mbid_b
+  WHERE NOT coalesce(theirs.owned, false) GROUP BY 1)
+SELECT t.artist_mbid, d.artist_name, n.artist_name AS most_similar_artist_name, d.tags_string, d.active_years,
+       round(total, 6) AS total_score, round(top, 6) AS max_score, round(near_score, 6) AS max_similar_artist_score
+FROM told t LEFT JOIN artists d USING (artist_mbid) LEFT JOIN artists n ON n.artist_mbid = t.near
+WHERE t.near IS NOT NULL""")
 
 
 # --- similarity ---------------------------------------------------------------------
@@ -639,11 +625,6 @@ SELECT a.user_id, a.artist_mbid,
              * (ln(s.n) - ln(1 + df.df)), 6) AS weight
 FROM agg a JOIN df USING (artist_mbid) JOIN rs USING (user_id) CROSS JOIN s""")
 
-QUERIES["embedding_cosine_pairs"] = q([], """
-, v AS (SELECT lpad(CAST(vec_id AS VARCHAR), 9, '0') AS id, CAST(embedding AS DOUBLE[]) AS e, vec_id FROM embeddings)
-SELECT a.id AS artist_mbid_a, b.id AS artist_mbid_b, round(list_cosine_similarity(a.e, b.e), 6) AS score_value
-FROM v a JOIN v b ON a.id < b.id WHERE a.vec_id % 100 = 0""")
-
 QUERIES["embedding_cosine_search"] = q([], """
 , v AS (SELECT lpad(CAST(vec_id AS VARCHAR), 9, '0') AS id, CAST(embedding AS DOUBLE[]) AS e, vec_id FROM embeddings)
 SELECT a.id AS artist_mbid_a, b.id AS artist_mbid_b, round(list_cosine_similarity(a.e, b.e), 6) AS score_value
@@ -660,19 +641,6 @@ QUERIES["folder_seeds"] = q(["files"], """
   FROM nation)
 SELECT DISTINCT playlist_id, username, filepath FROM r JOIN files ON starts_with(filepath, prefix)""")
 
-QUERIES["cf_baseline"] = q(["cf_sym"], """
-, per AS (
-  SELECT artist_mbid_a, min(exp(score_value)) AS min_score, quantile_cont(exp(score_value), 0.5) AS median_score,
-         avg(exp(score_value)) AS avg_score, max(exp(score_value)) AS max_score, count(*) AS n
-  FROM cf_sym GROUP BY 1)
-, g AS (
-  SELECT quantile_cont(median_score, 0.25) AS q1, quantile_cont(median_score, 0.5) AS q2,
-         quantile_cont(median_score, 0.75) AS q3 FROM per)
-SELECT artist_mbid_a, round(min_score, 6) AS min_score, round(median_score, 6) AS median_score,
-       round(avg_score, 6) AS avg_score, round(max_score, 6) AS max_score, n,
-       round(q1, 6) AS median_q1, round(q2, 6) AS median_q2, round(q3, 6) AS median_q3,
-       round(ln(q2), 6) AS baseline
-FROM per CROSS JOIN g""")
 
 
 # --- sampling / universe ---------------------------------------------------------------
@@ -1513,15 +1481,6 @@ SELECT playlist_id,
 FROM top GROUP BY playlist_id""")
 
 
-QUERIES["cf_calibration"] = q(["cf_sym"], """
-, per AS (SELECT artist_mbid_a, quantile_cont(exp(score_value), 0.5) AS m FROM cf_sym GROUP BY 1)
-, b AS (SELECT ln(quantile_cont(m, 0.5)) AS baseline FROM per)
-, r AS (SELECT min(score_value) AS lb, max(score_value) AS ub FROM cf_sym)
-, sims AS (SELECT r.lb + i * 0.01 AS similarity FROM r, range(0, CAST(ceil((r.ub - r.lb) / 0.01) AS BIGINT)) t(i))
-SELECT round(s.similarity, 6) AS similarity, round(sc.scalar, 6) AS scalar,
-       round(exp(sc.scalar * (s.similarity - b.baseline)), 6) AS multiplier
-FROM sims s, b, (VALUES (0.5::DOUBLE), (0.75), (1.0), (1.25), (1.5), (1.75), (2.0)) sc(scalar)""")
-
 QUERIES["queue_log_gate"] = q([], """
 , logs AS (
   SELECT ['new', 'http_fail', 'updated'][o_orderkey % 3 + 1] AS source,
@@ -1531,3 +1490,91 @@ QUERIES["queue_log_gate"] = q([], """
 SELECT s.source, l.last_log_at,
        (l.last_log_at IS NULL OR l.last_log_at < TIMESTAMP '2001-08-01 00:05:00' - INTERVAL 300 SECOND) AS due
 FROM (VALUES ('new'), ('http_fail'), ('updated'), ('old')) s(source) LEFT JOIN last l USING (source)""")
+
+
+# --- stored playlists, feedback, tags, growing similarity ---------------------------------
+
+QUERIES["feedback_scan"] = q([], f"""
+SELECT md5(username || '-1-' || recording_mbid) AS feedback_md5, username, 1 AS score, recording_mbid,
+       make_timestamp(max(sec) * 1000000) AS feedback_at, TIMESTAMP '2024-02-01' AS _ingest_insert_ts_utc
+FROM (SELECT 'u' || CAST(user_id % 10 AS VARCHAR) AS username, {mbid('r', 'event_id % 3000')} AS recording_mbid,
+             CAST(floor(epoch(ts)) AS BIGINT) AS sec
+      FROM events WHERE event_type = 'purchase' AND event_id % 11 <> 0)
+GROUP BY username, recording_mbid""")
+
+QUERIES["tag_aliases"] = q([], """
+SELECT 'lib/' || label || '/' || lpad(CAST(vec_id AS VARCHAR), 6, '0') || '.flac' AS filepath, 'Track ' || vec_id AS title,
+       'Album' AS album, CASE WHEN vec_id % 7 <> 0 THEN 'Artist ' || label END AS artist,
+       CASE vec_id % 3 WHEN 0 THEN 'Artist ' || (vec_id % 13) WHEN 1 THEN 'Artist ' || (vec_id % 13) || '*' END AS album_artist,
+       (1990 + vec_id % 30) || CASE WHEN vec_id % 5 = 0 THEN '-05-01' ELSE '' END AS date, CAST(NULL AS VARCHAR) AS genre
+FROM embeddings""")
+
+QUERIES["dump_timestamps"] = q([], f"""
+SELECT o_orderkey || '-' || {ent('o_orderkey')} AS slug, CAST(o_orderkey AS BIGINT) AS packet_number, {ent('o_orderkey')} AS entity,
+       CASE WHEN o_orderkey % 17 <> 0 AND o_orderkey % 19 <> 0
+            THEN date_trunc('second', CAST(o_orderdate AS TIMESTAMP)) + to_microseconds(CAST(o_orderkey % 1000000 AS BIGINT)) END AS dump_timestamp
+FROM orders""")
+
+ADAPTERS["stored_tracks"] = """
+SELECT filepath, 'pl' || n AS playlist_id, n, n % 4 AS c, ['top-artists', 'smart-mix', 'loved-tracks', 'revisit-tracks'][n % 4 + 1] AS collection_name,
+       'u' || (n % 4 % 2) AS username, artist_mbid,
+       CAST(row_number() OVER (PARTITION BY n ORDER BY filepath) - 1 AS INTEGER) AS track_order_index
+FROM (SELECT filepath, artist_mbid, unnest([CAST(vec_id % 7 AS INTEGER), CAST((vec_id + 4) % 7 + 7 AS INTEGER)]) AS n FROM files)"""
+
+QUERIES["playlist_views"] = q(["files", "stored_tracks"], f"""
+SELECT {mbid('t', "playlist_id || '/' || filepath")} AS track_id, {mbid('p', 'n')} AS playlist_id, {mbid('c', 'c')} AS collection_id,
+       track_order_index, filepath, artist_mbid, track_order_index = 0 AS is_seed, n // 4 AS collection_order_index,
+       collection_name || ' ' || n AS title, collection_name, username
+FROM stored_tracks""")
+
+QUERIES["playlist_replace"] = q(["files", "stored_tracks"], """
+SELECT username, collection_name, playlist_id || CASE WHEN old THEN '' ELSE '/new' END AS playlist_id,
+       CASE WHEN old THEN track_order_index ELSE track_order_index // 3 END AS track_order_index, filepath,
+       CASE WHEN old THEN TIMESTAMP '2024-05-18 10:00:00' ELSE TIMESTAMP '2024-05-18 12:00:00' END AS refreshed_at_utc
+FROM (SELECT *, collection_name = 'smart-mix' AS old FROM stored_tracks)
+WHERE old OR track_order_index % 3 = 0""")
+
+QUERIES["playlist_sync"] = q(["files", "stored_tracks"], """
+, here AS (SELECT DISTINCT collection_name, playlist_id FROM stored_tracks)
+, there AS (SELECT * FROM here WHERE playlist_id <> 'pl13' UNION SELECT collection_name, 'pl99' FROM here WHERE collection_name = 'loved-tracks')
+SELECT coalesce(h.collection_name, t.collection_name) AS collection_name, CAST(count(h.playlist_id) AS BIGINT) AS n_stored,
+       CAST(count(t.playlist_id) AS BIGINT) AS n_server, count(*) FILTER (h.playlist_id = t.playlist_id) AS n_both,
+       bool_and(h.playlist_id IS NOT DISTINCT FROM t.playlist_id) AS in_sync
+FROM here h FULL JOIN there t USING (collection_name, playlist_id) GROUP BY 1""".replace("h.playlist_id = t.playlist_id", "h.playlist_id IS NOT NULL AND t.playlist_id IS NOT NULL"))
+
+QUERIES["loves_diff_starred"] = q(["listens", "feedback", "files", "map_file_recording"], SPIKES_GLOBAL + """
+, loved AS (
+  SELECT DISTINCT l.username, m.filepath FROM (
+    SELECT username, recording_mbid FROM feedback UNION SELECT username, recording_mbid FROM spikes) l
+  JOIN map_file_recording m USING (recording_mbid))
+, stars AS (SELECT DISTINCT 'u' || unnest([vec_id % 20, (vec_id * 7 + 3) % 20]) AS username, filepath FROM files)
+(SELECT username, filepath, 'to_star' AS direction FROM (SELECT * FROM loved EXCEPT SELECT * FROM stars))
+UNION ALL (SELECT username, filepath, 'to_submit' FROM (SELECT * FROM stars EXCEPT SELECT * FROM loved))""")
+
+ADAPTERS["cf_pair_half"] = f"""
+SELECT least({mbid('s', 'x')}, {mbid('s', 'y')}) AS artist_mbid_a, greatest({mbid('s', 'x')}, {mbid('s', 'y')}) AS artist_mbid_b, score_value
+FROM (SELECT least(x, y) AS x, greatest(x, y) AS y, count(*) / (count(*) + 2.0::DOUBLE) AS score_value
+      FROM (SELECT l_suppkey AS x, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS y FROM lineitem)
+      WHERE x <> y GROUP BY 1, 2
+      UNION ALL SELECT DISTINCT l_suppkey, l_suppkey, 1.0::DOUBLE FROM lineitem)"""
+ADAPTERS["cf_pair_sym"] = """
+SELECT * FROM cf_pair_half
+UNION ALL SELECT artist_mbid_b, artist_mbid_a, score_value FROM cf_pair_half WHERE artist_mbid_a <> artist_mbid_b"""
+
+QUERIES["cf_symmetrise_pairs"] = q(["cf_pair_half", "cf_pair_sym"], "SELECT artist_mbid_a, artist_mbid_b, round(score_value, 6) AS score_value FROM cf_pair_sym")
+
+QUERIES["cf_baseline_pairs"] = q(["cf_pair_half", "cf_pair_sym"], """
+, per AS (
+  SELECT artist_mbid_a, min(e) AS lo, median(e) AS mid, avg(e) AS mean, max(e) AS hi, count(*) AS n
+  FROM (SELECT artist_mbid_a, exp(score_value) AS e FROM cf_pair_sym) GROUP BY 1)
+, q AS (SELECT quantile_cont(mid, [0.25, 0.5, 0.75]) AS m FROM per)
+SELECT artist_mbid_a, round(lo, 6) AS min_score, round(mid, 6) AS median_score, round(mean, 6) AS avg_score, round(hi, 6) AS max_score, n,
+       round(m[1], 6) AS median_q1, round(m[2], 6) AS median_q2, round(m[3], 6) AS median_q3, round(ln(m[2]), 6) AS baseline
+FROM per, q""")
+
+QUERIES["cf_calibration_pairs"] = q(["cf_pair_half", "cf_pair_sym"], """
+, base AS (SELECT ln(median(m)) AS b FROM (SELECT median(exp(score_value)) AS m FROM cf_pair_sym GROUP BY artist_mbid_a))
+, span AS (SELECT min(score_value) AS lo, max(score_value) AS hi FROM cf_pair_sym)
+, curve AS (SELECT lo + unnest(range(0, CAST(ceil((hi - lo) / 0.01) AS BIGINT))) * 0.01 AS x FROM span)
+SELECT round(x, 6) AS similarity, round(s, 6) AS scalar, round(exp(s * (x - b)), 6) AS multiplier
+FROM curve, base, (SELECT unnest([0.5, 0.75, 1.0, 1.25, 1.5, 1.75, 2.0])::DOUBLE AS s)""")

@@ -53,6 +53,21 @@ def flatten_artists(annotations: DataFrame) -> DataFrame:
     return rows.withColumn("active_years", timeline("earliest_release_year", "latest_release_year"))
 
 
+def artist_dimension(facts: DataFrame, key: str) -> DataFrame:
+    """Artists by ``key`` from one row per tag and release date (``tag``,
+    ``release_date``): their tags, the most frequent first (equal counts: by
+    name), and the span of their dated releases."""
+    tags = (
+        facts.groupBy(key, "tag").agg(F.count(F.lit(1)).alias("c"))
+        .groupBy(key)
+        .agg(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("o"), F.col("tag")))).alias("t"))
+        .select(key, F.array_join(F.transform("t", lambda x: x["tag"]), ", ").alias("tags_string"))
+    )
+    year = extract_year("release_date")
+    base = facts.groupBy(key).agg(F.min(year).alias("_y0"), F.max(year).alias("_y1"))
+    return base.join(tags, key, "left").select(key, "tags_string", timeline("_y0", "_y1").alias("active_years"))
+
+
 def flatten_recordings(annotations: DataFrame) -> DataFrame:
     at = "$.data.recording."
     return of_entity(annotations, "recording").select(

@@ -306,6 +306,38 @@ def flatten_artist_stats(raw: DataFrame) -> DataFrame:
     )
 
 
+FEEDBACK_SCHEMA = "feedback array<struct<user_id:string, recording_mbid:string, score:int, created:long, track_metadata:string>>"
+
+
+def scan_feedback_pages(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Feedback API pages (``value``: JSON) -> (feedback, quarantine).
+
+    feedback: one row per (user, score, recording), the md5 of which is its
+    key; delivered again, the latest counts. ``track_metadata`` stays JSON.
+    quarantine: the entries without a valid recording id."""
+    from cadence.functions.scalars import md5_join
+
+    rows = texts.select(F.from_json("value", FEEDBACK_SCHEMA).alias("p")).select(F.explode("p.feedback").alias("f"))
+    typed = rows.select(
+        F.col("f.user_id").alias("username"), F.col("f.score").alias("score"), try_cast_uuid(F.col("f.recording_mbid")).alias("recording_mbid"),
+        F.timestamp_seconds(F.col("f.created")).cast("timestamp_ntz").alias("feedback_at"),
+        F.coalesce(F.col("f.track_metadata"), F.lit("{}")).alias("track_metadata"), F.to_json("f").alias("bad"))
+    good = typed.where(F.col("recording_mbid").isNotNull()).withColumn("feedback_md5", md5_join("username", "score", "recording_mbid"))
+    latest = good.groupBy("feedback_md5", "username", "score", "recording_mbid").agg(
+        F.max(F.struct("feedback_at", "track_metadata")).alias("m"))
+    return latest.select("feedback_md5", "username", "score", "recording_mbid", "m.*"), typed.where(F.col("recording_mbid").isNull()).select("bad")
+
+
+def dump_file_info(files: DataFrame) -> DataFrame:
+    """(slug, packet_number, entity, dump_timestamp) of dump files from their
+    slug ``<packet>-<entity>`` and the text of the timestamp file beside them
+    (``2025-12-04 23:31:59.823155+00``, UTC). No or no valid text: no time."""
+    text = F.regexp_extract(F.coalesce("timestamp", F.lit("")), r"^\s*(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d(?:\.\d{1,6})?)", 1)
+    return files.select(
+        "slug", F.regexp_extract("slug", r"^(\d+)-", 1).cast("long").alias("packet_number"),
+        F.regexp_extract("slug", r"^\d+-(.+)$", 1).alias("entity"), text.try_cast("timestamp_ntz").alias("dump_timestamp"))
+
+
 PAGE_SCHEMA = ("payload struct<count:int, user_id:string, latest_listen_ts:long, listens:array<struct<"
                "listened_at:long, recording_msid:string, track_metadata:struct<track_name:string, artist_name:string>>>>")
 

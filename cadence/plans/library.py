@@ -101,6 +101,39 @@ def file_maps_long(files: DataFrame, nm: DataFrame) -> DataFrame:
 from cadence.functions.scalars import extract_year  # noqa: E402
 
 
+# The tag names under which files carry an attribute; the first
+# one with a value counts.
+TAG_NAMES = {
+    "album": ["album"],
+    "title": ["title"],
+    "artist": ["artist"],
+    "tracknumber": ["tracknumber"],
+    "discnumber": ["discnumber"],
+    "genre": ["genre"],
+    "date": ["date", "originalyear", "year", "origyear"],
+    "album_artist": ["albumartist", "album artist"],
+    "musicbrainz_trackid": ["musicbrainz_trackid"],
+    "musicbrainz_artistid": ["musicbrainz_artistid"],
+    "musicbrainz_albumid": ["musicbrainz_albumid"],
+    "musicbrainz_albumartistid": ["musicbrainz_albumartistid"],
+    "musicbrainz_discid": ["musicbrainz_discid"],
+    "musicbrainz_albumstatus": ["musicbrainz_albumstatus"],
+    "musicbrainz_albumtype": ["musicbrainz_albumtype"],
+    "musicbrainz_releasetrackid": ["musicbrainz_releasetrackid"],
+    "musicbrainz_releasegroupid": ["musicbrainz_releasegroupid"],
+}
+
+
+def file_tags(raw: DataFrame) -> DataFrame:
+    """Files with raw tags (``tags_json``: a list of values per tag name) ->
+    one column per attribute: of its tag names, the first value of the first
+    one that has any text there; else NULL."""
+    others = [c for c in raw.columns if c != "tags_json"]
+    tags = raw.select(*others, F.from_json("tags_json", "map<string,array<string>>").alias("_tags"))
+    first = lambda name: F.nullif(F.get(F.try_element_at("_tags", F.lit(name)), F.lit(0)), F.lit(""))
+    return tags.select(*others, *[F.coalesce(*[first(n) for n in names]).alias(a) for a, names in TAG_NAMES.items()])
+
+
 def local_files_metadata(raw: DataFrame) -> DataFrame:
     j = F.col("json_data")
     return raw.select(

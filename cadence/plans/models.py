@@ -177,11 +177,6 @@ def q_surrogate_keys(spark, sf_dir):
     )
 
 
-@register("cf_symmetrise")
-def q_cf_symmetrise(spark, sf_dir):
-    return symmetrise(td.cf_scores(spark, sf_dir))
-
-
 @register("dim_flatten")
 def q_dim_flatten(spark, sf_dir):
     return td.artists(spark, sf_dir)
@@ -243,13 +238,6 @@ def q_item_similarity(spark, sf_dir):
     return round_doubles(sim.artist_similarity(recs, known, td.DUMP_AS_OF, EXCLUDED_DUMP_USER))
 
 
-@register("cf_baseline")
-def q_cf_baseline(spark, sf_dir):
-    from cadence.operators.stats import cf_baseline
-
-    return round_doubles(cf_baseline(symmetrise(td.cf_scores(spark, sf_dir))))
-
-
 # --- collections: sampling and the entity universe ---------------------------------
 
 from cadence.plans import collections as col  # noqa: E402
@@ -274,14 +262,6 @@ def _asked_files(spark, sf_dir):
     return f.drop("vec_id"), f.where(F.col("vec_id") % 100 == 0).select("artist_mbid")
 
 
-@register("embedding_cosine_pairs")
-def q_embedding_cosine_pairs(spark, sf_dir):
-    """Rows of the similarity table (a < b) whose first file has a vector
-    number divisible by 100; ``embedding_cosine_search`` has all partners."""
-    f, asked = _asked_files(spark, sf_dir)
-    return round_doubles(sim.cosine_pairs(f, "artist_mbid", "embedding", 256, from_ids=asked))
-
-
 @register("embedding_cosine_search")
 def q_embedding_cosine_search(spark, sf_dir):
     """Files whose vector number is divisible by 100 against all other files."""
@@ -895,8 +875,8 @@ def q_column_update(spark, sf_dir):
 
 @register("key_set_checks")
 def q_key_set_checks(spark, sf_dir):
-    """Known artists vs dump artists: intersection, both differences, and
-    whether two stored playlist id sets are equal."""
+    """Known artists vs dump artists: intersection and both differences
+    (``playlist_sync`` tells whether sets are equal)."""
     from cadence.operators.sets import two_way_difference
 
     known = td.artists(spark, sf_dir).select("artist_mbid")
@@ -984,13 +964,6 @@ def q_stream_spike_counts(spark, sf_dir):
         "listen_at_ts_utc", F.col("listen_at_ts_utc").cast("timestamp_ntz"))
 
 
-@register("cf_calibration")
-def q_cf_calibration(spark, sf_dir):
-    from cadence.operators.stats import cf_calibration_grid
-
-    return round_doubles(cf_calibration_grid(symmetrise(td.cf_scores(spark, sf_dir))))
-
-
 LOG_NOW = _dt.datetime(2001, 8, 1, 0, 5, 0)
 LOG_TIMEOUT_SECONDS = 300
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
@@ -101,32 +102,44 @@ def drop_dangling(ann: DataFrame, mbids: DataFrame, as_of: dt.datetime) -> DataF
     return ann.join(victims.select("mbid"), "mbid", "left_anti")
 
 
-def dependents_closure(seeds: DataFrame, edges: DataFrame, annotated: DataFrame) -> DataFrame:
+#: Rows of a round's ids that are broadcast to look them up among the known.
+MAX_BROADCAST_IDS = 1_000_000
+
+
+def dependents_closure(seeds: DataFrame, edges: DataFrame, annotated: DataFrame,
+                       max_broadcast_ids: int = MAX_BROADCAST_IDS) -> DataFrame:
     """Breadth-first expansion: dependents of the seeds that are not yet
     annotated, then their dependents, ... until no new ids appear.
-    Each round is checkpointed to the shared checkpoint folder."""
+
+    Each round writes its own ids to the shared checkpoint folder and nothing
+    else: the known ids are the annotated ones and the rounds so far, read side
+    by side. A round's ids are looked up among them (broadcast while they are
+    few, so that the known ones stay where they are)."""
     spark = seeds.sparkSession
     checkpoint_dir(spark)
-    seen = annotated.select("mbid").unionByName(seeds.select("mbid")).distinct().checkpoint()
+    found: list[DataFrame] = []
     frontier = seeds.select("mbid")
-    found = None
     for depth in count(1):
-        nxt = (
+        reached = (
             frontier.join(edges, frontier["mbid"] == edges["src"])
             .select(F.col("dst").alias("mbid"), F.col("dst_entity").alias("entity"))
-            .distinct()
-            .join(seen, "mbid", "left_anti")
-            .withColumn("depth", F.lit(depth))
-            .checkpoint()
+            .distinct().checkpoint()
         )
-        if nxt.limit(1).count() == 0:
+        n = reached.count()
+        if n == 0:
+            break
+        asked = reached.select("mbid").distinct()
+        asked = F.broadcast(asked) if n <= max_broadcast_ids else asked
+        known = [annotated.select("mbid"), seeds.select("mbid"), *[r.select("mbid") for r in found]]
+        known = reduce(DataFrame.unionByName, [k.join(asked, "mbid", "left_semi") for k in known])
+        new = reached.join(known.distinct(), "mbid", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        if new.isEmpty():
             break
-        found = nxt if found is None else found.unionByName(nxt)
-        seen = seen.unionByName(nxt.select("mbid")).checkpoint()
-        frontier = nxt.select("mbid")
-    if found is None:
+        found.append(new)
+        frontier = new.select("mbid")
+    if not found:
         return spark.createDataFrame([], "mbid string, entity string, depth int")
-    return found
+    return reduce(DataFrame.unionByName, found)
 
 
 def gap_packets(dumps: DataFrame, latest: int, entities: list[str], backfill: int = 7 * 24 + 1) -> DataFrame:

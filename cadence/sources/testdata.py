@@ -190,24 +190,13 @@ def artists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotated artists (ids 0..10; artist 11 is never annotated) with tags
     ordered by count desc then name, and the active-years timeline.
     Aggregates on the artist number; ids are derived on the result."""
-    from cadence.functions.scalars import extract_year, timeline
-
-    ann = artist_annotations(spark, sf_dir)
-    tags = (
-        ann.groupBy("n", "tag").agg(F.count(F.lit(1)).alias("c"))
-        .groupBy("n")
-        .agg(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("o"), F.col("tag")))).alias("t"))
-        .select("n", F.array_join(F.transform("t", lambda x: x["tag"]), ", ").alias("tags_string"))
-    )
-    base = ann.groupBy("n").agg(
-        F.min(extract_year("release_date")).alias("_y0"),
-        F.max(extract_year("release_date")).alias("_y1"),
-    )
-    return base.join(tags, "n", "left").select(
+    from cadence.plans.annotations import artist_dimension
+
+    return artist_dimension(artist_annotations(spark, sf_dir), "n").select(
         mbid("a", F.col("n")).alias("artist_mbid"),
         F.concat(F.lit("Artist "), F.col("n").cast("string")).alias("artist_name"),
         "tags_string",
-        timeline("_y0", "_y1").alias("active_years"),
+        "active_years",
     )
 
 
@@ -259,6 +248,94 @@ def cf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cf_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored half of a similarity table that grows: artists (suppliers) on
+    neighbouring lines of an order, score n / (n + 2) for n such places, and
+    the diagonal with 1.0."""
+    from pyspark.sql.window import Window
+
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey")
+    near = li.select(F.col("l_suppkey").alias("x"), F.lead("l_suppkey").over(w).alias("y")).where("x <> y")
+    pairs = near.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    scored = pairs.select("x", "y", (F.col("n") / (F.col("n") + 2.0)).alias("score_value"))
+    same = li.select(F.col("l_suppkey").alias("x")).distinct().select("x", F.col("x").alias("y"), F.lit(1.0).alias("score_value"))
+    a, b = mbid("s", F.col("x")), mbid("s", F.col("y"))
+    return scored.unionByName(same).select(F.least(a, b).alias("artist_mbid_a"), F.greatest(a, b).alias("artist_mbid_b"), "score_value")
+
+
+def starred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stars of the media server: two of twenty users for every file."""
+    v = F.col("vec_id")
+    return files(spark, sf_dir).select("filepath", F.explode(F.array(v % 20, (v * 7 + 3) % 20)).alias("n")).select(
+        F.concat(F.lit("u"), F.col("n").cast("string")).alias("username"), "filepath").distinct()
+
+
+def feedback_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feedback API pages as JSON texts, one per (user, day): a love for each
+    purchase; every 11th entry has a malformed id."""
+    e = table(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
+    user = F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string"))
+    entry = F.struct(
+        F.unix_seconds(F.col("ts").cast("timestamp")).alias("created"),
+        F.when(F.col("event_id") % 11 == 0, F.lit("NOT-A-UUID")).otherwise(mbid("r", F.col("event_id") % 3000)).alias("recording_mbid"),
+        F.lit(1).alias("score"), user.alias("user_id"),
+        F.when(F.col("event_id") % 2 == 0, F.struct(F.concat(F.lit("Track "), F.col("event_id").cast("string")).alias("track_name"))).alias("track_metadata"))
+    pages = e.select(user.alias("u"), F.to_date("ts").alias("d"), entry.alias("f")).groupBy("u", "d").agg(F.collect_list("f").alias("feedback"))
+    return pages.select(F.to_json(F.struct(F.size("feedback").alias("count"), "feedback")).alias("value"))
+
+
+def raw_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw tags of the library files: the date under one of four names, or
+    empty, the album artist under one of two, some lists without a value."""
+    e = table(spark, sf_dir, "embeddings")
+    v = F.col("vec_id")
+    one = lambda c: F.array(c.cast("string"))
+    year = (F.lit(1990) + v % 30).cast("string")
+    who = F.concat(F.lit("Artist "), (v % 13).cast("string"))
+    none = F.array().cast("array<string>")
+    doc = F.struct(
+        one(F.concat(F.lit("Track "), v.cast("string"))).alias("title"), F.array(F.lit("Album"), F.lit("other")).alias("album"),
+        F.when(v % 7 != 0, one(F.concat(F.lit("Artist "), F.col("label").cast("string")))).alias("artist"),
+        F.when(v % 5 == 0, one(F.concat(year, F.lit("-05-01")))).when(v % 5 < 3, one(F.lit(""))).when(v % 5 == 3, none).alias("date"),
+        F.when(v % 5 == 1, one(year)).alias("originalyear"), F.when(v % 5 == 2, one(year)).alias("year"),
+        F.when(v % 5 >= 3, one(year)).alias("origyear"),
+        F.when(v % 3 == 0, one(who)).when(v % 3 == 1, none).alias("albumartist"),
+        F.when(v % 3 == 1, one(F.concat(who, F.lit("*")))).alias("album artist"), none.alias("genre"))
+    return e.select(_lib_path(v).alias("filepath"), F.to_json(doc).alias("tags_json"))
+
+
+def dump_timestamp_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(slug, timestamp): a dump packet per order with the text of its
+    timestamp file; every 17th is garbled, every 19th missing."""
+    k = F.col("o_orderkey")
+    text = F.concat(F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd HH:mm:ss"), F.lit("."),
+                    F.lpad((k % 1000000).cast("string"), 6, "0"), F.lit("+00\n"))
+    return table(spark, sf_dir, "orders").select(
+        F.concat_ws("-", k.cast("string"), _entity(k)).alias("slug"),
+        F.when(k % 17 == 0, F.lit("at noon")).when(k % 19 != 0, text).alias("timestamp"))
+
+
+def stored_playlists(spark: SparkSession, sf_dir: str, tracks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(collections, playlists, tracks) as stored, from numbered
+    ``playlist_tracks``."""
+    made = F.lit(dt.datetime(2024, 5, 1)).cast("timestamp_ntz")
+    pn = F.substring("playlist_id", 3, 9).cast("int")
+    c = tracks.select("collection_id", "collection_name", "username").distinct().select(
+        mbid("c", F.col("collection_id")).alias("collection_id"), "collection_name", "username",
+        F.array(F.lit(7)).alias("refresh_at_hours_utc"), made.alias("create_at_utc"), F.lit(None).cast("timestamp_ntz").alias("refreshed_at_utc"))
+    p = tracks.select("playlist_id", "collection_id", "collection_name").distinct().select(
+        mbid("p", pn).alias("playlist_id"), mbid("c", F.col("collection_id")).alias("collection_id"),
+        F.floor(pn / 4).cast("int").alias("collection_order_index"), F.concat_ws(" ", "collection_name", pn.cast("string")).alias("title"),
+        F.lit("").alias("description"), made.alias("create_at_utc"))
+    f = files(spark, sf_dir).select("filepath", "recording_mbid", "release_mbid", "release_group_mbid", "artist_mbid", "album_artist_mbid",
+                                    F.floor("track_length_seconds").cast("int").alias("track_length_seconds"))
+    t = tracks.join(f, "filepath").select(
+        mbid("t", F.concat_ws("/", "playlist_id", "filepath")).alias("track_id"), mbid("p", pn).alias("playlist_id"), "track_order_index",
+        *f.columns, F.lit(0.5).alias("match_distance"), (F.col("track_order_index") == 0).alias("is_seed"))
+    return c, p, t
+
+
 def playlist_seeds(spark: SparkSession, sf_dir: str, per_playlist: int = 3) -> DataFrame:
     """One playlist per library label; seeds are the label's files with the
     smallest md5(filepath), weights 1..n by that order. Owner 'u<label%10>'."""
