@@ -26,6 +26,19 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"_{df.columns.index(n)}").alias(n) for n in names])
 
 
+def wrapped(df: DataFrame, *names: str) -> DataFrame:
+    """(row, the columns of exactly these names): ``row`` holds the whole row
+    in one struct, so that no other column can clash with what a stage adds."""
+    fields = [f"_{i}" for i in range(len(df.columns))]
+    plain = df.toDF(*fields)
+    return plain.select(F.struct(*fields).alias("row"), *[F.col(f"_{df.columns.index(n)}").alias(n) for n in names])
+
+
+def unwrapped(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like`` from the rows that ``wrapped`` made of it."""
+    return rows.select(*[F.col(f"row._{i}").alias(c) for i, c in enumerate(like.columns)])
+
+
 #: UTF-8 byte -> itself in a term (A-Z lower-cased), space between terms. Terms
 #: are runs of letters, digits and characters beyond ASCII.
 TERM_BYTES = bytes(

@@ -52,7 +52,6 @@ class Tokeniser:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings are ordinary text
         self.cache: dict[str, bytes] = {}
 
     def chunks(self, text: str) -> list[str]:

@@ -21,7 +21,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadence.llm.common import connected_components, materialise
+from cadence.llm.common import connected_components, materialise, unwrapped, wrapped
 from cadence.llm.votes import hex16, majority, vote_sums
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -145,20 +145,24 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3, segments: int = 2) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group; columns
-    unchanged. A document is an id with a text, so an id that carries several
-    texts loses those that copy others and keeps the rest. The smallest id
-    stays, of its texts the one with the smallest hash, as often as that row is
-    repeated. A null id tells no documents apart: it stays only in groups
-    without another id, in one row."""
-    fp = materialise(_by_text(docs, shingle, "doc_id", "text").select("doc_id", "_t", "fp"))
-    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_t")
-    kept = _smallest(fp, row, radius, segments)
+    """One row of each near-duplicate group of ``docs``; columns unchanged,
+    whatever they are called. A document is an id with a text, so an id that
+    carries several texts loses those that copy others and keeps the rest. The
+    smallest id stays, of its texts the one with the smallest hash; of rows
+    that repeat both, the first by their JSON text. A null id tells no
+    documents apart: it stays only in groups without another id."""
+    rows = wrapped(docs, "doc_id", "text")
+    fp = materialise(_by_text(rows, shingle, "doc_id", "text").select("doc_id", "_t", "fp", "_rows"))
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_t")
+    kept = _smallest(fp, first, radius, segments)
     same = F.col("doc_id").eqNullSafe(F.col("smallest.doc_id")) & (F.col("_t") == F.col("smallest._t"))
-    gone = materialise(fp.join(kept, "fp").where(~same).select("doc_id", "_t"))
-    rows = docs.withColumn("_t", F.xxhash64("text"))
-    named = rows.where(F.col("doc_id").isNotNull()).join(gone, ["doc_id", "_t"], "left_anti")
-    # copies meet in partial minima, so no task gets all rows without an id
-    once = rows.where(F.col("doc_id").isNull()).groupBy("_t").agg(F.min(F.struct(*docs.columns)).alias("r"))
-    unnamed = once.join(gone.where(F.col("doc_id").isNull()).select("_t"), "_t", "left_anti").select("r.*")
-    return named.select(*docs.columns).union(unnamed.select(*docs.columns))
+    told = materialise(fp.join(kept, "fp").select("doc_id", "_t", same.alias("stays"), (F.col("_rows") > 1).alias("again")))
+    rows = rows.select("row", "doc_id", F.xxhash64("text").alias("_t"))
+    key = lambda d: d.select(F.col("doc_id").alias("_id"), F.col("_t").alias("_h"))
+    equal = rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["_t"] == F.col("_h"))
+    # what goes, and rows that are repeated, are few: the others stay in place
+    single = rows.join(key(told.where("not stays or again")), equal, "left_anti")
+    several = rows.join(key(told.where("stays and again")), equal, "left_semi")
+    # repeats meet in partial minima, so no task gets all of them
+    once = several.groupBy("doc_id", "_t").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return unwrapped(single.select("row").union(once.select("row")), docs)

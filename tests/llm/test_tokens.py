@@ -19,7 +19,7 @@ from tests.llm.test_native_ops import ODD, SCHEMA
 RANKS = P.path("byte_bpe_50k.tiktoken")
 JSON = P.path("byte_bpe_50k.json")
 HARD = [
-    "", " ", "  ", "a", " \n\n x", "don't  we'll\tgo\r\n\x1cx\x85y\xa0z 12345  ", "\U0001f600 é̀ ", "<|endoftext|> x",
+    "", " ", "  ", "a", " \n\n x", "don't  we'll\tgo\r\n\x1cx\x85y\xa0z 12345  ", "\U0001f600 é̀ ", "<|endoftext|> x", "hello <|endoftext|> world<|endoftext|>",
     "a" * 5000, "ab" * 4000 + "c", "thndhaor" * 900, "日本語テキスト" * 50, "  　x  y", "=" * 300 + " " * 300 + "b",
     " lead", "trail ", "two  spaces here", "x" * 3 + "\x00" * 7 + "\x7f",
 ]
@@ -118,7 +118,6 @@ def test_encode_decode_on_spark(spark, enc, docs, odd):
 
 def test_chunked_tokeniser_matches_library(docs):
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     rng = random.Random(9)
     texts = HARD + ["".join(rng.choice("ab  \n.é0'ts\xa0") for _ in range(rng.randrange(80))) for _ in range(500)]
     texts += [r.text for r in docs.limit(200).collect()]
@@ -140,7 +139,6 @@ def test_best_fit_never_overfills():
 
 def check_packing(df, rows, capacity=2048):
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     got = df.toPandas()
     want = []
     for i, text in rows:
