@@ -23,9 +23,9 @@ MAX_TOXICITY, MIN_LANGUAGE = 0.5, 0.5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below ``MAX_TOXICITY``. The model learns from the
     labels of ids that are not held out. Null and empty texts stay."""
-    model = queries.toxicity_model(docs, common.read(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, id_cols=tuple(docs.columns))
-    return scored.where(F.col("score") < MAX_TOXICITY).select(*docs.columns)
+    model = queries.toxicity_model(common.pick(docs, "doc_id", "text"), common.read(spark, sf_dir, "labels"))
+    scored = toxicity.score(common.wrapped(docs, "text"), model, id_cols=("row",))
+    return common.unwrapped(scored.where(F.col("score") < MAX_TOXICITY), docs)
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,23 +34,24 @@ def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     weight, go. The model learns from the rows that are not held out; with no
     such row there is no language to reject by, and only texts without letters
     go."""
-    model = queries.language_model(docs)
-    out = langid.identify(docs, model, id_cols=tuple(docs.columns))
+    model = queries.language_model(common.pick(docs, "doc_id", "text", "lang"))
+    rows = common.wrapped(docs, "text")
     if not model.langs:
-        return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
-    return out.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE)).select(*docs.columns)
+        return common.unwrapped(rows.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")), docs)
+    out = langid.identify(rows, model, id_cols=("row",))
+    return common.unwrapped(out.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE)), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by fingerprints of 3-word shingles
-    within 3 bits: the one with the smallest doc_id; see ``keep_one`` for null
-    and repeated ids."""
+    within 3 bits: the one with the smallest doc_id, in one row; see
+    ``keep_one`` for null and repeated ids."""
     return simhash_dedup.keep_one(docs, shingle=3, radius=3)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences of 2048 tokens."""
-    return queries.packed(docs)
+    return queries.packed(common.pick(docs, "doc_id", "text"))
 
 
 STAGES = [
