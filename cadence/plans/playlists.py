@@ -38,6 +38,16 @@ def knn_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _knn_output(weighted_knn(lib, seeds, cf))
 
 
+@register("knn_in_balls")
+def knn_in_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same playlists, 50 tracks each, from a library laid out in balls."""
+    from cadence.operators.balls import lay_out
+
+    lib, balls = lay_out(td.files(spark, sf_dir), 64)
+    cf = symmetrise(td.cf_scores(spark, sf_dir))
+    return _knn_output(weighted_knn(stored(lib, "library"), td.playlist_seeds(spark, sf_dir), cf, limit=50, balls=stored(balls, "balls")))
+
+
 # --- playlist composition ------------------------------------------------------
 
 from cadence.functions.scalars import listen_weight, recency_weight  # noqa: E402
