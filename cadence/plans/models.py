@@ -469,13 +469,23 @@ def q_playlist_xspf(spark, sf_dir):
     return ex.playlist_xspf(t, description=_descriptions(t))
 
 
+LATENESS = "1 hour"
+
+
+def _drained(spark, stream, keys):
+    """(rows by key, watermark) of a stream that is drained into a new table."""
+    from cadence.session import join_path, scratch_path
+
+    table = _table(spark.createDataFrame([], stream.schema))
+    return table.read, stl.run_to_table(stream, table, keys, join_path(scratch_path(spark, "stream"), "checkpoint"), LATENESS)
+
+
 @register("stream_daily_stats")
 def q_stream_daily_stats(spark, sf_dir):
-    s = td.listens_from_events(td.events_stream(spark, sf_dir))
-    path = stl.run_to_parquet(stl.daily_listen_stats_stream(s), "stream-daily-stats")
-    done = stl.read_sink(spark, path).withColumn("is_closed", F.lit(True))
-    rest = stl.open_days(td.listens(spark, sf_dir)).withColumn("is_closed", F.lit(False))
-    return round_doubles(done.unionByName(rest))
+    s = stl.daily_listen_stats_stream(td.listens_from_events(td.events_stream(spark, sf_dir)), LATENESS)
+    read, mark = _drained(spark, s, ["username", "listen_date"])
+    end = (F.col("listen_date") + F.expr("INTERVAL 1 DAY")).cast("timestamp_ntz")
+    return round_doubles(read().withColumn("is_closed", end <= F.lit(mark).cast("timestamp_ntz")))
 
 
 @register("stream_dedupe")
@@ -956,12 +966,11 @@ def q_stream_spike_counts(spark, sf_dir):
     """Streaming per-listen 24h look-ahead counts, filtered to spikes (>= 5):
     final for the listens whose window the watermark has closed, so far for
     the others."""
-    s = td.listens_from_events(td.events_stream(spark, sf_dir))
-    path = stl.run_to_parquet(stl.next_24h_counts_stream(s), "stream-spike-counts")
-    out = stl.read_sink(spark, path).withColumn("is_closed", F.lit(True)).unionByName(
-        stl.open_starts(td.listens(spark, sf_dir)).withColumn("is_closed", F.lit(False)))
-    return out.where(F.col("next_24h_listen_count") >= 5).withColumn(
-        "listen_at_ts_utc", F.col("listen_at_ts_utc").cast("timestamp_ntz"))
+    s = stl.next_24h_counts_stream(td.listens_from_events(td.events_stream(spark, sf_dir)), LATENESS)
+    read, mark = _drained(spark, s, ["listen_md5"])
+    at = F.col("listen_at_ts_utc").cast("timestamp_ntz")
+    return read().where(F.col("next_24h_listen_count") >= 5).withColumn("listen_at_ts_utc", at).withColumn(
+        "is_closed", at + F.expr("INTERVAL 1 DAY") <= F.lit(mark).cast("timestamp_ntz"))
 
 
 LOG_NOW = _dt.datetime(2001, 8, 1, 0, 5, 0)

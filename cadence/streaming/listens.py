@@ -1,25 +1,37 @@
 """Structured Streaming variants of the listen models.
 
-Sources are file streams; sinks are parquet folders with their own checkpoint.
-A job that names its sink folder (``path``) resumes where the last run
-stopped; without one each run starts anew in a fresh folder below
-``spark.checkpoint.dir``, as the registered queries do. ``availableNow`` drains
-what is there and stops (the polling daemon becomes a scheduled trigger).
-
-Windows that the watermark has not closed are not in a sink yet; ``open_days``
-and ``open_starts`` compute them from the stored listens, so that sink and open
-part together are complete at any time.
+Sources are file streams. Deduplication appends to a parquet sink; the models
+with windows run in update mode into a table of commits
+(``operators.tables``): every micro-batch puts the windows it touched in the
+place of their former rows, so the table is complete at any time, open windows
+included, and nothing but the stream is read. ``run_to_table`` returns the
+watermark, which tells the closed windows from the open ones; a batch that a
+restart delivers again is passed over.
+
+A job that names its folder resumes where the last run stopped; the registered
+queries start anew in fresh folders below ``spark.checkpoint.dir``.
+``availableNow`` drains what is there and stops (the polling daemon becomes a
+scheduled trigger).
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
+from cadence.operators.tables import Table
 from cadence.session import join_path, scratch_path
 
+#: Batches after which a table of commits is written as one.
+COMPACT_EVERY = 50
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def run_to_parquet(df: DataFrame, name: str, output_mode: str = "append", path: str | None = None) -> str:
     """Drain a streaming frame into a parquet sink; returns the sink path."""
@@ -37,10 +49,27 @@ def run_to_parquet(df: DataFrame, name: str, output_mode: str = "append", path:
     return join_path(path, "data")
 
 
+def run_to_table(df: DataFrame, table: Table, keys: list[str], checkpoint: str, lateness: str) -> dt.datetime | None:
+    """Drain a streaming frame in update mode into ``table``, rows by ``keys``.
+    Returns the watermark after the last batch (None if there was no row)."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            table.replace(batch, keys, batch=number)
+        if number % COMPACT_EVERY == COMPACT_EVERY - 1:
+            table.compact()
+
+    q = df.writeStream.foreachBatch(apply).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    marks = [p["eventTime"] for p in q.recentProgress if p["eventTime"]]
+    late = pd.Timedelta(lateness)
+    times = [pd.Timestamp(m["max"]) - late for m in marks if "max" in m] + [pd.Timestamp(m["watermark"]) for m in marks if "watermark" in m]
+    return max(times).tz_localize(None).to_pydatetime() if times else None
+
+
 def daily_listen_stats_stream(listens: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """Per (user, UTC day) tumbling window: listens, distinct recordings and
-    releases, hours. Each day is emitted once, when the watermark passes its
-    end (late listens within ``lateness`` still count)."""
+    releases, hours; late listens within ``lateness`` still count."""
     ts = F.col("listen_at_ts_utc").cast("timestamp")
     return (
         listens.withColumn("_ts", ts)
@@ -57,36 +86,6 @@ def daily_listen_stats_stream(listens: DataFrame, lateness: str = "1 hour") -> D
     )
 
 
-def _watermark(listens: DataFrame, lateness: str) -> DataFrame:
-    return listens.agg((F.max("listen_at_ts_utc") - F.expr(f"INTERVAL {lateness}")).alias("_wm"))
-
-
-def open_days(listens: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """The daily statistics of the days that the watermark has not closed, in
-    the columns of ``daily_listen_stats_stream``, from a table of listens."""
-    day = F.to_date("listen_at_ts_utc")
-    wm = _watermark(listens, lateness).first()["_wm"]
-    late = listens.where((day + F.expr("INTERVAL 1 DAY")).cast("timestamp_ntz") > F.lit(wm).cast("timestamp_ntz"))
-    return late.groupBy("username", day.alias("listen_date")).agg(
-        F.count(F.lit(1)).alias("count_listens"),
-        F.count_distinct("recording_mbid").alias("count_recordings"),
-        F.count_distinct("release_mbid").alias("count_releases"),
-        (F.sum("duration_ms") / F.lit(3_600_000.0)).alias("sum_listen_hours"),
-    )
-
-
-def open_starts(listens: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """The look-ahead counts so far of the listens whose 24 hours are not over
-    at the watermark, in the columns of ``next_24h_counts_stream``."""
-    from cadence.operators.spikes import next_24h_counts
-
-    wm = _watermark(listens, lateness).first()["_wm"]
-    ends = F.col("listen_at_ts_utc") + F.expr("INTERVAL 1 DAY")
-    return next_24h_counts(listens.where(ends > F.lit(wm).cast("timestamp_ntz"))).select(
-        "listen_md5", "username", "recording_mbid", F.col("listen_at_ts_utc").cast("timestamp").alias("listen_at_ts_utc"),
-        "next_24h_listen_count")
-
-
 def dedupe_listens_stream(listens: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Re-delivered listens (same listen_md5) are dropped while within the
     watermark; state for a key is released once the watermark passes."""
@@ -102,64 +101,62 @@ def read_sink(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-SPIKE_WINDOW_MS = 24 * 3600 * 1000
+DAY_MS = 24 * 3600 * 1000
 
 
-def next_24h_counts_stream(listens: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Per-listen look-ahead count as a keyed stateful stream: each listen is
-    emitted once the watermark passes t + 24h, with the number of same
-    (user, recording) listens strictly inside (t, t + 24h). State per key
-    holds only listens younger than watermark - 24h; an event-time timeout
-    flushes keys that receive no new data."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    out_schema = ("listen_md5 string, username string, recording_mbid string, "
-                  "listen_at_ts_utc timestamp, next_24h_listen_count long")
-    state_schema = "md5s array<string>, ts array<long>"
-
-    def fn(key, batches, state):
-        user, rec = key
-        md5s, ts = [], []
-        if state.exists:
-            md5s, ts = list(state.get[0]), list(state.get[1])
-        for pdf in batches:
-            md5s += pdf["listen_md5"].tolist()
-            ts += (pdf["_ts"].astype("int64") // 1000).tolist()  # ns -> us
-        wm_us = state.getCurrentWatermarkMs() * 1000
-        order = sorted(range(len(ts)), key=lambda i: (ts[i], md5s[i]))
-        md5s, ts = [md5s[i] for i in order], [ts[i] for i in order]
-        window_us = SPIKE_WINDOW_MS * 1000
-        rows, keep = [], []
-        import bisect
-
-        for i, t in enumerate(ts):
-            if wm_us > 0 and t + window_us <= wm_us:
-                lo = bisect.bisect_right(ts, t)
-                hi = bisect.bisect_left(ts, t + window_us)
-                rows.append((md5s[i], user, rec, pd.Timestamp(t, unit="us"), hi - lo))
-            else:
-                keep.append(i)
-        if state.hasTimedOut and not keep:
-            state.remove()
-        else:
-            # a pending listen still needs every later listen of its window
-            first = min((ts[i] for i in keep), default=None)
-            if first is None:
-                state.remove()
-            else:
-                kept = [i for i in range(len(ts)) if ts[i] > first]
-                kept = sorted(set(kept) | set(keep))
-                state.update(([md5s[i] for i in kept], [ts[i] for i in kept]))
-                state.setTimeoutTimestamp(first // 1000 + SPIKE_WINDOW_MS)
-        yield pd.DataFrame(rows, columns=["listen_md5", "username", "recording_mbid", "listen_at_ts_utc",
-                                          "next_24h_listen_count"])
+def _told(md5s: list, user: str, recording: str, us: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+    texts = pd.DataFrame({"listen_md5": md5s, "username": [user] * len(md5s), "recording_mbid": [recording] * len(md5s)}, dtype=object)
+    return texts.assign(listen_at_ts_utc=pd.to_datetime(us, unit="us"), next_24h_listen_count=counts.astype(np.int64))
+
+
+class NextDayCounts(StatefulProcessor):
+    """Listens of one (user, recording, day) and of the day after: state is a
+    list that only grows, and goes by a timer when no window is open."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.listens = handle.getListState("listens", "listen_md5 string, us long, probe boolean")
 
+    def handleInputRows(self, key, rows, timerValues):
+        user, recording, bucket = key
+        fresh = [r for pdf in rows for r in pdf[["listen_md5", "us", "probe"]].itertuples(index=False, name=None)]
+        fresh = [(m, int(us), bool(p)) for m, us, p in fresh]
+        held = [tuple(x) for x in self.listens.get()] if self.listens.exists() else []
+        self.listens.appendList(fresh)
+        self.handle.registerTimer((bucket + 2) * DAY_MS)
+        every = held + fresh
+        times = np.sort(np.array([us for _, us, _ in every], dtype=np.int64))
+        probes = [(m, us) for m, us, p in every if p]
+        us = np.array([u for _, u in probes], dtype=np.int64)
+        counts = np.searchsorted(times, us + DAY_MS * 1000, "left") - np.searchsorted(times, us, "right")
+        if probes:
+            yield _told([m for m, _ in probes], user, recording, us, counts)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.listens.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def next_24h_counts_stream(listens: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """Per listen the number of same (user, recording) listens strictly inside
+    (t, t + 24h), told again whenever it may have changed. A listen is counted
+    in its own day's state and, as a target only, in the day before, so a hot
+    key is spread over its days."""
+    listens.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    ts = F.col("listen_at_ts_utc").cast("timestamp")
+    day = F.floor(F.unix_millis("_ts") / DAY_MS).cast("long")
+    places = F.explode(F.array(F.struct(day.alias("bucket"), F.lit(True).alias("probe")), F.struct((day - 1).alias("bucket"), F.lit(False).alias("probe"))))
     return (
         listens.where(F.col("recording_mbid").isNotNull())
-        .withColumn("_ts", F.col("listen_at_ts_utc").cast("timestamp"))
+        .withColumn("_ts", ts)
         .withWatermark("_ts", lateness)
-        .select("username", "recording_mbid", "listen_md5", "_ts")
-        .groupBy("username", "recording_mbid")
-        .applyInPandasWithState(fn, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+        .select("username", "recording_mbid", "listen_md5", "_ts", F.unix_micros("_ts").alias("us"), places.alias("p"))
+        .select("username", "recording_mbid", "p.bucket", "listen_md5", "_ts", "us", "p.probe")
+        .groupBy("username", "recording_mbid", "bucket")
+        .transformWithStateInPandas(
+            NextDayCounts(), "listen_md5 string, username string, recording_mbid string, listen_at_ts_utc timestamp, next_24h_listen_count long",
+            "Update", "eventTime")
     )
