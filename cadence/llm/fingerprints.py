@@ -24,70 +24,62 @@ from pyspark.sql import functions as F
 from cadence.llm.common import materialise
 from cadence.llm.votes import hex16, majority, vote_sums
 
-#: Rows in a bucket of the id order, and the most buckets.
-ROWS_PER_BUCKET, MAX_BUCKETS = 64, 4096
+#: Rows of a block of the id order, as a power of two.
+BLOCK_BITS = 6
+#: First characters of a text that tell rows of one id apart in the order.
+PREFIX = 32
 LOWEST = -(1 << 63)
+#: A fingerprint with more than this share of all rows is looked up by
+#: broadcast: there are fewer than ``HOT_SHARE`` of them.
+HOT_SHARE = 1024
 
 
 def next_in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, next_id, next_text): each row with the row after it by
-    descending id (then text); the last is followed by the first.
-
-    The id range is cut at approximate quantiles (at most ``MAX_BUCKETS``
-    numbers on the driver). Rows are dealt to their bucket once; the first row
-    of the bucket below is also sent to a bucket as its end mark, so the order
-    has no seams and no task sees more than a bucket. Null ids come last, null
-    texts count as empty. A one-row table is followed by itself.
+    descending id; the last is followed by the first. Rows of one id come by
+    the first ``PREFIX`` characters of the text, then by its hash; null ids
+    come last, null texts count as empty. A one-row table is followed by
+    itself.
+
+    The rows are range-partitioned by that order and written with their
+    positions; equal rows may be split too, so an id with any share of the
+    rows is many tasks. Blocks of 64 positions are then the tasks' groups: the
+    first row of a block is also sent to the block before as its end mark, and
+    the first row of a partition to the last block of the partition before
+    (one number per partition). No group grows with the table.
     """
     src = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST).cast("long")).alias("_k"),
+    ).select(
+        "*", F.substring("text", 1, PREFIX).alias("_p"), F.xxhash64("text").alias("_x"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    order = [F.desc("_k"), F.asc("_p"), F.asc("_x"), F.asc("_row")]
+    placed = materialise(
+        src.repartitionByRange(*order).sortWithinPartitions(*order)
+        .select("doc_id", "text", F.monotonically_increasing_id().alias("_pos"))
     )
-    ids = src.select("_k")
-    n = min(MAX_BUCKETS, max(1, -(-ids.count() // ROWS_PER_BUCKET)))
-    cuts: list[int] = []
-    if n > 1:
-        fractions = [i / n for i in range(1, n)]
-        row = ids.agg(F.percentile_approx("_k", F.lit(fractions), 4 * n).alias("q")).first()
-        cuts = sorted(set(row["q"] or []))
-    bucket = _bucket(F.col("_k"), cuts)
-    tops = {
-        r["b"]: r["top"]
-        for r in ids.select(bucket.alias("b"), "_k").groupBy("b").agg(F.max("_k").alias("top")).collect()
-    }
-    order = sorted(tops, reverse=True)  # descending ids: the highest bucket first
-    # the top row of bucket order[i + 1] ends bucket order[i]
-    target = {b: order[i - 1] for i, b in enumerate(order)}
-    size = len(cuts) + 1
-    top = F.expr("array(" + ", ".join(f"{tops[b]}L" if b in tops and tops[b] != LOWEST else f"cast('{LOWEST}' as bigint)" for b in range(size)) + ")")
-    into = F.expr("array(" + ", ".join(str(target.get(b, b)) for b in range(size)) + ")")
-    own = F.struct(F.col("_b").alias("b"), F.lit(0).alias("mark"))
-    mark = F.struct(F.element_at(into, F.col("_b") + 1).alias("b"), F.lit(1).alias("mark"))
-    dealt = src.withColumn("_b", bucket).select(
-        "doc_id", "text", "_k",
-        F.explode(F.when(F.element_at(top, F.col("_b") + 1) == F.col("_k"), F.array(own, mark)).otherwise(F.array(own))).alias("_e"),
-    ).select("doc_id", "text", "_k", F.col("_e.b").alias("_b"), F.col("_e.mark").alias("_mark"))
-    w = Window.partitionBy("_b").orderBy("_mark", F.desc("_k"), "text")
+    part = F.shiftright("_pos", 33)
+    ends = placed.groupBy(part.alias("_part")).agg(F.max("_pos").alias("last"))
+    line = Window.partitionBy(F.lit(0)).orderBy("_part")
+    whole = Window.partitionBy(F.lit(0))
+    ends = ends.select("_part", F.coalesce(F.lag("last").over(line), F.max_by("last", "_part").over(whole)).alias("_end"))
+    own = F.struct(F.shiftright("_pos", BLOCK_BITS).alias("b"), F.lit(0).alias("mark"))
+    row = F.col("_pos").bitwiseAND(F.lit((1 << 33) - 1))
+    before = F.when(row == 0, F.col("_end")).otherwise(F.col("_pos") - 1)
+    mark = F.struct(F.shiftright(before, BLOCK_BITS).alias("b"), F.lit(1).alias("mark"))
+    first = F.col("_pos").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) == 0
+    dealt = placed.withColumn("_part", part).join(F.broadcast(ends), "_part").select(
+        "doc_id", "text", "_pos", F.explode(F.when(first, F.array(own, mark)).otherwise(F.array(own))).alias("_e")
+    ).select("doc_id", "text", "_pos", F.col("_e.b").alias("_b"), F.col("_e.mark").alias("_mark"))
+    w = Window.partitionBy("_b").orderBy("_mark", "_pos")
     return dealt.select(
         "doc_id", "text", "_mark", F.lead("doc_id").over(w).alias("next_id"), F.lead("text").over(w).alias("next_text")
     ).where("_mark = 0").drop("_mark")
 
 
-def _bucket(k: Column, cuts: list[int]) -> Column:
-    """Number of cuts at or below ``k``, by two steps of about sqrt(n)."""
-    if not cuts:
-        return F.lit(0)
-    step = max(1, int(len(cuts) ** 0.5))
-    rows = [cuts[i:i + step] for i in range(0, len(cuts), step)]
-    lit = lambda xs: "array(" + ", ".join(f"cast('{x}' as bigint)" for x in xs) + ")"
-    heads = F.expr(lit([r[0] for r in rows]))
-    table = F.expr("array(" + ", ".join(lit(r) for r in rows) + ")")
-    row = F.size(F.filter(heads, lambda c: c <= k))  # 0: below all cuts
-    inside = F.size(F.filter(F.element_at(table, F.greatest(row, F.lit(1))), lambda c: c <= k))
-    return F.when(row == 0, F.lit(0)).otherwise((row - 1) * step + inside).cast("int")
-
-
 def word_list(text: Column) -> Column:
     """Lower-cased words between white space."""
     return F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
@@ -161,6 +153,13 @@ def near_counts(fps: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
     )
 
 
+def hot_fingerprints(fps: DataFrame) -> DataFrame:
+    """(fp): those with more than one ``HOT_SHARE``-th of the rows of ``fps``."""
+    many = fps.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+    least = -(-fps.count() // HOT_SHARE)
+    return many.where(F.col("n") > least).select("fp")
+
+
 def document_fingerprints(docs: DataFrame, radius: int = 3, blocks: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: fingerprint of the text and of its edited
     text (its last third replaced by the start of the next document, by
@@ -190,11 +189,17 @@ def document_fingerprints(docs: DataFrame, radius: int = 3, blocks: int = 6, id_
         F.max(F.when(F.col("edit"), F.col("fp"))).alias("edited_fp"),
     ))
     following = one.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.max("fp").alias("next_fp"))
-    near = near_counts(one, radius, blocks)
+    near = materialise(near_counts(one, radius, blocks))
+    rows = one.join(
+        following, one["next_id"].eqNullSafe(following["_id"]) & (one["next_h"] == following["_h"]), "left"
+    )
+    hot = F.broadcast(hot_fingerprints(one))
+    # rows of a frequent fingerprint would all meet in one task of the join
+    counted = rows.join(hot, "fp", "left_anti").join(near, "fp").unionByName(
+        rows.join(F.broadcast(near.join(hot, "fp", "left_semi")), "fp")
+    )
     return (
-        one.join(following, one["next_id"].eqNullSafe(following["_id"]) & (one["next_h"] == following["_h"]), "left")
-        .join(near, "fp")
-        .select(
+        counted.select(
             "doc_id", "n_chars", F.lower(F.hex("edited_sha")).alias("edited_sha256"),
             hex16(F.col("fp")).alias("fingerprint"), hex16(F.col("edited_fp")).alias("edited_fingerprint"),
             likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),

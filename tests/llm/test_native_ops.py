@@ -238,6 +238,25 @@ def test_fingerprints_odd_rows(spark, odd):
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
+def test_one_id_with_most_rows(spark):
+    """Repeated and null ids and many equal rows: the order has no seams, and
+    none of them is one task's work alone."""
+    rows = [(None, f"{i:03d} null id and text {i % 7}") for i in range(400)]
+    rows += [(5, f"{i:03d} five") for i in range(200)] + [(7, "the same row " * 4)] * 500 + [(i, f"own {i}") for i in range(8, 90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1].encode()))
+    want = sorted(((*a, *b) for a, b in zip(order, order[1:] + order[:1])), key=repr)
+    out = fps.next_in_order(df)
+    assert sorted((tuple(r[c] for c in ("doc_id", "text", "next_id", "next_text")) for r in out.collect()), key=repr) == want
+    assert got(fps.document_fingerprints(df), *COLS) == brute_fingerprints(rows)
+
+
+def test_equal_texts_are_dealt_to_many_tasks(spark):
+    df = spark.createDataFrame([(i, "a b c" if i % 2 else f"x{i} y") for i in range(4000)], "doc_id long, text string")
+    one = df.select(F.xxhash64("text").alias("fp"))
+    assert fps.hot_fingerprints(one).count() == 1
+
+
 def test_plans_hold_no_python(spark, docs):
     for df in (sharding.assign(docs), fps.document_fingerprints(docs)):
         plan = df._jdf.queryExecution().executedPlan().toString()
