@@ -90,7 +90,7 @@ def damaged_replica(pages: DataFrame) -> DataFrame:
 def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle audit of the pages' WARC files against a damaged replica."""
     pages = common.read(spark, sf_dir, "pages")
-    return warc.fixity_report(pages, damaged_replica(pages), per_file=256, levels=3)
+    return warc.fixity_report(pages, damaged_replica(pages), per_file=256)
 
 
 _UP = """
@@ -110,7 +110,8 @@ src AS (
 ),
 named AS (
   SELECT *, md5(coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '')) AS m,
-         CAST('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), '')), 1, 8) AS BIGINT) % (SELECT f FROM n) AS file
+         CAST('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '')), 1, 8) AS BIGINT)
+           % (SELECT f FROM n) AS file
   FROM src
 ),
 rec AS (

@@ -23,10 +23,15 @@ from cadence.llm.common import materialise
 FAN_OUT = 16
 
 
+def page_name(page_id: Column, url: Column) -> Column:
+    """Hash that names a page: of its id and address (nulls: '')."""
+    return F.md5(F.concat_ws("|", F.coalesce(page_id.cast("string"), F.lit("")), F.coalesce(url, F.lit(""))))
+
+
 def record(page_id: Column, url: Column, body: Column) -> Column:
     """The bytes of a page's WARC resource record, as text."""
     text = F.coalesce(body, F.lit(""))
-    name = F.md5(F.concat_ws("|", F.coalesce(page_id.cast("string"), F.lit("")), F.coalesce(url, F.lit(""))))
+    name = page_name(page_id, url)
     uuid = F.concat_ws("-", *[F.substring(name, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     return F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")),
@@ -36,9 +41,10 @@ def record(page_id: Column, url: Column, body: Column) -> Column:
     )
 
 
-def file_number(page_id: Column, n_files: int) -> Column:
-    """WARC file of a page, by a hash of its id (null: file of '')."""
-    key = F.md5(F.coalesce(page_id.cast("string"), F.lit("")))
+def file_number(page_id: Column, url: Column, n_files: int) -> Column:
+    """WARC file of a page, by its name, so that the pages of a repeated or
+    null id are spread, and a page whose body was damaged stays in its file."""
+    key = page_name(page_id, url)
     return F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % F.lit(n_files).cast("long")
 
 
@@ -47,7 +53,7 @@ def records(pages: DataFrame, n_files: int, id_col: str = "page_id", url_col: st
     url and body count as empty; repeated rows are records of their own."""
     i, u = F.col(id_col), F.col(url_col)
     return pages.select(
-        i.alias("page_id"), u.alias("url"), file_number(i, n_files).alias("file"), record(i, u, F.col(body_col)).alias("record")
+        i.alias("page_id"), u.alias("url"), file_number(i, u, n_files).alias("file"), record(i, u, F.col(body_col)).alias("record")
     )
 
 
@@ -56,8 +62,9 @@ def leaves(recs: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:
     order of page_id, url and hash, with their offset ranges. ``keys`` tells
     files apart, such as (rep, file) for several replicas in one table.
 
-    A file's records are numbered in one task; a file is bounded by design
-    (``per_file``)."""
+    A file's records are numbered in one task, as rows without bodies. Files
+    hold about ``per_file`` pages unless one page, id and address alike, is in
+    the table more often than that."""
     hashed = recs.select(
         *keys, "page_id", "url", F.octet_length("record").cast("long").alias("n"), F.sha2("record", 256).alias("hash")
     )
@@ -70,12 +77,16 @@ def leaves(recs: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:
     )
 
 
-def tree(leaf: DataFrame, levels: int, keys: tuple[str, ...] = ("file",)) -> DataFrame:
+def tree(leaf: DataFrame, levels: int | None = None, keys: tuple[str, ...] = ("file",)) -> DataFrame:
     """(keys, level, idx, start, end, hash, page_id): level 0 are the records,
-    level ``levels`` the roots. A file needs FAN_OUT ** levels records at
-    most; more leave several nodes on the top level, which are all compared.
-    Each level is written, as the next one and the comparison read it."""
+    level ``levels`` the roots. With no ``levels``, there are as many as bring
+    the largest file to one root, three at least; with fewer than a file needs
+    several nodes are left on the top level, which are all compared. Each level
+    is written, as the next one and the comparison read it."""
     below = materialise(leaf)
+    if levels is None:
+        last = below.agg(F.max("idx").alias("i")).first()["i"]
+        levels = max(3, levels_for((last or 0) + 1))
     made = [below.select(*keys, F.lit(0).alias("level"), "idx", "start", "end", "hash", "page_id")]
     none = F.lit(None).cast(leaf.schema["page_id"].dataType).alias("page_id")
     for level in range(1, levels + 1):
@@ -170,7 +181,7 @@ def audit(pairs: DataFrame, levels: int) -> tuple[DataFrame, DataFrame]:
     return files, damage
 
 
-def replicas(pages: DataFrame, replica: DataFrame, n_files: int, levels: int) -> DataFrame:
+def replicas(pages: DataFrame, replica: DataFrame, n_files: int, levels: int | None = None) -> DataFrame:
     """The paired trees of two tables of pages laid out in ``n_files`` files,
     materialised."""
     both = records(pages, n_files).withColumn("rep", F.lit(0)).unionByName(records(replica, n_files).withColumn("rep", F.lit(1)))
@@ -186,16 +197,18 @@ def levels_for(most_records: int) -> int:
     return levels
 
 
-def fixity_report(pages: DataFrame, replica: DataFrame, per_file: int = 256, levels: int = 3) -> DataFrame:
+def fixity_report(pages: DataFrame, replica: DataFrame, per_file: int = 256) -> DataFrame:
     """One row per WARC file: its size, both roots, whether they match, how
     many branches were opened, how many records are damaged of each kind, and
     ``damaged`` (the page ids, ascending, joined by commas; a null id: 'null').
 
     Both tables are laid out in the same number of files, from the first
-    one's rows. Three levels above the records hold 4096 records a file, far
-    above any hash-dealt file of ``per_file``. Two empty tables: no rows."""
+    one's rows. Every file has one root (see ``tree``). Two empty tables: no
+    rows."""
     n_files = max(1, -(-pages.count() // per_file))
-    files, damage = audit(replicas(pages, replica, n_files, levels), levels)
+    pairs = replicas(pages, replica, n_files)
+    levels = pairs.agg(F.max("level").alias("l")).first()["l"]
+    files, damage = audit(pairs, 3 if levels is None else levels)
     kinds = ("changed", "moved", "missing", "extra")
     told = damage.groupBy("file").agg(
         *[F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in kinds],

@@ -29,7 +29,7 @@ def plain_record(i, url, body):
 def plain_roots(rows, n_files, levels=3):
     files = {}
     for i, url, body in rows:
-        f = int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:8], 16) % n_files
+        f = int(hashlib.md5(f"{'' if i is None else i}|{url or ''}".encode()).hexdigest()[:8], 16) % n_files
         r = plain_record(i, url, body)
         files.setdefault(f, []).append((i, url, hashlib.sha256(r).hexdigest(), len(r)))
     roots = {}
@@ -90,6 +90,24 @@ def test_only_differing_branches_are_opened(pages):
     assert [(r.page_id, r.kind) for r in warc.audit(pairs, 3)[1].collect()] == [(350, "changed")]
 
 
+def test_one_page_id_with_all_rows(spark):
+    """Pages of one id are spread over the files, and each file has one root."""
+    rows = [(1, f"u{i}", f"b{i}", "f", "h") for i in range(6000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = warc.fixity_report(df, df).collect()
+    assert len(out) == 24 and max(r.n_records for r in out) < 400 and all(len(r.root) == 64 and r.matches for r in out)
+    n = {r.file: r.root for r in out}
+    assert n == plain_roots([r[:3] for r in rows], 24)
+
+
+def test_one_page_many_times_has_one_root(spark):
+    df = spark.range(5000).selectExpr("1L page_id", "'u' url", "'b' html", "'f' file", "'h' hash")
+    out = warc.fixity_report(df, df.limit(4999)).where("n_records > 0").collect()
+    assert len(out) == 1 and len(out[0].root) == 64
+    assert (out[0].n_records, out[0].n_missing, out[0].n_changed, out[0].n_extra) == (5000, 1, 0, 0)
+    assert out[0].root == plain_roots([(1, "u", "b")] * 5000, 1, levels=4)[0]
+
+
 def test_odd_rows(spark):
     rows = [(1, "u", "a", "f", "h"), (1, "u", "a", "f", "h"), (None, None, None, None, None), (2, None, "", "f", "h"), (3, "v", "b" * 300_000, "f", "h")]
     odd = spark.createDataFrame(rows, SCHEMA)
