@@ -88,6 +88,13 @@ OBJECT_SCHEMA = (
 #: that begins with one.
 JSON_PIECES = re.compile(r'"(?:[^"\\\n]|\\[^\n])*("?)|\n\{|[{}]')
 LINE_OBJECT = re.compile(r"\n\{")
+#: A string, closed or not, or a brace.
+STRING_OR_BRACE = re.compile(r'"(?:[^"\\\n]|\\[^\n])*("?)|[{}]')
+#: States at a cut: outside of strings, in one, in one after a backslash; each
+#: with the text that leads there.
+LEADS = ("", '"', '"\\')
+#: Pieces from which a stretch without a sure line is split by states.
+LONG_STRETCH = 3
 #: Characters of one range of a dump file.
 RANGE_CHARS = 1 << 20
 
@@ -154,6 +161,91 @@ def _anchors(text: str) -> tuple[int, int] | None:
     return (sure[0], sure[-1]) if sure else None
 
 
+def _walk(text: str, state: int) -> tuple[list[tuple[int, int]], int, int, int] | None:
+    """(braces, state at the end, least depth after a closing brace, least
+    depth of anything else than braces and white space) of a text that begins
+    in ``state``; depths count from its begin. A brace is (place, +1 or -1); a
+    closing one's place is behind it. None if a line break is in a string."""
+    whole = LEADS[state] + text
+    back = len(LEADS[state])
+    braces: list[tuple[int, int]] = []
+    depth = seen = 0
+    low = solid = len(whole) + 1
+    for m in STRING_OR_BRACE.finditer(whole):
+        if depth < solid and whole[seen:m.start()].strip():
+            solid = depth
+        seen = m.end()
+        kind = whole[m.start()]
+        if kind == '"':
+            if m.start() or not state:
+                solid = min(solid, depth)
+            if not m.group(1):
+                if seen == len(whole):
+                    return braces, 1, low, solid
+                return (braces, 2, low, solid) if whole[seen:] == "\\" else None
+        elif kind == "{":
+            braces.append((m.start() - back, 1))
+            depth += 1
+        else:
+            braces.append((m.end() - back, -1))
+            depth -= 1
+            low = min(low, depth)
+    if depth < solid and whole[seen:].strip():
+        solid = depth
+    return braces, 0, low, solid
+
+
+def _outline(text: str) -> list[int | None | str]:
+    """What a stretch needs to know of a piece: for each state it may begin in
+    (state at the end, change of depth, the two least depths), and how its
+    ends look."""
+    out: list[int | None | str] = []
+    for state in range(len(LEADS)):
+        got = _walk(text, state)
+        out += [None] * 4 if got is None else [got[1], sum(d for _, d in got[0]), got[2], got[3]]
+    solid = text.rstrip()
+    line = 2 if re.match(r"\s*\n\{", text) else int(text.startswith("{"))
+    return [*out, line, "" if not text else "n" if text.endswith("\n") else "x", solid[-1:]]
+
+
+def _states(outlines: list[list]) -> list[tuple[int, int, int]] | None:
+    """(state, depth, piece in which the object open there began) at the begin
+    of each piece of a stretch; None unless the stretch is nothing but whole
+    objects and white space."""
+    state = depth = owner = 0
+    end, before, found = "", "", []
+    for at, o in enumerate(outlines):
+        found.append((state, depth, owner))
+        after, change, low, solid = o[4 * state:4 * state + 4]
+        line, tail, last = o[-3:]
+        opens = line == 2 or (line == 1 and end == "n")
+        if after is None or depth + low < 0 or depth + solid <= 0 or (opens and depth and before not in (":", ",", "[")):
+            return None
+        if depth == 0 or depth + low == 0:
+            owner = at
+        state, depth = int(after), depth + int(change)
+        end, before = tail or end, last or before
+    return found if state == 0 and depth == 0 else None
+
+
+def _cut(text: str, state: int, depth: int) -> tuple[str | None, list[str], str | None]:
+    """(end of the object open at the begin, whole objects, begin of the object
+    open at the end) of a piece of a sound stretch."""
+    head, objects, begin = None, [], None if depth else -1
+    for place, step in _walk(text, state)[0]:
+        depth += step
+        if step > 0 and depth == 1:
+            begin = place
+        elif step < 0 and depth == 0:
+            if begin is None:
+                head = text[:place]
+            else:
+                objects.append(text[begin:place])
+    if not depth:
+        return head, objects, None
+    return (text, objects, None) if begin is None else (head, objects, text[begin:])
+
+
 def _split(text: str) -> list[tuple[str | None, str | None]]:
     objects, rest = object_spans(text)
     return [(text[a:b], None) for a, b in objects] + [(None, text[a:b].strip()) for a, b in rest]
@@ -187,7 +279,8 @@ def split_json_ranges(ranges: DataFrame, file_cols: list[str], order_cols: list[
     what lies between the first and the last such line of a range is split in
     the task that has the range. The ends of neighbouring ranges are put
     together, up to the next such line, and split as one text: usually one
-    object. Only a stretch of a file without any such line is one text.
+    object. A longer stretch without any such line is split piece by piece
+    (``_split_stretches``); it is one text only if it is damaged.
     """
     import pandas as pd
 
@@ -218,9 +311,82 @@ def split_json_ranges(ranges: DataFrame, file_cols: list[str], order_cols: list[
     numbered = numbered.select(*[F.col(c).alias(f"_{c}") for c in [*kept, "kind"]], "seam")
     same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*kept, "kind"]])
     pieces = F.sort_array(F.collect_list(F.struct(*order_cols, "kind", "piece")))
-    seams = edges.join(numbered, same).groupBy(*file_cols, "seam").agg(
+    seams = edges.join(numbered, same).select(*kept, "kind", "piece", "seam")
+    short, sound = _split_stretches(seams, file_cols, order_cols)
+    texts = short.groupBy(*file_cols, "seam").agg(
         F.array_join(F.transform(pieces, lambda p: p["piece"]), "").alias(text_col)).drop("seam")
-    return parts.where("kind = 0").select(*file_cols, "obj", "bad").unionByName(split_concatenated_json(seams, text_col))
+    whole = parts.where("kind = 0").select(*file_cols, "obj", "bad")
+    return whole.unionByName(sound).unionByName(split_concatenated_json(texts, text_col))
+
+
+def _split_stretches(seams: DataFrame, file_cols: list[str], order_cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(pieces to put together, rows (file columns, obj, bad)): the stretches
+    of ``LONG_STRETCH`` pieces or more, such as files of one line or indented
+    throughout, split piece by piece.
+
+    A task outlines its piece for each state in which it may begin. The
+    outlines of a stretch, a few numbers a piece, are put one after the other;
+    that gives the state and depth at each begin, and each piece is then split
+    where it is. Only the fragments of an object that lies in several pieces
+    meet, by that object. A stretch with any damage stays one text."""
+    import pandas as pd
+
+    keys = [*file_cols, "seam"]
+    place = [*order_cols, "kind"]
+    checkpoint_dir(seams.sparkSession)
+    # counted without the texts
+    many = seams.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LONG_STRETCH)
+    named = lambda df, cols: df.select(*[F.col(c).alias(f"_{c}") for c in cols], *[c for c in df.columns if c not in cols])
+    alike = lambda cols: reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in cols])
+    seams = seams.checkpoint()
+    many = many.select(*keys).checkpoint()
+    long = seams.join(named(many, keys), alike(keys), "left_semi")
+    names = [f"o{i}" for i in range(4 * len(LEADS) + 1)] + ["tail", "last"]
+    shape = seams.select(*keys, *place).schema
+    told = seams.select(*keys, *place).schema
+    for name in names:
+        told = told.add(name, "string" if name in ("tail", "last") else "long")
+
+    def outline(batches):
+        for pdf in batches:
+            rows = [(*own, *_outline(piece)) for *own, piece in pdf.itertuples(index=False, name=None)]
+            yield pd.DataFrame(rows, columns=[*keys, *place, *names], dtype=object)
+
+    for name in ("state", "depth", "owner", "n"):
+        shape = shape.add(name, "long")
+
+    def states(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(place, ignore_index=True)
+        rows = [[None if x is None or x != x else x for x in r] for r in pdf[names].itertuples(index=False, name=None)]
+        found = _states(rows)
+        if found is None:
+            return pdf[[*keys, *place]].head(0).assign(state=0, depth=0, owner=0, n=0)
+        state, depth, owner = zip(*found)
+        return pdf[[*keys, *place]].assign(state=state, depth=depth, owner=owner, n=range(len(found)))
+
+    begins = long.select(*keys, *place, "piece").mapInPandas(outline, told).groupBy(*keys).applyInPandas(states, shape).checkpoint()
+    own = [*keys, *place]
+    there = named(begins, own)
+    cut_schema = seams.select(*keys).schema.add("owner", "long").add("n", "long").add("obj", "string").add("fragment", "string")
+
+    def cut(batches):
+        for pdf in batches:
+            rows = []
+            for *own_keys, piece, state, depth, owner, n in pdf.itertuples(index=False, name=None):
+                head, objects, tail = _cut(piece, int(state), int(depth))
+                rows += [(*own_keys, None, None, obj, None) for obj in objects]
+                rows += [(*own_keys, owner, n, None, head)] if head is not None else []
+                rows += [(*own_keys, n, n, None, tail)] if tail is not None else []
+            yield pd.DataFrame(rows, columns=[*keys, "owner", "n", "obj", "fragment"], dtype=object)
+
+    split = seams.join(there, alike(own)).select(*keys, "piece", "state", "depth", "owner", "n").mapInPandas(cut, cut_schema).checkpoint()
+    parts = F.sort_array(F.collect_list(F.struct("n", "fragment")))
+    joined = split.where("fragment is not null").groupBy(*keys, "owner").agg(
+        F.array_join(F.transform(parts, lambda p: p["fragment"]), "").alias("obj"))
+    none = F.lit(None).cast("string").alias("bad")
+    rows = split.where("obj is not null").select(*file_cols, "obj", none).unionByName(joined.select(*file_cols, "obj", none))
+    sound = begins.select(*keys).distinct()
+    return seams.join(named(sound, keys), alike(keys), "left_anti"), rows
 
 
 def read_dump_ranges(spark, path: str, chars: int = RANGE_CHARS) -> DataFrame:

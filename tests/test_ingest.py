@@ -46,6 +46,39 @@ def test_a_file_cut_anywhere(spark):
     assert {k: sorted(v) for k, v in got.items()} == want
 
 
+def test_sound_stretches_are_split_by_states():
+    """Every cut of texts of whole objects is split from its pieces alone;
+    damaged ones are told."""
+    sound = [OBJECTS[0].replace("\n", " "), " ".join(OBJECTS).replace("\n", ""), '{"a":"\\\\"} {"b":"\\"{"}', '  {"a":[{},\n{"b":{}}]}{}']
+    for text in sound:
+        for size in (1, 2, 3, 7, 20):
+            parts = [text[i:i + size] for i in range(0, len(text), size)]
+            found = ingest._states([ingest._outline(p) for p in parts])
+            objects, open_ones = [], {}
+            for n, (p, (state, depth, owner)) in enumerate(zip(parts, found)):
+                head, whole, tail = ingest._cut(p, state, depth)
+                objects += whole
+                if head is not None:
+                    open_ones.setdefault(owner, []).append(head)
+                if tail is not None:
+                    open_ones.setdefault(n, []).append(tail)
+            assert sorted(objects + ["".join(x) for x in open_ones.values()]) == sorted(told(text)[0])
+    for text in ['{"a":1}}', '{"a":1', 'x{"a":1}', '"', '{"a":"\n"}', '{"a":1\n{"b":1}}', '{"a":{}}y{}']:
+        for size in (1, 2, 3):
+            assert ingest._states([ingest._outline(text[i:i + size]) for i in range(0, len(text), size)]) is None
+
+
+def test_one_line_file_is_many_tasks(spark):
+    text = "".join(json.dumps({"id": str(i), "x": {"t": 'a{"' * (i % 5)}}) for i in range(500))
+    rows = [("f", i, text[i:i + 100]) for i in range(0, len(text), 100)]
+    df = spark.createDataFrame(rows, "file string, seam long, piece string").selectExpr("file", "seam at", "piece value")
+    got = ingest.split_json_ranges(df, ["file"], ["at"]).collect()
+    assert sorted(int(json.loads(r.obj)["id"]) for r in got) == list(range(500))
+    edges = df.selectExpr("file", "at", "1 kind", "value piece", "0L seam")
+    left, split = ingest._split_stretches(edges, ["file"], ["at"])
+    assert left.count() == 0 and split.count() == 500
+
+
 @pytest.mark.parametrize("chars", [1, 300, 1 << 20])
 def test_read_in_ranges(spark, tmp_path, chars):
     for slug in ("1-artist", "2-release"):
