@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from cadence.llm.common import materialise
 from cadence.llm.votes import hex16, majority, vote_sums
+from cadence.session import scratch_path
 
 #: Rows of a block of the id order, as a power of two.
 BLOCK_BITS = 6
@@ -57,10 +58,11 @@ def next_in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.monotonically_increasing_id().alias("_row"),
     )
     order = [F.desc("_k"), F.asc("_p"), F.asc("_x"), F.asc("_row")]
-    placed = materialise(
-        src.repartitionByRange(*order).sortWithinPartitions(*order)
-        .select("doc_id", "text", F.monotonically_increasing_id().alias("_pos"))
-    )
+    path = scratch_path(docs.sparkSession, "order")
+    src.repartitionByRange(*order).sortWithinPartitions(*order).select(
+        "doc_id", "text", F.monotonically_increasing_id().alias("_pos")
+    ).write.option("compression", "zstd").parquet(path)
+    placed = docs.sparkSession.read.parquet(path)
     part = F.shiftright("_pos", 33)
     ends = placed.groupBy(part.alias("_part")).agg(F.max("_pos").alias("last"))
     line = Window.partitionBy(F.lit(0)).orderBy("_part")
