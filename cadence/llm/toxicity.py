@@ -1,26 +1,33 @@
 """Toxicity by the nearest labelled examples.
 
-The vector space: words and word beginnings of 4 and 5 letters whose presence
-in a bounded sample of labelled texts goes with label 1 far beyond chance (a
-likelihood-ratio test). A text's vector holds their TF-IDF weights; document
-frequencies are counted over the whole corpus. Examples lie in an inverted
-index of blocks; a block keeps the largest weight of each term in it. A query
-adds up these maxima, visits blocks from the highest bound down and stops when
-no block can still hold one of its ``k`` nearest, so the cosines and the
-neighbours are exact. Neighbours vote with their squared cosine and the
-inverse of their label's sampling rate; a constant of doubt pulls weak
-evidence towards the base rate.
-
-Bounded on the driver: the vocabulary (``max_terms``) and the sampled examples
-(``max_toxic``, ``max_clean``). Sampling takes the smallest hashes of texts, so
-it is the same on every run. Everything else runs over all rows in scan tasks.
+The vector space: every word, and every word beginning of 4 and 5 letters, of a
+bounded sample of labelled texts. A text's unit vector holds their TF-IDF
+weights; document frequencies are counted over the whole corpus. IDF alone
+ranks rare topical words first, so a term's weight is its IDF times a relevance
+that grows smoothly with its likelihood-ratio statistic against the label,
+from ``least_weight`` for a term that tells nothing to 1. No term is left out:
+any text that shares a word with an example gets neighbours.
+
+Examples lie in an inverted index of blocks; each list keeps its largest weight
+overall and in each block. A query takes its terms from the largest possible
+product down and adds up their lists, until the largest products of the terms
+still to come, block by block, leave few examples that can reach the k-th sum
+so far. Those are scored in full, so the cosines and the neighbours are exact.
+Neighbours vote with their squared cosine and the inverse of their label's
+sampling rate; a constant of doubt pulls weak evidence towards the base rate.
+
+Bounded on the driver: the sampled examples (``max_toxic``, ``max_clean``,
+each of at most ``MAX_CHARS`` characters) and so their terms. Sampling takes
+the smallest hashes of texts, so it is the same on every run. Everything else
+runs over all rows in scan tasks.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from math import log, sqrt
+from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +36,11 @@ from pyspark.sql import functions as F
 
 from cadence.llm.common import materialise
 
-#: Sampled examples of either label, and terms of the vector space.
-MAX_TOXIC, MAX_CLEAN, MAX_TERMS = 4000, 16000, 4096
-#: Least test statistic of a term, least texts of label 1 with it, and how many
-#: times likelier it must be there than in texts of label 0: longer texts hold
-#: more of every word, so a small lift tells nothing.
-LEAST_G2, LEAST_TEXTS, LEAST_LIFT = 30.0, 3, 4.0
+#: Sampled examples of either label, and characters of the longest.
+MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1000, 4000, 200_000
+#: Relevance of a term: ``least_weight`` plus the square of g / (g + HALF_G2),
+#: g being its test statistic if it is likelier in texts of label 1, else 0.
+LEAST_WEIGHT, HALF_G2 = 0.01, 30.0
 #: Neighbours, examples in a block, doubt in votes.
 K, BLOCK, DOUBT = 15, 64, 0.5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -58,25 +64,27 @@ def term_counts(text: str) -> dict[str, int]:
 
 
 class Vocabulary:
-    """Terms and their inverse document frequencies. Words lie within runs
-    without white space, most of which repeat, so the terms of a run are
-    remembered."""
+    """Terms and their weights. Words lie within runs without white space, most
+    of which repeat, so the terms of a run are remembered."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray | None = None):
+    def __init__(self, terms: list[str], weight: np.ndarray | None = None):
         self.terms = sorted(terms)
         self.number = {t: i for i, t in enumerate(self.terms)}
         self.chunks = _Chunks(self)
-        self.idf = np.ones(len(self.terms)) if idf is None else idf
+        self.weight = np.ones(len(self.terms)) if weight is None else weight
+
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the terms in a whole text, ascending, and how often each
+        occurs."""
+        look = self.chunks.__getitem__
+        parts = [np.fromiter(chain.from_iterable(map(look, chunks)), dtype=np.int32) for chunks in _blocks(text)]
+        found = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
+        return np.unique(found, return_counts=True)
 
     def matches(self, text: str) -> dict[int, int]:
         """Occurrences of the terms in a whole text, by term number."""
-        found: dict[int, int] = {}
-        look = self.chunks.__getitem__
-        for chunks in _blocks(text):
-            for terms in filter(None, map(look, chunks)):
-                for i in terms:
-                    found[i] = found.get(i, 0) + 1
-        return found
+        at, n = self.counts(text)
+        return dict(zip(at.tolist(), n.tolist()))
 
     def terms_in(self, chunk: str) -> tuple[int, ...]:
         """Numbers of the terms in a lower-case run without white space."""
@@ -90,20 +98,22 @@ class Vocabulary:
     def fresh(self) -> Vocabulary:
         """The same vocabulary with nothing remembered: a task works with its
         own, which goes when the task ends."""
-        return Vocabulary(self.terms, self.idf)
+        new = Vocabulary.__new__(Vocabulary)
+        new.terms, new.number, new.weight, new.chunks = self.terms, self.number, self.weight, _Chunks(new)
+        return new
 
     def __getstate__(self):
-        return self.terms, self.idf
+        return self.terms, self.weight
 
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def vector(self, text: str) -> tuple[tuple[int, float], ...]:
-        """The text's unit vector; empty if it holds no term."""
-        tf = self.matches(text)
-        raw = [(i, (1.0 + log(n)) * float(self.idf[i])) for i, n in sorted(tf.items())]
-        norm = sqrt(sum(w * w for _, w in raw))
-        return tuple((i, w / norm) for i, w in raw) if norm else ()
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The text's unit vector (terms, weights); empty if it holds no term."""
+        at, n = self.counts(text)
+        raw = (1.0 + np.log(n)) * self.weight[at]
+        norm = np.sqrt((raw * raw).sum())
+        return (at, raw / norm) if norm else (at[:0], raw[:0])
 
 
 class _Chunks(dict):
@@ -131,67 +141,112 @@ def _blocks(text: str) -> Iterator[list[str]]:
         yield runs
 
 
+def _spread(first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of all entries of some lists, number of entries in each)."""
+    size = first[rows + 1] - first[rows]
+    shift = first[rows] - np.r_[0, np.cumsum(size)[:-1]]
+    return np.repeat(shift, size) + np.arange(size.sum()), size
+
+
 class BlockMaxIndex:
-    """Inverted lists over unit vectors, cut into blocks of ``block`` examples."""
+    """Inverted lists over vectors of positive weights, with the largest weight
+    of each list in each block of ``block`` examples; and the vectors."""
 
     def __init__(self, vectors: list[tuple[tuple[int, float], ...]], ids: list[int], block: int = BLOCK):
+        flat = [x for v in vectors for x in v]
+        self._build(
+            np.array([len(v) for v in vectors], dtype=np.int64), np.array([t for t, _ in flat], dtype=np.int64),
+            np.array([w for _, w in flat], dtype=np.float64), np.array(ids, dtype=np.int64), block,
+        )
+
+    @classmethod
+    def of(cls, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> BlockMaxIndex:
+        """From the vectors one after the other: terms and weights in each."""
+        new = cls.__new__(cls)
+        new._build(sizes.astype(np.int64), terms.astype(np.int64), weights.astype(np.float64), ids.astype(np.int64), block)
+        return new
+
+    def _build(self, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray, ids: np.ndarray, block: int) -> None:
+        n, self.block, self.n_blocks = len(ids), block, -(-len(ids) // block)
+        row = np.repeat(np.arange(n), sizes)
         # alike examples side by side: bounds of blocks get tight
-        order = sorted(range(len(ids)), key=lambda r: (max(vectors[r], key=lambda x: (x[1], x[0]), default=(-1,))[0], vectors[r], ids[r]))
-        self.ids, self.block = np.array([ids[r] for r in order], dtype=np.int64), block
-        self.row = np.array(order, dtype=np.int64)
-        self.n_blocks = -(-len(ids) // block)
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for place, r in enumerate(order):
-            for t, w in vectors[r]:
-                lists.setdefault(t, []).append((place, w))
-        #: term -> (blocks, largest weight in each, first posting of each and
-        #: the end, places, weights)
-        self.lists = {}
-        for t, posts in lists.items():
-            places = np.array([p for p, _ in posts], dtype=np.int64)
-            weights = np.array([w for _, w in posts])
-            blocks, first = np.unique(places // block, return_index=True)
-            top = np.maximum.reduceat(weights, first)
-            self.lists[t] = (blocks, top, np.r_[first, len(places)], places, weights)
-
-    def _add(self, score: np.ndarray, lists: list, blocks: np.ndarray) -> None:
-        """Add the query's products over the postings in some blocks."""
-        chosen = np.zeros(self.n_blocks, dtype=bool)
-        chosen[blocks] = True
-        for q, (own, _, first, places, weights) in lists:
-            at = np.flatnonzero(chosen[own])
-            if len(at) == len(own):
-                score[places] += q * weights
-            elif len(at):
-                size = first[at + 1] - first[at]
-                shift = first[at] - np.r_[0, np.cumsum(size)[:-1]]
-                posts = np.repeat(shift, size) + np.arange(size.sum())
-                score[places[posts]] += q * weights[posts]
+        heaviest = np.full(n, -1, dtype=np.int64)
+        by_weight = np.lexsort((terms, weights, row))
+        heaviest[row[by_weight]] = terms[by_weight]
+        order = np.lexsort((np.arange(n), ids, heaviest))
+        self.ids, self.row = ids[order], order
+        at = np.empty(n, dtype=np.int64)
+        at[order] = np.arange(n)
+        place = at[row]
+        o = np.argsort(place, kind="stable")
+        self.own_first = np.r_[0, np.cumsum(sizes[order])]
+        self.own_terms, self.own_weights = terms[o].astype(np.int32), weights[o]
+        o = np.lexsort((place, terms))
+        place, terms = place[o], terms[o]
+        every = np.arange(int(terms[-1]) + 2 if len(terms) else 1)
+        self.n_terms = len(every) - 1
+        self.first, self.places, self.weights = np.searchsorted(terms, every), place.astype(np.int32), weights[o]
+        key = terms * max(self.n_blocks, 1) + place // block
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=np.int64)
+        self.tops = np.maximum.reduceat(self.weights, starts) if len(starts) else self.weights
+        self.top_first, self.top_blocks = np.searchsorted(terms[starts], every), (place[starts] // block).astype(np.int32)
+        self.top = np.zeros(self.n_terms)
+        np.maximum.at(self.top, terms[starts], self.tops)
 
     def search(self, query: tuple[tuple[int, float], ...], k: int) -> list[tuple[float, int, int]]:
+        """``nearest`` for a query of (term, weight) pairs."""
+        return self.nearest(np.array([t for t, _ in query], dtype=np.int64), np.array([w for _, w in query]), k)
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int, int]]:
         """The ``k`` nearest by cosine (above zero), ties by smaller id:
         (cosine, example id, example number).
 
-        The blocks with the highest bounds are scored first; of the others
-        only those whose bound reaches the k-th cosine found there can hold a
-        neighbour, and they are scored next."""
-        bound = np.zeros(self.n_blocks)
-        lists = [(q, self.lists[t]) for t, q in query if t in self.lists]
-        for q, (own, top, *_) in lists:
-            bound[own] += q * top
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0.0]
-        score = np.zeros(self.n_blocks * self.block)
-        n = max(2, 2 * -(-k // self.block))
-        self._add(score, lists, order[:n])
-        least = np.partition(score, -k)[-k] if len(score) >= k else 0.0
-        self._add(score, lists, order[n:][bound[order[n:]] >= least - 1e-9])
+        Lists are added from the largest possible product down. What the lists
+        to come can still add is bounded by their largest weights, overall and
+        then in each block; an example whose sum and bound stay below the k-th
+        sum is no neighbour. When scoring the others in full costs less than
+        the lists to come, that ends the search."""
+        known = (terms < self.n_terms) & (weights > 0)
+        terms, weights = terms[known], weights[known]
+        most = weights * self.top[terms]
+        order = np.argsort(-most, kind="stable")
+        order = order[most[order] > 0]
+        if not len(order):
+            return []
+        terms, weights, most = terms[order], weights[order], most[order]
+        n = len(self.ids)
+        rest = np.r_[np.cumsum(most[::-1])[::-1], 0.0]
+        ahead = np.r_[np.cumsum((self.first[terms + 1] - self.first[terms])[::-1])[::-1], 0]
+        mean = len(self.own_terms) / n
+        score, done, step, least = np.zeros(n), 0, 16, 0.0
+        near = np.zeros(0, dtype=np.int64)
+        while done < len(terms):
+            upto = min(len(terms), done + step)
+            at, size = _spread(self.first, terms[done:upto])
+            score += np.bincount(self.places[at], self.weights[at] * np.repeat(weights[done:upto], size), n)
+            done, step = upto, 2 * step
+            least = max(float(np.partition(score, n - k)[n - k]), 0.0) if n >= k else 0.0
+            if done < len(terms) and least > 0.0:
+                near = np.flatnonzero(score >= least - rest[done] - 1e-9)
+                if len(near) * mean < 4 * ahead[done]:
+                    at, size = _spread(self.top_first, terms[done:])
+                    bound = np.bincount(self.top_blocks[at], self.tops[at] * np.repeat(weights[done:], size), self.n_blocks)
+                    near = near[score[near] + bound[near // self.block] >= least - 1e-9]
+                    if len(near) * mean < ahead[done]:
+                        break
+        else:
+            near = np.flatnonzero((score > 0.0) & (score >= least - 1e-9))
+        return self._exact(terms, weights, near, k)
+
+    def _exact(self, terms: np.ndarray, weights: np.ndarray, near: np.ndarray, k: int) -> list[tuple[float, int, int]]:
+        """The ``k`` nearest among some examples, each scored over its own terms."""
+        query = np.zeros(self.n_terms)
+        query[terms] = weights
+        at, size = _spread(self.own_first, near)
+        score = np.bincount(np.repeat(np.arange(len(near)), size), self.own_weights[at] * query[self.own_terms[at]], len(near))
         score = np.round(score, 12)
-        hits = np.flatnonzero(score > 0.0)
-        if len(hits) > k:
-            hits = hits[score[hits] >= np.partition(score[hits], -k)[-k]]
-        hits = hits[np.lexsort((self.ids[hits], -score[hits]))][:k]
-        return [(float(score[h]), int(self.ids[h]), int(self.row[h])) for h in hits]
+        best = np.lexsort((self.row[near], self.ids[near], -score))[:k]
+        return [(float(score[h]), int(self.ids[near[h]]), int(self.row[near[h]])) for h in best if score[h] > 0.0]
 
 
 class Model:
@@ -200,30 +255,33 @@ class Model:
     def __init__(self, vocabulary: Vocabulary, index: BlockMaxIndex, toxic: np.ndarray, vote: tuple[float, float], base: float, empty: float, k: int = K, doubt: float = DOUBT):
         self.vocabulary, self.index, self.toxic, self.vote = vocabulary, index, toxic, vote
         self.base, self.empty, self.k, self.doubt = base, empty, k, doubt
-        self._known: dict[tuple, tuple[float, list[int], list[float]]] = {}
+        self._known: dict[bytes, tuple[float, list[int], list[float]]] = {}
 
     def score(self, text: str) -> tuple[float, list[int], list[float]]:
-        """(score, ids of the nearest examples, their cosines)."""
-        v = self.vocabulary.vector(text)
-        if not v:
-            return self.empty, [], []
-        known = self._known.get(v)
+        """(score, ids of the nearest examples, their cosines). Copies of a
+        text are scored once."""
+        name = blake2b(text.encode("utf-8", "surrogatepass"), digest_size=20).digest()
+        known = self._known.get(name)
         if known is None:
-            near = self.index.search(v, self.k)
-            yes = no = 0.0
-            for cos, _, row in near:
-                w = cos * cos * self.vote[int(self.toxic[row])]
-                if self.toxic[row]:
-                    yes += w
-                else:
-                    no += w
-            value = (yes + self.doubt * self.base) / (yes + no + self.doubt)
-            known = value, [i for _, i, _ in near[:3]], [c for c, _, _ in near[:3]]
             if len(self._known) > 50_000:
                 self._known.clear()
-            self._known[v] = known
+            known = self._known[name] = self._vote(*self.vocabulary.vector(text))
         return known
 
+    def _vote(self, terms: np.ndarray, weights: np.ndarray) -> tuple[float, list[int], list[float]]:
+        if not len(terms):
+            return self.empty, [], []
+        near = self.index.nearest(terms, weights, self.k)
+        yes = no = 0.0
+        for cos, _, row in near:
+            w = cos * cos * self.vote[int(self.toxic[row])]
+            if self.toxic[row]:
+                yes += w
+            else:
+                no += w
+        value = (yes + self.doubt * self.base) / (yes + no + self.doubt)
+        return value, [i for _, i, _ in near[:3]], [c for c, _, _ in near[:3]]
+
     def fresh(self) -> Model:
         """The same model with nothing remembered, for one task."""
         return Model(self.vocabulary.fresh(), self.index, self.toxic, self.vote, self.base, self.empty, self.k, self.doubt)
@@ -238,13 +296,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clea
     label 1. Exact copies under one label are one text, carried by their
     smallest id, in the sample and in the totals: many copies of one text are
     no evidence that its words go with its label. Texts that only share
-    passages, and one text under both labels, stay apart. Only ids and hashes
+    passages, and one text under both labels, stay apart. Texts of over
+    ``MAX_CHARS`` characters are no examples. Only ids and hashes
     are shuffled; the sampled ones are at most max_toxic + max_clean, so they
     are broadcast to the scan of the documents."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(
         F.max("toxic").cast("int").alias("toxic")
     )
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= MAX_CHARS)
     hashes = texts.select("doc_id", F.md5("text").alias("h")).distinct()
     once = materialise(hashes.join(known, "doc_id").groupBy("toxic", "h").agg(F.min("doc_id").alias("doc_id")))
     sizes = {r["toxic"]: r["n"] for r in once.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -254,10 +313,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clea
     return rows.dropDuplicates(["doc_id", "h"]).select("doc_id", "text", "toxic"), sizes.get(1, 0), sizes.get(0, 0)
 
 
-def associated_terms(sample: DataFrame, n_toxic: int, n_clean: int, least_g2: float, least_texts: int, max_terms: int) -> list[str]:
-    """Terms that go with label 1, by their lift and the likelihood-ratio
-    statistic of their presence against the label; the ``max_terms``
-    strongest."""
+def relevant_terms(sample: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str], np.ndarray]:
+    """All terms of the sampled texts and the relevance of each, by the
+    likelihood-ratio statistic of its presence against the label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
@@ -282,13 +340,12 @@ def associated_terms(sample: DataFrame, n_toxic: int, n_clean: int, least_g2: fl
         return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
 
     g2 = 2 * (part(a, n1 * rate) + part(b, n0 * rate) + part(n1 - a, n1 * (1 - rate)) + part(n0 - b, n0 * (1 - rate)))
-    best = (
+    got = (
         counts.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
-        .where((F.col("a") >= least_texts) & (a / n1 > LEAST_LIFT * b / n0))
-        .select("term", g2.alias("g2")).where(F.col("g2") >= least_g2)
-        .orderBy(F.desc("g2"), "term").limit(max_terms)
+        .select("term", F.when(a / n1 > b / n0, F.greatest(g2, F.lit(0.0))).otherwise(0.0).alias("g2")).orderBy("term").toArrow()
     )
-    return [r["term"] for r in best.collect()]
+    g = got["g2"].to_numpy()
+    return got["term"].to_pylist(), LEAST_WEIGHT + (g / (g + HALF_G2)) ** 2
 
 
 def _term_rows(seen: dict[str, list[int]]) -> pa.RecordBatch:
@@ -309,8 +366,7 @@ def document_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.nd
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 n += 1
-                for i in v.matches(t):
-                    df[i] += 1
+                df[v.counts(t)[0]] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[n, df[at]].astype(np.int64))], names=["term", "n"]
@@ -318,31 +374,27 @@ def document_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.nd
 
     out = np.zeros(len(vocabulary.terms), dtype=np.int64)
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    total = 0
-    for r in texts.mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        if r["term"] < 0:
-            total = r["n"]
-        else:
-            out[r["term"]] = r["n"]
+    got = texts.mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    at, n = got["term"].to_numpy(), got["n"].to_numpy()
+    out[at[at >= 0]] = n[at >= 0]
+    total = int(n[at < 0].sum())
     shared.destroy()
     return out, total
 
 
-def fit(
-    docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_terms: int = MAX_TERMS,
-    least_g2: float = LEAST_G2, least_texts: int = LEAST_TEXTS, k: int = K, doubt: float = DOUBT,
-) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, k: int = K, doubt: float = DOUBT) -> Model:
     """A model from labelled rows: ``labels`` (doc_id, toxic 0/1) of ``docs``
     (doc_id, text). Callers leave out the ids they hold out. No labels: every
-    score is 0; no telling terms: every score is the base rate."""
+    score is 0; examples of one label only: every score is that label's rate."""
     sample, all_toxic, all_clean = labelled_sample(docs, labels, max_toxic, max_clean)
     sample = materialise(sample)
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
-    terms = associated_terms(sample, n1, n0, least_g2, least_texts, max_terms) if n1 and n0 else []
+    terms, relevance = relevant_terms(sample, n1, n0) if n1 and n0 else ([], np.zeros(0))
     bare = Vocabulary(terms)
+    order = np.array(sorted(range(len(terms)), key=terms.__getitem__), dtype=np.int64)
     df, total = document_frequencies(docs, bare) if terms else (np.zeros(0), 0)
-    vocabulary = Vocabulary(terms, np.log((1.0 + total) / (1.0 + df)) + 1.0)
+    vocabulary = Vocabulary(terms, np.log((2.0 + total) / (1.0 + df)) * relevance[order])
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,17 +402,22 @@ def fit(
         for batch in batches:
             vecs = [v.vector(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([[i for i, _ in x] for x in vecs], type=pa.list_(pa.int32())),
-                 pa.array([[w for _, w in x] for x in vecs], type=pa.list_(pa.float64()))],
+                [batch.column(0), batch.column(2), pa.array([x for x, _ in vecs], type=pa.list_(pa.int32())),
+                 pa.array([w for _, w in vecs], type=pa.list_(pa.float64()))],
                 names=["doc_id", "toxic", "at", "w"],
             )
 
     rows = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic").mapInArrow(
         run, "doc_id long, toxic int, at array<int>, w array<double>"
-    ).where(F.size("at") > 0).orderBy("doc_id", "at", "w").collect()
+    ).where(F.size("at") > 0).orderBy("doc_id", "at", "w").toArrow().combine_chunks()
     shared.destroy()
-    vectors = [tuple(zip(r["at"], r["w"])) for r in rows]
-    toxic = np.array([r["toxic"] for r in rows], dtype=np.int8)
+
+    def flat(name: str) -> np.ndarray:
+        return rows[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+    sizes = rows["at"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+    toxic = rows["toxic"].to_numpy().astype(np.int8)
+    index = BlockMaxIndex.of(sizes, flat("at"), flat("w"), rows["doc_id"].to_numpy())
     base = all_toxic / max(all_toxic + all_clean, 1)
     # of the texts without any term, how many are of label 1 in the corpus
     bare1 = all_toxic * (1 - (toxic == 1).sum() / n1) if n1 else 0.0
@@ -368,7 +425,7 @@ def fit(
     empty = float(bare1 / (bare1 + bare0)) if bare1 + bare0 else base
     vote = (all_clean / n0 if n0 else 1.0, all_toxic / n1 if n1 else 1.0)
     least = min(vote)
-    return Model(vocabulary, BlockMaxIndex(vectors, [r["doc_id"] for r in rows]), toxic, (vote[0] / least, vote[1] / least), float(base), empty, k, doubt)
+    return Model(vocabulary, index, toxic, (vote[0] / least, vote[1] / least), float(base), empty, k, doubt)
 
 
 def score(docs: DataFrame, model: Model, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
