@@ -1,11 +1,11 @@
 """Toxicity by the nearest labelled examples.
 
-The vector space: every word, and every word beginning of 4 and 5 letters, of a
-bounded sample of labelled texts. A text's unit vector holds their TF-IDF
+The vector space: every word of a bounded sample of labelled texts (on request
+also the beginnings of its words). A text's unit vector holds their TF-IDF
 weights; document frequencies are counted over the whole corpus. IDF alone
 ranks rare topical words first, so a term's weight is its IDF times a relevance
 that grows smoothly with its likelihood-ratio statistic against the label,
-from ``least_weight`` for a term that tells nothing to 1. No term is left out:
+from ``LEAST_WEIGHT`` for a term that tells nothing to 1. No term is left out:
 any text that shares a word with an example gets neighbours.
 
 Examples lie in an inverted index of blocks; each list keeps its largest weight
@@ -37,10 +37,10 @@ from pyspark.sql import functions as F
 from cadence.llm.common import materialise
 
 #: Sampled examples of either label, and characters of the longest.
-MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1000, 4000, 200_000
-#: Relevance of a term: ``least_weight`` plus the square of g / (g + HALF_G2),
+MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1000, 3000, 200_000
+#: Relevance of a term: ``LEAST_WEIGHT`` plus the square of g / (g + HALF_G2),
 #: g being its test statistic if it is likelier in texts of label 1, else 0.
-LEAST_WEIGHT, HALF_G2 = 0.01, 30.0
+LEAST_WEIGHT, HALF_G2 = 0.02, 25.0
 #: Neighbours, examples in a block, doubt in votes.
 K, BLOCK, DOUBT = 15, 64, 0.5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -50,13 +50,14 @@ WORDS = 200_000
 CHUNKS, CHUNK_CHARS = 300_000, 48
 
 
-def term_counts(text: str) -> dict[str, int]:
-    """Occurrences of each word and of the beginnings of longer words."""
+def term_counts(text: str, starts: tuple[int, ...] = (4, 5)) -> dict[str, int]:
+    """Occurrences of each word and of the beginnings, of these lengths, of
+    longer words."""
     out: dict[str, int] = {}
     for m in _WORD.finditer(text.lower()):
         w = m.group()
         out[w] = out.get(w, 0) + 1
-        for n in (4, 5):
+        for n in starts:
             if len(w) > n:
                 p = "^" + w[:n]
                 out[p] = out.get(p, 0) + 1
@@ -70,6 +71,7 @@ class Vocabulary:
     def __init__(self, terms: list[str], weight: np.ndarray | None = None):
         self.terms = sorted(terms)
         self.number = {t: i for i, t in enumerate(self.terms)}
+        self.starts = sorted({len(t) - 1 for t in self.terms if t[0] == "^"})
         self.chunks = _Chunks(self)
         self.weight = np.ones(len(self.terms)) if weight is None else weight
 
@@ -90,7 +92,7 @@ class Vocabulary:
         """Numbers of the terms in a lower-case run without white space."""
         out = []
         for w in _WORD.findall(chunk):
-            for t in (w, "^" + w[:4] if len(w) > 4 else "", "^" + w[:5] if len(w) > 5 else ""):
+            for t in (w, *("^" + w[:n] for n in self.starts if len(w) > n)):
                 if (i := self.number.get(t)) is not None:
                     out.append(i)
         return tuple(out)
@@ -99,7 +101,7 @@ class Vocabulary:
         """The same vocabulary with nothing remembered: a task works with its
         own, which goes when the task ends."""
         new = Vocabulary.__new__(Vocabulary)
-        new.terms, new.number, new.weight, new.chunks = self.terms, self.number, self.weight, _Chunks(new)
+        new.terms, new.number, new.starts, new.weight, new.chunks = self.terms, self.number, self.starts, self.weight, _Chunks(new)
         return new
 
     def __getstate__(self):
@@ -143,9 +145,10 @@ def _blocks(text: str) -> Iterator[list[str]]:
 
 def _spread(first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(positions of all entries of some lists, number of entries in each)."""
-    size = first[rows + 1] - first[rows]
-    shift = first[rows] - np.r_[0, np.cumsum(size)[:-1]]
-    return np.repeat(shift, size) + np.arange(size.sum()), size
+    low = first[rows]
+    size = first[rows + 1] - low
+    end = np.cumsum(size)
+    return np.repeat(low - end + size, size) + np.arange(end[-1] if len(end) else 0), size
 
 
 class BlockMaxIndex:
@@ -180,16 +183,16 @@ class BlockMaxIndex:
         place = at[row]
         o = np.argsort(place, kind="stable")
         self.own_first = np.r_[0, np.cumsum(sizes[order])]
-        self.own_terms, self.own_weights = terms[o].astype(np.int32), weights[o]
+        self.own_terms, self.own_weights = terms[o], weights[o]
         o = np.lexsort((place, terms))
         place, terms = place[o], terms[o]
         every = np.arange(int(terms[-1]) + 2 if len(terms) else 1)
         self.n_terms = len(every) - 1
-        self.first, self.places, self.weights = np.searchsorted(terms, every), place.astype(np.int32), weights[o]
+        self.first, self.places, self.weights = np.searchsorted(terms, every), place, weights[o]
         key = terms * max(self.n_blocks, 1) + place // block
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=np.int64)
         self.tops = np.maximum.reduceat(self.weights, starts) if len(starts) else self.weights
-        self.top_first, self.top_blocks = np.searchsorted(terms[starts], every), (place[starts] // block).astype(np.int32)
+        self.top_first, self.top_blocks = np.searchsorted(terms[starts], every), place[starts] // block
         self.top = np.zeros(self.n_terms)
         np.maximum.at(self.top, terms[starts], self.tops)
 
@@ -313,7 +316,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clea
     return rows.dropDuplicates(["doc_id", "h"]).select("doc_id", "text", "toxic"), sizes.get(1, 0), sizes.get(0, 0)
 
 
-def relevant_terms(sample: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str], np.ndarray]:
+def relevant_terms(sample: DataFrame, n_toxic: int, n_clean: int, starts: tuple[int, ...]) -> tuple[list[str], np.ndarray]:
     """All terms of the sampled texts and the relevance of each, by the
     likelihood-ratio statistic of its presence against the label."""
 
@@ -321,7 +324,7 @@ def relevant_terms(sample: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[
         seen: dict[str, list[int]] = {}
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for t in term_counts(text):
+                for t in term_counts(text, starts):
                     c = seen.get(t)
                     if c is None:
                         c = seen[t] = [0, 0]
@@ -382,7 +385,7 @@ def document_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.nd
     return out, total
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, k: int = K, doubt: float = DOUBT) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, starts: tuple[int, ...] = (), k: int = K, doubt: float = DOUBT) -> Model:
     """A model from labelled rows: ``labels`` (doc_id, toxic 0/1) of ``docs``
     (doc_id, text). Callers leave out the ids they hold out. No labels: every
     score is 0; examples of one label only: every score is that label's rate."""
@@ -390,7 +393,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     sample = materialise(sample)
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
-    terms, relevance = relevant_terms(sample, n1, n0) if n1 and n0 else ([], np.zeros(0))
+    terms, relevance = relevant_terms(sample, n1, n0, starts) if n1 and n0 else ([], np.zeros(0))
     bare = Vocabulary(terms)
     order = np.array(sorted(range(len(terms)), key=terms.__getitem__), dtype=np.int64)
     df, total = document_frequencies(docs, bare) if terms else (np.zeros(0), 0)
