@@ -195,6 +195,8 @@ class BlockMaxIndex:
         self.top_first, self.top_blocks = np.searchsorted(terms[starts], every), place[starts] // block
         self.top = np.zeros(self.n_terms)
         np.maximum.at(self.top, terms[starts], self.tops)
+        #: The query over all terms while it is scored, zero otherwise.
+        self._query: np.ndarray | None = None
 
     def search(self, query: tuple[tuple[int, float], ...], k: int) -> list[tuple[float, int, int]]:
         """``nearest`` for a query of (term, weight) pairs."""
@@ -218,8 +220,9 @@ class BlockMaxIndex:
             return []
         terms, weights, most = terms[order], weights[order], most[order]
         n = len(self.ids)
-        rest = np.r_[np.cumsum(most[::-1])[::-1], 0.0]
-        ahead = np.r_[np.cumsum((self.first[terms + 1] - self.first[terms])[::-1])[::-1], 0]
+        rest, ahead = np.zeros(len(terms) + 1), np.zeros(len(terms) + 1)
+        rest[:-1] = np.cumsum(most[::-1])[::-1]
+        ahead[:-1] = np.cumsum((self.first[terms + 1] - self.first[terms])[::-1])[::-1]
         mean = len(self.own_terms) / n
         score, done, step, least = np.zeros(n), 0, 16, 0.0
         near = np.zeros(0, dtype=np.int64)
@@ -243,10 +246,13 @@ class BlockMaxIndex:
 
     def _exact(self, terms: np.ndarray, weights: np.ndarray, near: np.ndarray, k: int) -> list[tuple[float, int, int]]:
         """The ``k`` nearest among some examples, each scored over its own terms."""
-        query = np.zeros(self.n_terms)
+        if self._query is None:
+            self._query = np.zeros(self.n_terms)
+        query = self._query
         query[terms] = weights
         at, size = _spread(self.own_first, near)
         score = np.bincount(np.repeat(np.arange(len(near)), size), self.own_weights[at] * query[self.own_terms[at]], len(near))
+        query[terms] = 0.0
         score = np.round(score, 12)
         best = np.lexsort((self.row[near], self.ids[near], -score))[:k]
         return [(float(score[h]), int(self.ids[near[h]]), int(self.row[near[h]])) for h in best if score[h] > 0.0]
