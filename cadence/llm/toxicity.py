@@ -224,35 +224,39 @@ class BlockMaxIndex:
         rest[:-1] = np.cumsum(most[::-1])[::-1]
         ahead[:-1] = np.cumsum((self.first[terms + 1] - self.first[terms])[::-1])[::-1]
         mean = len(self.own_terms) / n
-        score, done, step, least = np.zeros(n), 0, 16, 0.0
+        score, done, step, least = np.zeros(n), 0, 32, 0.0
         near = np.zeros(0, dtype=np.int64)
         while done < len(terms):
             upto = min(len(terms), done + step)
             at, size = _spread(self.first, terms[done:upto])
-            score += np.bincount(self.places[at], self.weights[at] * np.repeat(weights[done:upto], size), n)
-            done, step = upto, 2 * step
+            score += np.bincount(self.places.take(at), self.weights.take(at) * np.repeat(weights[done:upto], size), n)
+            done, step = upto, 3 * step
             least = max(float(np.partition(score, n - k)[n - k]), 0.0) if n >= k else 0.0
             if done < len(terms) and least > 0.0:
                 near = np.flatnonzero(score >= least - rest[done] - 1e-9)
-                if len(near) * mean < 4 * ahead[done]:
+                if len(near) * mean < 2 * ahead[done]:
                     at, size = _spread(self.top_first, terms[done:])
                     bound = np.bincount(self.top_blocks[at], self.tops[at] * np.repeat(weights[done:], size), self.n_blocks)
                     near = near[score[near] + bound[near // self.block] >= least - 1e-9]
-                    if len(near) * mean < ahead[done]:
+                    if 3 * len(near) * mean < ahead[done]:
                         break
         else:
             near = np.flatnonzero((score > 0.0) & (score >= least - 1e-9))
-        return self._exact(terms, weights, near, k)
+            return self._best(near, score[near], k)
+        return self._best(near, self._in_full(terms, weights, near), k)
 
-    def _exact(self, terms: np.ndarray, weights: np.ndarray, near: np.ndarray, k: int) -> list[tuple[float, int, int]]:
-        """The ``k`` nearest among some examples, each scored over its own terms."""
+    def _in_full(self, terms: np.ndarray, weights: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Cosines of some examples, each over all its terms."""
         if self._query is None:
             self._query = np.zeros(self.n_terms)
         query = self._query
         query[terms] = weights
         at, size = _spread(self.own_first, near)
-        score = np.bincount(np.repeat(np.arange(len(near)), size), self.own_weights[at] * query[self.own_terms[at]], len(near))
+        score = np.bincount(np.repeat(np.arange(len(near)), size), self.own_weights.take(at) * query.take(self.own_terms.take(at)), len(near))
         query[terms] = 0.0
+        return score
+
+    def _best(self, near: np.ndarray, score: np.ndarray, k: int) -> list[tuple[float, int, int]]:
         score = np.round(score, 12)
         best = np.lexsort((self.row[near], self.ids[near], -score))[:k]
         return [(float(score[h]), int(self.ids[near[h]]), int(self.row[near[h]])) for h in best if score[h] > 0.0]
