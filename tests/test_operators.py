@@ -193,3 +193,43 @@ def test_json_list_hash_matches_a_json_dump(spark):
     df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, n long")
     got = {r.n: r.h for r in df.select("n", json_list_hash(F.col("name"), (F.col("n"), "num")).alias("h")).collect()}
     assert got == {i: hashlib.md5(json.dumps([n, i]).encode()).hexdigest() for i, n in enumerate(names)}
+
+
+def test_spikes_by_running_counts(spark):
+    """No sliding frame, whose every row costs a walk through its day, and the
+    24h suppression keeps what a comparison of all pairs keeps."""
+    import datetime as dt
+    import random
+    import re
+
+    rng = random.Random(5)
+    day = dt.timedelta(days=1)
+    rows = [(f"m{i}", "u", "r" + str(i % 2), dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rng.randrange(60) * 7200)) for i in range(90)]
+    df = spark.createDataFrame(rows, "listen_md5 string, username string, recording_mbid string, listen_at_ts_utc timestamp_ntz").selectExpr(
+        "*", "'t' track_name", "'l' release_name", "'a' artist_name")
+    kept = spikes.track_play_spikes(df, min_count=1, suppression="24h")
+    frames = re.findall(r"RangeFrame, ([^,]*),", kept._jdf.queryExecution().optimizedPlan().toString())
+    assert frames and set(frames) == {"unboundedpreceding$()"}
+    ahead = {m: (k, t, sum(k == k2 and t < t2 < t + day for _, _, k2, t2 in rows)) for m, _, k, t in rows}
+    spiky = [x for x in ahead.values() if x[2] >= 1]
+    want = {m for m, (k, t, c) in ahead.items() if c >= 1 and not any(
+        k2 == k and abs(t2 - t) < day and (c2 > c or c2 == c and t2 < t) for k2, t2, c2 in spiky)}
+    assert {r.start_listen_md5 for r in kept.collect()} == want
+
+
+def test_loves_meet_files_once(spark):
+    """A user's loves of a recording are one row when they meet its files."""
+    import datetime as dt
+
+    from cadence.plans.activity import loved_tracks
+
+    t = dt.datetime(2024, 1, 1)
+    loves = spark.createDataFrame([("u", "r", t + dt.timedelta(hours=i % 50)) for i in range(200)] + [("u", None, t)],
+                                  "username string, recording_mbid string, feedback_at timestamp_ntz")
+    none = spark.createDataFrame([], "username string, recording_mbid string, period_start_at_utc timestamp_ntz")
+    files = spark.createDataFrame([(f"f{i}", "r") for i in range(30)], "filepath string, recording_mbid string")
+    out = loved_tracks(loves, none, files)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Join"):]
+    rows = out.collect()
+    assert len(rows) == 30 and {(tuple(r.recording_mbids), r.love_at) for r in rows} == {(("r",), t)}
