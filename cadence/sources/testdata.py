@@ -360,15 +360,18 @@ def playlist_seeds(spark: SparkSession, sf_dir: str, per_playlist: int = 3) -> D
 def dump_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listen-dump rows: user = customer, artist = supplier, one row per
     order line (slug = order date)."""
+    return dump_lines(spark, sf_dir).select(
+        F.date_format("dump_date", "yyyyMMdd").alias("slug"), "dump_date", "user_id", mbid("s", F.col("l_suppkey")).alias("artist_mbid"),
+        "listen_count")
+
+
+def dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``dump_records`` with the supplier's number for the artist."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
     return o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(
-        F.date_format("o_orderdate", "yyyyMMdd").alias("slug"),
-        F.col("o_orderdate").cast("date").alias("dump_date"),
-        F.col("o_custkey").alias("user_id"),
-        mbid("s", F.col("l_suppkey")).alias("artist_mbid"),
-        F.col("l_quantity").cast("long").alias("listen_count"),
-    )
+        F.col("o_orderdate").cast("date").alias("dump_date"), F.col("o_custkey").alias("user_id"), "l_suppkey",
+        F.col("l_quantity").cast("long").alias("listen_count"))
 
 
 def raw_name_map(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,3 +77,35 @@ def test_sync(spark):
     there = spark.createDataFrame([("a", "2"), ("a", "1"), ("b", "5"), ("d", "6")], key)
     got = {r[0]: tuple(r)[1:] for r in sync.collections_in_sync(here, there).collect()}
     assert got == {"a": (2, 2, 2, True), "b": (1, 1, 0, False), "c": (1, 0, 0, False), "d": (0, 1, 0, False)}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_jobs_read_what_was_computed_once(spark, tmp_path, monkeypatch):
+    """The table queries' commits read stored sums, the rounds of the closure
+    stored edges."""
+    import datetime as dt
+
+    from cadence.plans import models
+
+    t = dt.datetime(2000, 9, 1)
+    given = {
+        "orders": ([(1, 7, t), (2, 8, t), (3, None, t)], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz"),
+        "lineitem": ([(1, 5, 2.0), (1, 5, 3.0), (2, 6, 1.0), (3, None, 1.0)], "l_orderkey long, l_suppkey long, l_quantity double"),
+        "supplier": ([(5, "s", 1, 1.0)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double"),
+        "part": ([(k, "p", "b", "t", 3) for k in range(30)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int")}
+    for name, (rows, schema) in given.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    firsts, create = [], models._table
+    monkeypatch.setattr(models, "_table", lambda first, *a: (firsts.append(first), create(first, *a))[1])
+    got = sorted(((r.slug, r.user_id, r.listen_count) for r in models.q_table_append(spark, str(tmp_path)).collect()), key=str)
+    assert got == [("20000901", 7, 5), ("20000901", 8, 1)]
+    models.q_table_replace_group(spark, str(tmp_path))
+    models.q_table_versions(spark, str(tmp_path))
+    assert len(firsts) == 3 and not any("Join" in _plan(f) or "Aggregate" in _plan(f) for f in firsts)
+    edges, closure = [], models.qu.dependents_closure
+    monkeypatch.setattr(models.qu, "dependents_closure", lambda s, e, k: (edges.append(e), closure(s, e, k))[1])
+    assert models.q_dependents_closure(spark, str(tmp_path)).count() > 0
+    assert "json" not in _plan(edges[0])
