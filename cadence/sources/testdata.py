@@ -397,8 +397,11 @@ def _build_raw_name_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return (
         table(spark, sf_dir, "part")
-        .select((F.col("p_partkey") % 40).alias("n"))
-        .distinct()
+        .select((F.col("p_partkey") % 40).alias("key"))
+        .groupBy("key")
+        # the number is an aggregate, no key: filters on the payload can't be
+        # moved below, where every part's payload would be built and parsed
+        .agg(F.max("key").alias("n"))
         .select(
             F.md5(F.concat_ws("-", title, album, artist)).alias("recording_md5"),
             title.alias("recording_name"),
