@@ -90,8 +90,12 @@ class Vocabulary:
 
     def terms_in(self, chunk: str) -> tuple[int, ...]:
         """Numbers of the terms in a lower-case run without white space."""
+        # a run of letters only is one word
+        words = (chunk,) if chunk.isalpha() else _WORD.findall(chunk)
+        if not self.starts:
+            return tuple([i for w in words if (i := self.number.get(w)) is not None])
         out = []
-        for w in _WORD.findall(chunk):
+        for w in words:
             for t in (w, *("^" + w[:n] for n in self.starts if len(w) > n)):
                 if (i := self.number.get(t)) is not None:
                     out.append(i)
