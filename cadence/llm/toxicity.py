@@ -9,10 +9,11 @@ from ``LEAST_WEIGHT`` for a term that tells nothing to 1. No term is left out:
 any text that shares a word with an example gets neighbours.
 
 Examples lie in an inverted index of blocks; each list keeps its largest weight
-overall and in each block. A query takes its terms from the largest possible
-product down and adds up their lists, until the largest products of the terms
-still to come, block by block, leave few examples that can reach the k-th sum
-so far. Those are scored in full, so the cosines and the neighbours are exact.
+in each block, and long lists lie in rows over all examples. A query adds up
+its short lists and the long ones with the largest possible products. The
+largest weights of the others, block by block, bound what an example can still
+get; only those that can reach the k-th sum so far are scored in full, so the
+cosines and the neighbours are exact.
 Neighbours vote with their squared cosine and the inverse of their label's
 sampling rate; a constant of doubt pulls weak evidence towards the base rate.
 
@@ -25,7 +26,9 @@ runs over all rows in scan tasks.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import sys
+from collections.abc import Iterable, Iterator
+from functools import cached_property, lru_cache
 from hashlib import blake2b
 from itertools import chain
 
@@ -43,11 +46,18 @@ MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1000, 3000, 200_000
 LEAST_WEIGHT, HALF_G2 = 0.02, 25.0
 #: Neighbours, examples in a block, doubt in votes.
 K, BLOCK, DOUBT = 15, 64, 0.5
-_WORD = re.compile(r"[^\W\d_]+")
-#: Words of a text held at once.
+#: A list is long if one in so many examples is in it; so many of the longest
+#: are kept as rows over all examples, so many of a query's are added unbounded.
+LONG, LONG_ROWS, FIRST = 8, 1000, 16
+_WORD, _GAP = re.compile(r"[^\W\d_]+"), re.compile(r"[\W\d_]")
+#: Characters of a text whose words are held at once.
 WORDS = 200_000
-#: Runs that a worker remembers, and how long they may be.
-CHUNKS, CHUNK_CHARS = 300_000, 48
+#: Rows whose texts are held at once, and how many texts a task remembers.
+SLICE_ROWS, REMEMBERED = 500, 50_000
+#: A word's hash is the sum of its letters times the powers of an odd base,
+#: modulo 2 ** 64; a beginning's has the mark added.
+_BASE, _MARK = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def term_counts(text: str, starts: tuple[int, ...] = (4, 5)) -> dict[str, int]:
@@ -65,31 +75,123 @@ def term_counts(text: str, starts: tuple[int, ...] = (4, 5)) -> dict[str, int]:
 
 
 class Vocabulary:
-    """Terms and their weights. Words lie within runs without white space, most
-    of which repeat, so the terms of a run are remembered."""
+    """Terms and their weights. A text's words are found and looked up all at
+    once: each gets a 64-bit hash, the hashes are searched among those of the
+    terms, and what is found is compared letter by letter. So no text leaves
+    anything behind in a worker."""
 
     def __init__(self, terms: list[str], weight: np.ndarray | None = None):
         self.terms = sorted(terms)
-        self.number = {t: i for i, t in enumerate(self.terms)}
-        self.starts = sorted({len(t) - 1 for t in self.terms if t[0] == "^"})
-        self.chunks = _Chunks(self)
         self.weight = np.ones(len(self.terms)) if weight is None else weight
-
-    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the terms in a whole text, ascending, and how often each
-        occurs."""
-        look = self.chunks.__getitem__
-        parts = [np.fromiter(chain.from_iterable(map(look, chunks)), dtype=np.int32) for chunks in _blocks(text)]
-        found = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
-        return np.unique(found, return_counts=True)
+        beginning = np.array([t[0] == "^" for t in self.terms], dtype=bool)
+        words = [t.removeprefix("^") for t in self.terms]
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        #: Letters of the terms one after the other, without the mark.
+        self.letters, self.first = _codes("".join(words)), np.r_[0, np.cumsum(size)]
+        self.kind, self.longest = 2 * size + beginning, int(size.max(initial=0))
+        self.starts = sorted(set(size[beginning].tolist()))
+        self._powers(self.longest)
+        place = np.arange(len(self.letters)) - np.repeat(self.first[:-1], size)
+        key = np.add.reduceat(self.letters * self.up[place], self.first[:-1]) if len(words) else np.zeros(0, dtype=np.uint64)
+        key[beginning] += _MARK
+        #: Term numbers by ascending hash, and the hashes.
+        self.by_key = np.argsort(key, kind="stable")
+        self.keys = key[self.by_key]
+        if (self.keys[1:] == self.keys[:-1]).any():
+            raise ValueError("two terms have one hash: change _BASE")
+
+    @cached_property
+    def number(self) -> dict[str, int]:
+        """Term -> its number."""
+        return {t: i for i, t in enumerate(self.terms)}
+
+    @cached_property
+    def terms(self) -> list[str]:
+        """The terms, ascending."""
+        text = self.letters.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        ends = zip(self.first[:-1].tolist(), self.first[1:].tolist(), (self.kind % 2).tolist())
+        return ["^" * mark + text[lo:hi] for lo, hi, mark in ends]
+
+    def _powers(self, n: int) -> None:
+        """``up`` and ``down``: the powers of ``_BASE`` and of its inverse, for
+        at least ``n`` letters."""
+        if n > len(self.up):
+            n = 1 << max(n - 1, 4095).bit_length()
+            self.up, self.down = (np.cumprod(np.r_[np.uint64(1), np.full(n - 1, b, dtype=np.uint64)]) for b in (_BASE, _INVERSE))
+
+    up = down = np.zeros(0, dtype=np.uint64)
+
+    def counts(self, texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each whole text: numbers of the terms in it, ascending, and how
+        often each occurs. Short texts are looked up together."""
+        held, size = [], 0
+        for text in texts:
+            low = text.lower()
+            if held and size + len(low) > WORDS:
+                yield from self._found(held)
+                held, size = [], 0
+            if len(low) > WORDS:
+                parts = [next(self._found([piece])) for piece in _pieces(low, self.longest)]
+                at, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+                yield at, np.bincount(where, np.concatenate([p[1] for p in parts]), len(at)).astype(np.int64)
+            else:
+                held.append(low)
+                size += len(low)
+        if held:
+            yield from self._found(held)
+
+    def _found(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``counts`` of lower-case texts."""
+        code = _codes(" ".join(texts))
+        self._powers(len(code))
+        inside = np.zeros(len(code) + 2, dtype=np.int8)
+        inside[1:-1] = _in_words().take(code)
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        start, size = edges[::2], edges[1::2] - edges[::2]
+        total = np.zeros(len(code) + 1, dtype=np.uint64)
+        np.cumsum(code * self.up[:len(code)], out=total[1:])
+        key, kind = (total[start + size] - total[start]) * self.down[start], 2 * size
+        if self.starts:
+            some = [start[size > n] for n in self.starts]
+            key = np.concatenate([key, *((total[s + n] - total[s]) * self.down[s] + _MARK for s, n in zip(some, self.starts))])
+            kind = np.concatenate([kind, *(np.full(len(s), 2 * n + 1) for s, n in zip(some, self.starts))])
+            start = np.concatenate([start, *some])
+        order = np.argsort(key)
+        at = np.searchsorted(self.keys, key[order])
+        at[at == len(self.keys)] = 0
+        known = np.flatnonzero(self.keys[at] == key[order]) if len(self.keys) else at[:0]
+        term, order = self.by_key[at[known]], order[known]
+        right = self._spelled(term, code, start[order], kind[order])
+        if not right.all():
+            term, order = term[right], order[right]
+        # by text, then by term
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        cell = (np.searchsorted(begin, start[order], side="right") - 1) * len(self.weight) + term
+        cell, n = np.unique(cell, return_counts=True)
+        bounds = np.searchsorted(cell, np.arange(len(texts) + 1) * len(self.weight)).tolist()
+        for i, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:])):
+            yield cell[lo:hi] - i * len(self.weight), n[lo:hi]
+
+    def _spelled(self, term: np.ndarray, code: np.ndarray, start: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Whether the words from ``start`` on are these terms."""
+        right = self.kind[term] == kind
+        place, size = _spread(self.first, np.where(right, term, 0))
+        shift = np.where(right, start - self.first[term], 0)
+        # a shift of 0 compares anything: those are wrong already
+        wrong = self.letters.take(place) != code.take(place + np.repeat(shift, size), mode="clip")
+        at = np.flatnonzero(wrong)
+        if len(at):
+            right[np.searchsorted(np.cumsum(size), at, side="right")] = False
+        return right
 
     def matches(self, text: str) -> dict[int, int]:
         """Occurrences of the terms in a whole text, by term number."""
-        at, n = self.counts(text)
+        at, n = next(self.counts([text]))
         return dict(zip(at.tolist(), n.tolist()))
 
     def terms_in(self, chunk: str) -> tuple[int, ...]:
-        """Numbers of the terms in a lower-case run without white space."""
+        """Numbers of the terms in a lower-case run without white space, one
+        by one: what ``counts`` finds for all words at once."""
         # a run of letters only is one word
         words = (chunk,) if chunk.isalpha() else _WORD.findall(chunk)
         if not self.starts:
@@ -101,50 +203,42 @@ class Vocabulary:
                     out.append(i)
         return tuple(out)
 
-    def fresh(self) -> Vocabulary:
-        """The same vocabulary with nothing remembered: a task works with its
-        own, which goes when the task ends."""
-        new = Vocabulary.__new__(Vocabulary)
-        new.terms, new.number, new.starts, new.weight, new.chunks = self.terms, self.number, self.starts, self.weight, _Chunks(new)
-        return new
-
     def __getstate__(self):
-        return self.terms, self.weight
+        # the letters stand for the terms; powers are made again
+        return {k: v for k, v in self.__dict__.items() if k not in ("terms", "number", "up", "down")}
 
-    def __setstate__(self, state):
-        self.__init__(*state)
+    def vectors(self, texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The texts' unit vectors (terms, weights); empty if one holds no
+        term."""
+        for at, n in self.counts(texts):
+            raw = (1.0 + np.log(n)) * self.weight[at]
+            norm = np.sqrt((raw * raw).sum())
+            yield (at, raw / norm) if norm else (at[:0], raw[:0])
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The text's unit vector (terms, weights); empty if it holds no term."""
-        at, n = self.counts(text)
-        raw = (1.0 + np.log(n)) * self.weight[at]
-        norm = np.sqrt((raw * raw).sum())
-        return (at, raw / norm) if norm else (at[:0], raw[:0])
 
+@lru_cache(maxsize=1)
+def _in_words() -> np.ndarray:
+    """Code point -> 1 if words are made of it, else 0."""
+    table = np.zeros(sys.maxunicode + 1, dtype=np.int8)
+    for m in _WORD.finditer("".join(map(chr, range(sys.maxunicode + 1)))):
+        table[m.start():m.end()] = 1
+    return table
 
-class _Chunks(dict):
-    """Terms by run; starts anew when it is full."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
-        self.vocabulary = vocabulary
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
-        terms = self.vocabulary.terms_in(chunk)
-        if len(chunk) <= CHUNK_CHARS:
-            if len(self) >= CHUNKS:
-                self.clear()
-            self[chunk] = terms
-        return terms
 
-
-def _blocks(text: str) -> Iterator[list[str]]:
-    """Runs without white space, lower case, ``WORDS`` at a time."""
-    rest = text.lower()
-    while rest:
-        runs = rest.split(None, WORDS)
-        rest = runs.pop() if len(runs) > WORDS else ""
-        yield runs
+def _pieces(text: str, longest: int) -> Iterator[str]:
+    """The words of a text, about ``WORDS`` characters at a time. No word is
+    cut but one that is longer than the ``longest`` term, and it stays so."""
+    at = 0
+    while at < len(text):
+        end = at + WORDS
+        gap = _GAP.search(text, end)
+        stop = gap.start() if gap else len(text)
+        yield text[at:min(stop, end + longest + 1)]
+        at = stop
 
 
 def _spread(first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,6 +249,21 @@ def _spread(first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.repeat(low - end + size, size) + np.arange(end[-1] if len(end) else 0), size
 
 
+def _add(score: np.ndarray, weights: np.ndarray, rows: np.ndarray, at: np.ndarray) -> None:
+    """Adds the rows ``at`` times their weights, one after the other: many
+    small copies cost more than they save."""
+    part = np.empty(len(score))
+    for w, r in zip(weights.tolist(), at.tolist()):
+        np.multiply(rows[r], w, out=part)
+        np.add(score, part, out=score)
+
+
+def _kth(score: np.ndarray, k: int) -> float:
+    """The k-th largest score; 0 if there are fewer."""
+    n = len(score)
+    return float(np.partition(score, n - k)[n - k]) if n >= k else 0.0
+
+
 class BlockMaxIndex:
     """Inverted lists over vectors of positive weights, with the largest weight
     of each list in each block of ``block`` examples; and the vectors."""
@@ -185,9 +294,6 @@ class BlockMaxIndex:
         at = np.empty(n, dtype=np.int64)
         at[order] = np.arange(n)
         place = at[row]
-        o = np.argsort(place, kind="stable")
-        self.own_first = np.r_[0, np.cumsum(sizes[order])]
-        self.own_terms, self.own_weights = terms[o], weights[o]
         o = np.lexsort((place, terms))
         place, terms = place[o], terms[o]
         every = np.arange(int(terms[-1]) + 2 if len(terms) else 1)
@@ -195,12 +301,21 @@ class BlockMaxIndex:
         self.first, self.places, self.weights = np.searchsorted(terms, every), place, weights[o]
         key = terms * max(self.n_blocks, 1) + place // block
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=np.int64)
-        self.tops = np.maximum.reduceat(self.weights, starts) if len(starts) else self.weights
-        self.top_first, self.top_blocks = np.searchsorted(terms[starts], every), place[starts] // block
+        tops = np.maximum.reduceat(self.weights, starts) if len(starts) else self.weights
+        top_blocks, top_terms = place[starts] // block, terms[starts]
         self.top = np.zeros(self.n_terms)
-        np.maximum.at(self.top, terms[starts], self.tops)
-        #: The query over all terms while it is scored, zero otherwise.
-        self._query: np.ndarray | None = None
+        np.maximum.at(self.top, top_terms, tops)
+        # long lists and their largest weights by block also as dense rows
+        size = np.diff(self.first)
+        long = np.argsort(-size, kind="stable")[:LONG_ROWS]
+        long = np.sort(long[size[long] * LONG >= max(n, 1)])
+        self.long_row = np.full(self.n_terms, -1, dtype=np.int32)
+        self.long_row[long] = np.arange(len(long))
+        self.long, self.long_tops = np.zeros((len(long), n)), np.zeros((len(long), self.n_blocks))
+        row = self.long_row[terms]
+        self.long[row[row >= 0], place[row >= 0]] = self.weights[row >= 0]
+        row = self.long_row[top_terms]
+        self.long_tops[row[row >= 0], top_blocks[row >= 0]] = tops[row >= 0]
 
     def search(self, query: tuple[tuple[int, float], ...], k: int) -> list[tuple[float, int, int]]:
         """``nearest`` for a query of (term, weight) pairs."""
@@ -210,80 +325,67 @@ class BlockMaxIndex:
         """The ``k`` nearest by cosine (above zero), ties by smaller id:
         (cosine, example id, example number).
 
-        Lists are added from the largest possible product down. What the lists
-        to come can still add is bounded by their largest weights, overall and
-        then in each block; an example whose sum and bound stay below the k-th
-        sum is no neighbour. When scoring the others in full costs less than
-        the lists to come, that ends the search."""
+        The short lists are added first, and of the long ones the ``FIRST``
+        with the largest possible products. What the others can still add is
+        bounded by their largest weights in each block; an example whose sum
+        and bound stay below the k-th sum is no neighbour. Only what is left
+        gets its weights in the other lists."""
+        n = len(self.ids)
         known = (terms < self.n_terms) & (weights > 0)
         terms, weights = terms[known], weights[known]
-        most = weights * self.top[terms]
-        order = np.argsort(-most, kind="stable")
-        order = order[most[order] > 0]
-        if not len(order):
+        if not n or not len(terms):
             return []
-        terms, weights, most = terms[order], weights[order], most[order]
-        n = len(self.ids)
-        rest, ahead = np.zeros(len(terms) + 1), np.zeros(len(terms) + 1)
-        rest[:-1] = np.cumsum(most[::-1])[::-1]
-        ahead[:-1] = np.cumsum((self.first[terms + 1] - self.first[terms])[::-1])[::-1]
-        mean = len(self.own_terms) / n
-        score, done, step, least = np.zeros(n), 0, 32, 0.0
-        near = np.zeros(0, dtype=np.int64)
-        while done < len(terms):
-            upto = min(len(terms), done + step)
-            at, size = _spread(self.first, terms[done:upto])
-            score += np.bincount(self.places.take(at), self.weights.take(at) * np.repeat(weights[done:upto], size), n)
-            done, step = upto, 3 * step
-            least = max(float(np.partition(score, n - k)[n - k]), 0.0) if n >= k else 0.0
-            if done < len(terms) and least > 0.0:
-                near = np.flatnonzero(score >= least - rest[done] - 1e-9)
-                if len(near) * mean < 2 * ahead[done]:
-                    at, size = _spread(self.top_first, terms[done:])
-                    bound = np.bincount(self.top_blocks[at], self.tops[at] * np.repeat(weights[done:], size), self.n_blocks)
-                    near = near[score[near] + bound[near // self.block] >= least - 1e-9]
-                    if 3 * len(near) * mean < ahead[done]:
-                        break
-        else:
-            near = np.flatnonzero((score > 0.0) & (score >= least - 1e-9))
-            return self._best(near, score[near], k)
-        return self._best(near, self._in_full(terms, weights, near), k)
-
-    def _in_full(self, terms: np.ndarray, weights: np.ndarray, near: np.ndarray) -> np.ndarray:
-        """Cosines of some examples, each over all its terms."""
-        if self._query is None:
-            self._query = np.zeros(self.n_terms)
-        query = self._query
-        query[terms] = weights
-        at, size = _spread(self.own_first, near)
-        score = np.bincount(np.repeat(np.arange(len(near)), size), self.own_weights.take(at) * query.take(self.own_terms.take(at)), len(near))
-        query[terms] = 0.0
-        return score
+        row = self.long_row.take(terms)
+        short, long = row < 0, np.flatnonzero(row >= 0)
+        at, size = _spread(self.first, terms[short])
+        score = np.bincount(self.places.take(at), self.weights.take(at) * np.repeat(weights[short], size), n)
+        if len(long) > FIRST:
+            long = long[np.argsort(-weights[long] * self.top[terms[long]], kind="stable")]
+        row, weights = row[long], weights[long]
+        score = score.astype(np.float64, copy=False)
+        _add(score, weights[:FIRST], self.long, row[:FIRST])
+        row, weights = row[FIRST:], weights[FIRST:]
+        near, least = None, _kth(score, k)
+        if len(row):
+            if least > 0.0:
+                bound = np.repeat(weights @ self.long_tops[row], self.block)[:n]
+                near = np.flatnonzero(score + bound >= least - 1e-9)
+            if near is not None and 4 * len(near) < n:
+                score = score[near] + np.einsum("i,ij->j", weights, self.long[row[:, None], near])
+            else:
+                near = None
+                _add(score, weights, self.long, row)
+            least = _kth(score, k)
+        best = np.flatnonzero(score >= max(least - 1e-9, 1e-300))
+        return self._best(best if near is None else near[best], score[best], k)
 
     def _best(self, near: np.ndarray, score: np.ndarray, k: int) -> list[tuple[float, int, int]]:
-        score = np.round(score, 12)
-        best = np.lexsort((self.row[near], self.ids[near], -score))[:k]
-        return [(float(score[h]), int(self.ids[near[h]]), int(self.row[near[h]])) for h in best if score[h] > 0.0]
+        score, ids, row = np.round(score, 12), self.ids[near], self.row[near]
+        best = np.lexsort((row, ids, -score))[:k]
+        found = zip(score[best].tolist(), ids[best].tolist(), row[best].tolist())
+        return [x for x in found if x[0] > 0.0]
 
 
 class Model:
-    """Vocabulary, index, labels and rates; scores one text at a time."""
+    """Vocabulary, index, labels and rates; scores texts."""
 
     def __init__(self, vocabulary: Vocabulary, index: BlockMaxIndex, toxic: np.ndarray, vote: tuple[float, float], base: float, empty: float, k: int = K, doubt: float = DOUBT):
         self.vocabulary, self.index, self.toxic, self.vote = vocabulary, index, toxic, vote
         self.base, self.empty, self.k, self.doubt = base, empty, k, doubt
         self._known: dict[bytes, tuple[float, list[int], list[float]]] = {}
 
-    def score(self, text: str) -> tuple[float, list[int], list[float]]:
-        """(score, ids of the nearest examples, their cosines). Copies of a
-        text are scored once."""
-        name = blake2b(text.encode("utf-8", "surrogatepass"), digest_size=20).digest()
-        known = self._known.get(name)
-        if known is None:
-            if len(self._known) > 50_000:
-                self._known.clear()
-            known = self._known[name] = self._vote(*self.vocabulary.vector(text))
-        return known
+    def scores(self, texts: list[str]) -> list[tuple[float, list[int], list[float]]]:
+        """(score, ids of the nearest examples, their cosines) of each text.
+        Copies of a text are scored once."""
+        names = [blake2b(t.encode("utf-8", "surrogatepass"), digest_size=20).digest() for t in texts]
+        new = {name: t for name, t in zip(names, texts) if name not in self._known}
+        found = {name: self._known[name] for name in names if name not in new}
+        for name, vector in zip(new, self.vocabulary.vectors(new.values())):
+            found[name] = self._vote(*vector)
+        if len(self._known) > REMEMBERED:
+            self._known.clear()
+        self._known.update((name, found[name]) for name in new)
+        return [found[name] for name in names]
 
     def _vote(self, terms: np.ndarray, weights: np.ndarray) -> tuple[float, list[int], list[float]]:
         if not len(terms):
@@ -301,12 +403,17 @@ class Model:
 
     def fresh(self) -> Model:
         """The same model with nothing remembered, for one task."""
-        return Model(self.vocabulary.fresh(), self.index, self.toxic, self.vote, self.base, self.empty, self.k, self.doubt)
+        return Model(self.vocabulary, self.index, self.toxic, self.vote, self.base, self.empty, self.k, self.doubt)
 
     def __getstate__(self):
         return self.__dict__ | {"_known": {}}
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Some rows at a time: their texts are copied."""
+    return (batch.slice(at, SLICE_ROWS) for at in range(0, batch.num_rows, SLICE_ROWS))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int) -> tuple[DataFrame, int, int]:
     """((doc_id, text, toxic) of the sampled labelled texts; how many labelled
     texts of label 1, of label 0 there are). An id labelled both ways counts as
@@ -378,12 +485,13 @@ def document_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.nd
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value.fresh()
+        v = shared.value
         df, n = np.zeros(len(v.terms), dtype=np.int64), 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                n += 1
-                df[v.counts(t)[0]] += 1
+            for part in _slices(batch):
+                n += part.num_rows
+                for at, _ in v.counts(part.column(0).to_pylist()):
+                    df[at] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[n, df[at]].astype(np.int64))], names=["term", "n"]
@@ -415,9 +523,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value.fresh()
+        v = shared.value
         for batch in batches:
-            vecs = [v.vector(t) for t in batch.column(1).to_pylist()]
+            vecs = list(v.vectors(batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([x for x, _ in vecs], type=pa.list_(pa.int32())),
                  pa.array([w for _, w in vecs], type=pa.list_(pa.float64()))],
@@ -455,10 +563,10 @@ def score(docs: DataFrame, model: Model, id_cols: tuple[str, ...] = ("doc_id",),
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value.fresh()
-        for batch in batches:
-            got = [model.score(t) for t in batch.column(len(id_cols)).to_pylist()]
+        for part in chain.from_iterable(map(_slices, batches)):
+            got = model.scores(part.column(len(id_cols)).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array([g[0] for g in got], type=pa.float64()),
+                [*part.columns[:-1], pa.array([g[0] for g in got], type=pa.float64()),
                  pa.array([g[1] for g in got], type=pa.list_(pa.int64())), pa.array([g[2] for g in got], type=pa.list_(pa.float64()))],
                 names=[*id_cols, "score", "evidence", "cosines"],
             )
