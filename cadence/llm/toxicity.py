@@ -374,6 +374,10 @@ class Model:
         self.base, self.empty, self.k, self.doubt = base, empty, k, doubt
         self._known: dict[bytes, tuple[float, list[int], list[float]]] = {}
 
+    def score(self, text: str) -> tuple[float, list[int], list[float]]:
+        """``scores`` of one text."""
+        return self.scores([text])[0]
+
     def scores(self, texts: list[str]) -> list[tuple[float, list[int], list[float]]]:
         """(score, ids of the nearest examples, their cosines) of each text.
         Copies of a text are scored once."""
