@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cadence.operators import clustering as cl
+from cadence.session import stored
 
 MIN_LISTENS = 2
 MIN_TRACKS = 50
@@ -34,18 +35,18 @@ def smart_mix_clusters(tracks: DataFrame, cf: DataFrame | None, max_clusters: in
                        min_tracks: int = MIN_TRACKS) -> tuple[DataFrame, DataFrame]:
     """(membership, stats) of the kept clusters per user. Users with at most
     ``min_tracks`` tracks get none."""
-    from cadence.session import checkpoint_dir
-
-    checkpoint_dir(tracks.sparkSession)
-    n = tracks.groupBy("username").agg(F.count(F.lit(1)).alias("_n"))
     # the clustering makes several passes over the tracks: materialise them once
-    t = tracks.join(n.where(F.col("_n") > min_tracks).select("username"), "username").checkpoint()
-    labels = cl.hdbscan_labels(t, cf).where(F.col("label") >= 0)
-    members = t.join(labels, ["username", "filepath"])
+    tracks = stored(tracks, "tracks")
+    n = tracks.groupBy("username").agg(F.count(F.lit(1)).alias("_n"))
+    t = tracks.join(n.where(F.col("_n") > min_tracks).select("username"), "username")
+    labels = stored(cl.hdbscan_labels(t, cf).where(F.col("label") >= 0), "labels")
+    members = t.drop("embedding").join(labels, ["username", "filepath"])
     stats = members.groupBy("username", "label").agg(
         F.count(F.lit(1)).alias("n_tracks"), F.count_distinct("artist_mbid").alias("n_artists"))
     stats = stats.where((F.col("n_artists") > 2) & (F.col("n_artists") < 9))
-    md = cl.cluster_mean_distance(t, labels, cf)
+    stats = stored(stats, "cluster-stats")
+    # of the clusters that can be kept
+    md = cl.cluster_mean_distance(t, labels.join(stats.select("username", "label"), ["username", "label"], "left_semi"), cf)
     w = Window.partitionBy("username").orderBy("mean_distance", "label")
     kept = stats.join(md, ["username", "label"]).withColumn("cluster_rank", F.row_number().over(w)).where(
         F.col("cluster_rank") <= max_clusters)
